@@ -1,9 +1,384 @@
-"""The registered queries and their SQL."""
+"""The registered queries over the relational tables, and the same in SQL.
 
+Each lifts whole tables to triples and applies one operator. SQL says the same without triples.
+"""
 
-def queries():
-    return {}
+from __future__ import annotations
+
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from graphwarden.functions.terms import CRM, DCT, RDFS, SKOS, TYPE, XSD
+from graphwarden.operators import closure as paths
+from graphwarden.operators import findings as fd
+from graphwarden.operators import repair as rp
+from graphwarden.operators import rules
+from graphwarden.sinks import report_lines
+from graphwarden.sources.lift import EX, blank, iri, table, triples
+from graphwarden.sources.tables import baseline_lines, manifest
+
+KNOWN = ("click", "purchase", "view")
+RULE, COMPONENT = "<urn:graphwarden:rule:KnownVocabularyTerm>", "<http://www.w3.org/ns/shacl#SPARQLConstraintComponent>"
+
+_queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_sql: dict[str, str] = {}
+
+
+def query(sql: str):
+    def register(f):
+        _queries[f.__name__] = f
+        _sql[f.__name__] = sql
+        return f
+
+    return register
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_queries)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_sql)
+
+
+def union(*parts: DataFrame) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
+def shown(rows: DataFrame) -> DataFrame:
+    return rows.select("scope", "focus", "path", "value", F.coalesce("message", F.lit("")).alias("message"))
+
+
+AUDIT = rules.AUDIT_TARGET
+
+# events as statements: a user, the event's type as a term, the event
+
+
+def event_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    return triples(e, iri("user", "user_id"), F.concat(F.lit(SKOS), F.col("event_type")), iri("event", "event_id"))
+
+
+def event_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = spark.createDataFrame([(SKOS + k, False, True) for k in KNOWN], "term string, is_class boolean, is_predicate boolean")
+    return fd.bag(rules.known_terms(event_terms(spark, sf_dir), listed), RULE, fd.VIOLATION, COMPONENT, "Unknown term")
+
+
+_EVENT_FINDINGS = f"""
+found AS (
+  SELECT '{fd.VIOLATION}' AS severity, '{RULE}' AS rule, '{COMPONENT}' AS constraint_component, '{AUDIT}' AS focus,
+         '<{SKOS}' || event_type || '>' AS path, '<{EX}user/' || user_id || '>' AS value, 'm' AS source_module,
+         'Unknown standard vocabulary term {SKOS}' || event_type || ' used by {EX}user/' || user_id AS message
+  FROM (SELECT DISTINCT event_type, user_id, event_id FROM events) WHERE event_type NOT IN ('click', 'purchase', 'view')
+), sig AS (
+  SELECT *, sha256(rule || chr(31) || constraint_component || chr(31) || focus || chr(31) || path || chr(31) || value || chr(31) || source_module) AS sig FROM found
+), signed AS (
+  SELECT sha256(sig || chr(31) || row_number() OVER (PARTITION BY source_module, sig ORDER BY severity, message)) AS signature,
+         severity, rule, constraint_component, focus, path, value, source_module, message FROM sig
+)"""
+
+
+@query(f"WITH {_EVENT_FINDINGS} SELECT * FROM signed")
+def known_terms(spark, sf_dir):
+    return fd.signed(event_findings(spark, sf_dir))
+
+
+@query(f"WITH {_EVENT_FINDINGS} SELECT * FROM signed WHERE signature >= '8'")
+def baseline_diff(spark, sf_dir):
+    signed = fd.signed(event_findings(spark, sf_dir))
+    return fd.regressions(signed, signed.where("signature < '8'"))
+
+
+@query(f"WITH {_EVENT_FINDINGS} SELECT signature || chr(9) || severity || chr(9) || rule || chr(9) || constraint_component || chr(9) || focus || chr(9) || path || chr(9) || value || chr(9) || source_module || chr(9) || message AS value FROM signed")
+def baseline_sink(spark, sf_dir):
+    return baseline_lines(fd.signed(event_findings(spark, sf_dir)))
+
+
+_SH = "http://www.w3.org/ns/shacl#"
+
+
+@query(
+    f"""WITH {_EVENT_FINDINGS}, l AS (
+  SELECT '<urn:graphwarden:result:' || signature || '>' AS r, * FROM signed)
+SELECT '<urn:graphwarden:validation-report> <{TYPE}> <{_SH}ValidationReport> .' AS value
+UNION SELECT '<urn:graphwarden:validation-report> <{_SH}conforms> "' || (SELECT CASE WHEN count(*) = 0 THEN 'true' ELSE 'false' END FROM signed) || '"^^<http://www.w3.org/2001/XMLSchema#boolean> .'
+UNION SELECT '<urn:graphwarden:validation-report> <{_SH}result> ' || r || ' .' FROM l
+UNION SELECT r || ' <{TYPE}> <{_SH}ValidationResult> .' FROM l
+UNION SELECT r || ' <{_SH}resultSeverity> ' || severity || ' .' FROM l
+UNION SELECT r || ' <{_SH}sourceShape> ' || rule || ' .' FROM l
+UNION SELECT r || ' <{_SH}sourceConstraintComponent> ' || constraint_component || ' .' FROM l
+UNION SELECT r || ' <{_SH}focusNode> ' || focus || ' .' FROM l
+UNION SELECT r || ' <{_SH}resultPath> ' || path || ' .' FROM l
+UNION SELECT r || ' <{_SH}value> ' || value || ' .' FROM l
+UNION SELECT r || ' <{_SH}resultMessage> "' || message || '" .' FROM l
+UNION SELECT r || ' <urn:graphwarden:sourceModule> "' || source_module || '" .' FROM l
+UNION SELECT r || ' <urn:graphwarden:signature> "' || signature || '" .' FROM l"""
+)
+def report_sink(spark, sf_dir):
+    return report_lines(fd.signed(event_findings(spark, sf_dir)))
+
+
+_TYPED = f"""SELECT 'm' AS scope, event_id, event_id % 6 AS k,
+  CASE event_id % 6 WHEN 0 THEN event_type WHEN 1 THEN strftime(ts, '%Y-%m-%d') WHEN 2 THEN CAST(user_id AS VARCHAR) WHEN 3 THEN props WHEN 4 THEN '.5e' || user_id ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN user_id % 2 = 0 THEN 'Z' ELSE 'z' END END AS o,
+  '{XSD}' || CASE event_id % 6 WHEN 0 THEN 'integer' WHEN 1 THEN 'date' WHEN 2 THEN 'boolean' WHEN 3 THEN 'decimal' WHEN 4 THEN 'double' ELSE 'dateTime' END AS dt FROM events"""
+
+
+def typed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    k = F.col("event_id") % 6
+    forms = {0: F.col("event_type"), 1: F.date_format("ts", "yyyy-MM-dd"), 2: F.col("user_id").cast("string"), 3: F.col("props"), 4: F.concat(F.lit(".5e"), F.col("user_id").cast("string"))}
+    last = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.when(F.col("user_id") % 2 == 0, "Z").otherwise("z"))
+    o = reduce(lambda out, n: F.when(k == n, forms[n]).otherwise(out), forms, last)
+    dt = reduce(lambda out, n: F.when(k == n, F.lit(XSD + ("integer", "date", "boolean", "decimal", "double")[n])).otherwise(out), forms, F.lit(XSD + "dateTime"))
+    return triples(e, iri("event", "event_id"), EX + "value", o, literal=True, datatype=dt)
+
+
+@query(
+    f"""SELECT DISTINCT scope, '{AUDIT}' AS focus, '<{EX}value>' AS path, '"' || replace(o, '"', '\\"') || '"^^<' || dt || '>' AS value,
+  'Ill-typed ' || dt || ' literal on {EX}event/' || event_id AS message
+FROM ({_TYPED}) WHERE k IN (0, 3) OR (k = 2 AND o NOT IN ('0', '1')) OR (k = 5 AND o LIKE '%z')"""
+)
+def ill_typed(spark, sf_dir):
+    return shown(rules.ill_typed_literals(typed_events(spark, sf_dir)))
+
+
+def source_labels(spark: SparkSession, sf_dir: str, scope) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    return triples(d, iri("source", "source"), SKOS + "prefLabel", F.col("text"), literal=True, datatype="", lang=F.col("lang"), scope=scope).distinct()
+
+
+_ESCAPED = r"""replace(replace(replace(replace(replace(text, '\', '\\'), '"', '\"'), chr(10), '\n'), chr(13), '\r'), chr(9), '\t')"""
+_LABEL_ROWS = f"""SELECT DISTINCT {{scope}} AS scope, '<{EX}source/' || source || '>' AS focus, '<{SKOS}prefLabel>' AS path, '"' || {_ESCAPED} || '"@' || lang AS value,
+  'Duplicate preferred-label language ''' || lang || '''' AS message
+FROM (SELECT *, min(text) OVER (PARTITION BY {{scope}}, source, lang) AS least FROM documents WHERE text IS NOT NULL) WHERE text > least"""
+
+
+@query(_LABEL_ROWS.format(scope="'m'"))
+def pref_label_conflict(spark, sf_dir):
+    return shown(rules.preferred_label_language(source_labels(spark, sf_dir, "m")))
+
+
+_MODULE = "'m' || (length(text) % 4)"
+
+
+@query(
+    f"""WITH u AS ({_LABEL_ROWS.format(scope="'@union'")}), l AS ({_LABEL_ROWS.format(scope=_MODULE)})
+SELECT scope, focus, path, value, message FROM u WHERE (focus, path, value, message) NOT IN (SELECT (focus, path, value, message) FROM l)"""
+)
+def union_dedup(spark, sf_dir):
+    local = rules.preferred_label_language(source_labels(spark, sf_dir, F.concat(F.lit("m"), (F.length("text") % 4).cast("string"))))
+    whole = rules.preferred_label_language(source_labels(spark, sf_dir, rules.UNION))
+    bags = [fd.bag(x, "<r>", fd.VIOLATION, "<c>", "") for x in (local, whole)]
+    return fd.new_in_union(*bags).select(F.col("source_module").alias("scope"), "focus", "path", "value", "message")
+
+
+_ROLES = ("prefLabel", "altLabel", "hiddenLabel")
+
+
+@query(
+    f"""WITH l AS (SELECT DISTINCT '<{EX}brand/' || p_brand || '>' AS s, '{SKOS}' || CASE p_size % 3 WHEN 0 THEN 'prefLabel' WHEN 1 THEN 'altLabel' ELSE 'hiddenLabel' END AS p, p_name AS o FROM part)
+SELECT 'm' AS scope, a.s AS focus, '<' || b.p || '>' AS path, '"' || a.o || '"' AS value, 'Label is used by both ' || a.p || ' and ' || b.p AS message
+FROM l a JOIN l b ON a.s = b.s AND a.o = b.o AND a.p < b.p"""
+)
+def label_disjoint(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    role = F.concat(F.lit(SKOS), F.when(F.col("p_size") % 3 == 0, _ROLES[0]).when(F.col("p_size") % 3 == 1, _ROLES[1]).otherwise(_ROLES[2]))
+    return shown(rules.label_disjointness(triples(p, iri("brand", "p_brand"), role, F.col("p_name"), literal=True)))
+
+
+# a hierarchy of all parts with self-links and cycles
+_PARENT_SQL = "CASE WHEN p_partkey % 11 = 5 THEN p_partkey WHEN p_partkey % 7 = 0 THEN p_partkey + 1 ELSE p_partkey // 3 END"
+
+
+def hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    parent = F.when(k % 11 == 5, k).when(k % 7 == 0, k + 1).otherwise(F.floor(k / 3).cast("bigint"))
+    return triples(table(spark, sf_dir, "part"), iri("part", k), SKOS + "broader", iri("part", parent))
+
+
+_CLOSURE = f"""RECURSIVE e AS (SELECT DISTINCT p_partkey AS a, {_PARENT_SQL} AS b FROM part),
+c AS (SELECT a, b FROM e UNION SELECT c.a, e.b FROM c JOIN e ON c.b = e.a)"""
+
+
+@query(f"SELECT 'm' AS scope, '<{EX}part/' || p_partkey || '>' AS focus, '<{SKOS}broader>' AS path, '<{EX}part/' || p_partkey || '>' AS value, '' AS message FROM part WHERE p_partkey = {_PARENT_SQL}")
+def self_link(spark, sf_dir):
+    return shown(rules.self_link(hierarchy(spark, sf_dir), SKOS + "broader"))
+
+
+@query(f"WITH {_CLOSURE} SELECT 'm' AS scope, '<{EX}part/' || a || '>' AS a, '<{EX}part/' || b || '>' AS b FROM c")
+def broader_closure(spark, sf_dir):
+    return paths.closure(rules.links(hierarchy(spark, sf_dir), SKOS + "broader"))
+
+
+@query(f"WITH {_CLOSURE} SELECT 'm' AS scope, '<{EX}part/' || a || '>' AS focus, '<{SKOS}broader>' AS path, '<{EX}part/' || a || '>' AS value, '' AS message FROM c WHERE a = b")
+def broader_cycle(spark, sf_dir):
+    return shown(rules.link_cycle(hierarchy(spark, sf_dir)))
+
+
+@query(
+    f"""WITH {_CLOSURE} SELECT DISTINCT 'm' AS scope, '<{EX}part/' || p_partkey || '>' AS focus, '<{SKOS}related>' AS path, '<{EX}part/' || p_size || '>' AS value, '' AS message
+FROM part WHERE (p_partkey, p_size) IN (SELECT (a, b) FROM c) OR (CAST(p_size AS BIGINT), p_partkey) IN (SELECT (a, b) FROM c)"""
+)
+def broader_related(spark, sf_dir):
+    related = triples(table(spark, sf_dir, "part"), iri("part", "p_partkey"), SKOS + "related", iri("part", "p_size"))
+    return shown(rules.closure_disjoint(union(hierarchy(spark, sf_dir), related)))
+
+
+@query(f"SELECT 'm' AS scope, '<{EX}doc/' || doc_id || '>' AS focus, '<{EX}quality>' AS path, '' AS value, '' AS message FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality IS NOT NULL)")
+def card_min(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    t = union(triples(docs, iri("doc", "doc_id"), TYPE, F.lit(EX + "Document")), triples(labels, iri("doc", "doc_id"), EX + "quality", F.col("quality"), literal=True, datatype=XSD + "integer"))
+    return shown(rules.min_count(t, rules.target_class(t, EX + "Document"), EX + "quality"))
+
+
+@query(f"SELECT 'm' AS scope, '<{EX}conv/' || conv_id || '>' AS focus, '<{EX}role>' AS path, '' AS value, '' AS message FROM conversations GROUP BY conv_id HAVING count(DISTINCT role) > 1")
+def card_max(spark, sf_dir):
+    t = triples(table(spark, sf_dir, "conversations"), iri("conv", "conv_id"), EX + "role", F.col("role"), literal=True)
+    return shown(rules.max_count(t, rules.target_subjects_of(t, EX + "role"), EX + "role"))
+
+
+@query(
+    f"""SELECT DISTINCT 'm' AS scope, '<{EX}order/' || o_orderkey || '>' AS focus, '<{EX}customer>' AS path,
+  CASE o_orderkey % 3 WHEN 1 THEN '"{EX}customer/' || o_custkey || '"' ELSE '_:{EX}customer/' || o_custkey END AS value, '' AS message
+FROM orders WHERE o_orderkey % 3 <> 0 AND o_custkey IS NOT NULL"""
+)
+def node_kind(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    third, who = F.col("o_orderkey") % 3, iri("customer", "o_custkey")
+    args = (iri("order", "o_orderkey"), EX + "customer", who)
+    t = union(triples(o.where(third == 0), *args), triples(o.where(third == 1), *args, literal=True), blank(triples(o.where(third == 2), *args)))
+    return shown(rules.node_kind_iri(t, rules.target_subjects_of(t, EX + "customer"), EX + "customer"))
+
+
+@query(
+    f"""SELECT DISTINCT 'm' AS scope, '<{EX}type/' || a.event_type || '>' AS focus, '<{EX}second>' AS path, '<{EX}user/' || a.user_id || '>' AS value, '' AS message
+FROM events a WHERE a.event_id % 2 = 0 AND EXISTS (SELECT 1 FROM events b WHERE b.event_id % 2 = 1 AND b.event_type = a.event_type AND b.user_id = a.user_id)"""
+)
+def self_join_roles(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    role = F.when(F.col("event_id") % 2 == 0, EX + "first").otherwise(EX + "second")
+    t = triples(e, iri("type", "event_type"), role, iri("user", "user_id")).distinct()
+    return shown(rules.same_value(t, rules.target_subjects_of(t, EX + "first", EX + "second"), EX + "first", EX + "second"))
+
+
+@query(
+    f"""SELECT 'm' AS scope, '<{EX}nation/7>' AS focus, '<{RDFS}range>' AS path, '<{EX}region/2>' AS value, '' AS message
+FROM nation WHERE n_nationkey = 7 AND n_regionkey = 2 AND EXISTS (SELECT 1 FROM region WHERE r_regionkey = 4)"""
+)
+def node_target_pair(spark, sf_dir):
+    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    t = union(triples(n, iri("nation", "n_nationkey"), RDFS + "range", iri("region", "n_regionkey")), triples(r, iri("region", "r_regionkey"), TYPE, F.lit(RDFS + "Class")))
+    return shown(rules.node_target_pair(t, EX + "nation/7", EX + "region/2", EX + "region/4"))
+
+
+@query(
+    f"""SELECT 'm' AS scope, '{AUDIT}' AS focus, '<{DCT}identifier>' AS path, '"' || {_ESCAPED} || '"' AS value, 'Identifier is shared by ' || count(DISTINCT doc_id) || ' resources' AS message
+FROM documents WHERE text IS NOT NULL GROUP BY text HAVING count(DISTINCT doc_id) > 1"""
+)
+def dup_identifier(spark, sf_dir):
+    return shown(rules.duplicate_identifier(triples(table(spark, sf_dir, "documents"), iri("doc", "doc_id"), DCT + "identifier", F.col("text"), literal=True)))
+
+
+@query(
+    f"""SELECT DISTINCT 'm' AS scope, '{AUDIT}' AS focus, '<{EX}of>' AS path, '<{EX}order/' || l_orderkey || '>' AS value, 'Unresolved internal IRI {EX}order/' || l_orderkey AS message
+FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')"""
+)
+def dangling_ref(spark, sf_dir):
+    lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    line = iri("line", F.concat_ws("-", "l_orderkey", "l_linenumber"))
+    t = union(triples(lines, line, EX + "of", iri("order", "l_orderkey")), triples(orders.where("o_orderstatus = 'F'"), iri("order", "o_orderkey"), EX + "status", F.col("o_orderstatus"), literal=True))
+    return shown(rules.dangling_reference(t, [EX + "order/"]))
+
+
+@query(
+    f"""SELECT DISTINCT 'm' AS scope, '{AUDIT}' AS focus, '<{EX}by>' AS path, '<{EX}customer/' || o_custkey || '>' AS value, 'Untyped participant {EX}customer/' || o_custkey AS message
+FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment IN (SELECT min(c_mktsegment) FROM customer UNION SELECT max(c_mktsegment) FROM customer))"""
+)
+def typed_participant(spark, sf_dir):
+    orders, customers = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    ends = customers.agg(F.array(F.min("c_mktsegment"), F.max("c_mktsegment")).alias("ends"))
+    named = customers.join(F.broadcast(ends.select(F.explode("ends").alias("c_mktsegment")).distinct()), "c_mktsegment")
+    t = union(triples(orders, iri("order", "o_orderkey"), EX + "by", iri("customer", "o_custkey")), triples(named, iri("customer", "c_custkey"), TYPE, F.lit(EX + "Person")))
+    return shown(rules.typed_participant(t, EX + "by", EX + "customer/", [EX + "Person", EX + "Unit"]))
+
+
+@query(
+    f"""WITH b AS (SELECT o_orderkey AS k, max(strftime(o_orderdate, '%Y-%m-%d')) AS d FROM orders GROUP BY 1), x AS (SELECT l_orderkey AS k, min(strftime(l_shipdate, '%Y-%m-%d')) AS d FROM lineitem GROUP BY 1)
+SELECT 'm' AS scope, '{AUDIT}' AS focus, '<{CRM}P4_has_time-span>' AS path, '<{EX}order/' || k || '>' AS value, 'Person {EX}order/' || k || ' has birth end ' || b.d || ' after death begin ' || x.d AS message
+FROM b JOIN x USING (k) WHERE b.d > x.d"""
+)
+def chronology(spark, sf_dir):
+    orders, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    line = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+
+    def event(df, kind, key, cls, to_person, person, at, day):
+        e, span = iri(kind, key), iri(kind + "-span", key)
+        return union(triples(df, e, TYPE, F.lit(EX + cls)), triples(df, e, to_person, person), triples(df, e, CRM + "P4_has_time-span", span), triples(df, span, at, F.date_format(day, "yyyy-MM-dd"), literal=True, datatype=XSD + "date"))
+
+    birth = event(orders, "birth", "o_orderkey", "Birth", EX + "born", iri("order", "o_orderkey"), EX + "end", "o_orderdate")
+    death = event(lines, "death", line, "Death", EX + "dead", iri("order", "l_orderkey"), EX + "begin", "l_shipdate")
+    return shown(rules.chronology(union(birth, death), (EX + "Birth", EX + "born", EX + "end"), (EX + "Death", EX + "dead", EX + "begin")))
+
+
+@query(f"WITH {_EVENT_FINDINGS} SELECT (SELECT count(*) FROM signed) AS violations, (SELECT count(*) FROM part WHERE p_partkey = {_PARENT_SQL}) AS warnings, (SELECT count(*) FROM region) AS infos")
+def severity_summary(spark, sf_dir):
+    loops = fd.bag(rules.self_link(hierarchy(spark, sf_dir), SKOS + "broader"), "<r>", fd.WARNING, "<c>", "")
+    regions = triples(table(spark, sf_dir, "region"), iri("region", "r_regionkey"), EX + "self", iri("region", "r_regionkey"))
+    infos = fd.bag(rules.self_link(regions, EX + "self"), "<r>", fd.INFO, "<c>", "")
+    return fd.severity_counts(union(event_findings(spark, sf_dir), loops, infos))
+
+
+@query("SELECT 'm' || (l_orderkey % 5) AS module, count(DISTINCT (l_orderkey, l_linenumber, l_partkey)) AS triples FROM lineitem GROUP BY 1")
+def triple_count(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem")
+    t = triples(lines, iri("line", F.concat_ws("-", "l_orderkey", "l_linenumber")), EX + "part", iri("part", "l_partkey"), scope=F.concat(F.lit("m"), (F.col("l_orderkey") % 5).cast("string")))
+    return t.distinct().groupBy(F.col("scope").alias("module")).agg(F.count("*").alias("triples"))
+
+
+@query(f"SELECT '{EX}part/' || p_partkey AS term, bool_or(p_size % 3 = 0) AS is_class, bool_or(p_size % 3 = 1) AS is_predicate FROM part GROUP BY 1 HAVING bool_or(p_size % 3 = 0) OR bool_or(p_size % 3 = 1)")
+def manifest_roles(spark, sf_dir):
+    size = F.col("p_size") % 3
+    kind = F.when(size == 0, RDFS + "Class").when(size == 1, EX + "SpecialProperty").otherwise(RDFS + "Datatype")
+    return manifest(triples(table(spark, sf_dir, "part"), iri("part", "p_partkey"), TYPE, kind), [EX])
+
+
+# a repair of the events' terms
+_REPAIR = rp.Repair("urn:graphwarden:repair:error", RULE, SKOS + "error", SKOS + "click")
+
+
+def modules(t: DataFrame) -> DataFrame:
+    return t.withColumnRenamed("scope", "module").distinct()
+
+
+@query(f"SELECT DISTINCT 'm' AS module, '<{EX}user/' || user_id || '>' AS s_nt, '{SKOS}' || CASE event_type WHEN 'error' THEN 'click' ELSE event_type END AS p, '<{EX}event/' || event_id || '>' AS o_nt FROM events")
+def repair_rewrite(spark, sf_dir):
+    return rp.rewritten(modules(event_terms(spark, sf_dir)), _REPAIR).select(*rp.KEY)
+
+
+@query(
+    f"""SELECT DISTINCT 'deleted' AS change, 'm' AS module, '<{EX}user/' || user_id || '>' AS s_nt, '{SKOS}error' AS p, '<{EX}event/' || event_id || '>' AS o_nt FROM events WHERE event_type = 'error'
+UNION ALL SELECT DISTINCT 'added', 'm', '<{EX}user/' || user_id || '>', '{SKOS}click', '<{EX}event/' || event_id || '>' FROM events WHERE event_type = 'error'"""
+)
+def repair_delta(spark, sf_dir):
+    t = modules(event_terms(spark, sf_dir))
+    deleted, added = rp.delta(t, rp.rewritten(t, _REPAIR))
+    return deleted.withColumn("change", F.lit("deleted")).unionByName(added.withColumn("change", F.lit("added"))).select("change", *rp.KEY)
+
+
+@query("SELECT DISTINCT 'm' AS source_module, '<urn:graphwarden:rule:KnownVocabularyTerm>' AS rule, path, value FROM (SELECT '<" + SKOS + "' || event_type || '>' AS path, '<" + EX + "user/' || user_id || '>' AS value FROM events WHERE event_type = 'signup')")
+def repair_regression(spark, sf_dir):
+    """What is left of violations when the repair has run; none of them is new."""
+    listed = spark.createDataFrame([(SKOS + k, False, True) for k in KNOWN], "term string, is_class boolean, is_predicate boolean")
+    after = rp.rewritten(modules(event_terms(spark, sf_dir)), _REPAIR).withColumnRenamed("module", "scope")
+    left = fd.signed(fd.bag(rules.known_terms(after, listed), RULE, fd.VIOLATION, COMPONENT, "Unknown term"))
+    return left.join(fd.signed(event_findings(spark, sf_dir)).select("signature"), "signature", "left_semi").select("source_module", "rule", "path", "value").distinct()
+
+
+@query(f"SELECT DISTINCT '\"' || {_ESCAPED} || '\"@' || lang AS term, sha256('\"' || {_ESCAPED} || '\"@' || lang) AS digest FROM documents WHERE text IS NOT NULL")
+def term_format(spark, sf_dir):
+    return source_labels(spark, sf_dir, "m").select(F.col("o_nt").alias("term"), F.sha2("o_nt", 256).alias("digest")).distinct()
 
 
-def oracle_sql():
-    return {}

@@ -1,0 +1 @@
+"""No streaming operators: validation and repair are batch runs over whole graphs."""
