@@ -37,6 +37,8 @@ def names(edges: list[tuple[str, str, str]], nodes: list[str]) -> dict[str, str]
 
 def stable(findings: DataFrame, t: DataFrame) -> DataFrame:
     """findings with stable names in focus and value. Only scopes whose findings have blank nodes are looked at, and only statements that touch blank nodes go to Python, a scope at a time."""
+    if t.where((F.col("s_kind") == "bnode") | (F.col("o_kind") == "bnode")).isEmpty():
+        return findings
     used = findings.select(F.col("source_module").alias("scope"), F.explode(F.array("focus", "value")).alias("node")).where(F.col("node").startswith("_:")).distinct()
     touching = t.where((F.col("s_kind") == "bnode") | (F.col("o_kind") == "bnode")).select("scope", F.col("s_nt").alias("s"), F.concat(F.lit("<"), F.col("p"), F.lit(">")).alias("p"), F.col("o_nt").alias("o"))
 
