@@ -8,8 +8,10 @@ no more than a round.
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +27,24 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared folder, read back: columns are compressed there, which checkpoint() does not do. The folder goes when the session's Python ends."""
+    spark: SparkSession = df.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "graphwarden-checkpoints")
+    path = f"{shared.rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_remove, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # the session has gone already, and the cluster's own cleaning of the folder remains
+        return
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One star round over edges (u > v): each node's larger (or smaller) neighbours are linked to the least of it and its neighbours."""
     if large:

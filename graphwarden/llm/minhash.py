@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphwarden.llm.components import checkpointed, components
-from graphwarden.llm.textbatch import buffers, id_text, shingle_sets, slices
+from graphwarden.llm.components import components, written
+from graphwarden.llm.textbatch import buffers, id_text, mix, shingle_sets, slices
 
 #: Bands and minima of each: a pair of similarity 0.85 shares none with chance 3e-6, one of 0.8 with 2e-4 at the stage's own setting below.
 BANDS, ROWS = 22, 5
@@ -46,8 +46,8 @@ _rng = np.random.default_rng(77)
 _MULTIPLY = _rng.integers(1, 1 << 62, 512, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _FLIP = _rng.integers(1, 1 << 62, 512, dtype=np.int64).astype(np.uint64)
 
-CLASSES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType(), False), T.StructField("k1", T.LongType(), False), T.StructField("k2", T.LongType(), False)])
-SETS = T.StructType([T.StructField("rep", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType(), False), False), T.StructField("shingles", T.BinaryType(), False)])
+CLASSES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType(), False), T.StructField("k1", T.LongType(), False), T.StructField("k2", T.LongType(), False), T.StructField("keys", T.ArrayType(T.LongType(), False), False)])
+SETS = T.StructType([T.StructField("rep", T.LongType()), T.StructField("shingles", T.BinaryType(), False)])
 
 
 def minima(hashes: np.ndarray, counts: np.ndarray, n: int, first: int = 0) -> np.ndarray:
@@ -60,37 +60,36 @@ def minima(hashes: np.ndarray, counts: np.ndarray, n: int, first: int = 0) -> np
     return out
 
 
-def _classes(size: int):
+def _classes(size: int, bands: int, rows: int):
+    """Class and band keys of each text."""
+
     def run(batches):
         for batch in batches:
             data, offsets, _ = buffers(batch.column(1))
             for i, j in slices(offsets):
-                _, counts, n_words, whole = shingle_sets(data, offsets[i : j + 1], size)
+                hashes, counts, n_words, whole = shingle_sets(data, offsets[i : j + 1], size)
                 # a class is the sequence of words: its hash, and beside it its number of words and shingles
                 k2 = (n_words << 32) ^ counts
-                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(counts), pa.array(whole.view(np.int64)), pa.array(k2)], names=CLASSES.names)
+                low = minima(hashes, counts, bands * rows).reshape(-1, bands, rows)
+                key = np.zeros(low.shape[:2], np.uint64) + np.arange(bands, dtype=np.uint64)
+                for r in range(rows):
+                    key = mix(key * np.uint64(0x9E3779B97F4A7C15) + low[:, :, r])
+                n_keys = np.concatenate([[0], np.cumsum(np.where(counts > 0, bands, 0))]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(n_keys), pa.array(key[counts > 0].view(np.int64).ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(counts), pa.array(whole.view(np.int64)), pa.array(k2), lists], names=CLASSES.names)
 
     return run
 
 
-def _banded(size: int, bands: int, rows: int):
-    from graphwarden.llm.textbatch import mix
-
+def _sets(size: int):
     def run(batches):
         for batch in batches:
             data, offsets, _ = buffers(batch.column(1))
             for i, j in slices(offsets):
                 hashes, counts, _, _ = shingle_sets(data, offsets[i : j + 1], size)
-                full = counts > 0
-                low = minima(hashes, counts, bands * rows).reshape(-1, bands, rows)
-                key = np.zeros(low.shape[:2], np.uint64) + np.arange(bands, dtype=np.uint64)
-                for r in range(rows):
-                    key = mix(key * np.uint64(0x9E3779B97F4A7C15) + low[:, :, r])
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(full.sum() + 1, dtype=np.int32) * bands), pa.array(key[full].view(np.int64).ravel()))
-                ends = np.cumsum(counts)
-                raw = hashes.tobytes()
-                sets = [raw[8 * (e - c) : 8 * e] for e, c in zip(ends[full].tolist(), counts[full].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j].filter(pa.array(full)), lists, pa.array(sets, pa.binary())], names=SETS.names)
+                ends, raw = np.cumsum(counts), hashes.tobytes()
+                sets = [raw[8 * (e - c) : 8 * e] for e, c in zip(ends.tolist(), counts.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(sets, pa.binary())], names=SETS.names)
 
     return run
 
@@ -197,23 +196,21 @@ def near_duplicates(docs: DataFrame, size: int, numerator: int, bands: int = BAN
     """doc_id, n_shingles, component_id, kept; see the module's text. Two sets link at 100 * |A & B| >= numerator * |A | B|."""
     texts = id_text(docs)
     spark = docs.sparkSession
-    classes = texts.mapInArrow(_classes(size), CLASSES)
-    # the class keys are made once, and read again for the members
-    classes = checkpointed(classes)
+    # one pass over the texts; its small rows are read again for keys and for members
+    classes = written(texts.mapInArrow(_classes(size, bands, rows), CLASSES))
     named = classes.where("n_shingles > 0 AND doc_id IS NOT NULL")
     reps = named.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
-    chosen = reps.select(F.col("rep").alias("doc_id")).distinct()
-    banded = texts.join(chosen, "doc_id", "left_semi").mapInArrow(_banded(size, bands, rows), SETS)
-    banded = checkpointed(banded)
-    keyed = banded.select("rep", F.explode("keys").alias("key"))
+    keyed = named.join(reps.withColumnRenamed("rep", "doc_id"), ["k1", "k2", "doc_id"]).select(F.col("doc_id").alias("rep"), F.explode("keys").alias("key")).distinct()
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("s1"), F.sum(F.xxhash64("rep", F.lit(1)).cast("decimal(20,0)")).alias("s2")).where("n > 1")
     keys = sizes.groupBy("n", "s1", "s2").agg(F.min("key").alias("key")).select("key", "n")
-    members = keyed.join(keys, "key").select("key", "n", "rep")
+    members = written(keyed.join(keys, "key").select("key", "n", "rep"))
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("rep", F.lit(2)), F.col("blocks")).cast("int")
     dealt = members.withColumn("blocks", blocks).withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("key", F.least("block", "other").alias("ci"), F.greatest("block", "other").alias("cj"), "block", "rep")
-    work = dealt.join(banded.select("rep", "shingles"), "rep").select("key", "ci", "cj", "block", "rep", "shingles")
+    # sets are made again, for the few documents that share a key, instead of kept for all
+    own_sets = texts.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_sets(size), SETS).where(F.length("shingles") > 0)
+    work = dealt.join(own_sets, "rep").select("key", "ci", "cj", "block", "rep", "shingles")
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     work = work.repartition(n_parts, "key", "ci", "cj").sortWithinPartitions("key", "ci", "cj", "rep")
     links = work.mapInArrow(_verify(numerator), LINKS)
