@@ -21,8 +21,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 
-#: Pre-tokens that one Python worker remembers before it starts anew (about 150 MB).
-REMEMBERED = 1_000_000
+#: Pre-tokens that one Python worker remembers before it starts anew (about 60 MB).
+REMEMBERED = 400_000
 
 _pattern = regex.compile(PATTERN)
 _classes: np.ndarray | None = None

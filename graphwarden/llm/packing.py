@@ -31,7 +31,7 @@ GROUP_WINDOWS = 256
 #: The id after each document's own.
 END_ID = 0
 #: Code points encoded at once (a longer text is a slice of its own).
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 500_000
 
 SCHEMA = T.StructType(
     [T.StructField("doc_id", T.LongType())]
