@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphwarden.llm.components import checkpointed
+from graphwarden.llm.components import written
 from graphwarden.llm.suffix_merge import front_code, merged
 from graphwarden.llm.textbatch import BYTE_CODE, buffers, id_text, mix, powers, prefix_sums, range_hashes
 
@@ -44,7 +44,7 @@ GRAM = 20
 #: Segments of one anchor in one batch beyond which it counts as hot.
 HOT = 48
 #: Bytes taken at once; windows of a longer document are taken in pieces that overlap.
-PIECE = 1 << 20
+PIECE = 1 << 19
 #: Suffixes of the sample that sets the ranges.
 SAMPLE = 4096
 
@@ -226,7 +226,8 @@ def bounded(sides: DataFrame, key: str, other: str) -> DataFrame:
     """sides with bound: the longest prefix of `key` that it shares with any other row's (its whole length next to the ends of a range)."""
     spark = sides.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sample = sides.orderBy(F.xxhash64("doc", "anchor")).select(key, other).limit(SAMPLE).collect()  # SAMPLE rows of 200 bytes at most
+    one_of = sides.count() // SAMPLE + 1
+    sample = sides.where(F.pmod(F.xxhash64("doc", "anchor"), F.lit(one_of)) == 0).select(key, other).limit(2 * SAMPLE).collect()  # 2 * SAMPLE rows of 200 bytes at most
     ordered = sorted((bytes(r[0]), bytes(r[1])) for r in sample)
     cuts = [ordered[len(ordered) * p // parts] for p in range(1, parts)] if len(ordered) >= 4 * parts else []
     cuts = sorted(set(cuts))
@@ -347,17 +348,17 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = texts.mapInArrow(_segmented, SEGMENTS)
     met = rows.repartition(parts, "route").sortWithinPartitions("route", F.shiftright("mark", 2), "doc", "span").mapInArrow(_met, SPANS)
-    met = checkpointed(met)
+    met = written(met)
     detail = met.where("more").groupBy("doc").agg(F.collect_list("span").alias("spans"))  # a document's own segments
     blobs = texts.mapInArrow(_compressed, TEXTS)
     sides = blobs.join(detail, F.col("doc_id") == F.col("doc")).select("doc_id", "blob", "spans").mapInArrow(_sides, SIDES)
-    sides = checkpointed(sides)
+    sides = written(sides)
     to_right = bounded(sides, "right", "left").withColumnRenamed("bound", "to_right").where(F.col("to_right") + F.length("left") - GRAM >= LENGTH)
-    to_right = checkpointed(to_right)
+    to_right = written(to_right)
     to_left = bounded(to_right.select(*SIDES.names), "left", "right")
     both = to_left.join(to_right.select("doc", "anchor", F.length("left").alias("n_left"), F.length("right").alias("n_right"), "to_right").dropDuplicates(["doc", "anchor", "n_left", "n_right"]), ["doc", "anchor"]).where((F.length("left") == F.col("n_left")) & (F.length("right") == F.col("n_right")) & (F.col("bound") - GRAM + F.col("to_right") >= LENGTH))
     windows = both.select(*SIDES.names, "bound", "to_right").mapInArrow(_windows, WINDOWS)
-    windows = checkpointed(windows)
+    windows = written(windows)
     rank = F.row_number().over(Window.partitionBy("h1", "h2").orderBy("doc", "span"))
     late = windows.where("NOT again").withColumn("rank", rank).where("rank > 1").select("doc", "span")
     return met.where("NOT more").select("doc", "span").unionByName(late).unionByName(windows.where("again").select("doc", "span"))
