@@ -82,9 +82,9 @@ WITH RECURSIVE w AS (
     UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM w WHERE len(w) BETWEEN 1 AND 2)
 ), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
 ), links AS MATERIALIZED (
-  SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS both FROM s x JOIN s y ON x.sh = y.sh AND x.doc_id <> y.doc_id GROUP BY 1, 2) p
+  SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM s x JOIN s y ON x.sh = y.sh AND x.doc_id <> y.doc_id GROUP BY 1, 2) p
   JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b
-  WHERE 100 * both >= 85 * (na.n + nb.n - both)
+  WHERE 100 * common >= 85 * (na.n + nb.n - common)
 ), reach AS (
   SELECT doc_id, doc_id AS other FROM documents
   UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other

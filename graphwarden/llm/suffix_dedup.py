@@ -66,7 +66,7 @@ def segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     """(document row, first window, windows, anchor hash, segment hash) of joined documents; positions count from the slice's start."""
     n = len(data)
     if n < LENGTH:
-        return tuple(np.zeros(0, np.int64) for _ in range(5))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
     sums = prefix_sums(BYTE_CODE[data])
     _, down = powers(n + 1)
     grams = mix((sums[GRAM:] - sums[:-GRAM]) * down[: n - GRAM + 1])
