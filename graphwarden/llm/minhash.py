@@ -4,7 +4,7 @@
    it (an aggregation with map-side combine, so a third of all rows in one class is no skew).
 2. Representatives get `BANDS` band keys from `BANDS * ROWS` minima. Only (key, id) rows are
    shuffled; a key that one representative has is dropped, and of keys with the very same members
-   one is kept (their member sets are compared by count and sums of hashes).
+   one is kept (their member sets are compared by count and hashes).
 3. The shingle sets of the members left go to their keys, sorted, and each key is verified in one
    task: signature batches are compared one after another, a pair is pruned as soon as the posterior
    chance that its similarity reaches the threshold falls below `MISS`, survivors are counted on the
@@ -39,6 +39,8 @@ WIDE_BANDS, WIDE_ROWS = 24, 4
 MISS = 1e-7
 #: Minima of the verification signature, and of one batch.
 VERIFY, STEP = 96, 16
+#: Hash values of the filter that picks the texts to read again, as a power of two: 4 MB.
+FILTER_BITS = 25
 #: Members of a key that one task takes; two blocks meet in a task where there are more.
 BLOCK = 2048
 
@@ -192,6 +194,20 @@ def _verify(numerator: int):
     return run
 
 
+def maybe_in(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows whose doc_id may be among ids: none of those is lost, others pass by chance.
+
+    The ids are a bitmap of FILTER_BITS hash values, in pieces of 4 KB; it is broadcast at 2**FILTER_BITS / 8
+    bytes at most, whatever the input. Where ids are very many it lets more pass, and a join has to follow.
+    """
+    value = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << FILTER_BITS))
+    piece, place = F.shiftright(value, 15), value.bitwiseAND(F.lit(0x7FFF))
+    bits = ids.select(piece.alias("piece"), place.alias("place")).groupBy("piece").agg(F.bitmap_construct_agg("place").alias("bits"))
+    byte = F.conv(F.hex(F.substring("bits", (F.shiftright(place, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    met = F.getbit(byte, place.bitwiseAND(F.lit(7)).cast("int")) == 1
+    return rows.join(F.broadcast(bits), (piece == F.col("piece")) & met, "left_semi")
+
+
 def near_duplicates(docs: DataFrame, size: int, numerator: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept; see the module's text. Two sets link at 100 * |A & B| >= numerator * |A | B|."""
     texts = id_text(docs)
@@ -199,24 +215,25 @@ def near_duplicates(docs: DataFrame, size: int, numerator: int, bands: int = BAN
     # one pass over the texts; its small rows are read again for keys and for members
     classes = written(texts.mapInArrow(_classes(size, bands, rows), CLASSES))
     named = classes.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    reps = named.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
-    keyed = named.join(reps.withColumnRenamed("rep", "doc_id"), ["k1", "k2", "doc_id"]).select(F.col("doc_id").alias("rep"), F.explode("keys").alias("key")).distinct()
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("s1"), F.sum(F.xxhash64("rep", F.lit(1)).cast("decimal(20,0)")).alias("s2")).where("n > 1")
+    # the keys depend on the class alone, so any row's will do
+    reps = written(named.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")))
+    keyed = reps.select("rep", F.xxhash64("k1", "k2").alias("h1"), F.xxhash64("k2", "k1", F.lit(1)).alias("h2"), F.explode("keys").alias("key"))
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor("h1").alias("s1"), F.bit_xor("h2").alias("s2")).where("n > 1")
     keys = sizes.groupBy("n", "s1", "s2").agg(F.min("key").alias("key")).select("key", "n")
-    members = written(keyed.join(keys, "key").select("key", "n", "rep"))
+    members = written(keyed.select("rep", "key").join(keys, "key").select("key", "n", "rep").distinct())
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("rep", F.lit(2)), F.col("blocks")).cast("int")
     dealt = members.withColumn("blocks", blocks).withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("key", F.least("block", "other").alias("ci"), F.greatest("block", "other").alias("cj"), "block", "rep")
-    # sets are made again, for the few documents that share a key, instead of kept for all
-    own_sets = texts.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_sets(size), SETS).where(F.length("shingles") > 0)
+    # sets are made again, for the few documents that share a key, instead of kept for all; the texts stay where they are
+    own_sets = maybe_in(texts, members.select(F.col("rep").alias("doc_id"))).mapInArrow(_sets(size), SETS).where(F.length("shingles") > 0)
     work = dealt.join(own_sets, "rep").select("key", "ci", "cj", "block", "rep", "shingles")
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     work = work.repartition(n_parts, "key", "ci", "cj").sortWithinPartitions("key", "ci", "cj", "rep")
     links = work.mapInArrow(_verify(numerator), LINKS)
     joined = components(links)
     # members of a class follow their representative; a doc_id with rows in several classes joins them
-    classed = named.join(reps, ["k1", "k2"]).select("doc_id", "n_shingles", "rep")
+    classed = named.select("doc_id", "n_shingles", "k1", "k2").join(reps.select("k1", "k2", "rep"), ["k1", "k2"]).select("doc_id", "n_shingles", "rep")
     classed = classed.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     alone = classes.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return classed.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
