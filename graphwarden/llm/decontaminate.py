@@ -1,7 +1,7 @@
 """Benchmark decontamination by the q-gram lemma.
 
 A document leaks an item if a passage of the item occurs in it with at most `budget` edits. Texts are
-compared as UTF-8 bytes with A-Z in lower case and white space as single spaces. An item's passages
+compared as UTF-8 bytes, with case folded over all of Unicode and white space as single spaces. An item's passages
 are the stretches of PASSAGE bytes that start at multiples of STRIDE, and its last one (an item
 shorter than that is its one passage); the budget is a tenth of the length, and little enough for the
 bound below to be 1 at least. Items with fewer than SHORTEST bytes are never told from chance and leak
@@ -37,17 +37,33 @@ BLOCK_BYTES = 8_000_000
 _BITS = 22
 
 
+def folded(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Joined texts with their case folded. A text may change its length by that; bytes that are not UTF-8 stay."""
+    beyond = np.flatnonzero(raw >= 128)
+    rows = np.unique(np.searchsorted(off, beyond, "right") - 1)
+    if not len(rows):
+        return LOWER[raw], off
+    size = np.diff(off)
+    parts, last = [], 0
+    for r in rows.tolist():
+        parts.append(LOWER[raw[last : off[r]]])
+        last = off[r + 1]
+        text = raw[off[r] : last].tobytes().decode("utf-8", "surrogateescape").casefold().encode("utf-8", "surrogateescape")
+        parts.append(np.frombuffer(text, np.uint8))
+        size[r] = len(text)
+    parts.append(LOWER[raw[last:]])
+    return np.concatenate(parts), np.concatenate([[0], np.cumsum(size)])
+
+
 def normal(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Joined texts in the form that is compared."""
-    raw = data[offsets[0] : offsets[-1]]
-    off = offsets - offsets[0]
+    raw, off = folded(data[offsets[0] : offsets[-1]], offsets - offsets[0])
     space = IS_SPACE[raw]
     keep = np.ones(len(raw), bool)
     keep[1:] = ~(space[1:] & space[:-1])
     inside = off[:-1][off[:-1] < len(raw)]
     keep[inside] = True
-    out = LOWER[raw]
-    out[space] = 32
+    out = np.where(space, np.uint8(32), raw)
     return out[keep], np.concatenate([[0], np.cumsum(keep)])[off]
 
 

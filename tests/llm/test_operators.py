@@ -221,6 +221,23 @@ def test_leaks():
     assert want and decontaminate.Index(items).leaks(data, offsets) == want
 
 
+def test_leaks_in_other_case():
+    import pyarrow as pa
+
+    from graphwarden.llm.textbatch import buffers
+
+    item = "Où était l'élève âgé né à Orléans ? El niño pequeño soñó; über größere Flüße führten schöne Brücken, déjà rêvées près de l'étang gelé."
+    items = [(7, decontaminate.normal_text(item))]
+    rows = ["plain", item, "É " * 30 + item.upper() + " ÇA", "", item.lower(), "É" * 200, item.upper()]
+    data, offsets, _ = buffers(pa.array(rows))
+    assert decontaminate.Index(items).leaks(data, offsets) == {(1, 0), (2, 0), (4, 0), (6, 0)}
+    text, off = decontaminate.normal(data, offsets)
+    assert [text[a:b].tobytes() for a, b in zip(off, off[1:])] == [decontaminate.normal_text(r) for r in rows]
+    assert decontaminate.normal_text(item.upper()) == items[0][1]
+    raw = np.frombuffer(b"A\xff\xc3\x89B", np.uint8)
+    assert decontaminate.normal(raw, np.array([0, 5]))[0].tobytes() == b"a\xff\xc3\xa9b"
+
+
 def pii_by_brute_force(t):
     out = [(m.start(), 0, m.end(), "email") for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     out += [(m.start(), 1, m.end(), "ip") for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
