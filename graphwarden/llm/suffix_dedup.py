@@ -19,8 +19,9 @@ Hot anchors (a licence line in a third of all documents) take no task of their o
 more than HOT segments in one batch is dealt by segment, with one marker row to its own place.
 
 Rows: null and empty texts have no bytes (digest of the empty string). A null doc_id has nothing
-earlier or later: its bytes stay. Rows that repeat a doc_id are one document to the order above, and
-what is removed at a position is removed in each of them. Other columns are not read.
+earlier or later: its bytes stay. Rows that repeat a doc_id are one document to the order above: equal
+bytes at the same position of two of them are one occurrence, of which none is the repeat, and what is
+removed at a position is removed in each of them. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -123,6 +124,10 @@ def _segmented(batches):
         a, mark, doc, span = a[order], mark[order], doc[order], ((at << 8) | n)[order]
         if not len(a):
             continue
+        # a row that is repeated has the same segments at the same places, each of which is one
+        once = np.ones(len(a), bool)
+        once[1:] = (a[1:] != a[:-1]) | (mark[1:] != mark[:-1]) | (doc[1:] != doc[:-1]) | (span[1:] != span[:-1])
+        a, mark, doc, span = a[once], mark[once], doc[once], span[once]
         new_a = np.ones(len(a), bool)
         new_a[1:] = a[1:] != a[:-1]
         new = new_a.copy()
@@ -161,8 +166,10 @@ def _met(batches):
         own = (kind != MARKER) & ~known
         new = own.copy()
         new[1:] &= new_r[1:] | (body[1:] != body[:-1]) | ~own[:-1]
+        same = own & ~new  # the place before it, from a repeated row
+        same[1:] &= (doc[1:] == doc[:-1]) & (span[1:] == span[:-1])
         several = (np.bincount(group, weights=new) > 1) | (np.bincount(group, weights=kind == MARKER) > 0) | (np.bincount(group, weights=kind == SALTED) > 0)
-        again, more = known | own & ~new, new & several[group]
+        again, more = known | own & ~new & ~same, new & several[group]
         pick = again | more
         return pa.RecordBatch.from_arrays([pa.array(doc[pick]), pa.array(span[pick]), pa.array(more[pick])], names=SPANS.names)
 
@@ -300,8 +307,11 @@ def _windows(batches):
                 if len(w) == LENGTH:
                     out.append((hashlib.blake2b(w, digest_size=16).digest(), doc, a - d))
         out.sort()
-        rows, last = [], None
+        rows, last, place = [], None, None
         for digest, doc, at in out:
+            if (digest, doc, at) == place:
+                continue  # a repeated row
+            place = (digest, doc, at)
             rows.append((int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True), doc, (at << 8) | 1, digest == last))
             last = digest
         if rows:
@@ -356,10 +366,11 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     to_right = bounded(sides, "right", "left").withColumnRenamed("bound", "to_right").where(F.col("to_right") + F.length("left") - GRAM >= LENGTH)
     to_right = written(to_right)
     to_left = bounded(to_right.select(*SIDES.names), "left", "right")
-    both = to_left.join(to_right.select("doc", "anchor", F.length("left").alias("n_left"), F.length("right").alias("n_right"), "to_right").dropDuplicates(["doc", "anchor", "n_left", "n_right"]), ["doc", "anchor"]).where((F.length("left") == F.col("n_left")) & (F.length("right") == F.col("n_right")) & (F.col("bound") - GRAM + F.col("to_right") >= LENGTH))
+    both = to_left.join(to_right.select("doc", "anchor", F.length("left").alias("n_left"), F.length("right").alias("n_right"), "to_right").groupBy("doc", "anchor", "n_left", "n_right").agg(F.max("to_right").alias("to_right")), ["doc", "anchor"]).where((F.length("left") == F.col("n_left")) & (F.length("right") == F.col("n_right")) & (F.col("bound") - GRAM + F.col("to_right") >= LENGTH))
     windows = both.select(*SIDES.names, "bound", "to_right").mapInArrow(_windows, WINDOWS)
     windows = written(windows)
-    rank = F.row_number().over(Window.partitionBy("h1", "h2").orderBy("doc", "span"))
+    rank = F.rank().over(Window.partitionBy("h1", "h2").orderBy("doc", "span"))
+    # places that are equal, from repeated rows, have the same rank
     late = windows.where("NOT again").withColumn("rank", rank).where("rank > 1").select("doc", "span")
     return met.where("NOT more").select("doc", "span").unionByName(late).unionByName(windows.where("again").select("doc", "span"))
 

@@ -282,6 +282,30 @@ def test_repeats(spark, docs, texts):
         assert {r[0]: tuple(r[1:]) for r in suffix_dedup.remove_repeats(frame).collect()} == want
 
 
+@pytest.mark.parametrize("parts", [1, 7])
+def test_repeats_in_repeated_rows(spark, parts):
+    rng = random.Random(9)
+    text = ["".join(rng.choice("abcdef ") for _ in range(600)) for _ in range(6)]
+    rows = [(1, text[0]), (1, text[0]), (1, text[0]), (2, text[1] + text[1][:150]), (2, text[1] + text[1][:150])]
+    rows += [(3, text[2]), (4, text[2][:300] + text[3]), (4, text[2][:300] + text[3]), (5, text[4][50:400]), (5, text[4][50:400]), (6, text[4]), (6, text[4])]
+    rows += [(7, text[5]), (7, text[5]), (8, text[5]), (9, "x" * 60 + text[5][100:350]), (9, "x" * 60 + text[5][100:350])]
+    rng.shuffle(rows)
+    first = {}
+    for i, t in sorted(rows):
+        for s in range(len(t) - 99):
+            first[t[s : s + 100]] = min(first.get(t[s : s + 100], (i, s)), (i, s))
+    want = []
+    for i, t in rows:
+        gone = bytearray(len(t))
+        for s in range(len(t) - 99):
+            if first[t[s : s + 100]] < (i, s):
+                gone[s : s + 100] = b"\1" * 100
+        runs = sum(1 for p in range(len(gone)) if gone[p] and (not p or not gone[p - 1]))
+        want.append((i, len(t), sum(gone), runs, hashlib.sha256("".join(x for x, g in zip(t, gone, strict=True) if not g).encode()).hexdigest()))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+    assert sorted(map(tuple, suffix_dedup.remove_repeats(frame).collect())) == sorted(want)
+
+
 def test_merge_of_runs():
     rng = random.Random(6)
     keys = [bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 12))) for _ in range(500)]
