@@ -4,8 +4,9 @@ Tokens are tagged as the begin (B) or inside (I) of a secret, or outside (O). Em
 token's shape class, on the classes of its neighbours, and on features of the file; transitions on
 the tags. The weights are fitted on the driver by gradient steps on the log-likelihood of generated
 lines (fixed seed), and Viterbi decodes. A line is a sequence and is never cut. A secret of the field
-has SHORTEST key characters or more, and its line matches SUSPECT (a long run of key characters, a
-known prefix or a key fence); other lines have none and are not decoded.
+has SHORTEST characters or more. Lines that can have none are not decoded: the weights never let I win
+but on a fence, so a secret is one token, a fence or a run of SHORTEST key characters whose class the
+weights let be tagged at all (Field.margins).
 
 Base kinds (assign, access, hex) follow fixed patterns and checks, and their spans always stand. The
 method's spans have kind crf; one that overlaps a base span is dropped.
@@ -18,6 +19,7 @@ and other columns are not read.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import random
 import re
 
@@ -44,10 +46,8 @@ CLASSES = 15
 TOKEN = re.compile(r"-----[A-Z ]{4,40}-----|[A-Za-z0-9_+/=.\-]+|[^\sA-Za-z0-9_+/=.\-]")
 #: Characters of the shortest secret that the field may tell.
 SHORTEST = 12
-#: What a line must have to be decoded.
-SUSPECT = re.compile(r"[A-Za-z0-9_+/=\-]{16,}|(?:sk|pk|rk|gh[pousr]|xox[abprs]|glpat|AIza|eyJ|SG)[_\-.A-Za-z0-9]{8,}|-----BEGIN")
-#: Only a digit, an upper-case letter after a lower-case one, or a fence sets a key apart from words.
-_SIGN = re.compile(r"[0-9]|[a-z][A-Z]|-----B")
+#: What a line must have to be decoded: a token that may be a secret.
+SUSPECT = re.compile(r"-----[A-Z ]{4,40}-----|[A-Za-z0-9_+/=.\-]{%d,}" % SHORTEST)
 _PREFIX = re.compile(r"(?:sk|pk|rk)[_-](?:live|test|ant|proj)?[_-]?[A-Za-z0-9_-]{12,}|gh[pousr]_[A-Za-z0-9]{16,}|github_pat_[A-Za-z0-9_]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|glpat-[A-Za-z0-9_-]{16,}|AIza[A-Za-z0-9_-]{20,}|eyJ[A-Za-z0-9_-]{8,}(?:\.[A-Za-z0-9_-]+)+|SG\.[A-Za-z0-9_-]{12,}\.?[A-Za-z0-9_-]*")
 _CUE = re.compile(r"(?i)(?:.*[_.-])?(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|apikey|auth(?:orization)?|bearer|credentials?|private[_-]?key|access[_-]?key|client[_-]?secret|key)")
 _UUID = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}")
@@ -109,11 +109,25 @@ class Field:
         self.move = np.zeros((3, 3))
         self.first = np.zeros(3)
         self._fit(lines, steps, rate)
+        self.taggable = (self.margins()[1:] >= 0).any(0)
 
     def emissions(self, classes: np.ndarray, file: np.ndarray) -> np.ndarray:
         padded = np.concatenate([[EDGE], classes, [EDGE]])
         return self.own[classes] + self.before[padded[:-2]] + self.after[padded[2:]] + file @ self.file
 
+    def margins(self) -> np.ndarray:
+        """The most by which each tag can beat the best other tag on a token of each class, whatever stands beside it: below 0, no best path has it there."""
+        files = np.array(list(itertools.product((0.0, 1.0), repeat=FILE_FEATURES))) @ self.file
+        out = np.full((3, CLASSES), -np.inf)
+        for before, after in itertools.product(range(CLASSES), repeat=2):
+            e = self.own[:, None] + self.before[before] + self.after[after] + files
+            for come, go in itertools.product([self.first] if before == EDGE else self.move, [np.zeros(3)] if after == EDGE else self.move.T):
+                score = e + come + go
+                for tag in range(3):
+                    out[tag] = np.maximum(out[tag], (score[..., tag] - np.delete(score, tag, 2).max(2)).max(1))
+        out[:, EDGE] = -np.inf
+        return out
+
     def _fit(self, lines: list[tuple[list[int], list[int], np.ndarray]], steps: int, rate: float) -> None:
         n, width = len(lines), max(len(c) for c, _, _ in lines)
         cls = np.full((n, width + 2), EDGE)
@@ -262,13 +276,11 @@ def crf_spans(model: Field, text: str, base: list[tuple[int, int, int]]) -> list
     found: list[tuple[int, int]] = []
     file = None
     line_end = -1
-    # ten key characters in a row are in all that SUSPECT can match but a fence
-    if text.encode().translate(_KEY_RUNS).find(b"x" * 10) < 0 and "-----BEGIN" not in text:
-        return found
-    if not _SIGN.search(text):
+    # so many key characters in a row are in all that SUSPECT can match but a fence
+    if text.encode().translate(_KEY_RUNS).find(b"x" * SHORTEST) < 0 and "-----" not in text:
         return found
     for m in SUSPECT.finditer(text):
-        if m.start() < line_end:
+        if m.start() < line_end or not model.taggable[shape(m.group())]:
             continue
         lo = text.rfind("\n", 0, m.start()) + 1
         hi = text.find("\n", m.start())

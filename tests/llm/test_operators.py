@@ -129,6 +129,35 @@ def test_secrets(texts):
     assert not any(secret_crf.spans(secret_crf.field(), t)[1] for _, t in texts if not re.search(r"[0-9]", t))
 
 
+def test_secrets_of_every_line(texts):
+    model, rng = secret_crf.field(), random.Random(5)
+    plain = [c for c in range(secret_crf.CLASSES) if c != secret_crf.FENCE]
+    assert (model.margins()[2, plain] < 0).all() and not model.taggable[secret_crf.WORD]  # what the choice of lines rests on
+
+    def every_line(t):
+        out = []
+        for m in re.finditer(r"[^\n]+", t):
+            tokens = [(x.start() + m.start(), x.end() + m.start(), secret_crf.shape(x.group())) for x in secret_crf.TOKEN.finditer(m.group())]
+            open_ = False
+            for (s, e, _), tag in zip(tokens, model.decode(np.array([c for _, _, c in tokens]), secret_crf.file_features(t)) if tokens else (), strict=True):
+                if tag == 2 and open_:
+                    out[-1] = (out[-1][0], e)
+                elif tag:
+                    out.append((s, e))
+                open_ = tag != 0
+        return [x for x in out if x[1] - x[0] >= secret_crf.SHORTEST]
+
+    letters = "ABCXYZabcxyz0123456789"
+    parts = [lambda: "".join(rng.choice(letters + rng.choice(("", ".", "_-", "/+"))) for _ in range(rng.randint(1, 30))), lambda: "sk_" + "".join(rng.choice("abcdef") for _ in range(15)), lambda: rng.choice(("bearer", "password", "key", "the", "is", "=", ":", '"', "|", "é", "\n", "\n", "-----BEGIN RSA KEY-----", "x-----A B C D-----", "authorization", "some_long_name_here", "Ab3dEf6hJk.Lm9nPq2r"))]
+    made = [rng.choice(("", " ")).join(rng.choice(parts)() for _ in range(rng.randint(1, 12))) for _ in range(4000)]
+    found = 0
+    for t in [*(t or "" for _, t in texts[:400]), *made]:
+        want = every_line(t)
+        found += len(want)
+        assert secret_crf.crf_spans(model, t, []) == want
+    assert found and secret_crf.crf_spans(model, "use sk_abcdefghijklmnop now", []) == [(4, 23)]
+
+
 def test_tokens_equal_the_library():
     import public_tokenizers
     from tokenizers import Tokenizer
