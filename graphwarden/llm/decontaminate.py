@@ -2,9 +2,8 @@
 
 A document leaks an item if a passage of the item occurs in it with at most `budget` edits. Texts are
 compared as UTF-8 bytes, with case folded over all of Unicode and white space as single spaces. An item's passages
-are the stretches of PASSAGE bytes that start at multiples of STRIDE, and its last one (an item
-shorter than that is its one passage); the budget is a tenth of the length, and little enough for the
-bound below to be 1 at least. Items with fewer than SHORTEST bytes are never told from chance and leak
+are all its stretches of PASSAGE bytes (an item shorter than that is its one passage); the budget is a tenth of the length, and little enough for the
+bound below to be 1 at least. A stretch of fewer bytes than PASSAGE of a longer item is no leak. Items with fewer than SHORTEST bytes are never told from chance and leak
 nothing.
 
 Filter: an occurrence with k edits shares at least m - q + 1 - k * q of the passage's q-grams, all on
@@ -30,7 +29,7 @@ from pyspark.sql import types as T
 from graphwarden.llm.textbatch import IS_SPACE, LOWER, buffers, slices
 
 Q = 12
-PASSAGE, STRIDE, SHORTEST = 80, 16, 24
+PASSAGE, SHORTEST = 80, 24
 EDIT_SHARE = 10
 #: Bytes of benchmark text in one broadcast.
 BLOCK_BYTES = 8_000_000
@@ -74,11 +73,13 @@ def normal_text(text: str) -> bytes:
 
 def passages(n: int) -> list[tuple[int, int]]:
     """(start, length) of the passages of an item with n bytes."""
-    if n < SHORTEST:
-        return []
-    if n <= PASSAGE:
-        return [(0, n)]
-    return [(s, PASSAGE) for s in sorted({*range(0, n - PASSAGE + 1, STRIDE), n - PASSAGE})]
+    m = length(n)
+    return [(s, m) for s in range(n - m + 1)] if m else []
+
+
+def length(n: int) -> int:
+    """Bytes of each passage of an item with n bytes, 0 if it has none."""
+    return min(n, PASSAGE) if n >= SHORTEST else 0
 
 
 def budget(m: int) -> int:
@@ -97,30 +98,35 @@ def grams(data: np.ndarray) -> np.ndarray:
     return eight[: len(data) - Q + 1] * np.uint64(0x9E3779B97F4A7C15) ^ (eight[Q - 8 :] * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(7))
 
 
-def aligned(passage: np.ndarray, region: np.ndarray, shift: int, width: int, most: int) -> bool:
-    """Whether the passage occurs in the region with at most `most` edits on diagonals shift..shift + width - 1 (region minus passage positions).
+def aligned(item: np.ndarray, starts: np.ndarray, m: int, text: np.ndarray, shift: int, width: int, most: int) -> bool:
+    """Whether a passage of m bytes of the item, from one of `starts`, occurs in the text with at most `most` edits on diagonals shift..shift + width - 1 (text minus item positions).
 
-    cost[d] is the least edits of the passage's first i bytes ending at region position i + shift + d.
+    cost[s, d] is the least edits of the first i bytes from start s ending at text position start + i + shift + d.
     """
-    m, n, far = len(passage), len(region), most + 1
-    at = shift + np.arange(width)
-    cost = np.where((at >= 0) & (at <= n), 0, far)  # a match may start anywhere
+    n, far, base = len(text), most + 1, int(starts.min())
     steps = np.arange(width)
-    # all cells of the band at once: region positions after the cell, and whether its two bytes differ
-    pos = at[None, :] + np.arange(1, m + 1)[:, None]
+    # all cells of the band at once: text positions after the cell, and whether its two bytes differ
+    part = item[base : int(starts.max()) + m]
+    pos = base + shift + steps[None, :] + np.arange(len(part) + 1)[:, None]
     ok = (pos >= 0) & (pos <= n)
-    here = np.where((pos >= 1) & ok, region.astype(np.int64)[np.minimum(np.maximum(pos - 1, 0), max(n - 1, 0))] if n else -1, -1)
-    differs = np.where(pos >= 1, (here != passage[:, None]).astype(np.int64), far)
+    at = pos[1:]
+    inner = (at >= 1) & (at <= n)
+    differs = np.where(inner, text[np.clip(at - 1, 0, n - 1)] != part[:, None], True).astype(np.int64)
+    differs[at < 1] = far
+    row = starts - base
+    cost = np.where(ok[row], 0, far)  # a match may start anywhere
     for i in range(m):
-        new = cost + differs[i]
-        new[:-1] = np.minimum(new[:-1], cost[1:] + 1)  # a byte of the passage has no partner
-        new[~ok[i]] = far
-        new = np.minimum(np.minimum.accumulate(new - steps) + steps, far)  # bytes of the region have none
-        new[~ok[i]] = far
-        if new.min() > most:
+        new = cost + differs[row + i]
+        new[:, :-1] = np.minimum(new[:, :-1], cost[:, 1:] + 1)  # a byte of the passage has no partner
+        out = ~ok[row + i + 1]
+        new[out] = far
+        new = np.minimum(np.minimum.accumulate(new - steps, axis=1) + steps, far)  # bytes of the text have none
+        new[out] = far
+        live = new.min(1) <= most
+        if not live.any():
             return False
-        cost = new
-    return bool(cost.min() <= most)
+        cost, row = new[live], row[live]
+    return True
 
 
 class Index:
@@ -129,7 +135,6 @@ class Index:
     def __init__(self, items: list[tuple[int, bytes]]):
         self.ids = np.array([i for i, _ in items], np.int64)
         self.texts = [np.frombuffer(t, np.uint8) for _, t in items]
-        self.passages = [passages(len(t)) for t in self.texts]
         parts = [grams(t) for t in self.texts]
         g = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
         item = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
@@ -140,7 +145,7 @@ class Index:
         self.count = np.diff(np.append(self.first, len(g)))
         self.filter = np.zeros(1 << _BITS, bool)
         self.filter[self._slot(self.keys)] = True
-        ms = {m for ps in self.passages for _, m in ps}
+        ms = {length(len(t)) for t in self.texts} - {0}
         self.least = min((bound(m) for m in ms), default=1)
         self.reach = max((budget(m) for m in ms), default=0) + 1  # neighbouring diagonals of one occurrence
 
@@ -178,7 +183,7 @@ class Index:
         for half in (0, self.reach):
             band = (diagonal - low + half) // (2 * self.reach)
             order = np.lexsort((p, band, item, doc))
-            d, i, b, ps = doc[order], item[order], band[order], p[order]
+            d, i, b = doc[order], item[order], band[order]
             new = np.ones(len(d), bool)
             new[1:] = (d[1:] != d[:-1]) | (i[1:] != i[:-1]) | (b[1:] != b[:-1])
             begin = np.flatnonzero(new)
@@ -186,20 +191,20 @@ class Index:
             full = end - begin >= self.least
             for lo, hi in zip(begin[full].tolist(), end[full].tolist(), strict=True):
                 key = (int(d[lo]), int(i[lo]))
-                if key not in found and self._verified(text[off[key[0]] : off[key[0] + 1]], key[1], int(b[lo]) * 2 * self.reach + low - half, at[order[lo:hi]], ps[lo:hi] - off[key[0]]):
+                if key not in found and self._verified(text[off[key[0]] : off[key[0] + 1]], key[1], int(b[lo]) * 2 * self.reach + low - half, at[order[lo:hi]]):
                     found.add(key)
         return found
 
-    def _verified(self, text: np.ndarray, item: int, shift: int, at: np.ndarray, p: np.ndarray) -> bool:
-        for start, m in self.passages[item]:
-            inside = (at >= start) & (at <= start + m - Q)
-            if inside.sum() < bound(m):
-                continue
-            lo = max(0, shift + start - m)
-            hi = min(len(text), shift + start + 2 * m + 4 * self.reach)
-            if aligned(self.texts[item][start : start + m], text[lo:hi], shift + start - lo, 2 * self.reach, budget(m)):
-                return True
-        return False
+    def _verified(self, text: np.ndarray, item: int, shift: int, at: np.ndarray) -> bool:
+        m = length(len(self.texts[item]))
+        if not m:
+            return False
+        at = np.sort(at)
+        starts = np.arange(len(self.texts[item]) - m + 1)
+        hits = np.searchsorted(at, starts + m - Q, "right") - np.searchsorted(at, starts, "left")
+        starts = starts[hits >= bound(m)]
+        # neighbouring passages mostly agree, so a few are tried before all
+        return any(len(x) and aligned(self.texts[item], x, m, text, shift, 2 * self.reach, budget(m)) for x in (starts[:: m // 4], starts))
 
 
 def blocks(benchmark: DataFrame):

@@ -267,6 +267,20 @@ def test_leaks_in_other_case():
     assert decontaminate.normal(raw, np.array([0, 5]))[0].tobytes() == b"a\xff\xc3\xa9b"
 
 
+def test_leaks_from_any_start():
+    import pyarrow as pa
+
+    from graphwarden.llm.textbatch import buffers
+
+    rng = random.Random(6)
+    item = "".join(rng.choice("abcdefghij k") for _ in range(400)).replace("  ", "ab")
+    m = decontaminate.PASSAGE
+    far = "".join(rng.choice("LMNOPQ") for _ in range(90))
+    rows = [far + item[a : a + m] + far for a in range(400 - m + 1)] + [far + item[a : a + m // 2] + far for a in range(0, 300, 7)]
+    data, offsets, _ = buffers(pa.array(rows))
+    assert decontaminate.Index([(3, decontaminate.normal_text(item))]).leaks(data, offsets) == {(r, 0) for r in range(400 - m + 1)}
+
+
 def pii_by_brute_force(t):
     out = [(m.start(), 0, m.end(), "email") for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     out += [(m.start(), 1, m.end(), "ip") for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
