@@ -26,8 +26,10 @@ from pyspark.sql import types as T
 
 from graphwarden.llm.textbatch import buffers, id_text, slices
 
-#: The bound of the training sample: texts of each language (least hash of doc_id first), code points of each, and languages.
-SAMPLE_TEXTS, SAMPLE_CHARS, LANGUAGES = 400, 4000, 400
+#: The bound of the training sample: whole texts of each language (least hash of doc_id first), and languages.
+SAMPLE_TEXTS, LANGUAGES = 400, 400
+#: Bytes of training text that are counted at once.
+COUNT_BYTES = 1 << 22
 #: Highest order of the contexts, in bytes.
 ORDER = 3
 UNKNOWN = "und"
@@ -36,8 +38,8 @@ SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("lan
 
 
 def training_sample(docs: DataFrame) -> list[tuple[str, str]]:
-    """(lang, start of the text) of a bounded sample: at most SAMPLE_TEXTS of a language, dealt by a hash of doc_id."""
-    picked = docs.where(F.col("lang").isNotNull() & (F.length("text") > 0)).select(F.col("lang").cast("string").alias("lang"), F.substring("text", 1, SAMPLE_CHARS).alias("text"), F.xxhash64(F.col("doc_id")).alias("at"))
+    """(lang, whole text) of a bounded sample: at most SAMPLE_TEXTS of a language, dealt by a hash of doc_id."""
+    picked = docs.where(F.col("lang").isNotNull() & (F.length("text") > 0)).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("doc_id")).alias("at"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("at", "text"))  # Spark keeps only the first rows of each task
     rows = picked.select("lang", "text", rank.alias("rank")).where(F.col("rank") <= SAMPLE_TEXTS).orderBy("rank", "lang").limit(SAMPLE_TEXTS * LANGUAGES).collect()
     return sorted((r.lang, r.text) for r in rows)
@@ -66,19 +68,7 @@ class ByteTrees:
         grams: list[list[np.ndarray]] = []
         counts: list[list[np.ndarray]] = []
         for lang in self.langs:
-            data = np.frombuffer(b"".join(texts[lang]), np.uint8)
-            cls = self.classes[data].astype(np.int64)
-            first = np.cumsum([0] + [len(t) for t in texts[lang]])[:-1]
-            depth = np.arange(len(data)) - first[np.searchsorted(first, np.arange(len(data)), "right") - 1]
-            own, cnt = [], []
-            key = np.zeros(len(data), np.int64)
-            for k in range(order + 1):
-                shifted = np.zeros(len(data), np.int64)
-                shifted[k:] = cls[: len(data) - k] if k else cls
-                key = key + shifted * self.width**k
-                g, c = np.unique(key[depth >= k], return_counts=True)
-                own.append(g)
-                cnt.append(c)
+            own, cnt = self._counted(texts[lang])
             grams.append(own)
             counts.append(cnt)
         self.step, self.seen, self.escape = [], [], []
@@ -112,6 +102,26 @@ class ByteTrees:
             self.step.append(step)
             lower_keys, lower_seen = keys, seen
 
+    def _counted(self, texts: list[bytes]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """The grams of each order in the texts, and how often each occurs."""
+        own, cnt = [np.zeros(0, np.int64)] * (self.order + 1), [np.zeros(0, np.int64)] * (self.order + 1)
+        for i, j in slices(np.cumsum([0] + [len(t) for t in texts]), COUNT_BYTES):
+            part = texts[i:j]
+            cls = self.classes[np.frombuffer(b"".join(part), np.uint8)].astype(np.int64)
+            size = np.array([len(t) for t in part])
+            depth = np.arange(len(cls)) - np.repeat(np.cumsum(size) - size, size)
+            key = np.zeros(len(cls), np.int64)
+            for k in range(self.order + 1):
+                shifted = np.zeros(len(cls), np.int64)
+                shifted[k:] = cls[: len(cls) - k] if k else cls
+                key = key + shifted * self.width**k
+                g, c = np.unique(key[depth >= k], return_counts=True)
+                own[k], at = np.unique(np.concatenate([own[k], g]), return_inverse=True)
+                total = np.zeros(len(own[k]), np.int64)
+                np.add.at(total, at, np.concatenate([cnt[k], c]))
+                cnt[k] = total
+        return own, cnt
+
     @staticmethod
     def _padded(x: np.ndarray) -> np.ndarray:
         return np.vstack([np.zeros((1, x.shape[1])), x]).astype(np.float32)

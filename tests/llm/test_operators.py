@@ -58,6 +58,17 @@ def test_language_held_out(spark, docs):
     assert {r.lang_pred for r in language_id.identify(spark, odd(spark).where("doc_id < 4"), docs).collect()} == {"und"}
 
 
+def test_language_learns_whole_texts(spark, monkeypatch):
+    rows = [(1, "a" * 5000 + " zweite sprache" * 50, "de"), (2, "a" * 5000 + " second language" * 50, "en")]
+    sample = language_id.training_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert sample == [("de", rows[0][1]), ("en", rows[1][1])]
+    sample = [*sample, ("en", "x"), ("en", ""), ("de", "zwei é"), ("de", "drei")]
+    whole = language_id.ByteTrees(sample)
+    monkeypatch.setattr(language_id, "COUNT_BYTES", 1)
+    for a, b in zip((*whole.step, *whole.seen, *whole.escape), (lambda t: (*t.step, *t.seen, *t.escape))(language_id.ByteTrees(sample)), strict=True):
+        assert (a == b).all()
+
+
 def near_by_brute_force(rows, size, num):
     sets = {}
     for i, t in rows:
