@@ -31,9 +31,9 @@ from pyspark.sql import types as T
 from graphwarden.llm.components import components, written
 from graphwarden.llm.textbatch import buffers, id_text, mix, shingle_sets, slices
 
-#: Bands and minima of each: a pair of similarity 0.85 shares none with chance 3e-6, one of 0.8 with 2e-4 at the stage's own setting below.
+#: Bands and minima of each: a pair of similarity 0.85 shares none with chance 2.5e-6, one of 0.8 with 2e-4 at the stage's own setting below.
 BANDS, ROWS = 22, 5
-#: The setting for the lower threshold 0.8: chance 5e-6.
+#: The setting for the lower threshold 0.8: chance 3e-6.
 WIDE_BANDS, WIDE_ROWS = 24, 4
 #: Chance at which a pair that reaches the threshold may be pruned by its signature.
 MISS = 1e-7
