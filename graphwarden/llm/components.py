@@ -32,7 +32,7 @@ def written(df: DataFrame) -> DataFrame:
     spark: SparkSession = df.sparkSession
     shared = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "graphwarden-checkpoints")
     path = f"{shared.rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -5,6 +5,14 @@ from __future__ import annotations
 import pickle
 from collections.abc import Iterator
 
+import zstandard
+
+#: Keys of one compressed chunk of a run; a run being read holds one chunk decoded.
+CHUNK = 512
+
+_coder = zstandard.ZstdCompressor(level=1)
+_decoder = zstandard.ZstdDecompressor()
+
 
 def common(a: bytes, b: bytes, start: int = 0) -> int:
     """Length of the common prefix of a and b, the first `start` bytes of which are known to agree."""
@@ -20,31 +28,41 @@ def common(a: bytes, b: bytes, start: int = 0) -> int:
 
 
 def front_code(keys: list[bytes], payload: list[tuple]) -> bytes:
-    """A sorted run as one blob: of each key only what its predecessor lacks."""
-    shared, rest, last = [], [], b""
-    for key in keys:
-        n = common(last, key)
-        shared.append(n)
-        rest.append(key[n:])
-        last = key
-    return pickle.dumps((shared, rest, payload), protocol=5)
+    """A sorted run as one blob of compressed chunks: of each key only what its predecessor lacks."""
+    chunks = []
+    last = b""
+    for i in range(0, len(keys), CHUNK):
+        shared, rest = [], []
+        for key in keys[i : i + CHUNK]:
+            n = common(last, key)
+            shared.append(n)
+            rest.append(key[n:])
+            last = key
+        chunks.append(_coder.compress(pickle.dumps((shared, rest, payload[i : i + CHUNK]), protocol=5)))
+    return pickle.dumps(chunks, protocol=5)
 
 
 class Run:
     """A front-coded run being read: the key at hand and what it shares with the one before."""
 
-    __slots__ = ("shared", "rest", "payload", "at", "key")
+    __slots__ = ("chunks", "next", "shared", "rest", "payload", "at", "key")
 
     def __init__(self, blob: bytes):
-        self.shared, self.rest, self.payload = pickle.loads(blob)
+        self.chunks, self.next = pickle.loads(blob), 0
+        self.shared = self.rest = self.payload = ()
         self.at, self.key = -1, b""
 
     def step(self) -> int:
         """Go to the next key; what it shares with the last one, or -1 at the end."""
         self.at += 1
         if self.at >= len(self.rest):
-            self.key = None
-            return -1
+            if self.next >= len(self.chunks):
+                self.key = None
+                return -1
+            self.shared, self.rest, self.payload = pickle.loads(_decoder.decompress(self.chunks[self.next]))
+            self.chunks[self.next] = None
+            self.next += 1
+            self.at = 0
         n = self.shared[self.at]
         self.key = self.key[:n] + self.rest[self.at]
         return n

@@ -336,28 +336,60 @@ def test_repeats(spark, docs, texts):
         assert {r[0]: tuple(r[1:]) for r in suffix_dedup.remove_repeats(frame).collect()} == want
 
 
-@pytest.mark.parametrize("parts", [1, 7])
-def test_repeats_in_repeated_rows(spark, parts):
-    rng = random.Random(9)
-    text = ["".join(rng.choice("abcdef ") for _ in range(600)) for _ in range(6)]
-    rows = [(1, text[0]), (1, text[0]), (1, text[0]), (2, text[1] + text[1][:150]), (2, text[1] + text[1][:150])]
-    rows += [(3, text[2]), (4, text[2][:300] + text[3]), (4, text[2][:300] + text[3]), (5, text[4][50:400]), (5, text[4][50:400]), (6, text[4]), (6, text[4])]
-    rows += [(7, text[5]), (7, text[5]), (8, text[5]), (9, "x" * 60 + text[5][100:350]), (9, "x" * 60 + text[5][100:350])]
-    rng.shuffle(rows)
+def repeats_by_brute_force(rows):
+    """A row of the result for each row, which is judged by its own text; places are (doc_id, start)."""
     first = {}
     for i, t in sorted(rows):
         for s in range(len(t) - 99):
             first[t[s : s + 100]] = min(first.get(t[s : s + 100], (i, s)), (i, s))
-    want = []
+    out = []
     for i, t in rows:
         gone = bytearray(len(t))
         for s in range(len(t) - 99):
             if first[t[s : s + 100]] < (i, s):
                 gone[s : s + 100] = b"\1" * 100
         runs = sum(1 for p in range(len(gone)) if gone[p] and (not p or not gone[p - 1]))
-        want.append((i, len(t), sum(gone), runs, hashlib.sha256("".join(x for x, g in zip(t, gone, strict=True) if not g).encode()).hexdigest()))
+        out.append((i, len(t), sum(gone), runs, hashlib.sha256("".join(x for x, g in zip(t, gone, strict=True) if not g).encode()).hexdigest()))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_repeats_in_repeated_rows(spark, parts):
+    rng = random.Random(9)
+    text = ["".join(rng.choice("abcdef ") for _ in range(600)) for _ in range(10)]
+    rows = [(1, text[0]), (1, text[0]), (1, text[0]), (2, text[1] + text[1][:150]), (2, text[1] + text[1][:150])]
+    rows += [(3, text[2]), (4, text[2][:300] + text[3]), (4, text[2][:300] + text[3]), (5, text[4][50:400]), (5, text[4][50:400]), (6, text[4]), (6, text[4])]
+    rows += [(7, text[5]), (7, text[5]), (8, text[5]), (9, "x" * 60 + text[5][100:350]), (9, "x" * 60 + text[5][100:350])]
+    # one doc_id with different texts: what only one of them has stays there
+    rows += [(0, text[6]), (10, text[6]), (10, text[7]), (10, text[7][:200] + text[8]), (10, text[8][30:500]), (11, text[7][100:300]), (11, text[9]), (11, "yy" + text[9])]
+    rng.shuffle(rows)
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
-    assert sorted(map(tuple, suffix_dedup.remove_repeats(frame).collect())) == sorted(want)
+    got = sorted(map(tuple, suffix_dedup.remove_repeats(frame).collect()))
+    assert got == repeats_by_brute_force(rows)
+    assert sorted((r[0], r[2]) for r in got if r[0] == 10)[0] == (10, 0)
+
+
+def test_repeats_in_many_ranges(spark):
+    rng = random.Random(12)
+    base = ["".join(rng.choice("abcd ") for _ in range(500)) for _ in range(40)]
+    rows = []
+    for i in range(700):
+        a = rng.randint(0, 350)
+        rows.append((i, "".join(rng.choice("xyz") for _ in range(rng.randint(0, 40))) + rng.choice(base)[a : a + rng.choice((99, 100, 120, 200, 400))] + rng.choice(("", "a shared ending that is in a third of all documents, and has well over a hundred bytes, so that it goes from all but one "))))
+    assert len(suffix_dedup._cuts([rng.randbytes(8) for _ in range(2000 * suffix_dedup.SAMPLE)], 2000)) == 1999
+    assert len(suffix_dedup._cuts([rng.randbytes(8) for _ in range(300)], 2000)) == 300  # few keys: a range for each, not one for all
+    dealt = []
+    plain = suffix_dedup._cuts
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 300)
+    suffix_dedup._cuts = lambda sample, parts: dealt.append(len(plain(sample, parts))) or plain(sample, parts)
+    try:
+        got = sorted(map(tuple, suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(9)).collect()))
+    finally:
+        suffix_dedup._cuts = plain
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert got == repeats_by_brute_force(rows)
+    assert len(dealt) == 3 and min(dealt) > 200
 
 
 def test_merge_of_runs():
