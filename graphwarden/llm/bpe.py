@@ -3,8 +3,9 @@
 The vocabulary file is the one of the `tokenizers` library. A text falls into pre-tokens by
 letters, numbers, other marks and white space; the ids of a pre-token never depend on its
 neighbours. So each slice of text is cut by numpy, distinct pre-tokens are looked up by a hash,
-and only pre-tokens not met before go through the merges. Strings of special tokens in a text
-are ordinary text.
+and only pre-tokens not met before go through the merges. The file's added tokens are found in a
+text before it is cut, the longest of those that begin at a place, as the library does by default;
+each has its one id.
 """
 
 from __future__ import annotations
@@ -85,7 +86,8 @@ class Encoder:
     def __init__(self, path: str):
         import tiktoken
 
-        model = json.load(open(path, encoding="utf-8"))["model"]
+        file = json.load(open(path, encoding="utf-8"))
+        model = file["model"]
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in set(plain)]
         code = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
@@ -93,7 +95,13 @@ class Encoder:
         for token, number in model["vocab"].items():
             if all(c in code for c in token):
                 vocab[bytes(code[c] for c in token)] = number
-        vocab.pop(b"<|endoftext|>", None)
+        self.added = {}
+        for token in file.get("added_tokens", ()):
+            if token["lstrip"] or token["rstrip"] or token["single_word"] or token["normalized"]:
+                raise ValueError(f"an added token that looks at its neighbours: {token['content']!r}")
+            self.added[token["content"]] = token["id"]
+            vocab.pop(token["content"].encode(), None)
+        self._split = regex.compile("|".join(regex.escape(x) for x in sorted(self.added, key=len, reverse=True))) if self.added else None
         self._enc = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=vocab, special_tokens={})
         self._feed = vocab[b"\n"]
         self._forget()
@@ -148,10 +156,54 @@ class Encoder:
             at = np.searchsorted(self._keys, keys)
         return self._rows[at][inverse], starts
 
+    def plain(self, text: str) -> list[tuple[int, int, int]]:
+        """(start, end, id) of a text's parts: added tokens, and what lies between them with id -1."""
+        if not any(x in text for x in self.added):
+            return [(0, len(text), -1)]
+        out, at = [], 0
+        for m in self._split.finditer(text):
+            if m.start() > at:
+                out.append((at, m.start(), -1))
+            out.append((m.start(), m.end(), self.added[m.group()]))
+            at = m.end()
+        if at < len(text):
+            out.append((at, len(text), -1))
+        return out
+
+    def texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of whole texts, joined, and how many each has."""
+        parts, owner, after = [], [], []  # plain parts, their texts, and the added tokens (text, plain parts before, id)
+        for d, text in enumerate(texts):
+            for lo, hi, added in self.plain(text):
+                if added < 0:
+                    parts.append(text[lo:hi])
+                    owner.append(d)
+                else:
+                    after.append((d, len(parts), added))
+        lengths = np.array([len(p) for p in parts], np.int64)
+        rows, starts = self.rows("".join(parts), lengths)
+        part = np.searchsorted(np.cumsum(lengths), starts, "right")
+        own = np.bincount(part, weights=self.token_counts(rows), minlength=len(parts)).astype(np.int64)
+        ids = self.ids(rows)
+        counts = np.bincount(np.array(owner, np.int64), weights=own, minlength=len(texts)).astype(np.int64)
+        if after:
+            before = np.concatenate([[0], np.cumsum(own)])
+            ids = np.insert(ids, before[[n for _, n, _ in after]], [i for _, _, i in after])
+            counts += np.bincount([d for d, _, _ in after], minlength=len(texts))
+        return ids, counts
+
     def few(self, text: str) -> tuple[list[int], list[int]]:
-        """Where the pre-tokens of a short text begin, and how many tokens each has."""
-        found = [(m.start(), m.group()) for m in _pattern.finditer(text)]
-        return [p for p, _ in found], [len(self._enc.encode_ordinary(t)) for _, t in found]
+        """Where the pre-tokens of a short text begin, and how many tokens each has; an added token is one of its own."""
+        starts, counts = [], []
+        for lo, hi, added in self.plain(text):
+            if added >= 0:
+                starts.append(lo)
+                counts.append(1)
+                continue
+            for m in _pattern.finditer(text[lo:hi]):
+                starts.append(lo + m.start())
+                counts.append(len(self._enc.encode_ordinary(m.group())))
+        return starts, counts
 
     def token_counts(self, rows: np.ndarray) -> np.ndarray:
         return self._n[rows]

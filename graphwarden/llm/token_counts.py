@@ -5,6 +5,8 @@ below it. An edit finds its blocks by descending the tree, re-encodes the touche
 boundary context (two pre-tokens before, and after it as many as it takes until the new cut meets
 an old one), and updates the sums on the paths to the root. Nothing else is encoded again.
 
+Added tokens of the vocabulary are pre-tokens of their own, as in the library.
+
 Rows: null and empty texts have no tokens, and edits of them act on the empty text; positions beyond
 the end mean the end; repeated doc_ids are documents of their own; a null doc_id passes through.
 """
@@ -24,8 +26,9 @@ from graphwarden.llm.textbatch import id_text
 
 #: Pre-tokens of a block, and the size at which a block that has grown makes the tree be built anew.
 BLOCK, FULL = 32, 256
-#: Pre-tokens of context that are encoded again before an edit: a match looks two code points ahead at most.
-BEFORE = 2
+#: Pre-tokens of context that are encoded again before an edit, and that count as open at the end of a piece: a match
+#: looks two code points ahead at most, and an added token that an edit makes or breaks holds three plain pre-tokens.
+BEFORE = 6
 
 Edit = tuple[int, int, str]
 
@@ -138,7 +141,7 @@ class TokenTree:
             begins.append(pos)
             pos += n
         new = {c + lo - shift: i for i, c in enumerate(cut)}
-        safe = len(cut) if done else len(cut) - 3  # the last cuts may move when more text follows
+        safe = len(cut) if done else len(cut) - BEFORE  # the last cuts may move when more text follows
         for k in range(skip, len(begins)):
             i = new.get(begins[k])
             if begins[k] >= stop and i is not None and i < safe:
@@ -150,7 +153,7 @@ SCHEMA = T.StructType([T.StructField("doc_id", T.LongType())] + [T.StructField(n
 
 
 def trees(enc: bpe.Encoder, texts: list[str]) -> list[TokenTree]:
-    """A tree for each text; the texts are encoded together."""
+    """A tree for each text; the texts are encoded together, but for those with added tokens."""
     lengths = np.array([len(t) for t in texts], np.int64)
     rows, starts = enc.rows("".join(texts), lengths)
     ends = np.cumsum(lengths)
@@ -158,7 +161,14 @@ def trees(enc: bpe.Encoder, texts: list[str]) -> list[TokenTree]:
     first = np.searchsorted(doc, np.arange(len(texts) + 1))
     counts = enc.token_counts(rows).tolist()
     sizes = np.diff(np.append(starts, ends[-1] if len(ends) else 0)).tolist()
-    return [TokenTree(enc, t, sizes[first[d] : first[d + 1]], counts[first[d] : first[d + 1]]) for d, t in enumerate(texts)]
+    out = []
+    for d, t in enumerate(texts):
+        own, n = sizes[first[d] : first[d + 1]], counts[first[d] : first[d + 1]]
+        if any(x in t for x in enc.added):
+            cut, n = enc.few(t)
+            own = [b - a for a, b in zip(cut, [*cut[1:], len(t)], strict=True)]
+        out.append(TokenTree(enc, t, own, n))
+    return out
 
 
 def revise(text: str) -> list[Edit]:
