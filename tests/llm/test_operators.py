@@ -262,26 +262,83 @@ def edits(p, t):
     return best
 
 
-def test_leaks():
-    import pyarrow as pa
-
-    from graphwarden.llm.textbatch import buffers
-
-    rng = random.Random(2)
-    items = [(i, decontaminate.normal_text("".join(rng.choice("abcdefghij k") for _ in range(rng.choice((10, 30, 80, 81, 100, 200)))))) for i in range(12)]
+def leaks_by_brute_force(items, texts):
+    """(row, item row) by edit distance to every passage; items below SHORTEST as whole words."""
+    out = set()
+    for r, t in enumerate(texts):
+        t = decontaminate.normal_text(t or "")
+        for k, b in enumerate(items):
+            b = decontaminate.normal_text(b).strip(b" ")
+            if 0 < len(b) < decontaminate.SHORTEST:
+                word = rb"[0-9A-Za-z\x80-\xff]"
+                left, right = (rb"(?<!%s)" % word if re.match(word, b[:1]) else b""), (rb"(?!%s)" % word if re.match(word, b[-1:]) else b"")
+                if re.search(left + re.escape(b) + right, t):
+                    out.add((r, k))
+            elif b and any(edits(b[s : s + m], t) <= decontaminate.budget(m) for s, m in decontaminate.passages(len(b))):
+                out.add((r, k))
+    return out
+
+
+def leaky(rng, n_items, n_rows):
+    items = ["".join(rng.choice("abcdefghij k") for _ in range(rng.choice((3, 10, 23, 24, 30, 80, 81, 100, 200)))) for _ in range(n_items)]
     rows = []
-    for _ in range(150):
-        t = rng.choice(items)[1].decode()
-        a = rng.randint(0, len(t) // 2)
+    for _ in range(n_rows):
+        t = rng.choice(items)
+        a = rng.choice((0, 0, rng.randint(0, len(t) // 2)))
         s = list(t[a : a + rng.choice((60, 80, 100, 200))])
-        for _ in range(rng.randint(0, 6)):
+        for _ in range(rng.choice((0, 0, 1, 2, 3, 4, 5, 6)) if len(s) > 30 else rng.choice((0, 0, 1))):
             if s:
                 k = rng.randrange(len(s))
                 s[k : k + 1] = rng.choice(([], ["x"], [s[k], "y"]))
-        rows.append("x yz" * rng.randint(0, 9) + "".join(s).upper() + " zyx" * rng.randint(0, 9))
+        rows.append(rng.choice(("", "x yz", "x yz ")) * rng.randint(0, 9) + "".join(s).upper() + rng.choice(("", " zyx")) * rng.randint(0, 9))
+    return items, rows
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_leaks(monkeypatch, small):
+    import pyarrow as pa
+
+    from graphwarden.llm.textbatch import buffers
+
+    if small:  # every way of cutting is taken
+        for name, value in (("PART", 100), ("TILE", 500), ("SMALL", 300), ("GRAM_BYTES", 700), ("EXPANDED", 60)):
+            monkeypatch.setattr(decontaminate, name, value)
+    items, rows = leaky(random.Random(2), 12, 150)
+    if small:
+        rows = ["".join(rows[i : i + 10]) for i in range(0, 150, 10)]
     data, offsets, _ = buffers(pa.array(rows))
-    want = {(r, k) for r, t in enumerate(rows) for k, (_, b) in enumerate(items) if any(edits(b[s : s + m], decontaminate.normal_text(t)) <= decontaminate.budget(m) for s, m in decontaminate.passages(len(b)))}
-    assert want and decontaminate.Index(items).leaks(data, offsets) == want
+    want = leaks_by_brute_force(items, rows)
+    assert want and decontaminate.Index([(i, decontaminate.normal_text(x)) for i, x in enumerate(items)]).leaks(data, offsets) == want
+
+
+def test_leaks_of_the_query(spark, tmp_path):
+    items, rows = leaky(random.Random(7), 10, 60)
+    items += ["what is 2 plus 2 now?", items[-1], "  "]
+    texts = [*rows, None, "", "So: What is 2  plus 2 now?", "whatis 2 plus 2 now? ", rows[0]]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, rows[0])], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([*((10 + i, t) for i, t in enumerate(items)), (None, rows[0]), (99, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = queries.op8_decontamination(spark, str(tmp_path)).collect()
+    assert len(got) == len(texts) + 1
+    want = leaks_by_brute_force(items, texts)
+    for r in got:
+        own = sorted(10 + k for d, k in want if d == (r.doc_id if r.doc_id is not None else 0))
+        assert (r.item_ids, r.n_items, r.contaminated) == (own, len(own), bool(own))
+    assert [r.contaminated for r in sorted(got, key=lambda r: r.doc_id or 0)][-3:] == [True, False, bool([k for d, k in want if d == 0])]
+
+
+def test_leaks_in_a_long_text_of_one_letter():
+    import resource
+
+    import pyarrow as pa
+
+    from graphwarden.llm.textbatch import buffers
+
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    data, offsets, _ = buffers(pa.array(["a" * 10_000_000, "b" * 10_000_000 + " five!"]))
+    index = decontaminate.Index([(1, b"a" * 1000), (2, b"a" * 500 + b"c" * 500), (3, b"five!"), (4, b"bb"), (5, b"x" * 5000)])
+    found = {x for i in range(2) for x in ((i, k) for _, k in index.leaks(data, offsets[i : i + 2]))}
+    assert found == {(0, 0), (0, 1), (1, 2)}
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 1_000_000
 
 
 def test_leaks_in_other_case():
