@@ -6,13 +6,20 @@ where the byte is new in a context, an escape (method C: d / (n + d) for d disti
 goes to the next shorter one, at last to 1 of 256. A text's language is the one with the least code
 length, and the score is its posterior for equal priors.
 
+Training texts are a bounded sample: SAMPLE_TEXTS whole texts of each of at most LANGUAGES languages
+(those with most sampled texts, then by name), the ones with the least hash of doc_id and text.
+Executors count them, and the driver gets counts alone. The trees have at most CELLS nodes times languages: beyond
+that, grams that occur less often than a common bound are left out of all trees (the parts of a gram
+occur at least as often, so no tree loses a context of a node it keeps).
+
 Texts are scored as a walk through one union tree: the node of the bytes [i - k, i] is the child, by
 byte i, of the node of [i - k, i - 1], so each byte takes one table step for each order and all
-languages are summed together.
+languages are summed together. A long text is walked in pieces that carry `order` bytes over.
 
 Rows: a null text, or one without a letter, is `und` with score 0 (also where nothing could be
-learned). Ties go to the language that sorts first. Empty tables give no rows. Columns other than
-doc_id, text (and lang, in training) are not read.
+learned). Ties go to the language that sorts first. Rows that repeat doc_id and text count once in
+training and each get a prediction; a null doc_id passes through. Empty tables give no rows. Columns
+other than doc_id, text (and lang, in training) are not read.
 """
 
 from __future__ import annotations
@@ -26,10 +33,12 @@ from pyspark.sql import types as T
 
 from graphwarden.llm.textbatch import buffers, id_text, slices
 
-#: The bound of the training sample: whole texts of each language (least hash of doc_id first), and languages.
-SAMPLE_TEXTS, LANGUAGES = 400, 400
-#: Bytes of training text that are counted at once.
-COUNT_BYTES = 1 << 22
+#: The bounds of the training sample: whole texts of each language, and languages; and of the trees.
+SAMPLE_TEXTS, LANGUAGES, CELLS = 400, 400, 8_000_000
+#: Hash buckets in which a language's texts are ranked before they are ranked as one.
+BUCKETS = 64
+#: Bytes of training text that are counted at once, and cells (bytes times languages) that are scored at once.
+COUNT_BYTES, SCORE_CELLS = 1 << 20, 1 << 20
 #: Highest order of the contexts, in bytes.
 ORDER = 3
 UNKNOWN = "und"
@@ -37,12 +46,65 @@ UNKNOWN = "und"
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("lang_pred", T.StringType(), False), T.StructField("score", T.DoubleType(), False), T.StructField("bits", T.DoubleType(), False)])
 
 
-def training_sample(docs: DataFrame) -> list[tuple[str, str]]:
-    """(lang, whole text) of a bounded sample: at most SAMPLE_TEXTS of a language, dealt by a hash of doc_id."""
-    picked = docs.where(F.col("lang").isNotNull() & (F.length("text") > 0)).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("doc_id")).alias("at"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("at", "text"))  # Spark keeps only the first rows of each task
-    rows = picked.select("lang", "text", rank.alias("rank")).where(F.col("rank") <= SAMPLE_TEXTS).orderBy("rank", "lang").limit(SAMPLE_TEXTS * LANGUAGES).collect()
-    return sorted((r.lang, r.text) for r in rows)
+COUNTS = T.StructType([T.StructField(n, T.LongType(), False) for n in ("lang", "k", "gram", "n")])
+
+
+def training_sample(docs: DataFrame) -> tuple[list[str], DataFrame]:
+    """The languages, and (lang: a number, text) of their sampled whole texts."""
+    rows = docs.where(F.col("lang").isNotNull() & (F.length("text") > 0)).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64("doc_id", F.col("text").cast("string")).alias("at"))
+    # ids alone are ranked, first in buckets of which each task sends its first few on
+    near = rows.select("lang", "at", F.dense_rank().over(Window.partitionBy("lang", F.pmod("at", F.lit(BUCKETS))).orderBy("at")).alias("rank")).where(F.col("rank") <= SAMPLE_TEXTS).select("lang", "at").distinct()
+    first = near.withColumn("rank", F.dense_rank().over(Window.partitionBy("lang").orderBy("at"))).where(F.col("rank") <= SAMPLE_TEXTS)
+    last = first.groupBy("lang").agg(F.max("at").alias("last"), F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()  # a row for each language, LANGUAGES at most
+    langs = sorted(r.lang for r in last)
+    limits = docs.sparkSession.createDataFrame([(r.lang, langs.index(r.lang), r.last) for r in last], "lang string, no long, last long")
+    return langs, rows.join(F.broadcast(limits), "lang").where("at <= last").dropDuplicates(["lang", "at"]).select(F.col("no").alias("lang"), "text")
+
+
+def counted(texts: list[bytes], order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each order the grams of the texts (the last byte lowest), and how often each occurs."""
+    own, cnt = [np.zeros(0, np.int64)] * (order + 1), [np.zeros(0, np.int64)] * (order + 1)
+    parts = [(t[max(0, lo - order) : lo + COUNT_BYTES], min(lo, order)) for t in texts for lo in range(0, len(t), COUNT_BYTES)]  # with the bytes before each
+    for i, j in slices(np.cumsum([0] + [len(t) for t, _ in parts]), COUNT_BYTES):
+        raw = np.frombuffer(b"".join(t for t, _ in parts[i:j]), np.uint8).astype(np.int64)
+        size = np.array([len(t) for t, _ in parts[i:j]])
+        depth = np.arange(len(raw)) - np.repeat(np.cumsum(size) - size, size)
+        fresh = depth >= np.repeat([h for _, h in parts[i:j]], size)
+        gram = np.zeros(len(raw), np.int64)
+        for k in range(order + 1):
+            gram[k:] += raw[: len(raw) - k] << (8 * k)
+            g, c = np.unique(gram[(depth >= k) & fresh], return_counts=True)
+            own[k], at = np.unique(np.concatenate([own[k], g]), return_inverse=True)
+            total = np.zeros(len(own[k]), np.int64)
+            np.add.at(total, at, np.concatenate([cnt[k], c]))
+            cnt[k] = total
+    return list(zip(own, cnt, strict=True))
+
+
+def train(docs: DataFrame, order: int = ORDER) -> "ByteTrees":
+    """Trees of the training sample of docs (doc_id, text, lang)."""
+    langs, sample = training_sample(docs)
+
+    def run(batches):
+        for batch in batches:
+            which, texts = batch.column(0).to_numpy(), batch.column(1)
+            for lang in np.unique(which).tolist():
+                for k, (grams, n) in enumerate(counted([texts[int(i)].as_py().encode() for i in np.flatnonzero(which == lang)], order)):
+                    same = np.ones(len(n), np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(lang * same), pa.array(k * same), pa.array(grams), pa.array(n)], names=COUNTS.names)
+
+    counts = sample.mapInArrow(run, COUNTS).groupBy("lang", "k", "gram").agg(F.sum("n").alias("n"))
+    whole = counts.groupBy("k", "gram").agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("of")).persist()  # a gram's languages
+    often = whole.groupBy(F.least("total", F.lit(10_000)).alias("total")).count().orderBy(F.desc("total")).collect()  # 10,000 rows at most
+    nodes, least = 0, 10_000
+    for r in often:
+        nodes += r["count"]
+        if nodes * max(1, len(langs)) > CELLS:
+            break
+        least = r.total
+    flat = whole.where(F.col("total") >= least).select("k", "gram", F.explode("of").alias("x")).select("x.lang", "k", "gram", "x.n").toArrow()  # CELLS rows at most
+    whole.unpersist()
+    return ByteTrees(langs, *(flat.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("lang", "k", "gram", "n")), order)
 
 
 class ByteTrees:
@@ -53,24 +115,25 @@ class ByteTrees:
     escape[k][node] what a language pays when the next byte is new there.
     """
 
-    def __init__(self, sample: list[tuple[str, str]], order: int = ORDER):
-        self.langs = sorted({lang for lang, _ in sample})
-        self.order = order
-        texts = {lang: [t.encode() for x, t in sample if x == lang] for lang in self.langs}
+    def __init__(self, langs: list[str], lang: np.ndarray, k_of: np.ndarray, gram: np.ndarray, n_of: np.ndarray, order: int = ORDER):
+        """langs, and rows of (number of the language, order, gram, occurrences)."""
+        self.langs, self.order = langs, order
         every = np.zeros(256, bool)
-        for part in texts.values():
-            for t in part:
-                every[np.frombuffer(t, np.uint8)] = True
+        every[gram[k_of == 0]] = True
         self.classes = np.zeros(256, np.int32)  # 0: a byte that no language has
         self.classes[every] = 1 + np.arange(every.sum())
         self.width = int(every.sum()) + 1
-        n_lang = len(self.langs)
+        n_lang = len(langs)
+        key = np.zeros(len(gram), np.int64)
+        for j in range(order + 1):
+            key += np.where(k_of >= j, self.classes[(gram >> (8 * j)) & 255] * np.int64(self.width) ** j, 0)
         grams: list[list[np.ndarray]] = []
         counts: list[list[np.ndarray]] = []
-        for lang in self.langs:
-            own, cnt = self._counted(texts[lang])
-            grams.append(own)
-            counts.append(cnt)
+        for j in range(n_lang):
+            rows = [np.flatnonzero((lang == j) & (k_of == k)) for k in range(order + 1)]
+            rows = [r[np.argsort(key[r])] for r in rows]
+            grams.append([key[r] for r in rows])
+            counts.append([n_of[r] for r in rows])
         self.step, self.seen, self.escape = [], [], []
         lower_keys, lower_seen = np.zeros(1, np.int64), np.full((1, n_lang), 8.0)
         shorter_seen = None
@@ -102,26 +165,6 @@ class ByteTrees:
             self.step.append(step)
             lower_keys, lower_seen = keys, seen
 
-    def _counted(self, texts: list[bytes]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """The grams of each order in the texts, and how often each occurs."""
-        own, cnt = [np.zeros(0, np.int64)] * (self.order + 1), [np.zeros(0, np.int64)] * (self.order + 1)
-        for i, j in slices(np.cumsum([0] + [len(t) for t in texts]), COUNT_BYTES):
-            part = texts[i:j]
-            cls = self.classes[np.frombuffer(b"".join(part), np.uint8)].astype(np.int64)
-            size = np.array([len(t) for t in part])
-            depth = np.arange(len(cls)) - np.repeat(np.cumsum(size) - size, size)
-            key = np.zeros(len(cls), np.int64)
-            for k in range(self.order + 1):
-                shifted = np.zeros(len(cls), np.int64)
-                shifted[k:] = cls[: len(cls) - k] if k else cls
-                key = key + shifted * self.width**k
-                g, c = np.unique(key[depth >= k], return_counts=True)
-                own[k], at = np.unique(np.concatenate([own[k], g]), return_inverse=True)
-                total = np.zeros(len(own[k]), np.int64)
-                np.add.at(total, at, np.concatenate([cnt[k], c]))
-                cnt[k] = total
-        return own, cnt
-
     @staticmethod
     def _padded(x: np.ndarray) -> np.ndarray:
         return np.vstack([np.zeros((1, x.shape[1])), x]).astype(np.float32)
@@ -129,21 +172,32 @@ class ByteTrees:
     def bits(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Code length of each document in each language."""
         n, n_lang = len(offsets) - 1, len(self.langs)
-        lo = offsets[0]
-        data = data[lo : offsets[-1]]
         out = np.zeros((n, n_lang))
-        if not len(data) or not n_lang:
+        if not n_lang:
             return out
+        piece = max(1024, SCORE_CELLS // n_lang)
+        for i, j in slices(offsets, piece):
+            lo, hi = int(offsets[i]), int(offsets[j])
+            if hi - lo <= piece:
+                starts, full = offsets[i:j] - lo, np.diff(offsets[i : j + 1]) > 0
+                if full.any():
+                    out[i:j][full] = np.add.reduceat(self._costs(data[lo:hi], starts[full]), starts[full], axis=0, dtype=np.float64)
+                continue
+            for a in range(lo, hi, piece):  # one long document
+                before = min(self.order, a - lo)
+                out[i] += self._costs(data[a - before : min(a + piece, hi)], np.zeros(1, np.int64))[before:].sum(0, dtype=np.float64)
+        return out
+
+    def _costs(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Code length of each byte in each language; documents begin at `starts`."""
         cls = self.classes[data]
-        starts = offsets[:-1] - lo
-        cost = np.empty((len(data), n_lang), np.float32)
+        cost = np.empty((len(data), len(self.langs)), np.float32)
         node = self.step[0][self.width + cls]
         cost[:] = np.where((node > 0)[:, None], self.seen[0][node], self.escape[0][1] + np.float32(8.0))
-        filled = starts[np.diff(offsets) > 0]
         for k in range(1, self.order + 1):
             before = np.zeros(len(data), np.int32)
             before[1:] = node[:-1]
-            before[filled] = 0  # no context reaches into the document before
+            before[starts] = 0  # no context reaches into the document before
             node = self.step[k][before * self.width + cls]
             new = np.flatnonzero((node == 0) & (before > 0))
             if len(new):
@@ -153,9 +207,7 @@ class ByteTrees:
                 np.copyto(cost, self.seen[k].take(node, 0), where=(node > 0)[:, None])
             else:
                 cost[hit] = self.seen[k][node[hit]]
-        full = np.diff(offsets) > 0
-        out[full] = np.add.reduceat(cost, starts[full], axis=0, dtype=np.float64)
-        return out
+        return cost
 
 
 _LETTER = regex.compile(r"\p{L}")
@@ -186,6 +238,6 @@ def predict(docs: DataFrame, trees: ByteTrees) -> DataFrame:
     return id_text(docs).mapInArrow(run, SCHEMA)
 
 
-def identify(spark: SparkSession, docs: DataFrame, train: DataFrame) -> DataFrame:
-    """Learn from `train` (doc_id, text, lang), predict `docs`."""
-    return predict(docs, ByteTrees(training_sample(train)))
+def identify(spark: SparkSession, docs: DataFrame, learn: DataFrame) -> DataFrame:
+    """Learn from `learn` (doc_id, text, lang), predict `docs`."""
+    return predict(docs, train(learn))

@@ -58,15 +58,88 @@ def test_language_held_out(spark, docs):
     assert {r.lang_pred for r in language_id.identify(spark, odd(spark).where("doc_id < 4"), docs).collect()} == {"und"}
 
 
+def trees_of(sample, order=language_id.ORDER):
+    """Trees of (lang, text) without Spark."""
+    langs = sorted({lang for lang, _ in sample})
+    rows = [(j, k, g, n) for j, lang in enumerate(langs) for k, (gs, ns) in enumerate(language_id.counted([t.encode() for x, t in sample if x == lang], order)) for g, n in zip(gs.tolist(), ns.tolist(), strict=True)]
+    return language_id.ByteTrees(langs, *(np.array(c, np.int64) for c in zip(*rows, strict=True)), order)
+
+
+def code_length(learn, text, order):
+    """Bits of a text by a plain dictionary PPM, method C without exclusion."""
+    after = collections.defaultdict(collections.Counter)
+    for t in learn:
+        for i in range(len(t)):
+            for k in range(min(order, i) + 1):
+                after[t[i - k : i]][t[i]] += 1
+    bits = 0.0
+    for i in range(len(text)):
+        for k in range(min(order, i), -2, -1):
+            if k < 0:
+                bits += 8
+                break
+            seen = after.get(text[i - k : i])
+            if not seen:
+                continue
+            total = sum(seen.values()) + len(seen)
+            if text[i] in seen:
+                bits += np.log2(total / seen[text[i]])
+                break
+            bits += np.log2(total / len(seen))
+    return bits
+
+
+def test_language_against_a_plain_model(spark, texts, monkeypatch):
+    rng = random.Random(4)
+    sample = [(rng.choice(("de", "en", "fr")), t[: rng.choice((50, 400, 2000))]) for _, t in texts[:60] if t] + [("de", "x"), ("en", "")]
+    trees = trees_of(sample)
+    given = [t[:300] for _, t in texts[60:100] if t] + ["", "é😀", "\x00\x01", "zzzz" * 50]
+    raw = [t.encode() for t in given]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in raw])])
+    got = trees.bits(data, offsets)
+    for j, lang in enumerate(trees.langs):
+        learn = [t.encode() for x, t in sample if x == lang]
+        assert np.allclose(got[:, j], [code_length(learn, t, trees.order) for t in raw], rtol=1e-4, atol=1e-3)
+    monkeypatch.setattr(language_id, "SCORE_CELLS", 1)  # pieces of 1024 bytes
+    long_ = ("".join(t for _, t in texts[:8])).encode()
+    pieces = trees.bits(np.frombuffer(long_, np.uint8), np.array([0, len(long_)]))[0]
+    monkeypatch.setattr(language_id, "SCORE_CELLS", 1 << 30)
+    assert np.allclose(pieces, trees.bits(np.frombuffer(long_, np.uint8), np.array([0, len(long_)]))[0], rtol=1e-5)
+    # the query's rows: the language with the least code length, and its posterior
+    rows = [(i, t) for i, t in enumerate(given)]
+    for r in language_id.predict(spark.createDataFrame(rows, "doc_id long, text string"), trees).collect():
+        bits = [code_length([t.encode() for x, t in sample if x == lang], given[r.doc_id].encode(), trees.order) for lang in trees.langs]
+        if not re.search(r"[^\W\d_]", given[r.doc_id]):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+        else:
+            assert r.lang_pred == trees.langs[int(np.argmin(bits))] and abs(r.score - 1 / sum(2.0 ** max(min(bits) - b, -1000) for b in bits)) < 1e-3
+
+
 def test_language_learns_whole_texts(spark, monkeypatch):
-    rows = [(1, "a" * 5000 + " zweite sprache" * 50, "de"), (2, "a" * 5000 + " second language" * 50, "en")]
-    sample = language_id.training_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
-    assert sample == [("de", rows[0][1]), ("en", rows[1][1])]
-    sample = [*sample, ("en", "x"), ("en", ""), ("de", "zwei é"), ("de", "drei")]
-    whole = language_id.ByteTrees(sample)
-    monkeypatch.setattr(language_id, "COUNT_BYTES", 1)
-    for a, b in zip((*whole.step, *whole.seen, *whole.escape), (lambda t: (*t.step, *t.seen, *t.escape))(language_id.ByteTrees(sample)), strict=True):
-        assert (a == b).all()
+    rows = [(1, "a" * 5000 + " zweite sprache" * 50, "de"), (2, "a" * 5000 + " second language" * 50, "en"), (2, "a" * 5000 + " second language" * 50, "en"), (3, None, "fr"), (4, "x", None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    langs, sample = language_id.training_sample(frame)
+    assert langs == ["de", "en"] and sorted(map(tuple, sample.collect())) == [(0, rows[0][1]), (1, rows[1][1])]
+
+    def same(x, y):
+        return all((a == b).all() for a, b in zip((*x.step, *x.seen, *x.escape), (*y.step, *y.seen, *y.escape), strict=True))
+
+    plain = trees_of([("de", rows[0][1]), ("en", rows[1][1])])
+    assert same(language_id.train(frame), plain)
+    sample = [("de", rows[0][1]), ("en", rows[1][1]), ("en", "x"), ("en", ""), ("de", "zwei é"), ("de", "drei")]
+    whole = trees_of(sample)
+    monkeypatch.setattr(language_id, "COUNT_BYTES", 7)
+    assert same(whole, trees_of(sample))
+    # fewer cells: rare grams go, and every node left has its contexts
+    monkeypatch.setattr(language_id, "COUNT_BYTES", 1 << 20)
+    monkeypatch.setattr(language_id, "CELLS", 60)
+    few = language_id.train(frame)
+    assert 0 < sum(len(s) - 1 for s in few.seen) * 2 <= 60 and few.bits(np.frombuffer(b"second", np.uint8), np.array([0, 6]))[0].argmin() == 1
+    # more texts than the sample takes, all with one language
+    monkeypatch.setattr(language_id, "SAMPLE_TEXTS", 5)
+    many = spark.createDataFrame([(i, f"text {i}", "en") for i in range(900)], "doc_id long, text string, lang string")
+    at = {r.text: r.at for r in many.select("text", F.xxhash64("doc_id", "text").alias("at")).collect()}
+    assert sorted(r.text for r in language_id.training_sample(many)[1].collect()) == sorted(sorted(at, key=at.get)[:5])
 
 
 def near_by_brute_force(rows, size, num):
