@@ -2,24 +2,29 @@
 
 Base kinds (email, ip, card, phone) follow fixed patterns and checks; their spans always stand.
 High-recall generators propose further spans (spelled-out addresses, national phone numbers, social
-security numbers, account numbers, postal forms of IPv6). Boosted trees score each proposal on
-its format and on the words before it; a threshold for each kind, calibrated on held-back examples,
-selects. The trees are fitted on the driver from a fixed generated sample of a few hundred rows, and
-compiled into one SQL expression, so executors run built-in functions only.
+security numbers, account numbers, postal forms of IPv6). Boosted trees score each proposal on its
+format and on the words before it; a threshold for each kind selects.
 
-Positions count code points, the end is exclusive. A proposal that overlaps a base span is dropped,
-and of two proposals that overlap next to each other the better scored (then the earlier) stays.
+The trees learn from generated texts (fixed seed) in which personal data and look-alikes are planted
+among other words: the same generators and the same feature expressions run over them, half of the
+texts train the trees, a quarter sets the thresholds, and a quarter measures (held_back()). The trees
+are compiled into one SQL expression, so executors run built-in functions only.
+
+Positions count code points, the end is exclusive. A proposal that overlaps a base span is dropped;
+of the others those stand that overlap no other one and have the greatest sum of scores together.
 
 Rows: null and empty texts have no spans (the digest is that of the empty string). Repeated doc_ids
-and null doc_ids pass through row by row. Other columns are not read.
+and null doc_ids pass through row by row, texts of any length are looked at whole, an empty table
+gives no rows, and other columns are not read.
 """
 
 from __future__ import annotations
 
+import json
 import random
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphwarden.llm.quality_model import BoostedTrees
@@ -55,6 +60,10 @@ ANTI = r"(?i)(isbn|order|invoice|version|part|ref|ticket|page|item|serial|build|
 CONTEXT = 32
 #: Matches placed together; it keeps the placing linear in a text's matches.
 CHUNK = 64
+#: The most proposals that can end within one: MORE's longest match has some 420 code points, its shortest seven to fifteen.
+NEAR = 256
+#: Generated texts of each kind, with personal data and with look-alikes.
+EXAMPLES = 200
 
 
 def _empty(kind: str) -> Column:
@@ -105,7 +114,14 @@ def _passes(kind: str, m: Column) -> Column:
 
 
 #: Features of a proposal, in the order of _features().
-FEATURES = ("kind", "length", "digits", "letters", "separators", "cue", "anti", "distinct", "after_colon")
+FEATURES = ("kind", "length", "digits", "letters", "separators", "cue", "anti", "distinct", "after_colon", "lead", "zeros", "check")
+
+
+def _check97(m: str) -> str:
+    """The remainder by 97 of an account number with its first four characters moved to the end, letters as 10 to 35."""
+    packed = f"regexp_replace({m}, '[^A-Z0-9]', '')"
+    moved = f"concat(substr({packed}, 5), left({packed}, 4))"
+    return f"aggregate(split({moved}, ''), 0, (a, c) -> CASE WHEN c = '' THEN a WHEN c BETWEEN '0' AND '9' THEN (a * 10 + cast(c as int)) % 97 ELSE (a * 100 + ascii(c) - 55) % 97 END)"
 
 
 def _features(kind: int) -> str:
@@ -121,38 +137,121 @@ def _features(kind: int) -> str:
         f"x.before rlike r'{ANTI}'",
         f"size(array_distinct(split({digits}, '')))",
         "x.before rlike '[:=] ?$'",
+        f"coalesce(try_cast(left({digits}, 3) as double), -1)",
+        "x.m rlike '(^|[^0-9])0+([^0-9]|$)'",
+        f"{_check97('x.m')} = 1" if list(MORE)[kind] == "iban" else "0",
     )
     return "array(" + ", ".join(f"cast({v} as double)" for v in values) + ")"
 
 
-def _example(rng: random.Random, kind: int, good: bool) -> list[float]:
-    """Features of a generated proposal. Good ones look as their kind is written, bad ones are look-alikes: counters, product numbers, runs of one digit."""
-    d = {0: 0, 1: 10, 2: 9, 3: rng.randint(10, 24), 4: rng.randint(8, 24)}[kind]
-    letters = {0: rng.randint(8, 30), 1: 0, 2: 0, 3: rng.randint(2, 12), 4: rng.randint(0, 12)}[kind]
-    marks = {0: rng.randint(2, 8), 1: rng.randint(2, 4), 2: 2, 3: rng.randint(0, 7), 4: 7}[kind]
-    if kind == 0:
-        d = rng.choice([0, 0, 2])
-    distinct = 1 if not d else min(9, max(min(d, 3), d - rng.randint(1, 4))) if good else min(d, rng.choice([1, 2, 3, 4, 6]))
-    cue = rng.random() < (0.6 if good else 0.1)
-    anti = not cue and rng.random() < (0.01 if good else 0.75)
-    return [kind, d + letters + marks, d, letters, marks, float(cue), float(anti), distinct, float(rng.random() < 0.4)]
-
-
-def _fitted() -> tuple[BoostedTrees, list[float]]:
-    """The trees, and the least score for each kind of MORE: the one with the fewest mistakes on held-back examples."""
-    rng = random.Random(17)
-    rows = [(k, g, _example(rng, k, g)) for k in range(len(MORE)) for g in (True, False) for _ in range(160)]
-    x = np.array([r[2] for r in rows], np.float32)
-    y = np.array([r[1] for r in rows], float)
-    held = np.arange(len(rows)) % 4 == 0
-    model = BoostedTrees(x[~held], y[~held], trees=12, depth=3)
-    score, kinds = model.score(x[held]), np.array([r[0] for r in rows])[held]
-    least = []
-    for k in range(len(MORE)):
-        s, t = score[kinds == k], y[held][kinds == k]
-        cuts = [c / 20 for c in range(6, 15)]
-        least.append(min(cuts, key=lambda c: (((s >= c) != t).sum(), abs(c - 0.5))))
-    return model, least
+def _account(rng: random.Random, valid: bool) -> str:
+    country, size = rng.choice((("DE", 18), ("FR", 23), ("GB", 18), ("ES", 20), ("NL", 14)))
+    body = "".join(rng.choice("0123456789") for _ in range(size))
+    number = int("".join(str(int(c, 36)) for c in body + country + "00"))
+    check = (98 - number % 97) if valid else (98 - number % 97 + rng.randint(1, 90)) % 100
+    packed = f"{country}{check:02d}{body}"
+    return " ".join(packed[i : i + 4] for i in range(0, len(packed), 4)) if rng.random() < 0.5 else packed
+
+
+def _planted(rng: random.Random, kind: str, good: bool) -> tuple[str, list[str]]:
+    """A string that the kind's generator should propose, and words that may stand before it."""
+
+    def number(low: int, high: int, width: int) -> str:
+        return str(rng.randint(low, high)).zfill(width)
+
+    def hexes(low: int, high: int) -> str:
+        return ":".join(f"{rng.randint(low, high):x}" for _ in range(8))
+
+    neutral = ["", "here", "this is", "see", "it was", "we have"]
+    against = ["order", "invoice no.", "part", "ticket", "version", "item", "serial", "ref:", "build", "SKU"]
+    if kind == "email_spelled":
+        at, dot = rng.choice((("[at]", "[dot]"), ("(at)", "(dot)"), ("{at}", "."), ("[AT]", "[DOT]")))
+        name = rng.choice(("jane", "j.doe", "info", "max_muster", "anna.k", "team-42"))
+        if good:
+            return f"{name} {at} {rng.choice(('example', 'mail-host', 'uni-town', 'acme'))} {dot} {rng.choice(('com', 'org', 'de', 'co.uk'))}", [*neutral, "mail", "contact:", "e-mail:", "write to"]
+        return rng.choice((f"sold {at} {rng.randint(1, 99)}.{rng.randint(10, 99)}", f"meet {at} {rng.randint(1, 12)}.{rng.randint(10, 59)}", f"look {at} it.{rng.choice(('Then', 'And', 'So'))}")), neutral
+    if kind == "phone_national":
+        sep = rng.choice("-. ")
+        if good:
+            return f"{rng.choice(('{}', '({})')).format(number(201, 989, 3))}{sep}{number(200, 999, 3)}{sep}{number(0, 9999, 4)}", [*neutral, "call", "phone:", "tel", "mobile", "fax:", "reach us on"]
+        return f"{number(0, 199, 3)}{sep}{number(0, 999, 3)}{sep}{rng.choice((number(0, 9999, 4), '0000'))}", [*against, *neutral]
+    if kind == "ssn":
+        if good:
+            return f"{number(1, 665, 3)}-{number(1, 99, 2)}-{number(1, 9999, 4)}", [*neutral, "ssn", "SSN:", "social security number"]
+        return rng.choice((f"000-{number(1, 99, 2)}-{number(1, 9999, 4)}", f"{number(900, 999, 3)}-{number(1, 99, 2)}-{number(1, 9999, 4)}", f"{number(1, 665, 3)}-00-{number(1, 9999, 4)}", f"{number(1, 665, 3)}-{number(1, 99, 2)}-0000")), [*against, *neutral]
+    if kind == "iban":
+        return _account(rng, good), [*neutral, "iban", "IBAN:", "account", "pay to"] if good else [*against, *neutral]
+    if good:
+        return hexes(0x100, 0xFFFF), [*neutral, "host", "address", "ip:", "from"]
+    return hexes(0, 0x59 if rng.random() < 0.5 else 9), [*against, *neutral]
+
+
+def examples(rng: random.Random) -> list[tuple[str, str, int, int, bool]]:
+    """Generated texts, each with one planted string: (text, kind, start, end, whether it is personal data)."""
+    words = "the of a report came in late and was sent on to all who had asked for it last week".split()
+    out = []
+    for kind in MORE:
+        for good in (True, False):
+            for _ in range(EXAMPLES):
+                what, cues = _planted(rng, kind, good)
+                before = " ".join([*(rng.choice(words) for _ in range(rng.randint(0, 8))), rng.choice(cues)]).strip()
+                before = before + " " if before else ""
+                after = rng.choice(("", ".", " ", ", ")) + " ".join(rng.choice(words) for _ in range(rng.randint(0, 5)))
+                if after[:1].isalpha():
+                    after = " " + after
+                out.append((before + what + after, kind, len(before), len(before) + len(what), good))
+    rng.shuffle(out)
+    return out
+
+
+class Judge:
+    """The trees, the least score of each kind, and what they are worth on texts that neither has seen: kind -> (precision, recall)."""
+
+    def __init__(self, spark: SparkSession):
+        made = examples(random.Random(17))
+        texts = F.from_json(F.lit(json.dumps([{"n": i, "text": t} for i, (t, *_) in enumerate(made)])), "array<struct<n:int,text:string>>")
+        rows = spark.range(1).select(F.explode(texts).alias("t")).select("t.n", "t.text")
+        found = [F.expr(f"transform({kind}, x -> named_struct('kind', {k}, 's', x.s, 'e', x.e, 'f', {_features(k)}))") for k, kind in enumerate(MORE)]
+        rows = rows.select("n", *[F.coalesce(placed(pattern, MORE_NEEDS[kind]), _empty("struct<s:bigint,e:bigint,m:string,before:string>")).alias(kind) for kind, pattern in MORE.items()])
+        got = rows.select("n", F.explode(F.concat(*found)).alias("x")).select("n", "x.kind", "x.s", "x.e", "x.f").collect()  # a few for each generated text
+        got = sorted(got, key=lambda r: (r.n, r.kind, r.s))
+        kinds = list(MORE)
+        right = np.array([(lambda m: m[4] and m[1] == kinds[r.kind] and r.s < m[3] and m[2] < r.e)(made[r.n]) for r in got])
+        x, n, kind = np.array([r.f for r in got], np.float32), np.array([r.n for r in got]), np.array([r.kind for r in got])
+        self.trees = BoostedTrees(x[n % 4 < 2], right[n % 4 < 2].astype(float), trees=24, depth=3)
+        score = self.trees.score(x)
+        self.least, self.measured = [], {}
+        for k, name in enumerate(kinds):
+            own = (kind == k) & (n % 4 == 2)
+            self.least.append(max((c / 20 for c in range(4, 17)), key=lambda c: (self._worth(score[own] >= c, right[own])[2], -abs(c - 0.5))))
+            held = (kind == k) & (n % 4 == 3)
+            precision, recall, _ = self._worth(score[held] >= self.least[k], right[held])
+            hits = {int(i) for i in n[held & right & (score >= self.least[k])]}
+            planted = sum(m[1] == name and m[4] for i, m in enumerate(made) if i % 4 == 3)
+            self.measured[name] = (precision, len(hits) / planted)
+
+    @staticmethod
+    def _worth(said: np.ndarray, right: np.ndarray) -> tuple[float, float, float]:
+        """Precision, recall and their harmonic mean."""
+        hits = float((said & right).sum())
+        precision, recall = hits / max(1, said.sum()), hits / max(1, right.sum())
+        return precision, recall, 2 * precision * recall / max(1e-9, precision + recall)
+
+
+_judge: Judge | None = None
+
+
+def judge(spark: SparkSession) -> Judge:
+    """The fitted judge; it is the same in every session."""
+    global _judge
+    if _judge is None:
+        _judge = Judge(spark)
+    return _judge
+
+
+def held_back(spark: SparkSession) -> dict[str, tuple[float, float]]:
+    """kind -> (precision, recall) on the generated texts that were held back."""
+    return judge(spark).measured
 
 
 def compiled(model: BoostedTrees) -> str:
@@ -185,27 +284,51 @@ def _counted(kind: str) -> Column:
     return F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
 
 
+def running_max(values: str) -> str:
+    """SQL: of each element of an array of bigint the greatest up to it; linear but for a short array of chunk maxima."""
+    tops = f"transform(sequence(0, cast(ceil(size(v) / {CHUNK}) as int) - 1), c -> array_max(slice(v, c * {CHUNK} + 1, {CHUNK})))"
+    before = f"transform(array({tops}), t -> transform(t, (x, i) -> array_max(slice(t, 1, i))))[0]"
+    inside = f"transform(slice(v, c * {CHUNK} + 1, {CHUNK}), (x, j) -> greatest(m, array_max(slice(v, c * {CHUNK} + 1, j + 1))))"
+    return f"transform(array({values}), v -> flatten(transform({before}, (m, c) -> {inside})))[0]"
+
+
+def free_of_base(base: str, more: str) -> str:
+    """SQL: the structs of `more` (s, e, r, kind, score) that overlap none of `base` (s, e)."""
+    every = f"array_sort(concat(transform({base}, b -> named_struct('s', b.s, 'e', b.e, 'r', -1, 'kind', '', 'score', 0D)), transform({more}, x -> named_struct('s', x.s, 'e', x.e, 'r', x.r, 'kind', x.kind, 'score', x.score))))"
+    ends = running_max("transform(every, x -> CASE WHEN x.r < 0 THEN x.e ELSE -1L END)")
+    starts = f"reverse({running_max('transform(reverse(every), x -> CASE WHEN x.r < 0 THEN -x.s ELSE -9223372036854775807L END)')})"
+    return f"transform(array({every}), every -> transform(array({ends}), before -> transform(array({starts}), behind -> filter(every, (x, i) -> x.r >= 0 AND get(before, i) <= x.s AND -get(behind, i) >= x.e))[0])[0])[0]"
+
+
+def heaviest(spans: str) -> str:
+    """SQL: of structs (s, e, r, kind, score) those that overlap no other one taken, with the greatest sum of scores.
+
+    By rising end, the best sum with a span is its score and the best sum of those that end where it
+    starts or before; no more than NEAR end within it. The way back takes each span that is part of the best sum up to it.
+    """
+    rising = f"array_sort({spans}, (x, y) -> CASE WHEN x.e <> y.e THEN cast(sign(x.e - y.e) as int) WHEN x.s <> y.s THEN cast(sign(x.s - y.s) as int) ELSE x.r - y.r END)"
+    near = f"slice(arrays_zip(a.e, a.b), greatest(1, size(a.e) - {NEAR - 1}), {NEAR})"
+    gained = f"x.score + coalesce(array_max(transform(filter({near}, o -> o.e <= x.s), o -> o.b)), get(a.b, size(a.b) - {NEAR + 1}), 0D)"
+    step = f"transform(array({gained}), t -> named_struct('e', concat(a.e, array(x.e)), 'b', concat(a.b, array(greatest(t, coalesce(get(a.b, size(a.b) - 1), 0D)))), 't', concat(a.t, array(t))))[0]"
+    zero = "named_struct('e', cast(array() as array<bigint>), 'b', cast(array() as array<double>), 't', cast(array() as array<double>))"
+    sums = f"aggregate(p, {zero}, (a, x) -> {step})"
+    back = "aggregate(reverse(sequence(0, size(p) - 1)), named_struct('s', 9223372036854775807L, 'k', cast(array() as array<int>)), (a, i) -> CASE WHEN get(p, i).e <= a.s AND get(f.t, i) >= coalesce(get(f.b, i - 1), 0D) THEN named_struct('s', get(p, i).s, 'k', concat(a.k, array(i))) ELSE a END, a -> a.k)"
+    return f"CASE WHEN size({spans}) < 2 THEN {spans} ELSE transform(array({rising}), p -> transform(array({sums}), f -> transform(reverse({back}), i -> get(p, i)))[0])[0] END"
+
+
 def find(docs: DataFrame) -> DataFrame:
     """doc_id, base, more: arrays of (s, rank, e, kind) for each whole text."""
     rows = id_text(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    model, least = _fitted()
+    fitted = judge(docs.sparkSession)
     base = [_base_spans(rank, kind) for rank, kind in enumerate(BASE)]
     proposed = [placed(pattern, MORE_NEEDS[kind]).alias(kind) for kind, pattern in MORE.items()]
-    more = [_more_spans(rank, kind, compiled(model), least[rank]) for rank, kind in enumerate(MORE)]
+    more = [_more_spans(rank, kind, compiled(fitted.trees), fitted.least[rank]) for rank, kind in enumerate(MORE)]
     rows = rows.select("doc_id", F.array_sort(F.concat(*base)).alias("base"), *proposed)
-    rows = rows.select("doc_id", "base", F.array_sort(F.concat(*more)).alias("more"))
-
-    def selected(all_):
-        def stands(x, i):
-            def beaten(o):
-                return o.isNotNull() & (o["s"] < x["e"]) & (o["e"] > x["s"]) & ((o["score"] > x["score"]) | ((o["score"] == x["score"]) & (o["s"] < x["s"])))
-
-            return ~F.coalesce(beaten(F.get(all_, i - 1)), F.lit(False)) & ~F.coalesce(beaten(F.get(all_, i + 1)), F.lit(False)) & ~F.exists("base", lambda b: (b["s"] < x["e"]) & (b["e"] > x["s"]))
-
-        return F.transform(F.filter(all_, stands), lambda x: F.struct(x["s"].alias("s"), x["r"].alias("r"), x["e"].alias("e"), x["kind"].alias("kind")))
-
-    chosen = F.when(F.size("more") > 0, let(F.col("more"), selected)).otherwise(_empty("struct<s:bigint,r:int,e:bigint,kind:string>"))
-    return rows.select("doc_id", "base", chosen.alias("more"))
+    rows = rows.select("doc_id", "base", F.concat(*more).alias("more"))
+    free = F.expr(f"CASE WHEN size(more) = 0 THEN NULL ELSE {free_of_base('base', 'more')} END")
+    rows = rows.select("doc_id", "base", free.alias("free"))
+    chosen = F.expr(f"CASE WHEN free IS NULL OR size(free) = 0 THEN NULL ELSE array_sort(transform({heaviest('free')}, x -> named_struct('s', x.s, 'r', x.r, 'e', x.e, 'kind', x.kind))) END")
+    return rows.select("doc_id", "base", F.coalesce(chosen, _empty("struct<s:bigint,r:int,e:bigint,kind:string>")).alias("more"))
 
 
 def _text(spans: Column) -> Column:

@@ -466,6 +466,54 @@ def test_personal_data(spark):
     assert got[9004].spans == "ssn:5:16"
 
 
+def test_personal_data_trees_in_sql(spark):
+    fitted = pii.judge(spark)
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 30, (400, len(pii.FEATURES))).astype(np.float32)
+    x[:, 0] %= len(pii.MORE)
+    x[::3, -3] = rng.integers(0, 999, len(x[::3]))
+    rows = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "i int, f array<double>")
+    got = {r.i: r.p for r in rows.select("i", F.expr(pii.compiled(fitted.trees)).alias("p")).collect()}
+    assert np.allclose([got[i] for i in range(len(x))], fitted.trees.score(x), atol=1e-6)
+    for t in range(0, 400, 50):  # one tree after another, node by node
+        raw = fitted.trees.bias
+        for feature, threshold, leaf in zip(fitted.trees.feature, fitted.trees.threshold, fitted.trees.leaf, strict=True):
+            v = 0
+            while v < len(feature):
+                v = 2 * v + 1 + int(x[t, feature[v]] > threshold[v])
+            raw += float(leaf[v - len(feature)])
+        assert abs(got[t] - 1 / (1 + np.exp(-raw))) < 1e-6
+
+
+def test_personal_data_held_back(spark):
+    for kind, (precision, recall) in pii.held_back(spark).items():
+        assert precision >= 0.85 and recall >= 0.9, kind
+
+
+def test_personal_data_selection(spark):
+    rng = random.Random(11)
+    rows = []
+    for i in range(300):
+        more = [(s, s + rng.randint(3, 12), k, "x", rng.randint(1, 9) / 10 + i * 1e-6) for k in range(4) for s in rng.sample(range(0, 60, 13), rng.randint(0, 2))]
+        base = [(s, s + rng.randint(1, 9)) for s in rng.sample(range(70), rng.choice((0, 0, 1, 3)))]
+        rows.append((i, base, more))
+    rows.append((300, [], [(20 * j, 20 * j + 15, j % 3, "x", 0.5) for j in range(700)]))
+    rows.append((301, [(20 * j, 20 * j + 4) for j in range(500)], [(20 * j + 7, 20 * j + 15 + 10 * (j % 2), 0, "x", 0.5) for j in range(500)]))
+    frame = spark.createDataFrame(rows, "i int, base array<struct<s:bigint,e:bigint>>, more array<struct<s:bigint,e:bigint,r:int,kind:string,score:double>>")
+    frame = frame.select("i", F.expr(pii.free_of_base("base", "more")).alias("free")).select("i", "free", F.expr(pii.heaviest("free")).alias("best"))
+    for r in frame.collect():
+        _, base, more = rows[r.i]
+        free = sorted(x for x in more if not any(b[0] < x[1] and x[0] < b[1] for b in base))
+        assert sorted((x.s, x.e, x.r, x.kind, x.score) for x in r.free) == free
+        picked = sorted((x.s, x.e) for x in r.best)
+        assert all(b[0] >= a[1] for a, b in zip(picked, picked[1:], strict=False))
+        if len(free) < 16:
+            most = max(sum(x[4] for j, x in enumerate(free) if m >> j & 1) for m in range(1 << len(free)) if all(a[1] <= b[0] or b[1] <= a[0] for j, a in enumerate(free) if m >> j & 1 for k, b in enumerate(free) if k > j and m >> k & 1)) if free else 0
+            assert abs(sum(x.score for x in r.best) - most) < 1e-9
+        else:
+            assert len(picked) == {300: 700, 301: 251}[r.i]
+
+
 def test_repeats(spark, docs, texts):
     rng = random.Random(4)
     base = ["".join(rng.choice("abc ") for _ in range(400)) for _ in range(5)]
