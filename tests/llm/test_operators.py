@@ -223,7 +223,8 @@ def test_secrets_of_every_line(texts):
         for m in re.finditer(r"[^\n]+", t):
             tokens = [(x.start() + m.start(), x.end() + m.start(), secret_crf.shape(x.group())) for x in secret_crf.TOKEN.finditer(m.group())]
             open_ = False
-            for (s, e, _), tag in zip(tokens, model.decode(np.array([c for _, _, c in tokens]), secret_crf.file_features(t)) if tokens else (), strict=True):
+            classes = [c for _, _, c in tokens]
+            for (s, e, _), tag in zip(tokens, model.decode(np.array(classes), secret_crf.near_words(classes, [t[s:e] for s, e, _ in tokens]), secret_crf.file_features(t)) if tokens else (), strict=True):
                 if tag == 2 and open_:
                     out[-1] = (out[-1][0], e)
                 elif tag:
@@ -242,6 +243,30 @@ def test_secrets_of_every_line(texts):
     assert found and secret_crf.crf_spans(model, "use sk_abcdefghijklmnop now", []) == [(4, 23)]
 
 
+def test_viterbi_against_every_path():
+    import itertools
+
+    model, rng = secret_crf.field(), np.random.default_rng(2)
+    for _ in range(200):
+        n = int(rng.integers(1, 6))
+        classes = rng.integers(0, secret_crf.EDGE, n)
+        near, file = rng.integers(0, 2, (n, secret_crf.NEAR_FEATURES)).astype(float), rng.integers(0, 2, secret_crf.FILE_FEATURES).astype(float)
+        e = model.emissions(classes, near, file)
+
+        def score(path, e=e):
+            return model.first[path[0]] + sum(e[i, k] for i, k in enumerate(path)) + sum(model.move[a, b] for a, b in zip(path, path[1:], strict=False))
+
+        best = max(score(p) for p in itertools.product(range(3), repeat=n))
+        assert abs(score(tuple(model.decode(classes, near, file).tolist())) - best) < 1e-9
+
+
+def test_secrets_held_out():
+    precision, recall = secret_crf.held_out(secret_crf.field())
+    assert precision >= 0.95 and recall >= 0.95
+    words = secret_crf.near_words([secret_crf.WORD, secret_crf.CUE, *[secret_crf.WORD] * 6], ["x", "password", *"abcdef"])
+    assert words[:, 0].tolist() == [0, 0, 1, 1, 1, 1, 0, 0]
+
+
 def test_tokens_equal_the_library():
     import public_tokenizers
     from tokenizers import Tokenizer
