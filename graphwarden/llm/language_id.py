@@ -37,8 +37,12 @@ from graphwarden.llm.textbatch import buffers, id_text, slices
 SAMPLE_TEXTS, LANGUAGES, CELLS = 400, 400, 8_000_000
 #: Hash buckets in which a language's texts are ranked before they are ranked as one.
 BUCKETS = 64
+#: Tasks that count the sample, which is bounded: each gives its own grams once.
+COUNT_TASKS = 8
 #: Bytes of training text that are counted at once, and cells (bytes times languages) that are scored at once.
 COUNT_BYTES, SCORE_CELLS = 1 << 20, 1 << 20
+#: Bytes of training text that a task holds before it gives their counts.
+HELD_BYTES = 1 << 25
 #: Highest order of the contexts, in bytes.
 ORDER = 3
 UNKNOWN = "und"
@@ -86,14 +90,26 @@ def train(docs: DataFrame, order: int = ORDER) -> "ByteTrees":
     langs, sample = training_sample(docs)
 
     def run(batches):
-        for batch in batches:
-            which, texts = batch.column(0).to_numpy(), batch.column(1)
-            for lang in np.unique(which).tolist():
-                for k, (grams, n) in enumerate(counted([texts[int(i)].as_py().encode() for i in np.flatnonzero(which == lang)], order)):
+        held: dict[int, list[bytes]] = {}
+        size = 0
+
+        def told():
+            for lang, texts in held.items():
+                for k, (grams, n) in enumerate(counted(texts, order)):
                     same = np.ones(len(n), np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(lang * same), pa.array(k * same), pa.array(grams), pa.array(n)], names=COUNTS.names)
+            held.clear()
 
-    counts = sample.mapInArrow(run, COUNTS).groupBy("lang", "k", "gram").agg(F.sum("n").alias("n"))
+        for batch in batches:
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                held.setdefault(lang, []).append(text.as_py().encode())
+                size += len(held[lang][-1])
+                if size >= HELD_BYTES:
+                    yield from told()
+                    size = 0
+        yield from told()
+
+    counts = sample.coalesce(COUNT_TASKS).mapInArrow(run, COUNTS).groupBy("lang", "k", "gram").agg(F.sum("n").alias("n"))
     whole = counts.groupBy("k", "gram").agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("of")).persist()  # a gram's languages
     often = whole.groupBy(F.least("total", F.lit(10_000)).alias("total")).count().orderBy(F.desc("total")).collect()  # 10,000 rows at most
     nodes, least = 0, 10_000
