@@ -41,6 +41,62 @@ def ill_typed(datatype: Column, lexical: Column) -> Column:
     return reduce(lambda a, b: a | b, cases)
 
 
+_ZONE = r"(Z|[+-](0[0-9]|1[0-3]):[0-5][0-9]|[+-]14:00)?"
+_TIME = r"(([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9]([.][0-9]+)?|24:00:00([.]0+)?)"
+_MONTH, _DAY = r"(0[1-9]|1[0-2])", r"(0[1-9]|[12][0-9]|3[01])"
+_TIMES = r"(T(?=[0-9])([0-9]+H)?([0-9]+M)?([0-9]+([.][0-9]+)?S)?)"
+#: Forms of the other XSD datatypes, which only a strict parser looks at.
+STRICT = {
+    "float": LEXICAL["double"],
+    "time": _TIME + _ZONE,
+    "dateTimeStamp": rf"-?[0-9]{{4,}}-{_MONTH}-{_DAY}T{_TIME}(Z|[+-][0-9]{{2}}:[0-9]{{2}})",
+    "gYear": r"-?([1-9][0-9]{3,}|0[0-9]{3})" + _ZONE,
+    "gYearMonth": rf"-?([1-9][0-9]{{3,}}|0[0-9]{{3}})-{_MONTH}{_ZONE}",
+    "gMonth": rf"--{_MONTH}{_ZONE}",
+    "gMonthDay": rf"--({_MONTH}-(0[1-9]|1[0-9]|2[0-9])|(0[13-9]|1[0-2])-30|(0[13578]|1[02])-31){_ZONE}",
+    "gDay": rf"---{_DAY}{_ZONE}",
+    "duration": rf"-?P(?=[0-9T])([0-9]+Y)?([0-9]+M)?([0-9]+D)?{_TIMES}?",
+    "dayTimeDuration": rf"-?P(?=[0-9T])([0-9]+D)?{_TIMES}?",
+    "yearMonthDuration": r"-?P(?=[0-9])([0-9]+Y)?([0-9]+M)?",
+    "hexBinary": r"([0-9A-Fa-f]{2})*",
+    "base64Binary": r"(([A-Za-z0-9+/] ?){4})*(([A-Za-z0-9+/] ?){2}[AEIMQUYcgkosw048] ?=|([A-Za-z0-9+/] ?)[AQgw] ?= ?=)?",
+    "language": r"[A-Za-z]{1,8}(-[A-Za-z0-9]{1,8})*",
+    "normalizedString": r"[^\t\n\r]*",
+    "token": r"([^\t\n\r ]+( [^\t\n\r ]+)*)?",
+    "NMTOKEN": r"[\p{L}\p{N}.\-_:\u00b7]+",
+    "Name": r"[\p{L}_:][\p{L}\p{N}.\-_:\u00b7]*",
+    "NCName": r"[\p{L}_][\p{L}\p{N}.\-_\u00b7]*",
+}
+#: Least and greatest value of the whole-number datatypes; None where there is none.
+RANGES = {
+    "byte": (-128, 127),
+    "short": (-(2**15), 2**15 - 1),
+    "int": (-(2**31), 2**31 - 1),
+    "long": (-(2**63), 2**63 - 1),
+    "unsignedByte": (0, 255),
+    "unsignedShort": (0, 2**16 - 1),
+    "unsignedInt": (0, 2**32 - 1),
+    "unsignedLong": (0, 2**64 - 1),
+    "nonNegativeInteger": (0, None),
+    "positiveInteger": (1, None),
+    "nonPositiveInteger": (None, 0),
+    "negativeInteger": (None, -1),
+}
+
+
+def _out_of_range(name: str, lexical: Column) -> Column:
+    """Whether text is no whole number within the datatype's range. Signs and lengths tell, where the range has one end, so any length is exact."""
+    least, most = RANGES[name]
+    whole = lexical.rlike(r"^[+-]?[0-9]+\z")
+    zero, minus = lexical.rlike(r"^[+-]?0+\z"), lexical.startswith("-")
+    if least is not None and most is not None:
+        value = F.regexp_replace(lexical, r"^([+-]?)0+(?=[0-9])", "$1").try_cast("decimal(38,0)")
+        return ~whole | F.coalesce(~value.between(F.lit(str(least)).cast("decimal(38,0)"), F.lit(str(most)).cast("decimal(38,0)")), F.lit(True))
+    if least is not None:
+        return ~whole | (~zero & minus) | (zero if least == 1 else F.lit(False))
+    return ~whole | (~zero & ~minus) | (zero if most == -1 else F.lit(False))
+
+
 def strict_date(lexical: Column) -> Column:
     """The date of an xsd:date or xsd:dateTime literal, null where it has none (by form or by calendar)."""
     day = F.when(lexical.rlike(rf"^(?:{LEXICAL['date']}|{LEXICAL['dateTime']})\z"), F.regexp_extract(lexical, r"^(-?[0-9]{4,}-[0-9]{2}-[0-9]{2})", 1))
@@ -48,9 +104,11 @@ def strict_date(lexical: Column) -> Column:
 
 
 def strict_fault(datatype: Column, lexical: Column) -> Column:
-    """Whether a strict parser refuses the literal: by form, or by calendar."""
-    dated = datatype.isin(XSD + "date", XSD + "dateTime")
-    return ill_typed(datatype, lexical) | (dated & strict_date(lexical).isNull())
+    """Whether a strict parser refuses the literal: by form, by range, or by calendar."""
+    dated = datatype.isin(XSD + "date", XSD + "dateTime", XSD + "dateTimeStamp")
+    forms = [(datatype == XSD + name) & ~lexical.rlike(rf"^(?:{form})\z") for name, form in STRICT.items()]
+    ranges = [(datatype == XSD + name) & _out_of_range(name, lexical) for name in RANGES]
+    return reduce(lambda a, b: a | b, [ill_typed(datatype, lexical), *forms, *ranges]) | (dated & strict_date(lexical).isNull())
 
 
 def iri_nt(iri: Column) -> Column:

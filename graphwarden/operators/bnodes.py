@@ -1,56 +1,63 @@
-"""Stable names of blank nodes: a hash of the statements around them."""
+"""Stable names of blank nodes, by refinement of colours.
 
-from __future__ import annotations
+All blank nodes begin with one colour. In a round each gets a new one: the hash of its old colour and
+of what its statements say, in which a neighbour that is blank stands by its colour. A node's
+statements enter as two sums of their hashes, so a node with very many is aggregated in parts. After
+at most ROUNDS rounds, or when a round tells no more nodes apart, the colour is the name. Nodes that
+look the same as far as that share a name; findings about them are told apart by their occurrence
+number.
+"""
 
-import hashlib
+from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: How far the hash looks; a node met again on the way, or beyond this, is a cycle.
-DEPTH = 16
-
-
-def names(edges: list[tuple[str, str, str]], nodes: list[str]) -> dict[str, str]:
-    """_:sha256-<hex> of each blank node, from all statements (s, p, o) that touch blank nodes of the scope."""
-    out: dict[str, list] = {}
-    for s, p, o in edges:
-        if s.startswith("_:"):
-            out.setdefault(s, []).append(("S", p, o))
-        if o.startswith("_:"):
-            out.setdefault(o, []).append(("O", s, p))
-
-    def spelled(node: str, seen: frozenset) -> str:
-        if node in seen or len(seen) >= DEPTH:
-            return "_:cycle"
-        inner = seen | {node}
-        lines = []
-        for role, a, b in out.get(node, ()):
-            if role == "S":
-                lines.append(f"S {a} {spelled(b, inner) if b.startswith('_:') else b}")
-            else:
-                lines.append(f"O {spelled(a, inner) if a.startswith('_:') else a} {b}")
-        return "_:sha256-" + hashlib.sha256("\n".join(sorted(lines)).encode()).hexdigest()
-
-    return {n: spelled(n, frozenset()) for n in nodes}
+from graphwarden.functions.terms import BNODE
+from graphwarden.operators.closure import checkpointed
+
+ROUNDS = 12
+PREFIX = "_:c"
+
+
+def colours(statements: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """(scope, node, colour) of the blank nodes in statements (scope, s, s_blank, p, o, o_blank)."""
+    side = F.explode(
+        F.array(
+            F.struct(F.lit("of").alias("role"), F.col("s").alias("node"), F.col("s_blank").alias("blank"), F.col("o").alias("other"), F.col("o_blank").alias("other_blank")),
+            F.struct(F.lit("in").alias("role"), F.col("o").alias("node"), F.col("o_blank").alias("blank"), F.col("s").alias("other"), F.col("s_blank").alias("other_blank")),
+        )
+    )
+    ends = checkpointed(statements.select("scope", "p", side.alias("x")).where("x.blank").select("scope", "p", "x.node", "x.role", "x.other", "x.other_blank"))
+    now = checkpointed(ends.select("scope", "node").distinct().withColumn("colour", F.lit("")))
+    kinds = 0
+    for _ in range(rounds):
+        seen = now.select("scope", F.col("node").alias("other"), F.col("colour").alias("other_colour"))
+        told = ends.join(seen, ["scope", "other"], "left")
+        spoken = F.concat_ws("\x1f", "role", "p", F.when(F.col("other_blank"), F.concat(F.lit("_"), "other_colour")).otherwise(F.col("other")))
+
+        def total(seed: int, what=spoken):
+            return F.sum(F.xxhash64(F.lit(seed), what).cast("decimal(20,0)"))
+
+        sums = told.groupBy("scope", "node").agg(F.count("*").alias("n"), total(1).alias("a"), total(2).alias("b"))
+        nxt = now.join(sums, ["scope", "node"]).select("scope", "node", F.sha2(F.concat_ws("\x1f", "colour", *[F.col(c).cast("string") for c in ("n", "a", "b")]), 256).alias("colour"))
+        now = checkpointed(nxt)
+        found = now.select("scope", "colour").distinct().count()
+        if found == kinds:
+            break
+        kinds = found
+    return now
 
 
 def stable(findings: DataFrame, t: DataFrame) -> DataFrame:
-    """findings with stable names in focus and value. Only scopes whose findings have blank nodes are looked at, and only statements that touch blank nodes go to Python, a scope at a time."""
-    if t.where((F.col("s_kind") == "bnode") | (F.col("o_kind") == "bnode")).isEmpty():
+    """findings with stable names in focus and value; scopes whose findings have no blank node are not looked at."""
+    used = findings.where(F.col("focus").startswith("_:") | F.col("value").startswith("_:")).select(F.col("source_module").alias("scope")).distinct()
+    if used.isEmpty():
         return findings
-    used = findings.select(F.col("source_module").alias("scope"), F.explode(F.array("focus", "value")).alias("node")).where(F.col("node").startswith("_:")).distinct()
-    touching = t.where((F.col("s_kind") == "bnode") | (F.col("o_kind") == "bnode")).select("scope", F.col("s_nt").alias("s"), F.concat(F.lit("<"), F.col("p"), F.lit(">")).alias("p"), F.col("o_nt").alias("o"))
-
-    def run(key, edges, nodes):
-        import pandas as pd
-
-        found = names(list(zip(edges["s"], edges["p"], edges["o"], strict=True)), list(nodes["node"]))
-        return pd.DataFrame({"scope": [key[0]] * len(found), "node": list(found), "name": list(found.values())}, columns=["scope", "node", "name"])
-
-    known = touching.groupBy("scope").cogroup(used.groupBy("scope")).applyInPandas(run, "scope string, node string, name string")
+    touching = t.where((F.col("s_kind") == BNODE) | (F.col("o_kind") == BNODE)).join(used, "scope", "left_semi")
+    known = colours(touching.select("scope", F.col("s_nt").alias("s"), (F.col("s_kind") == BNODE).alias("s_blank"), "p", F.col("o_nt").alias("o"), (F.col("o_kind") == BNODE).alias("o_blank")))
     out = findings
     for column in ("focus", "value"):
-        named = known.select(F.col("scope").alias("source_module"), F.col("node").alias(column), F.col("name").alias("__name"))
+        named = known.select(F.col("scope").alias("source_module"), F.col("node").alias(column), F.concat(F.lit(PREFIX), "colour").alias("__name"))
         out = out.join(named, ["source_module", column], "left").withColumn(column, F.coalesce("__name", column)).drop("__name")
     return out.select(*findings.columns)

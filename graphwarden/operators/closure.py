@@ -1,33 +1,44 @@
-"""Transitive closure of a link table, by semi-naive rounds of doubling joins."""
+"""Paths in a link table (scope, a, b): closure, reach from given ends, and nodes on cycles."""
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Links of a graph that one task finishes; a larger one is made smaller by joins first.
+LOCAL_LINKS = 200_000
+
+
+def shared_folder(spark) -> str:
+    """The folder in spark.checkpoint.dir; a local session may do without, a cluster may not."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return os.path.join(tempfile.gettempdir(), "graphwarden-checkpoints")
+
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df, written to the folder in spark.checkpoint.dir (set here only where it is unset)."""
+    """df as a table in the shared folder, read back: lineage ends there, and so do the constraints that a plan of many self-joins piles up. The folder goes when the session's Python ends."""
     spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "graphwarden-checkpoints"))
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    atexit.register(_remove, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def cyclic_core(edges: DataFrame) -> DataFrame:
-    """edges (scope, a, b) without those that can be on no cycle: nodes without a way in or out are trimmed until none is left."""
-    now = checkpointed(edges.select("scope", "a", "b").distinct())
-    n = now.count()
-    while n:
-        into, out = now.select("scope", F.col("b").alias("a")).distinct(), now.select("scope", F.col("a").alias("b")).distinct()
-        now = checkpointed(now.join(into, ["scope", "a"], "left_semi").join(out, ["scope", "b"], "left_semi").select("scope", "a", "b"))
-        n, before = now.count(), n
-        if n == before:
-            break
-    return now
+def _remove(spark, path: str) -> None:
+    try:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # the session has gone already, and the cluster's own cleaning of the folder remains
+        return
 
 
 def closure(edges: DataFrame) -> DataFrame:
@@ -44,3 +55,152 @@ def closure(edges: DataFrame) -> DataFrame:
         frontier = checkpointed(ahead.unionByName(behind).distinct().join(reached, ["scope", "a", "b"], "left_anti"))
         reached = checkpointed(reached.unionByName(frontier))
     return reached
+
+
+def reached_pairs(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (scope, a, b) with a path from a to b. Only what lies ahead of the pairs' own ends a is looked at.
+
+    A round is one link. Nodes of a hierarchy have few others above them, so rows follow the ends and the depth.
+    """
+    links = edges.select("scope", F.col("a").alias("via"), F.col("b").alias("next")).distinct()
+    front = checkpointed(pairs.select("scope", "a", F.col("a").alias("via")).distinct().join(links, ["scope", "via"]).select("scope", "a", F.col("next").alias("via")).distinct())
+    seen = front
+    while True:
+        step = front.join(links, ["scope", "via"]).select("scope", "a", F.col("next").alias("via")).distinct()
+        front = checkpointed(step.join(seen, ["scope", "a", "via"], "left_anti"))
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)
+    return pairs.select("scope", "a", "b").distinct().join(seen.withColumnRenamed("via", "b"), ["scope", "a", "b"], "left_semi")
+
+
+def cyclic_nodes(edges: DataFrame, local_links: int = LOCAL_LINKS) -> DataFrame:
+    """(scope, node) of all nodes on a cycle; a self-link is one.
+
+    A graph of at most local_links links is one task's. A larger one is made smaller in rounds: nodes
+    without a way in or out go, and a node with one way in and one out becomes a part of the link
+    between its neighbours, so trees and chains end in a logarithm of rounds. What neither takes on is
+    told by colours: each node takes the greatest node that reaches it, and those that reach
+    back, by links of that colour, to the node the colour is named for are on a cycle with it.
+    """
+    now = checkpointed(edges.select("scope", "a", "b").distinct())
+    loops = now.where("a = b").select("scope", F.col("a").alias("node"))
+    now = now.where("a <> b")
+    folded: list[DataFrame] = []  # (scope, node, a, b): the node lies on the link a to b
+    while (n := now.count()) > local_links:
+        into, out = now.groupBy("scope", F.col("b").alias("node")).agg(F.count("*").alias("n_in"), F.min("a").alias("before")), now.groupBy("scope", F.col("a").alias("node")).agg(F.count("*").alias("n_out"), F.min("b").alias("behind"))
+        # links of nodes with both; a self-link that folding made is settled where it arose
+        inner = checkpointed(into.join(out, ["scope", "node"]).withColumn("draw", F.xxhash64("node", F.lit(len(folded)))))
+        kept = now.join(inner.select("scope", F.col("node").alias("a"), F.col("draw").alias("draw_a"), ((F.col("n_in") == 1) & (F.col("n_out") == 1)).alias("plain_a")), ["scope", "a"]).join(inner.select("scope", F.col("node").alias("b"), F.col("draw").alias("draw_b"), ((F.col("n_in") == 1) & (F.col("n_out") == 1)).alias("plain_b")), ["scope", "b"])
+        kept = checkpointed(kept)
+        # of neighbours that could both be folded, the one with the least draw is
+        lower_in = kept.where("plain_b AND (NOT plain_a OR draw_b < draw_a OR (draw_b = draw_a AND b < a))").select("scope", F.col("b").alias("node"), F.col("a").alias("from"))
+        lower_out = kept.where("plain_a AND (NOT plain_b OR draw_a < draw_b OR (draw_a = draw_b AND a < b))").select("scope", F.col("a").alias("node"), F.col("b").alias("to"))
+        fold = checkpointed(lower_in.join(lower_out, ["scope", "node"]).select("scope", "node", F.col("from").alias("a"), F.col("to").alias("b")))
+        folded.append(fold)
+        rest = kept.select("scope", "a", "b").join(fold.select("scope", F.col("node").alias("a")), ["scope", "a"], "left_anti").join(fold.select("scope", F.col("node").alias("b")), ["scope", "b"], "left_anti")
+        both = checkpointed(rest.unionByName(fold.select("scope", "a", "b")).distinct())
+        loops = loops.unionByName(both.where("a = b").select("scope", F.col("a").alias("node")))
+        now = both.where("a <> b")
+        if now.count() == n:
+            break
+    classes = _local_classes(now) if now.count() <= local_links else _coloured_classes(now)
+    classes = checkpointed(classes)  # (scope, node, class) of nodes on a cycle of what is left
+    found = checkpointed(classes.select("scope", "node").unionByName(loops).distinct())
+    same = classes
+    for fold in reversed(folded):
+        # a folded node is on a cycle if its link is: within a class, or from a node to itself
+        ends = fold.join(same.select("scope", F.col("node").alias("a"), F.col("class").alias("ca")), ["scope", "a"], "left").join(same.select("scope", F.col("node").alias("b"), F.col("class").alias("cb")), ["scope", "b"], "left")
+        on = checkpointed(ends.where("a = b OR ca = cb").select("scope", "node", F.coalesce("ca", F.col("a")).alias("class"), "a"))
+        same = checkpointed(same.unionByName(on.select("scope", "node", "class")).unionByName(on.select("scope", F.col("a").alias("node"), "class")).distinct())
+        found = checkpointed(found.unionByName(on.select("scope", "node")).distinct())
+    return found
+
+
+CLASSES = "scope string, node string, class string"
+
+
+def _local_classes(edges: DataFrame) -> DataFrame:
+    """Classes of nodes on common cycles, in one task."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        after: dict[tuple, list] = {}
+        for batch in batches:
+            for scope, a, b in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+                after.setdefault((scope, a), []).append((scope, b))
+        order: dict[tuple, int] = {}
+        low: dict[tuple, int] = {}
+        held: list[tuple] = []
+        inside: set[tuple] = set()
+        rows = []
+        for root in after:
+            if root in order:
+                continue
+            path = [(root, iter(after[root]))]
+            order[root] = low[root] = len(order)
+            held.append(root)
+            inside.add(root)
+            while path:
+                node, ways = path[-1]
+                for to in ways:
+                    if to not in order:
+                        order[to] = low[to] = len(order)
+                        held.append(to)
+                        inside.add(to)
+                        path.append((to, iter(after.get(to, ()))))
+                        break
+                    if to in inside:
+                        low[node] = min(low[node], order[to])
+                else:
+                    path.pop()
+                    if path:
+                        low[path[-1][0]] = min(low[path[-1][0]], low[node])
+                    if low[node] == order[node]:
+                        part = []
+                        while not part or part[-1] != node:
+                            part.append(held.pop())
+                            inside.discard(part[-1])
+                        if len(part) > 1:
+                            rows += [(*x, node[1]) for x in part]
+        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.string()) for c in range(3)], names=["scope", "node", "class"])
+
+    return edges.select("scope", "a", "b").coalesce(1).mapInArrow(run, CLASSES)
+
+
+def _coloured_classes(edges: DataFrame) -> DataFrame:
+    """The same by joins alone."""
+    now, out = checkpointed(edges.select("scope", "a", "b")), None
+    while True:
+        into, away = now.select("scope", F.col("b").alias("a")).distinct(), now.select("scope", F.col("a").alias("b")).distinct()
+        trimmed = checkpointed(now.join(into, ["scope", "a"], "left_semi").join(away, ["scope", "b"], "left_semi").select("scope", "a", "b"))
+        n = trimmed.count()
+        if not n:
+            break
+        if n < now.count():
+            now = trimmed
+            continue
+        nodes = now.select("scope", F.col("a").alias("node")).unionByName(now.select("scope", F.col("b").alias("node"))).distinct()
+        colour = checkpointed(nodes.withColumn("class", F.col("node")))
+        while True:
+            met = now.join(colour.withColumnRenamed("node", "a"), ["scope", "a"]).select("scope", F.col("b").alias("node"), "class")
+            nxt = checkpointed(colour.unionByName(met).groupBy("scope", "node").agg(F.max("class").alias("class")))
+            if nxt.join(colour, ["scope", "node", "class"], "left_anti").isEmpty():
+                break
+            colour = nxt
+        # back from each colour's own node, by links within the colour
+        of_a, of_b = colour.select("scope", F.col("node").alias("a"), F.col("class").alias("ca")), colour.select("scope", F.col("node").alias("b"), F.col("class").alias("cb"))
+        within = checkpointed(now.join(of_a, ["scope", "a"]).join(of_b, ["scope", "b"]).where("ca = cb").select("scope", "a", "b", F.col("ca").alias("class")))
+        back = checkpointed(colour.where("node = class"))
+        front = back
+        while not front.isEmpty():
+            step = within.join(front.select("scope", F.col("node").alias("b"), "class"), ["scope", "b", "class"]).select("scope", F.col("a").alias("node"), "class").distinct()
+            front = checkpointed(step.join(back, ["scope", "node", "class"], "left_anti"))
+            back = checkpointed(back.unionByName(front))
+        size = F.count("*").over(Window.partitionBy("scope", "class"))
+        several = back.withColumn("size", size).where("size > 1").drop("size")
+        out = checkpointed(several if out is None else out.unionByName(several))
+        gone = back.select("scope", "node")
+        now = checkpointed(now.join(gone.withColumnRenamed("node", "a"), ["scope", "a"], "left_anti").join(gone.withColumnRenamed("node", "b"), ["scope", "b"], "left_anti").select("scope", "a", "b"))
+    return out if out is not None else edges.sparkSession.createDataFrame([], CLASSES)

@@ -48,6 +48,31 @@ def standard_catalog(rule: str) -> list[Repair]:
     return [Repair(f"urn:graphwarden:repair:{i}", rule, b, r, p) for i, b, r, p in pairs]
 
 
+#: Names of a repair's definition in triples.
+REPAIR, RULE, BAD, REPLACEMENT, PROFILE, SAFETY = (f"urn:graphwarden:{n}" for n in ("Repair", "rule", "bad", "replacement", "profile", "safety"))
+
+
+def read_catalog(triples: DataFrame) -> list[Repair]:
+    """The repairs that triples define: resources of type Repair with a rule, the bad IRI and its replacement, each once and an IRI, and a profile and a safety at most once (a literal).
+
+    A catalog is a handful of definitions; they are read by the driver.
+    """
+    typed = triples.where((F.col("p") == TYPE) & (F.col("o") == REPAIR)).select("s").distinct()
+    rows = triples.join(typed, "s", "left_semi").where(F.col("p").isin(RULE, BAD, REPLACEMENT, PROFILE, SAFETY)).select("s", "p", "o", "o_kind").distinct().collect()
+    named: dict[str, dict[str, str]] = {r.s: {} for r in typed.collect()}
+    for r in sorted(rows):
+        what = r.p.rsplit(":", 1)[-1]
+        if what in named[r.s]:
+            raise ValueError(f"{r.s}: more than one {what}")
+        if (r.o_kind == IRI) != (r.p in (RULE, BAD, REPLACEMENT)):
+            raise ValueError(f"{r.s}: {what} is of the wrong kind")
+        named[r.s][what] = r.o
+    for i, given in named.items():
+        if missing := {"rule", "bad", "replacement"} - set(given):
+            raise ValueError(f"{i}: without {', '.join(sorted(missing))}")
+    return [Repair(i, f"<{g['rule']}>", g["bad"], g["replacement"], g.get("profile", "core"), g.get("safety", "Automatic")) for i, g in sorted(named.items())]
+
+
 def selected(catalog: list[Repair], ids: list[str] | None) -> list[Repair]:
     """The repairs with these ids (or local ids), all without; sorted by id."""
     known = {r.id: r for r in catalog}

@@ -4,11 +4,13 @@ A scope is a module, or the union of all (UNION). Input triples have the columns
 `scope` for `module`, and are distinct within a scope. A rule gives rows (scope, focus, path, value,
 message, occurrence): terms in N-Triples spelling ('' where absent). occurrence tells apart findings
 that are otherwise equal and is dropped by findings().
+
+The messages that rules build from their rows are part of a finding's identity: fixed values.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphwarden.functions.terms import BNODE, CRM, DCT, IRI, LITERAL, OWL, RDF, RDFS, SKOS, STANDARD_NAMESPACES, TYPE, XSD, LEXICAL, ill_typed, iri_nt, starts_with_any, strict_date
@@ -45,31 +47,39 @@ def ill_typed_literals(t: DataFrame) -> DataFrame:
 def known_terms(t: DataFrame, manifest: DataFrame, namespaces=STANDARD_NAMESPACES) -> DataFrame:
     """Terms of the checked namespaces in a role that the manifest (term, is_class, is_predicate) does not list.
 
-    manifest is a vocabulary's term list and is joined by its keys; Spark broadcasts it where it is small.
+    Each statement tells up to three uses in one scan. What the manifest lists goes before anything is
+    shuffled for being distinct; Spark broadcasts the manifest where it is small.
     """
-    typed = t.where((F.col("p") == TYPE) & (F.col("o_kind") == IRI))
     subject = resource(F.col("s_nt"), F.col("s_kind"), F.col("s"))
-    as_predicate = t.select("scope", F.col("p").alias("term"), iri_nt(F.col("p")).alias("path"), F.col("s_nt").alias("value"), F.col("o_nt").alias("occurrence"), subject.alias("user"), F.col("s_kind").alias("user_kind"), F.lit("predicate").alias("role"))
-    as_class = typed.select("scope", F.col("o").alias("term"), F.col("o_nt").alias("path"), F.col("s_nt").alias("value"), F.lit("").alias("occurrence"), subject.alias("user"), F.col("s_kind").alias("user_kind"), F.lit("class").alias("role"))
+    typed = (F.col("p") == TYPE) & (F.col("o_kind") == IRI)
+
+    def use(role: str, term: Column, path: Column, occurrence: Column) -> Column:
+        return F.struct(F.lit(role).alias("role"), term.alias("term"), path.alias("path"), F.col("s_nt").alias("value"), occurrence.alias("occurrence"), subject.alias("user"), F.col("s_kind").alias("user_kind"))
 
-    def declared(kinds: list[str], role: str) -> DataFrame:
-        own = typed.where(F.col("o").isin(kinds) & (F.col("s_kind") == IRI))
-        return own.select("scope", F.col("s").alias("term"), F.lit(f"<{TYPE}>").alias("path"), F.col("s_nt").alias("value"), F.lit("").alias("occurrence"), F.col("s").alias("user"), F.lit(IRI).alias("user_kind"), F.lit(role).alias("role"))
+    def declared(kinds: list[str], role: str) -> Column:
+        return F.when(typed & F.col("o").isin(kinds) & (F.col("s_kind") == IRI), use(role, F.col("s"), F.lit(f"<{TYPE}>"), F.lit("")))
 
-    uses = as_predicate.unionByName(as_class).unionByName(declared([RDF + "Property", OWL + "ObjectProperty", OWL + "DatatypeProperty", OWL + "AnnotationProperty"], "predicate")).unionByName(declared([RDFS + "Class", RDFS + "Datatype", OWL + "Class"], "class"))
-    member = (F.col("role") == "predicate") & F.col("term").rlike("^" + RDF.replace(".", "[.]") + r"_[1-9][0-9]*\z")
-    checked = uses.where(starts_with_any(F.col("term"), namespaces) & ~member).distinct()
+    as_predicate = use("predicate", F.col("p"), iri_nt(F.col("p")), F.col("o_nt"))
+    as_class = F.when(typed, use("class", F.col("o"), F.col("o_nt"), F.lit("")))
+    of_predicates = declared([RDF + "Property", OWL + "ObjectProperty", OWL + "DatatypeProperty", OWL + "AnnotationProperty"], "predicate")
+    of_classes = declared([RDFS + "Class", RDFS + "Datatype", OWL + "Class"], "class")
+    checked = F.filter(F.array(as_predicate, as_class, of_predicates, of_classes), lambda x: x.isNotNull() & starts_with_any(x["term"], namespaces) & ~((x["role"] == "predicate") & x["term"].rlike("^" + RDF.replace(".", "[.]") + r"_[1-9][0-9]*\z")))
+    uses = t.select("scope", F.explode(checked).alias("x")).select("scope", "x.*")
     listed = manifest.select("term", F.explode(F.filter(F.array(F.when(F.col("is_class"), F.lit("class")), F.when(F.col("is_predicate"), F.lit("predicate"))), lambda r: r.isNotNull())).alias("role"))
-    bad = checked.join(listed, ["term", "role"], "left_anti")
+    bad = uses.join(listed, ["term", "role"], "left_anti")
     message = F.concat(F.lit("Unknown standard vocabulary term "), F.col("term"), F.lit(" used by "), F.col("user"))
     return rows(bad, focus=AUDIT_TARGET, path=F.col("path"), value=F.col("value"), message=message, occurrence=F.col("occurrence"))
 
 
 def preferred_label_language(t: DataFrame, predicate: str = SKOS + "prefLabel") -> DataFrame:
-    """Further preferred labels of a resource in one language: all but those with the least text."""
+    """Further preferred labels of a resource in one language: all but those with the least text.
+
+    Only the least texts of resources with several are joined back, so a resource with most labels of
+    all is aggregated in parts and its labels stay dealt as they were.
+    """
     labels = t.where((F.col("p") == predicate) & (F.col("o_kind") == LITERAL))
-    least = F.min("o").over(Window.partitionBy("scope", "s_nt", "o_lang"))
-    late = labels.withColumn("least", least).where(F.col("o") > F.col("least"))
+    least = labels.groupBy("scope", "s_nt", "o_lang").agg(F.min("o").alias("least"), F.max("o").alias("most")).where("least < most").drop("most")
+    late = labels.join(least, ["scope", "s_nt", "o_lang"]).where(F.col("o") > F.col("least"))
     message = F.concat(F.lit("Duplicate preferred-label language '"), F.col("o_lang"), F.lit("'"))
     return rows(late, focus=F.col("s_nt"), path=f"<{predicate}>", value=F.col("o_nt"), message=message)
 
@@ -97,21 +107,21 @@ def links(t: DataFrame, predicate: str) -> DataFrame:
 
 def link_cycle(t: DataFrame, predicate: str = SKOS + "broader") -> DataFrame:
     """Resources on a cycle of the link (a self-link is one)."""
-    found = paths.closure(paths.cyclic_core(links(t, predicate))).where("a = b")
-    return rows(found, focus=F.col("a"), path=f"<{predicate}>", value=F.col("a"), distinct=False)
+    return rows(paths.cyclic_nodes(links(t, predicate)), focus=F.col("node"), path=f"<{predicate}>", value=F.col("node"), distinct=False)
 
 
 def closure_disjoint(t: DataFrame, hierarchy: str = SKOS + "broader", relation: str = SKOS + "related") -> DataFrame:
     """Resources related to one above or below them in the hierarchy."""
-    reached = paths.closure(links(t, hierarchy))
-    either = reached.unionByName(reached.select("scope", F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    found = links(t, relation).join(either, ["scope", "a", "b"], "left_semi")
-    return rows(found, focus=F.col("a"), path=f"<{relation}>", value=F.col("b"))
+    related = links(t, relation)
+    turned = related.select("scope", F.col("b").alias("a"), F.col("a").alias("b"))
+    met = paths.reached_pairs(links(t, hierarchy), related.unionByName(turned))
+    found = met.unionByName(met.select("scope", F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    return rows(related.join(found, ["scope", "a", "b"], "left_semi"), focus=F.col("a"), path=f"<{relation}>", value=F.col("b"))
 
 
 def node_target_pair(t: DataFrame, node: str, range_: str, declared: str) -> DataFrame:
     """The node where its range is one class while another is declared as a class."""
-    ranged = t.where((F.col("s_nt") == f"<{node}>") & (F.col("p") == RDFS + "range") & (F.col("o_nt") == f"<{range_}>"))
+    ranged = target_node(t, node).join(t.where((F.col("s_nt") == f"<{node}>") & (F.col("p") == RDFS + "range") & (F.col("o_nt") == f"<{range_}>")).select("scope").distinct(), "scope", "left_semi")
     other = t.where((F.col("s_nt") == f"<{declared}>") & (F.col("p") == TYPE) & (F.col("o_nt") == f"<{RDFS}Class>")).select("scope").distinct()
     return rows(ranged.join(other, "scope", "left_semi"), focus=f"<{node}>", path=f"<{RDFS}range>", value=f"<{range_}>", distinct=False)
 
@@ -126,19 +136,19 @@ def duplicate_identifier(t: DataFrame, predicate: str = DCT + "identifier") -> D
 def chronology(t: DataFrame, birth: tuple[str, str, str], death: tuple[str, str, str], span: str = CRM + "P4_has_time-span") -> DataFrame:
     """Persons whose latest birth bound is after their earliest death bound.
 
-    birth and death: (event class, event to person, span to bound). Each side is aggregated to one row
-    for each person before the two meet.
+    birth and death: (event class, event to person, span to bound). An event's class, persons and spans
+    come together by one aggregation on the event; each side is one row for each person before the two meet.
     """
 
     def bound(event: tuple[str, str, str], latest: bool) -> DataFrame:
         cls, person, at = event
-        events = t.where((F.col("p") == TYPE) & (F.col("o_nt") == f"<{cls}>")).select("scope", F.col("s_nt").alias("e"))
-        persons = t.where(F.col("p") == person).select("scope", F.col("s_nt").alias("e"), F.col("o_nt").alias("person"), resource(F.col("o_nt"), F.col("o_kind"), F.col("o")).alias("name"))
-        spans = t.where(F.col("p") == span).select("scope", F.col("s_nt").alias("e"), F.col("o_nt").alias("sp"))
+        is_class, is_person, is_span = (F.col("p") == TYPE) & (F.col("o_nt") == f"<{cls}>"), F.col("p") == person, F.col("p") == span
+        who = F.struct(F.col("o_nt").alias("person"), resource(F.col("o_nt"), F.col("o_kind"), F.col("o")).alias("name"))
+        events = t.where(is_class | is_person | is_span).groupBy("scope", F.col("s_nt").alias("e")).agg(F.bool_or(is_class).alias("typed"), F.collect_set(F.when(is_person, who)).alias("persons"), F.collect_set(F.when(is_span, F.col("o_nt"))).alias("spans"))
+        joined = events.where("typed").select("scope", F.explode("persons").alias("x"), "spans").select("scope", "x.person", "x.name", F.explode("spans").alias("sp"))
         days = t.where((F.col("p") == at) & (F.col("o_kind") == LITERAL)).select("scope", F.col("s_nt").alias("sp"), F.col("o").alias("text"), strict_date(F.col("o")).alias("day")).where("day IS NOT NULL")
-        joined = events.join(persons, ["scope", "e"]).join(spans, ["scope", "e"]).join(days, ["scope", "sp"])
         pick = F.max(F.struct("day", "text")) if latest else F.min(F.struct("day", "text"))
-        return joined.groupBy("scope", "person").agg(pick.alias("x"), F.min("name").alias("name"))
+        return joined.join(days, ["scope", "sp"]).groupBy("scope", "person").agg(pick.alias("x"), F.min("name").alias("name"))
 
     born = bound(birth, True).select("scope", "person", F.col("x").alias("b"), "name")
     died = bound(death, False).select("scope", "person", F.col("x").alias("d"))
@@ -173,14 +183,17 @@ def target_subjects_of(t: DataFrame, *predicates: str) -> DataFrame:
     return t.where(F.col("p").isin(*predicates)).select("scope", F.col("s_nt").alias("focus")).distinct()
 
 
-def target_class(t: DataFrame, cls: str) -> DataFrame:
-    """Instances of a class or of a subclass that the same scope declares."""
-    below = links(t, RDFS + "subClassOf")
+def subclasses(t: DataFrame) -> DataFrame:
+    """(scope, a, b): a is a subclass of b, by any number of links that the scope declares. One for all rules of a run."""
+    return paths.closure(links(t, RDFS + "subClassOf"))
+
+
+def target_class(t: DataFrame, cls: str, below: DataFrame | None = None) -> DataFrame:
+    """Instances of a class or of a subclass that the same scope declares; below: subclasses(t)."""
+    below = subclasses(t) if below is None else below
+    under = below.where(F.col("b") == f"<{cls}>").select("scope", "a")
     direct = t.where(F.col("p") == TYPE).select("scope", F.col("s_nt").alias("focus"), F.col("o_nt").alias("a"))
     own = direct.where(F.col("a") == f"<{cls}>").select("scope", "focus")
-    if below.isEmpty():
-        return own.distinct()
-    under = paths.closure(below).where(F.col("b") == f"<{cls}>").select("scope", "a")
     return own.unionByName(direct.join(under, ["scope", "a"], "left_semi").select("scope", "focus")).distinct()
 
 

@@ -24,6 +24,8 @@ class Context:
     conflicts: str = "urn:graphwarden:conflicts:"
     internal: tuple[str, ...] = ("urn:graphwarden:data:",)
     rules_namespace: str = "urn:graphwarden:rule:"
+    #: rules.subclasses() of the triples at hand, made once a run; without it each rule makes its own.
+    below: DataFrame | None = None
 
 
 @dataclass(frozen=True)
@@ -38,43 +40,54 @@ class Rule:
     component: str = "SPARQLConstraintComponent"
     local: bool = True
     union: bool = False
+    #: Predicates whose subjects the rule looks at; none: the scope as a whole.
+    subjects: tuple[str, ...] = ()
 
     def iri(self, context: Context) -> str:
         return f"<{context.rules_namespace}{self.name}>"
 
 
-def _exactly_one(name: str, cls: str, path: str, message: str) -> list[Rule]:
+def _exactly_one(name: str, cls: str, path: str) -> list[Rule]:
     """The cardinality and node-kind components of one property; findings of all bear the property's name."""
     checks = (("MinCountConstraintComponent", rules.min_count), ("MaxCountConstraintComponent", rules.max_count), ("NodeKindConstraintComponent", rules.node_kind_iri))
+    message = f"{cls}: state {path} once, with an IRI as its value."
 
     def build(check):
-        return lambda t, c: check(t, rules.target_class(t, c.domain + cls), CRM + path)
+        return lambda t, c: check(t, rules.target_class(t, c.domain + cls, c.below), CRM + path)
 
     return [Rule(name, "full", VIOLATION, message, f"requirement:{name}", "domain", build(check), component) for component, check in checks]
 
 
 _SKOS_REFERENCE = "https://www.w3.org/TR/skos-reference/"
+_BROADER, _RELATED, _LABELS = SKOS + "broader", SKOS + "related", (SKOS + "prefLabel", SKOS + "altLabel", SKOS + "hiddenLabel")
+_BIRTH, _DEATH = ("Birth", "P98_brought_into_life", "P82b_end_of_the_end"), ("Death", "P100_was_death_of", "P82a_begin_of_the_begin")
+
+
+def _event(c: Context, event: tuple[str, str, str]) -> tuple[str, str, str]:
+    return c.domain + event[0], CRM + event[1], CRM + event[2]
+
+
 _RULES = (
-    Rule("IllTypedLiteral", "core", VIOLATION, "A literal does not have a valid lexical form for its XSD datatype.", "https://www.w3.org/TR/xmlschema11-2/", "core", lambda t, c: rules.ill_typed_literals(t)),
-    Rule("KnownVocabularyTerm", "core", VIOLATION, "A standard-vocabulary IRI is unknown or is used in a role that the manifest does not list.", "https://www.w3.org/TR/rdf-schema/", "core", lambda t, c: rules.known_terms(t, c.manifest)),
-    Rule("PreferredLabelLanguage", "skos", VIOLATION, "A resource has more than one preferred label for one language.", _SKOS_REFERENCE, "vocabulary", lambda t, c: rules.preferred_label_language(t), union=True),
-    Rule("LabelDisjointness", "skos", VIOLATION, "Preferred, alternative and hidden labels must be pairwise disjoint.", _SKOS_REFERENCE, "vocabulary", lambda t, c: rules.label_disjointness(t), union=True),
-    Rule("BroaderSelf", "skos", WARNING, "A resource is broader than itself.", _SKOS_REFERENCE, "vocabulary", lambda t, c: rules.self_link(t, SKOS + "broader"), union=True),
-    Rule("BroaderCycle", "skos", WARNING, "A resource is on a cycle of broader links.", _SKOS_REFERENCE, "vocabulary", lambda t, c: rules.link_cycle(t), union=True),
-    Rule("RelatedSelf", "skos", WARNING, "A resource is related to itself.", _SKOS_REFERENCE, "vocabulary", lambda t, c: rules.self_link(t, SKOS + "related"), union=True),
-    Rule("BroaderRelatedDisjoint", "skos", VIOLATION, "A resource is related to one above or below it.", _SKOS_REFERENCE, "vocabulary", lambda t, c: rules.closure_disjoint(t), union=True),
-    *_exactly_one("BirthPerson", "Birth", "P98_brought_into_life", "A birth must identify exactly one person."),
-    *_exactly_one("DeathPerson", "Death", "P100_was_death_of", "A death must identify exactly one person."),
-    Rule("UnitJoining", "full", VIOLATION, "A unit cannot join itself.", "requirement:UnitJoining", "domain", lambda t, c: rules.same_value(t, rules.target_class(t, c.domain + "UnitJoining"), CRM + "P143_joined", CRM + "P144_joined_with")),
-    *_exactly_one("UnitJoiningChild", "UnitJoining", "P143_joined", "A joining must identify exactly one joining unit."),
-    *_exactly_one("UnitJoiningParent", "UnitJoining", "P144_joined_with", "A joining must identify exactly one receiving unit."),
-    *_exactly_one("MedalAwardingMedal", "MedalAwarding", "P141_assigned", "An awarding must assign exactly one medal."),
-    *_exactly_one("MedalAwardingRecipient", "MedalAwarding", "P11_had_participant", "An awarding must identify exactly one recipient."),
-    Rule("ConflictClassNamespace", "full", WARNING, "hasConflict ranges over one Conflict class while another is declared.", "requirement:ConflictClass", "domain", lambda t, c: rules.node_target_pair(t, c.domain + "actors/hasConflict", c.conflicts + "Conflict", c.domain + "Conflict")),
-    Rule("DuplicateIdentifier", "core", WARNING, "One identifier is assigned to more than one resource.", "https://www.dublincore.org/specifications/dublin-core/dcmi-terms/", "integration", lambda t, c: rules.duplicate_identifier(t, DCT + "identifier"), local=False, union=True),
-    Rule("BirthDeathChronology", "full", VIOLATION, "A person's latest birth date is after the earliest death date.", "requirement:Chronology", "domain", lambda t, c: rules.chronology(t, (c.domain + "Birth", CRM + "P98_brought_into_life", CRM + "P82b_end_of_the_end"), (c.domain + "Death", CRM + "P100_was_death_of", CRM + "P82a_begin_of_the_begin")), local=False, union=True),
-    Rule("InternalReference", "full", WARNING, "An internal IRI is referenced but not described.", "requirement:InternalReference", "integration", lambda t, c: rules.dangling_reference(t, list(c.internal)), local=False, union=True),
-    Rule("EventParticipantType", "full", WARNING, "A participant is neither a typed person nor a unit.", "requirement:EventParticipant", "integration", lambda t, c: rules.typed_participant(t, CRM + "P11_had_participant", c.actors, [c.domain + "Person", c.domain + "MilitaryUnit"]), local=False, union=True),
+    Rule("IllTypedLiteral", "core", VIOLATION, "The text of this literal is outside its XSD datatype: mend the text, or name another datatype.", "https://www.w3.org/TR/xmlschema11-2/", "core", lambda t, c: rules.ill_typed_literals(t)),
+    Rule("KnownVocabularyTerm", "core", VIOLATION, "The vocabularies declare no such class or predicate: check its spelling and its place in the statement.", "https://www.w3.org/TR/rdf-schema/", "core", lambda t, c: rules.known_terms(t, c.manifest)),
+    Rule("PreferredLabelLanguage", "skos", VIOLATION, "skos:prefLabel: keep one text a language, and make others skos:altLabel.", _SKOS_REFERENCE, "vocabulary", lambda t, c: rules.preferred_label_language(t), union=True, subjects=_LABELS[:1]),
+    Rule("LabelDisjointness", "skos", VIOLATION, "Two label predicates have this text: leave it under one.", _SKOS_REFERENCE, "vocabulary", lambda t, c: rules.label_disjointness(t), union=True, subjects=_LABELS),
+    Rule("BroaderSelf", "skos", WARNING, "skos:broader leads from here to here: drop the statement.", _SKOS_REFERENCE, "vocabulary", lambda t, c: rules.self_link(t, _BROADER), union=True, subjects=(_BROADER,)),
+    Rule("BroaderCycle", "skos", WARNING, "Steps of skos:broader come back here: one of them points the wrong way.", _SKOS_REFERENCE, "vocabulary", lambda t, c: rules.link_cycle(t), union=True, subjects=(_BROADER,)),
+    Rule("RelatedSelf", "skos", WARNING, "skos:related leads from here to here: drop the statement.", _SKOS_REFERENCE, "vocabulary", lambda t, c: rules.self_link(t, _RELATED), union=True, subjects=(_RELATED,)),
+    Rule("BroaderRelatedDisjoint", "skos", VIOLATION, "skos:related and steps of skos:broader join the same two: only one of these holds.", _SKOS_REFERENCE, "vocabulary", lambda t, c: rules.closure_disjoint(t), union=True, subjects=(_BROADER, _RELATED)),
+    *_exactly_one("BirthPerson", *_BIRTH[:2]),
+    *_exactly_one("DeathPerson", *_DEATH[:2]),
+    Rule("UnitJoining", "full", VIOLATION, "P143_joined and P144_joined_with have one value: one of the two is wrong.", "requirement:UnitJoining", "domain", lambda t, c: rules.same_value(t, rules.target_class(t, c.domain + "UnitJoining", c.below), CRM + "P143_joined", CRM + "P144_joined_with")),
+    *_exactly_one("UnitJoiningChild", "UnitJoining", "P143_joined"),
+    *_exactly_one("UnitJoiningParent", "UnitJoining", "P144_joined_with"),
+    *_exactly_one("MedalAwardingMedal", "MedalAwarding", "P141_assigned"),
+    *_exactly_one("MedalAwardingRecipient", "MedalAwarding", "P11_had_participant"),
+    Rule("ConflictClassNamespace", "full", WARNING, "rdfs:range names a Conflict in another namespace than its declaration: use the declared IRI.", "requirement:ConflictClass", "domain", lambda t, c: rules.node_target_pair(t, c.domain + "actors/hasConflict", c.conflicts + "Conflict", c.domain + "Conflict")),
+    Rule("DuplicateIdentifier", "core", WARNING, "dct:identifier: several subjects have this value, so it tells none of them apart.", "https://www.dublincore.org/specifications/dublin-core/dcmi-terms/", "integration", lambda t, c: rules.duplicate_identifier(t, DCT + "identifier"), local=False, union=True),
+    Rule("BirthDeathChronology", "full", VIOLATION, "By its time-spans this life begins after its end: check both dates, and whether the events are of one person.", "requirement:Chronology", "domain", lambda t, c: rules.chronology(t, _event(c, _BIRTH), _event(c, _DEATH)), local=False, union=True),
+    Rule("InternalReference", "full", WARNING, "No module says anything about this IRI of the data's own namespaces: add its description, or mend the reference.", "requirement:InternalReference", "integration", lambda t, c: rules.dangling_reference(t, list(c.internal)), local=False, union=True),
+    Rule("EventParticipantType", "full", WARNING, "P11_had_participant has an actor of unknown kind: give it the class of persons or of units.", "requirement:EventParticipant", "integration", lambda t, c: rules.typed_participant(t, CRM + "P11_had_participant", c.actors, [c.domain + "Person", c.domain + "MilitaryUnit"]), local=False, union=True),
 )
 
 

@@ -2,41 +2,87 @@
 
 from __future__ import annotations
 
+import threading
 import time
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphwarden.functions.terms import TRIPLE_FIELDS
 from graphwarden.operators import findings as fd
 from graphwarden.operators.bnodes import stable
-from graphwarden.operators.rules import UNION
-from graphwarden.plans.profiles import Context, Rule, component, registry
+from graphwarden.operators.rules import UNION, subclasses
+from graphwarden.plans.profiles import Context, Rule, component, registry, rule_count
 
-Progress = Callable[[str, float], None]
+#: Called with (rule, None, focus nodes) when a rule begins, and (rule, seconds, findings) when its findings are made.
+Progress = Callable[[str, float | None, int], None]
+
+
+class PeakHeap:
+    """The most heap that the driver's JVM was seen to use, in MiB, by a thread that looks now and then."""
+
+    def __init__(self, spark: SparkSession, every: float = 0.05):
+        self._runtime, self._every, self._done = spark._jvm.java.lang.Runtime.getRuntime(), every, threading.Event()
+        self.mib = 0.0
+
+    def __enter__(self) -> "PeakHeap":
+        self._thread = threading.Thread(target=self._look, daemon=True)
+        self._thread.start()
+        return self
+
+    def _look(self) -> None:
+        while True:
+            self.mib = max(self.mib, (self._runtime.totalMemory() - self._runtime.freeMemory()) / 2**20)
+            if self._done.wait(self._every):
+                return
+
+    def __exit__(self, *_) -> None:
+        self._done.set()
+        self._thread.join()
 
 
 def scoped(triples: DataFrame, support: DataFrame | None, union: bool) -> DataFrame:
-    """Distinct triples by scope, with the support graph in every scope. The scopes are few rows beside the triples, so support is never copied file by file on the driver."""
+    """Distinct triples by scope, with the support graph in every scope: its statements are dealt to the scopes by a join on one constant key, and neither side is broadcast unseen."""
     cols = [c for c in TRIPLE_FIELDS if c != "module"]
     own = triples.select((F.lit(UNION) if union else F.col("module")).alias("scope"), *cols)
     if support is not None:
-        own = own.unionByName(own.select("scope").distinct().join(F.broadcast(support.select(*cols)), how="cross"))
+        scopes = own.select("scope").distinct().withColumn("every", F.lit(1))
+        own = own.unionByName(support.select(*cols).withColumn("every", F.lit(1)).join(scopes, "every").select("scope", *cols))
     return own.distinct()
 
 
-def findings(triples: DataFrame, context: Context, rules: list[Rule], support: DataFrame | None = None, union: bool = False, progress: Progress | None = None) -> DataFrame:
-    """Findings without signature of the rules over modules, or over their union."""
-    t = scoped(triples, support, union).persist()  # read once by each rule
+def stored(t: DataFrame, folder: str) -> DataFrame:
+    """t as a Parquet store in a new folder, sorted by predicate, so that a rule reads the row groups of its predicates."""
+    t.repartition("p").sortWithinPartitions("p", "s_nt").write.mode("errorifexists").parquet(folder)
+    return t.sparkSession.read.schema(t.schema).parquet(folder)
+
+
+def _focus_nodes(rule: Rule, t: DataFrame) -> int:
+    if not rule.subjects:
+        return t.select("scope").distinct().count()
+    return t.where(F.col("p").isin(*rule.subjects)).select("scope", "s_nt").distinct().count()
+
+
+def findings(triples: DataFrame, context: Context, rules: list[Rule], support: DataFrame | None = None, union: bool = False, progress: Progress | None = None, store: str | None = None) -> DataFrame:
+    """Findings without signature of the rules over modules, or over their union (on disk in a folder `store`, if there is one). With progress, each rule's findings are made one after another, and timed."""
+    t = scoped(triples, support, union)
+    t = stored(t, store) if store else t.persist()  # read once by each rule
+    if any(r.profile == "full" for r in rules):
+        context = replace(context, below=subclasses(t))
     parts = []
     for rule in rules:
+        if progress:
+            progress(rule.name, None, _focus_nodes(rule, t))
         began = time.monotonic()
-        parts.append(fd.bag(rule.build(t, context), rule.iri(context), rule.severity, component(rule), rule.message))
+        part = fd.bag(rule.build(t, context), rule.iri(context), rule.severity, component(rule), rule.message)
         if progress:
-            progress(rule.name, time.monotonic() - began)
+            part = part.persist()
+            n = part.count()
+            progress(rule.name, time.monotonic() - began, n)
+        parts.append(part)
     return stable(reduce(DataFrame.unionByName, parts), t)
 
 
@@ -54,6 +100,7 @@ class Run:
     triples: int
     rules: int
     timings: list[tuple[str, float]] = field(default_factory=list)
+    peak_mib: float = 0.0
 
     @property
     def failed(self) -> bool:
@@ -69,24 +116,42 @@ class Run:
         lines += [f"  {r.signature} {r.rule} {r.focus} {r.path} {r.value} {r.source_module}" for r in new[:20]]
         if total > 20:
             lines.append(f"  ... and {total - 20} more")
+        lines += [f"peak driver heap: {self.peak_mib:.0f} MiB"] if self.peak_mib else []
         lines += [f"union rule {name}: {seconds * 1000:.0f} ms" for name, seconds in self.timings]
         return "\n".join(lines) + "\n"
 
 
-def validate(triples: DataFrame, faults: DataFrame, context: Context, profile: str = "full", cross: bool = False, support: DataFrame | None = None, accepted: DataFrame | None = None, cut: Callable[[DataFrame], DataFrame] | None = None) -> Run:
+def validate(triples: DataFrame, faults: DataFrame, context: Context, profile: str = "full", cross: bool = False, support: DataFrame | None = None, accepted: DataFrame | None = None, progress: Progress | None = None, store: str | None = None) -> Run:
     """One run. The union is looked at only if every module could be read; what a module has found already is not told again."""
     spark = triples.sparkSession
-    cut = cut or (lambda df: df.persist())
-    triples = cut(triples.select(*TRIPLE_FIELDS).distinct())
-    local = cut(findings(triples, context, registry(profile, False), support))
-    every, timings = fd.signed(local), []
-    looked = cross and faults.isEmpty()
-    if looked:
-        union = findings(triples, context, registry(profile, True), support, union=True, progress=lambda n, s: timings.append((n, s)))
-        every = every.unionByName(fd.signed(fd.new_in_union(local, union)))
-    every = cut(every)
-    accepted = accepted if accepted is not None else spark.createDataFrame([], "signature string")
-    counts = triples.groupBy("module").count().agg(F.count("*").alias("m"), F.coalesce(F.sum("count"), F.lit(0)).alias("t")).first()
-    from graphwarden.plans.profiles import rule_count
-
-    return Run(every, fd.regressions(every, accepted), faults, counts.m, counts.t, rule_count(profile, looked), timings)
+    with PeakHeap(spark) as heap:
+        triples = triples.select(*TRIPLE_FIELDS).distinct().persist()
+        local = findings(triples, context, registry(profile, False), support).persist()
+        every, timings = fd.signed(local), []
+        looked = cross and faults.isEmpty()
+        if looked:
+
+            def timed(name: str, seconds: float | None, rows: int) -> None:
+                if seconds is not None:
+                    timings.append((name, seconds))
+                if progress:
+                    progress(name, seconds, rows)
+
+            union = findings(triples, context, registry(profile, True), support, union=True, progress=timed, store=store)
+            every = every.unionByName(fd.signed(fd.new_in_union(local, union)))
+        every = every.persist()
+        every.count()
+        accepted = accepted if accepted is not None else spark.createDataFrame([], "signature string")
+        counts = triples.groupBy("module").count().agg(F.count("*").alias("m"), F.coalesce(F.sum("count"), F.lit(0)).alias("t")).first()
+        triples.unpersist()
+        local.unpersist()
+    return Run(every, fd.regressions(every, accepted), faults, counts.m, counts.t, rule_count(profile, looked), timings, heap.mib)
+
+
+def check_file(spark: SparkSession, path: str, context: Context, profile: str = "full") -> tuple[bool, list]:
+    """(whether a file conforms, its findings in order): one file through a profile, for fixtures."""
+    from graphwarden.sources import turtle
+
+    triples, faults = turtle.read(spark, [(path, path)])
+    found = fd.ordered(validate(triples, faults, context, profile).findings).collect()
+    return not found and faults.isEmpty(), found

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
 import os
+import re
 import shutil
 import tempfile
 from pathlib import Path
@@ -54,11 +56,11 @@ def report_lines(findings: DataFrame) -> DataFrame:
 
 
 def write_report(findings: DataFrame, path: str) -> None:
-    write_atomically(path, ["# validation report", *_text(report_lines(findings))])
+    write_atomically(path, itertools.chain(["# validation report"], _text(report_lines(findings))))
 
 
 def write_baseline(findings: DataFrame, path: str) -> None:
-    write_atomically(path, [HEADER, *_text(baseline_lines(findings))])
+    write_atomically(path, itertools.chain(HEADER, _text(baseline_lines(findings))))
 
 
 def check_outputs(outputs: list[str], inputs: list[str]) -> None:
@@ -83,8 +85,36 @@ def triple_lines(triples: DataFrame) -> DataFrame:
     return triples.select("module", F.concat(term("s_nt"), F.lit(" "), iri_nt(F.col("p")), F.lit(" "), term("o_nt"), F.lit(" .")).alias("value"))
 
 
+#: A local name that needs no escape.
+_LOCAL = r"[A-Za-z_][A-Za-z0-9_-]*"
+
+
+def turtle_lines(triples: DataFrame, prefixes: dict[str, str]) -> DataFrame:
+    """(module, value): Turtle statements, a line each, with names shortened by the prefixes where that needs no escape."""
+
+    def short(term):
+        out = term
+        for name, start in sorted(prefixes.items(), key=lambda x: len(x[1])):  # the longest start that fits is tried first
+            out = F.when(term.rlike(f"^<{re.escape(start)}{_LOCAL}>$"), F.concat(F.lit(f"{name}:"), F.substring(term, len(start) + 2, 1 << 30).substr(F.lit(1), F.length(term) - len(start) - 2))).otherwise(out)
+        return out
+
+    own = triple_lines(triples).select("module", F.split("value", " ", 3).alias("t"))
+    statement = F.regexp_replace(F.get("t", F.lit(2)), r" \.$", "")
+    return own.select("module", F.concat(short(F.get("t", F.lit(0))), F.lit(" "), short(F.get("t", F.lit(1))), F.lit(" "), short(statement), F.lit(" .")).alias("value"))
+
+
+def _prefixes(path: str) -> dict[str, str]:
+    """The prefixes that a Turtle file binds, but those bound twice."""
+    found: dict[str, set[str]] = {}
+    with open(path, encoding="utf-8-sig") as lines:
+        for line in lines:
+            if m := re.match(r"\s*(?:@prefix|PREFIX)\s+([A-Za-z][A-Za-z0-9_-]*|):\s*<([A-Za-z][A-Za-z0-9+.-]*:[^>\\]*)>", line, re.IGNORECASE):
+                found.setdefault(m[1], set()).add(m[2])
+    return {name: next(iter(starts)) for name, starts in found.items() if len(starts) == 1}
+
+
 def publish_copies(before: DataFrame, after: DataFrame, files: dict[str, str], directory: str) -> list[str]:
-    """Copies of all modules in a new directory, written beside it and moved as a whole; unchanged modules keep their bytes, changed ones are N-Triples (which Turtle readers take). Gives the changed modules."""
+    """Copies of all modules in a new directory, written beside it and moved as a whole; unchanged modules keep their bytes, changed ones are in their own syntax, Turtle with the prefixes it had. Gives the changed modules."""
     target = Path(directory).absolute()
     if target.exists() and (not target.is_dir() or any(target.iterdir())):
         raise ValueError(f"the destination is not an empty directory: {directory}")
@@ -101,7 +131,13 @@ def publish_copies(before: DataFrame, after: DataFrame, files: dict[str, str], d
                 raise ValueError(f"module {module} has no place of its own in {directory}")
             copy.parent.mkdir(parents=True, exist_ok=True)
             if module in changed:
-                write_atomically(str(copy), _text(triple_lines(after.where(F.col("module") == module)).orderBy("value").select("value")))
+                own = after.where(F.col("module") == module)
+                if path.lower().endswith(".nt"):
+                    head, lines = [], triple_lines(own)
+                else:
+                    prefixes = _prefixes(path)
+                    head, lines = [f"@prefix {n}: <{i}> ." for n, i in sorted(prefixes.items())], turtle_lines(own, prefixes)
+                write_atomically(str(copy), itertools.chain(head, _text(lines.orderBy("value").select("value"))))
             else:
                 shutil.copyfile(path, copy)
         if target.exists():

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphwarden.functions.terms import IRI, OWL, RDF, RDFS, TYPE, tsv
+from graphwarden.functions.terms import IRI, OWL, RDF, RDFS, TYPE, iri_nt, tsv
 from graphwarden.operators.findings import FIELDS, INFO, VIOLATION, WARNING
 
-HEADER = "# baseline v2"
+#: Both lines of a baseline's header: its version, and the names of its columns.
+HEADER = ("# baseline v2", "# " + "\t".join(FIELDS))
+#: Predicates that state a term's roles in a manifest file.
+IS_CLASS, IS_PREDICATE = "urn:graphwarden:isClass", "urn:graphwarden:isPredicate"
 
 
 def manifest(vocabularies: DataFrame, namespaces: list[str]) -> DataFrame:
@@ -21,12 +24,18 @@ def manifest(vocabularies: DataFrame, namespaces: list[str]) -> DataFrame:
     return roles.where("is_class OR is_predicate")
 
 
-def manifest_from_support(triples: DataFrame, class_term: str, predicate_term: str) -> DataFrame:
+def manifest_from_support(triples: DataFrame, class_term: str = IS_CLASS, predicate_term: str = IS_PREDICATE) -> DataFrame:
     """The same table from triples that state the roles as true."""
     stated = triples.where(F.col("p").isin(class_term, predicate_term) & (F.col("o") == "true"))
     return stated.groupBy(F.col("s").alias("term")).agg(F.bool_or(F.col("p") == class_term).alias("is_class"), F.bool_or(F.col("p") == predicate_term).alias("is_predicate"))
 
 
+def manifest_lines(terms: DataFrame) -> DataFrame:
+    """(value): a manifest as N-Triples lines in order, which manifest_from_support() reads."""
+    roles = F.filter(F.array(F.when(F.col("is_class"), F.lit(IS_CLASS)), F.when(F.col("is_predicate"), F.lit(IS_PREDICATE))), lambda x: x.isNotNull())
+    return terms.select("term", F.explode(roles).alias("role")).select(F.concat(iri_nt(F.col("term")), F.lit(" "), iri_nt(F.col("role")), F.lit(' "true" .')).alias("value")).distinct().orderBy("value")
+
+
 def read_baseline(spark: SparkSession, path: str | None) -> DataFrame:
     """(signature) of the accepted violations; a line with fewer than two fields or an unknown severity is an error."""
     if path is None:

@@ -1,16 +1,18 @@
-"""Turtle and N-Triples: a strict parser, and readers that run it on executors, one file a task."""
+"""Turtle and N-Triples: strict readers that run on executors, a Turtle file in one task, N-Triples in lines."""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 from urllib.parse import urljoin
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphwarden.functions.terms import BNODE, IRI, LITERAL, RDF, TRIPLE_FIELDS, XSD, literal_nt, strict_fault
+from graphwarden.operators.closure import checkpointed
 
 _TOKEN = re.compile(
     r"""(?P<skip>\s+|\#[^\n\r]*)
@@ -47,8 +49,8 @@ def _unescape(text: str) -> str:
 class Parser:
     """Statements of one text. Blank nodes get the module's name, so they meet those of no other file."""
 
-    def __init__(self, text: str, base: str, module: str, triples_only: bool = False):
-        self.base, self.module, self.triples_only = base, module, triples_only
+    def __init__(self, text: str, base: str, module: str):
+        self.base, self.module = base, module
         self.prefixes: dict[str, str] = {}
         self.made = 0
         self.out: list[tuple] = []
@@ -220,15 +222,39 @@ def with_spelling(raw: DataFrame) -> DataFrame:
     return raw.withColumn("s_nt", s_nt).withColumn("o_nt", o_nt).select(*TRIPLE_FIELDS)
 
 
+#: Statements that one frame of a parsed file takes.
+ROWS = 50_000
+
+
+def _paths(spark: SparkSession, files: list[tuple[str, str]]) -> DataFrame:
+    """(path, module), with paths as Spark names them."""
+    named = spark.createDataFrame([(p if "://" in p or p.startswith("file:") else "file:" + p, m) for p, m in files], "path string, module string")
+    return named.withColumn("path", F.regexp_replace("path", "^file:/+", "file:/"))
+
+
 def read(spark: SparkSession, files: list[tuple[str, str]]) -> tuple[DataFrame, DataFrame]:
     """(triples, faults) of (path, module) files; a file with any fault gives no triples.
 
-    Files are read and parsed on executors (Turtle is sequential, so a file is one task's); strictness
-    covers lexical forms and the calendar. faults: (module, fault), one row for each bad file.
+    Files are read on executors: a Turtle file, which is sequential, by one task, N-Triples (suffix .nt)
+    line by line in as many as it has splits. Strictness covers lexical forms, ranges and the calendar.
+    faults: (module, fault), one row for each bad file.
     """
-    named = spark.createDataFrame([(p if "://" in p or p.startswith("file:") else "file:" + p, m) for p, m in files] or [("", "")], "path string, module string").where("path <> ''")
-    content = spark.read.format("binaryFile").load([p for p, _ in files]).select(F.regexp_replace("path", "^file:/+", "file:/").alias("path"), "content") if files else spark.createDataFrame([], "path string, content binary")
-    rows = content.join(named.withColumn("path", F.regexp_replace("path", "^file:/+", "file:/")), "path")
+    lines = [(p, m) for p, m in files if p.lower().endswith(".nt")]
+    others = [(p, m) for p, m in files if not p.lower().endswith(".nt")]
+    parts = [_turtle(spark, others)] if others else []
+    parts += [_ntriples(spark, lines)] if lines else []
+    parsed = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], RAW)
+    bad = (F.col("o_kind") == LITERAL) & strict_fault(F.col("o_dt"), F.col("o"))
+    # parsed and checked once: the table is read for faults and for triples
+    parsed = checkpointed(parsed.withColumn("fault", F.coalesce("fault", F.when(bad, F.concat(F.lit("ill-typed literal: "), F.col("o"))))))
+    faults = parsed.where("fault IS NOT NULL").groupBy("module").agg(F.min("fault").alias("fault"))
+    triples = with_spelling(parsed.where("fault IS NULL")).dropDuplicates()
+    return triples.join(F.broadcast(faults.select("module")), "module", "left_anti"), faults  # a row for each bad file
+
+
+def _turtle(spark: SparkSession, files: list[tuple[str, str]]) -> DataFrame:
+    content = spark.read.format("binaryFile").load([p for p, _ in files]).select(F.regexp_replace("path", "^file:/+", "file:/").alias("path"), "content")
+    rows = content.join(_paths(spark, files), "path")
 
     def run(batches):
         import pandas as pd
@@ -237,46 +263,68 @@ def read(spark: SparkSession, files: list[tuple[str, str]]) -> tuple[DataFrame,
             for path, content_, module in zip(pdf["path"], pdf["content"], pdf["module"], strict=True):
                 try:
                     found = parse(bytes(content_).decode("utf-8-sig"), path, module)
-                    yield pd.DataFrame([(module, *t, None) for t in found], columns=RAW.names)
+                    for i in range(0, len(found), ROWS):
+                        yield pd.DataFrame([(module, *t, None) for t in found[i : i + ROWS]], columns=RAW.names)
                 except (TurtleError, UnicodeDecodeError) as e:
                     yield pd.DataFrame([(module, *[None] * 7, str(e))], columns=RAW.names)
 
-    parsed = rows.select("path", "content", "module").mapInPandas(run, RAW)
-    bad = (F.col("o_kind") == LITERAL) & strict_fault(F.col("o_dt"), F.col("o"))
-    parsed = parsed.withColumn("fault", F.coalesce("fault", F.when(bad, F.concat(F.lit("ill-typed literal: "), F.col("o")))))
-    faults = parsed.where("fault IS NOT NULL").groupBy("module").agg(F.min("fault").alias("fault"))
-    triples = with_spelling(parsed.where("fault IS NULL")).dropDuplicates()
-    return triples.join(F.broadcast(faults.select("module")), "module", "left_anti"), faults
-
-
-def read_ntriples(spark: SparkSession, path: str, module: str) -> DataFrame:
-    """N-Triples by Spark's own text reader: a file of any size is split, and nothing runs in Python."""
-    line = F.trim("value")
-    term = r"(<[^>]*>|_:\S+)"
-    pattern = rf"^{term}\s*(<[^>]*>)\s*(<[^>]*>|_:[^\s.]+(?:\.[^\s.]+)*|\"(?:[^\"\\]|\\.)*\"(?:@[A-Za-z0-9\-]+|\^\^<[^>]*>)?)\s*\.\s*(?:#.*)?$"
-    lines = spark.read.text(path).where((line != "") & ~line.startswith("#"))
-    parts = lines.select(*[F.regexp_extract(line, pattern, k).alias(n) for k, n in ((1, "s_nt"), (2, "p_nt"), (3, "o_nt"))], "value")
-    checked = parts.withColumn("s_nt", F.when(F.col("s_nt") == "", F.raise_error(F.concat(F.lit("not a statement: "), F.col("value")))).otherwise(F.col("s_nt")))
-
-    def inner(c):
-        return F.expr(f"substring({c}, 2, length({c}) - 2)")
-
-    blank = F.concat(F.lit(module + "#"), F.expr("substring(o_nt, 3)"))
-    literal = F.col("o_nt").startswith('"')
-    lang = F.regexp_extract("o_nt", r"\"@([A-Za-z0-9\-]+)$", 1)
-    dt = F.regexp_extract("o_nt", r"\"\^\^<([^>]*)>$", 1)
-    body = F.regexp_extract("o_nt", r"(?s)^\"(.*)\"(?:@[A-Za-z0-9\-]+|\^\^<[^>]*>)?$", 1)
-    text = body
-    for code, char in (("\\\\", "\x00"), ('\\"', '"'), ("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t"), ("\x00", "\\")):
-        text = F.replace(text, F.lit(code), F.lit(char))
-    raw = checked.select(
-        F.lit(module).alias("module"),
-        F.when(F.col("s_nt").startswith("_:"), F.concat(F.lit(module + "#"), F.expr("substring(s_nt, 3)"))).otherwise(inner("s_nt")).alias("s"),
-        F.when(F.col("s_nt").startswith("_:"), BNODE).otherwise(IRI).alias("s_kind"),
-        inner("p_nt").alias("p"),
-        F.when(literal, text).when(F.col("o_nt").startswith("_:"), blank).otherwise(inner("o_nt")).alias("o"),
-        F.when(literal, LITERAL).when(F.col("o_nt").startswith("_:"), BNODE).otherwise(IRI).alias("o_kind"),
-        F.when(~literal, "").when(lang != "", RDF + "langString").when(dt != "", dt).otherwise(XSD + "string").alias("o_dt"),
+    return rows.select("path", "content", "module").mapInPandas(run, RAW)
+
+
+_IRI = r"<(?:[^\x00-\x20<>\"{}|^`\\]|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8})*>"
+_BLANK = r"_:[\p{L}\p{N}_](?:[\p{L}\p{N}_.\-\u00b7]*[\p{L}\p{N}_\-\u00b7])?"
+_TEXT = r"\"(?:[^\"\\\n\r]|\\[tbnrf\"'\\]|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8})*\""
+_LINE = rf"^[ \t]*({_IRI}|{_BLANK})[ \t]*({_IRI})[ \t]*({_IRI}|{_BLANK}|{_TEXT}(?:@[A-Za-z]+(?:-[A-Za-z0-9]+)*|\^\^{_IRI})?)[ \t]*\.[ \t]*(?:#.*)?$"
+
+
+def unescaped(text: Column) -> Column:
+    """N-Triples escapes undone. Between two escaped backslashes, and after a `\\u`, a piece has no other one's start in it."""
+
+    def points(piece: Column, mark: str, size: int, charset: str) -> Column:
+        def joined(pieces: Column) -> Column:
+            rest = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), lambda x: F.concat(F.decode(F.unhex(F.substring(x, 1, size)), charset), F.substr(x, F.lit(size + 1))))
+            return F.concat(F.get(pieces, F.lit(0)), F.array_join(rest, ""))
+
+        return F.transform(F.array(F.split(piece, mark)), joined)[0]  # the pieces are made once
+
+    def plain(piece: Column) -> Column:
+        for code, char in (("t", "\t"), ("b", "\b"), ("n", "\n"), ("r", "\r"), ("f", "\f"), ('"', '"'), ("'", "'")):
+            piece = F.replace(piece, F.lit("\\" + code), F.lit(char))
+        # characters beyond the first plane are written as one \U
+        return points(points(piece, r"\\u", 4, "UTF-16BE"), r"\\U", 8, "UTF-32")
+
+    return F.when(~text.contains("\\"), text).otherwise(F.array_join(F.transform(F.split(text, r"\\\\"), plain), "\\"))
+
+
+def _ntriples(spark: SparkSession, files: list[tuple[str, str]]) -> DataFrame:
+    """Rows of RAW, by Spark's own text reader: a file of any size is split, and nothing runs in Python. A line that is no statement is a fault of its module."""
+    read_ = spark.read.option("lineSep", "\n").text([p for p, _ in files]).select(F.regexp_replace("value", "\r$", "").alias("value"), F.regexp_replace(F.input_file_name(), "^file:/+", "file:/").alias("path"))
+    lines = read_.join(F.broadcast(_paths(spark, files)), "path").where(~F.col("value").rlike(r"^[ \t]*(#.*)?$"))  # a row for each file
+    parts = lines.select("module", "value", *[F.regexp_extract("value", _LINE, k).alias(n) for k, n in ((1, "s"), (2, "p"), (3, "o"))])
+    good, literal = F.col("s") != "", F.col("o").startswith('"')
+    suffix = rf"^{_TEXT}(?:@([A-Za-z0-9\-]+)|\^\^(<.*>))?$"
+    lang, dt = F.regexp_extract("o", suffix, 1), F.regexp_extract("o", suffix, 2)
+
+    def iri(c: Column) -> Column:
+        return unescaped(F.substr(c, F.lit(2), F.length(c) - 2))
+
+    def node(c: Column) -> Column:
+        return F.when(c.startswith("_:"), F.concat("module", F.lit("#"), F.substr(c, F.lit(3)))).otherwise(iri(c))
+
+    def kind(c: Column) -> Column:
+        return F.when(c.startswith("_:"), BNODE).otherwise(IRI)
+
+    body = F.regexp_extract("o", rf"^({_TEXT})", 1)
+    relative = F.array_contains(F.transform(F.array("s", "p", F.when(~literal, F.col("o")).otherwise(dt)), lambda x: x.startswith("<") & ~x.rlike(r"^<[A-Za-z][A-Za-z0-9+.\-]*:")), True)
+    fault = F.when(~good, F.concat(F.lit("no statement: "), "value")).when(relative, F.concat(F.lit("relative IRI: "), "value"))
+    return parts.select(
+        "module",
+        F.when(good, node(F.col("s"))).alias("s"),
+        kind(F.col("s")).alias("s_kind"),
+        F.when(good, iri(F.col("p"))).alias("p"),
+        F.when(literal, unescaped(F.substr(body, F.lit(2), F.length(body) - 2))).when(good, node(F.col("o"))).alias("o"),
+        F.when(literal, LITERAL).otherwise(kind(F.col("o"))).alias("o_kind"),
+        F.when(~literal, "").when(lang != "", RDF + "langString").when(dt != "", iri(dt)).otherwise(XSD + "string").alias("o_dt"),
         F.when(literal, F.lower(lang)).otherwise("").alias("o_lang"),
+        fault.alias("fault"),
     )
-    return with_spelling(raw).dropDuplicates()

@@ -1,10 +1,13 @@
 """Files of triples through validation and repair, by small modules written for each case."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from graphwarden import cli, sinks
+from graphwarden.functions.terms import strict_fault
 from graphwarden.operators import repair as rp
-from graphwarden.operators.closure import checkpointed, closure
+from graphwarden.operators.bnodes import colours
+from graphwarden.operators.closure import checkpointed, closure, cyclic_nodes, reached_pairs
 from graphwarden.plans.profiles import Context, broadest, registry, rule_count
 from graphwarden.plans.validation import local_findings, validate
 from graphwarden.sources import files, tables, turtle
@@ -69,7 +72,7 @@ def test_equal_findings_keep_their_number(data):
     run = data.run("core", b="[] skos:preflabel 'x' . [] skos:preflabel 'x' .")
     rows = run.findings.collect()
     assert len(rows) == 2 and len({r.signature for r in rows}) == 2 and len({r.value for r in rows}) == 1
-    assert rows[0].value.startswith("_:sha256-")
+    assert rows[0].value.startswith("_:c")
 
 
 def test_a_bad_literal_fails_its_module_alone(data):
@@ -149,11 +152,65 @@ def test_turtle_syntax():
 
 
 def test_ntriples_agree_with_turtle(spark, tmp_path):
-    lines = '<urn:a> <urn:p> "x\\"\\n\\\\n"@en .\n# note\n_:b <urn:p> <urn:c> .\n<urn:a> <urn:p> "1"^^<http://www.w3.org/2001/XMLSchema#integer> .\n<urn:a> <urn:q> _:b .\n'
+    lines = '<urn:a> <urn:p> "x\\"\\n\\\\n\\t\\b\\f\\u00e9\\U0001F600\\\\u0041"@en .\n# note\n_:b <urn:p> <urn:c\\u00e9> . # more\r\n\n<urn:a> <urn:p> "1"^^<http://www.w3.org/2001/XMLSchema#integer> .\n<urn:a> <urn:q> _:b .\n<urn:a><urn:q>"" .\n'
     (tmp_path / "t.nt").write_text(lines)
-    a = turtle.read_ntriples(spark, str(tmp_path / "t.nt"), "m").collect()
-    b = turtle.read(spark, [(str(tmp_path / "t.nt"), "m")])[0].collect()
-    assert sorted(a) == sorted(b) and len(a) == 4
+    (tmp_path / "t.ttl").write_text(lines)
+    a, faults = turtle.read(spark, [(str(tmp_path / "t.nt"), "m")])
+    b = turtle.read(spark, [(str(tmp_path / "t.ttl"), "m")])[0]
+    assert sorted(a.collect()) == sorted(b.collect()) and a.count() == 5 and faults.isEmpty()
+    assert 'x"\n\\n\t\b\f\u00e9\U0001F600\\u0041' in {r.o for r in a.collect()}
+    for i, bad in enumerate(("@prefix p: <urn:p:> . p:a p:b 'x' , 'y' .", "<urn:a> <urn:b> 1 .", "<urn:a> <b> <urn:c> .", "<urn:a> <urn:b> <urn:c>", '<urn:a> <urn:b> "x\\q" .', "<urn:a> <urn:b> 'x' .")):
+        (tmp_path / f"bad{i}.nt").write_text("<urn:a> <urn:b> <urn:c> .\n" + bad + "\n")
+    t, faults = turtle.read(spark, [(str(tmp_path / f"bad{i}.nt"), f"m{i}") for i in range(6)] + [(str(tmp_path / "t.nt"), "m")])
+    assert sorted(r.module for r in faults.collect()) == [f"m{i}" for i in range(6)] and t.count() == 5
+
+
+def test_strict_datatypes(spark):
+    good = {"int": "-0012", "long": "9223372036854775807", "unsignedByte": "255", "byte": "-128", "nonNegativeInteger": "-0", "positiveInteger": "+" + "9" * 60, "negativeInteger": "-1", "gYear": "-0044", "gYearMonth": "1940-12Z", "gMonthDay": "--02-29", "gDay": "---31", "gMonth": "--12", "time": "24:00:00", "duration": "P1Y2M3DT4H5M6.7S", "dayTimeDuration": "-PT1S", "yearMonthDuration": "P1Y", "hexBinary": "0aFF", "base64Binary": "YWI=", "language": "en-GB", "token": "a b", "NCName": "a-b", "float": "-INF", "dateTimeStamp": "1940-01-01T00:00:00Z", "anyURI": "x y"}
+    bad = {"int": "abc", "long": "9223372036854775808", "unsignedByte": "-1", "byte": "128", "nonNegativeInteger": "-" + "9" * 60, "positiveInteger": "0", "negativeInteger": "0", "gYear": "x", "gYearMonth": "1940-13", "gMonthDay": "--02-30", "gDay": "---32", "gMonth": "--13", "time": "25:00:00", "duration": "P", "dayTimeDuration": "P1Y", "yearMonthDuration": "P1D", "hexBinary": "0aF", "base64Binary": "YWI", "language": "e_n", "token": " a", "NCName": "a:b", "float": "1,5", "dateTimeStamp": "1940-01-01T00:00:00", "unsignedLong": "18446744073709551616", "date": "1940-02-30"}
+    xsd = "http://www.w3.org/2001/XMLSchema#"
+    rows = spark.createDataFrame([(xsd + k, v, w) for w, given in ((False, good), (True, bad)) for k, v in given.items()], "dt string, o string, want boolean")
+    assert [tuple(r) for r in rows.where(strict_fault(F.col("dt"), F.col("o")) != F.col("want")).collect()] == []
+
+
+def test_blank_nodes_by_colours(spark):
+    def named(*rows):
+        frame = spark.createDataFrame([("m", s, s.startswith("_"), p, o, o.startswith("_")) for s, p, o in rows], "scope string, s string, s_blank boolean, p string, o string, o_blank boolean")
+        return {r.node: r.colour for r in colours(frame).collect()}
+
+    a = named(("_a", "p", "x"), ("_b", "p", "x"), ("_c", "p", "y"), ("_d", "q", "_c"), ("_e", "q", "_a"))
+    assert a["_a"] != a["_b"] != a["_c"] and a["_d"] != a["_e"]  # _a is pointed at, _b is not
+    b = named(("_1", "p", "y"), ("_2", "q", "_1"))
+    assert {b["_1"], b["_2"]} <= set(named(("_9", "q", "_8"), ("_8", "p", "y")).values())
+    ring = named(*[(f"_{i}", "p", f"_{(i + 1) % 8}") for i in range(8)])
+    assert len(set(ring.values())) == 1
+    assert len(set(named(*[(f"_{i}", "p", f"_{j}") for i in range(9) for j in range(9) if i != j]).values())) == 1  # a clique, in no time
+
+
+def test_cycles_against_brute_force(spark):
+    import random
+
+    rng = random.Random(5)
+    for case in range(4):
+        n = (12, 30, 60, 40)[case]
+        edges = {(rng.randrange(n), rng.randrange(n)) for _ in range((14, 33, 66, 90)[case])}
+        if case == 2:
+            edges |= {(100 + i, 101 + i) for i in range(40)} | {(140, 100)} | {(200 + i, 201 + i) for i in range(40)} | {(1, 300), (300, 301), (301, 1)}
+        want = set(edges)
+        while more := {(a, d) for a, b in want for c, d in edges if b == c} - want:
+            want |= more
+        frame = spark.createDataFrame([("m", str(a), str(b)) for a, b in edges], "scope string, a string, b string")
+        for local in ((10**6, 0), (10**6,), (10**6, 20), (5,))[case]:
+            assert {int(r.node) for r in cyclic_nodes(frame, local).collect()} == {a for a, b in want if a == b}
+        pairs = spark.createDataFrame([("m", str(rng.randrange(n)), str(rng.randrange(n))) for _ in range(50)], "scope string, a string, b string")
+        assert {(int(r.a), int(r.b)) for r in reached_pairs(frame, pairs).collect()} == {(int(r.a), int(r.b)) for r in pairs.collect()} & want
+
+
+def test_a_long_chain_ends(spark):
+    chain = spark.range(100_000).select(F.lit("m").alias("scope"), F.col("id").cast("string").alias("a"), (F.col("id") + 1).cast("string").alias("b"))
+    assert cyclic_nodes(chain, 20_000).isEmpty()
+    ring = chain.unionByName(spark.createDataFrame([("m", "100000", "0")], chain.schema))
+    assert cyclic_nodes(ring, 20_000).count() == 100_001
 
 
 def test_closure_against_brute_force(spark):
@@ -213,6 +270,34 @@ def test_cli(data, tmp_path, capsys):
     assert cli.main(["validate", "--vocabulary", str(tmp_path / "vocabulary.ttl"), "--data", str(tmp_path / "out"), "--profile", "core"]) == 0
     assert cli.main(["repair", *common, "--all-automatic", "--apply", "--output-dir", str(tmp_path / "out")]) == 2
     assert cli.main(["validate", *common[:2], "--data", str(tmp_path / "none")]) == 2
+    kept = (tmp_path / "out" / "a.ttl").read_text()
+    assert "@prefix skos: <http://www.w3.org/2004/02/skos/core#> ." in kept and "e:a skos:prefLabel \"l\"@en ." in kept
+    (tmp_path / "bad.tsv").write_text("abc\n")
+    capsys.readouterr()
+    for baseline in ("bad.tsv", "missing.tsv"):  # a broken baseline is bad input, no violation
+        assert cli.main(["validate", *common, "--profile", "core", "--baseline", str(tmp_path / baseline)]) == 2
+    assert capsys.readouterr().err.count("error:") == 2
+    assert (tmp_path / "b.tsv").read_text().splitlines()[1].startswith("# signature\tseverity\trule")
+    manifest = str(tmp_path / "known.nt")
+    assert cli.main(["manifest", "--vocabulary", str(tmp_path / "vocabulary.ttl"), "--output", manifest]) == 0
+    assert cli.main(["manifest", "--vocabulary", str(tmp_path / "vocabulary.ttl"), "--output", manifest, "--check"]) == 0
+    assert cli.main(["validate", "--manifest", manifest, "--data", str(source), "--root", str(source), "--profile", "core", "--baseline", str(tmp_path / "b.tsv"), "--cross-module", "--store", str(tmp_path / "store")]) == 0
+    told = capsys.readouterr()
+    assert "DuplicateIdentifier: 1 focus nodes" in told.err and "union rule DuplicateIdentifier" in told.out and "peak driver heap" in told.out
+    (tmp_path / "known.nt").write_text("")
+    assert cli.main(["manifest", "--vocabulary", str(tmp_path / "vocabulary.ttl"), "--output", manifest, "--check"]) == 1
+    assert cli.main(["validate", *common, "--store", str(tmp_path / "s2")]) == 2
+
+
+def test_catalog_of_repairs(data):
+    define = "<urn:r:1> a <urn:graphwarden:Repair> ; <urn:graphwarden:rule> <urn:graphwarden:rule:KnownVocabularyTerm> ; <urn:graphwarden:bad> skos:preflabel ; <urn:graphwarden:replacement> skos:prefLabel {more}."
+    read = rp.read_catalog(data.read(c=define.format(more='; <urn:graphwarden:profile> "skos" '))[0])
+    assert [(r.id, r.rule, r.bad.rsplit("#")[-1], r.replacement.rsplit("#")[-1], r.profile) for r in read] == [("urn:r:1", "<urn:graphwarden:rule:KnownVocabularyTerm>", "preflabel", "prefLabel", "skos")]
+    for more in ("; <urn:graphwarden:bad> skos:other ", '; <urn:graphwarden:safety> "Manual" ', "; <urn:graphwarden:profile> skos:x "):
+        with pytest.raises(ValueError):
+            rp.read_catalog(data.read(c=define.format(more=more))[0])
+    with pytest.raises(ValueError, match="without"):
+        rp.read_catalog(data.read(c="<urn:r:1> a <urn:graphwarden:Repair> .")[0])
 
 
 def test_registry():
