@@ -11,12 +11,14 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphwarden.functions.terms import CRM, DCT, RDFS, SKOS, TYPE, XSD
+from graphwarden.functions.terms import CRM, DCT, RDFS, SKOS, TYPE, XSD, strict_fault, tsv
 from graphwarden.operators import closure as paths
 from graphwarden.operators import findings as fd
 from graphwarden.operators import repair as rp
 from graphwarden.operators import rules
-from graphwarden.sinks import report_lines
+from graphwarden.operators.bnodes import colours
+from graphwarden.sinks import provenance_lines, report_lines, triple_lines, turtle_lines
+from graphwarden.sources import turtle
 from graphwarden.sources.lift import EX, blank, iri, table, triples
 from graphwarden.sources.tables import baseline_lines, manifest
 
@@ -368,13 +370,238 @@ def repair_delta(spark, sf_dir):
     return deleted.withColumn("change", F.lit("deleted")).unionByName(added.withColumn("change", F.lit("added"))).select("change", *rp.KEY)
 
 
-@query("SELECT DISTINCT 'm' AS source_module, '<urn:graphwarden:rule:KnownVocabularyTerm>' AS rule, path, value FROM (SELECT '<" + SKOS + "' || event_type || '>' AS path, '<" + EX + "user/' || user_id || '>' AS value FROM events WHERE event_type = 'signup')")
+# the same with a replacement that is no known term either: it brings violations that were not there
+_WORSE = rp.Repair("urn:graphwarden:repair:worse", RULE, SKOS + "error", SKOS + "made")
+
+
+@query(
+    f"""SELECT DISTINCT 'm' AS source_module, '{RULE}' AS rule, '<{SKOS}made>' AS path, '<{EX}user/' || user_id || '>' AS value FROM events WHERE event_type = 'error'"""
+)
 def repair_regression(spark, sf_dir):
-    """What is left of violations when the repair has run; none of them is new."""
+    """Violations that a repair brings in."""
     listed = spark.createDataFrame([(SKOS + k, False, True) for k in KNOWN], "term string, is_class boolean, is_predicate boolean")
-    after = rp.rewritten(modules(event_terms(spark, sf_dir)), _REPAIR).withColumnRenamed("module", "scope")
+    after = rp.rewritten(modules(event_terms(spark, sf_dir)), _WORSE).withColumnRenamed("module", "scope")
     left = fd.signed(fd.bag(rules.known_terms(after, listed), RULE, fd.VIOLATION, COMPONENT, "Unknown term"))
-    return left.join(fd.signed(event_findings(spark, sf_dir)).select("signature"), "signature", "left_semi").select("source_module", "rule", "path", "value").distinct()
+    return fd.regressions(left, fd.signed(event_findings(spark, sf_dir))).select("source_module", "rule", "path", "value").distinct()
+
+
+def event_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events' terms in five modules."""
+    e = table(spark, sf_dir, "events")
+    return modules(triples(e, iri("user", "user_id"), F.concat(F.lit(SKOS), F.col("event_type")), iri("event", "event_id"), scope=F.concat(F.lit("m"), (F.col("event_id") % 5).cast("string"))))
+
+
+@query("SELECT DISTINCT 'm' || (event_id % 5) AS module FROM events WHERE event_type = 'error' AND event_id % 5 > 1")
+def repair_uncorresponding(spark, sf_dir):
+    """Modules where a repair matches and no finding stands for it: only the findings of two modules are given."""
+    t = event_modules(spark, sf_dir)
+    bag = fd.bag(rules.known_terms(t.where("module < 'm2'").withColumnRenamed("module", "scope"), spark.createDataFrame([(SKOS + k, False, True) for k in KNOWN], "term string, is_class boolean, is_predicate boolean")), RULE, fd.VIOLATION, COMPONENT, "")
+    return rp.uncorresponding(rp.matches(t, _REPAIR.bad), bag, _REPAIR)
+
+
+def typed_or_linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users linked to the bad term by a predicate that the bad term stands for, and by a type that is the bad term."""
+    e = table(spark, sf_dir, "events").where("event_type = 'error'")
+    linked = triples(e.where("event_id % 2 = 0"), iri("user", "user_id"), SKOS + "error", F.when(F.col("event_id") % 4 == 0, SKOS + "error").otherwise(SKOS + "click"))
+    return modules(union(linked, triples(e.where("event_id % 2 = 1"), iri("user", "user_id"), TYPE, F.lit(SKOS + "error"))))
+
+
+_LINKED = f"""l AS (SELECT DISTINCT 'm' AS module, '<{EX}user/' || user_id || '>' AS s_nt, CASE event_id % 2 WHEN 0 THEN '{SKOS}error' ELSE '{TYPE}' END AS p,
+  CASE event_id % 4 WHEN 2 THEN '<{SKOS}click>' ELSE '<{SKOS}error>' END AS o_nt FROM events WHERE event_type = 'error'),
+r AS (SELECT module, s_nt, CASE WHEN p = '{SKOS}error' THEN '{SKOS}click' ELSE p END AS p, CASE WHEN o_nt = '<{SKOS}error>' THEN '<{SKOS}click>' ELSE o_nt END AS o_nt FROM l)"""
+
+
+@query(f"WITH {_LINKED} SELECT module, s_nt, p, o_nt FROM r GROUP BY ALL HAVING count(*) > 1")
+def repair_merging(spark, sf_dir):
+    """Statements that two matches would both become."""
+    return rp.merging(rp.replaced(rp.matches(typed_or_linked(spark, sf_dir), _REPAIR.bad), _REPAIR))
+
+
+@query(f"WITH {_LINKED} SELECT DISTINCT 'deleted' AS change, * FROM l UNION ALL SELECT DISTINCT 'added', * FROM r WHERE (module, s_nt, p, o_nt) NOT IN (SELECT (module, s_nt, p, o_nt) FROM l)")
+def repair_expected(spark, sf_dir):
+    t = typed_or_linked(spark, sf_dir)
+    found = rp.matches(t, _REPAIR.bad)
+    deleted, added = rp.expected(t, found, rp.replaced(found, _REPAIR))
+    return deleted.withColumn("change", F.lit("deleted")).unionByName(added.withColumn("change", F.lit("added"))).select("change", *rp.KEY)
+
+
+@query(
+    f"""WITH {_LINKED}, is_ AS (SELECT module, s_nt, CASE WHEN p = '{SKOS}error' THEN '{SKOS}click' ELSE p END AS p, CASE WHEN p = '{TYPE}' THEN '<{SKOS}click>' ELSE o_nt END AS o_nt FROM l)
+SELECT 'unexpected' AS fault, * FROM (SELECT * FROM is_ EXCEPT SELECT * FROM l EXCEPT SELECT * FROM r) UNION ALL SELECT 'missing', * FROM (SELECT * FROM r EXCEPT SELECT * FROM l EXCEPT SELECT * FROM is_)"""
+)
+def repair_exactness(spark, sf_dir):
+    """Where the update adds other statements than expected: an object that is the bad IRI is none of its business."""
+    t = typed_or_linked(spark, sf_dir)
+    found = rp.matches(t, _REPAIR.bad)
+    _, want = rp.expected(t, found, rp.replaced(found, _REPAIR))
+    _, is_ = rp.delta(t, rp.rewritten(t, _REPAIR))
+    return union(is_.subtract(want).withColumn("fault", F.lit("unexpected")), want.subtract(is_).withColumn("fault", F.lit("missing"))).select("fault", *rp.KEY)
+
+
+@query(f"WITH {_LINKED} SELECT * FROM l UNION ALL SELECT module, s_nt, p, o_nt FROM (SELECT DISTINCT * FROM r) WHERE (module, s_nt, p, o_nt) NOT IN (SELECT (module, s_nt, p, o_nt) FROM l)")
+def repair_unmet(spark, sf_dir):
+    """What a repair that was not run leaves open: bad statements, and replacements that are not there."""
+    t = typed_or_linked(spark, sf_dir)
+    new = rp.replaced(rp.matches(t, _REPAIR.bad), _REPAIR).dropDuplicates(rp.KEY)
+    return rp.unmet(t, new, _REPAIR)
+
+
+_ERRORS = f"""SELECT DISTINCT 'm' || (event_id % 5) AS source_module, '{_REPAIR.id}' AS repair_id, '{RULE}' AS rule_id, '<{EX}user/' || user_id || '>' AS s, '<{SKOS}error>' AS p_before, '<{EX}event/' || event_id || '>' AS o_before,
+  '<{SKOS}click>' AS p_after, '<{EX}event/' || event_id || '>' AS o_after, true AS replacement_added FROM events WHERE event_type = 'error'"""
+
+
+def event_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = event_modules(spark, sf_dir)
+    return rp.records(t, rp.replaced(rp.matches(t, _REPAIR.bad), _REPAIR), _REPAIR)
+
+
+@query(f"SELECT row_number() OVER (ORDER BY {', '.join(rp.CHANGE_FIELDS)}) AS rank, * FROM ({_ERRORS})")
+def repair_changes(spark, sf_dir):
+    return fd.ranked(event_changes(spark, sf_dir), *rp.CHANGE_FIELDS)
+
+
+_DASH, _RDF = "http://datashapes.org/dash#", TYPE.removesuffix("type")
+_CHANGE_ID = "sha256(" + " || chr(31) || ".join(c if c != "replacement_added" else "'true'" for c in rp.CHANGE_FIELDS) + ")"
+
+
+def _graph(role: str, p: str, o: str) -> str:
+    node = f"'<urn:graphwarden:{role}:' || id || '>"
+    return f"UNION SELECT me || ' <{_DASH}{role}Triple> ' || {node} .' FROM c UNION SELECT {node} <{_RDF}subject> ' || s || ' .' FROM c UNION SELECT {node} <{_RDF}predicate> ' || {p} || ' .' FROM c UNION SELECT {node} <{_RDF}object> ' || {o} || ' .' FROM c"
+
+
+@query(
+    f"""WITH i AS (SELECT {_CHANGE_ID} AS id, * FROM ({_ERRORS})), c AS (SELECT *, '<urn:graphwarden:change:' || id || '>' AS me FROM i)
+SELECT '<urn:graphwarden:run:r> <{TYPE}> <urn:graphwarden:RepairRun> .' AS value UNION SELECT '<urn:graphwarden:run:r> <urn:graphwarden:update> ' || me || ' .' FROM c UNION SELECT me || ' <{TYPE}> <{_DASH}GraphUpdate> .' FROM c
+UNION SELECT me || ' <urn:graphwarden:repair> <' || repair_id || '> .' FROM c {_graph("deleted", "p_before", "o_before")} {_graph("added", "p_after", "o_after")}"""
+)
+def provenance_sink(spark, sf_dir):
+    return provenance_lines(event_changes(spark, sf_dir), "r")
+
+
+@query(f"SELECT DISTINCT 'm' || (event_id % 5) AS module, '<{EX}user/' || user_id || '> s:' || event_type || ' <{EX}event/' || event_id || '> .' AS value FROM events")
+def copy_sink(spark, sf_dir):
+    """Turtle lines of repaired copies; names that would need an escape are written out."""
+    return turtle_lines(event_modules(spark, sf_dir), {"t": EX, "s": SKOS, "w": "http://www.w3.org/"})
+
+
+# ordered output
+
+
+@query(f"WITH {_EVENT_FINDINGS} SELECT row_number() OVER (ORDER BY signature, source_module, message) AS rank, * FROM signed")
+def ordered_findings(spark, sf_dir):
+    return fd.ranked(fd.signed(event_findings(spark, sf_dir)), "signature", "source_module", "message")
+
+
+@query(f"WITH {_EVENT_FINDINGS} SELECT * FROM signed ORDER BY signature, source_module, message LIMIT 20")
+def first_findings(spark, sf_dir):
+    return fd.ordered(fd.signed(event_findings(spark, sf_dir))).limit(20)
+
+
+# uses of terms as classes, and their declarations
+
+
+def _listed(spark: SparkSession, classes: list[str], predicates: list[str]) -> DataFrame:
+    return spark.createDataFrame([(c, True, False) for c in classes] + [(p, False, True) for p in predicates], "term string, is_class boolean, is_predicate boolean")
+
+
+@query(f"SELECT DISTINCT 'm' AS scope, '{AUDIT}' AS focus, '<{SKOS}' || event_type || '>' AS path, '<{EX}user/' || user_id || '>' AS value, 'Unknown standard vocabulary term {SKOS}' || event_type || ' used by {EX}user/' || user_id AS message FROM events WHERE event_type NOT IN ('click', 'purchase', 'view')")
+def known_classes(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    t = triples(e, iri("user", "user_id"), TYPE, F.concat(F.lit(SKOS), F.col("event_type")))
+    return shown(rules.known_terms(t, _listed(spark, [SKOS + k for k in KNOWN], [TYPE])))
+
+
+@query(
+    f"""SELECT DISTINCT 'm' AS scope, '{AUDIT}' AS focus, '<{TYPE}>' AS path, '<{SKOS}' || event_type || '>' AS value, 'Unknown standard vocabulary term {SKOS}' || event_type || ' used by {SKOS}' || event_type AS message
+FROM events WHERE (event_id % 2 = 0 AND event_type <> 'click') OR (event_id % 2 = 1 AND event_type <> 'view')"""
+)
+def known_declarations(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    t = triples(e, F.concat(F.lit(SKOS), F.col("event_type")), TYPE, F.when(F.col("event_id") % 2 == 0, RDFS + "Class").otherwise(_RDF + "Property")).distinct()
+    return shown(rules.known_terms(t, _listed(spark, [SKOS + "click", RDFS + "Class", _RDF + "Property"], [SKOS + "view", TYPE])))
+
+
+# targets and shapes
+
+
+@query(f"SELECT 'm' || k AS scope, '<{EX}nation/7>' AS focus, '<{EX}region>' AS path, '' AS value, '' AS message FROM (SELECT DISTINCT n_nationkey % 4 AS k FROM nation) WHERE k <> 3")
+def target_node(spark, sf_dir):
+    """The modules that say nothing about one node's region."""
+    n = table(spark, sf_dir, "nation")
+    t = triples(n, iri("nation", "n_nationkey"), EX + "region", iri("region", "n_regionkey"), scope=F.concat(F.lit("m"), (F.col("n_nationkey") % 4).cast("string")))
+    return shown(rules.min_count(t, rules.target_node(t, EX + "nation/7"), EX + "region"))
+
+
+@query(
+    f"""WITH RECURSIVE below AS (SELECT p_partkey AS k FROM part WHERE p_partkey // 5 = 3 UNION SELECT p_partkey FROM part JOIN below ON p_partkey // 5 = k)
+SELECT DISTINCT 'm' AS scope, '<{EX}line/' || l_orderkey || '-' || l_linenumber || '>' AS focus FROM lineitem WHERE l_partkey IN (SELECT k FROM below) OR l_partkey = 3"""
+)
+def target_subclass(spark, sf_dir):
+    """Lines whose part is of one class or of a class below it."""
+    parts, lines = table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem")
+    below = triples(parts, iri("part", "p_partkey"), RDFS + "subClassOf", iri("part", F.floor(F.col("p_partkey") / 5)))
+    t = union(below, triples(lines, iri("line", F.concat_ws("-", "l_orderkey", "l_linenumber")), TYPE, iri("part", "l_partkey")))
+    return rules.target_class(t, EX + "part/3")
+
+
+@query(
+    f"""WITH v AS (SELECT DISTINCT o_custkey AS c, o_orderkey AS o FROM orders WHERE o_orderkey % 2 = 0), n AS (SELECT c_custkey AS c, count(o) AS n FROM customer LEFT JOIN v ON c = c_custkey GROUP BY 1)
+SELECT 'm' AS scope, 'MinCount' AS component, '<{EX}customer/' || c || '>' AS focus, '<{EX}ordered>' AS path, '' AS value FROM n WHERE n = 0
+UNION ALL SELECT 'm', 'MaxCount', '<{EX}customer/' || c || '>', '<{EX}ordered>', '' FROM n WHERE n > 1
+UNION ALL SELECT 'm', 'NodeKind', '<{EX}customer/' || c || '>', '<{EX}ordered>', '"{EX}order/' || o || '"' FROM v WHERE o % 4 = 0"""
+)
+def property_shape(spark, sf_dir):
+    """One property of every customer with its three components: an order, once, and an IRI."""
+    customers, orders = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders").where("o_orderkey % 2 = 0")
+    who, what = iri("customer", "o_custkey"), iri("order", "o_orderkey")
+    t = union(triples(customers, iri("customer", "c_custkey"), TYPE, F.lit(EX + "Customer")), triples(orders.where("o_orderkey % 4 = 0"), who, EX + "ordered", what, literal=True), triples(orders.where("o_orderkey % 4 <> 0"), who, EX + "ordered", what))
+    target = rules.target_class(t, EX + "Customer")
+    parts = (("MinCount", rules.min_count), ("MaxCount", rules.max_count), ("NodeKind", rules.node_kind_iri))
+    return union(*(check(t, target, EX + "ordered").select("scope", F.lit(name).alias("component"), "focus", "path", "value") for name, check in parts))
+
+
+# terms
+
+
+@query("SELECT '_:" + EX + "order/' || o_orderkey AS node, count(*) OVER (PARTITION BY o_custkey, o_orderkey % 3) AS alike FROM (SELECT DISTINCT o_orderkey, o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+def blank_colours(spark, sf_dir):
+    """How many blank nodes have the name of each: those with a like customer, and a like blank node behind them."""
+    o = table(spark, sf_dir, "orders").where("o_custkey IS NOT NULL").select("o_orderkey", "o_custkey").distinct()
+    node, ring = F.concat(F.lit("_:"), iri("order", "o_orderkey")), F.concat(F.lit("_:"), iri("behind", "o_orderkey"))
+
+    def said(s, p, x, blank_):
+        return o.select(F.lit("m").alias("scope"), s.alias("s"), F.lit(True).alias("s_blank"), F.lit(p).alias("p"), x.alias("o"), F.lit(blank_).alias("o_blank"))
+
+    statements = union(said(node, "customer", iri("customer", "o_custkey"), False), said(node, "behind", ring, True), said(ring, "third", iri("third", F.col("o_orderkey") % 3), False))
+    found = colours(statements)
+    alike = found.groupBy("colour").agg(F.count("*").alias("alike"))
+    return found.where(F.col("node").contains("order/")).join(alike, "colour").select("node", "alike")
+
+
+@query(r"SELECT doc_id, replace(replace(replace(replace(text, '\', '\\'), chr(9), '\t'), chr(13), '\r'), chr(10), '\n') AS field FROM documents")
+def tsv_field(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", tsv(F.col("text")).alias("field"))
+
+
+@query(f"SELECT DISTINCT '{EX}doc/' || doc_id AS s, text AS o, lang AS o_lang FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL")
+def ntriples_round_trip(spark, sf_dir):
+    """Texts written as N-Triples lines and read from them."""
+    d = table(spark, sf_dir, "documents")
+    t = triples(d, iri("doc", "doc_id"), SKOS + "note", F.col("text"), literal=True, datatype="", lang=F.col("lang")).where("o_lang IS NOT NULL")
+    lines = triple_lines(t.withColumnRenamed("scope", "module")).select("module", "value")
+    return turtle.statements(lines).where("fault IS NULL").select("s", "o", "o_lang").distinct()
+
+
+@query(
+    """SELECT event_id, k, o, CASE k WHEN 0 THEN user_id > 127 WHEN 1 THEN true WHEN 2 THEN false WHEN 3 THEN event_id % 10 = 0 ELSE event_id % 10 = 4 END AS fault FROM (
+SELECT event_id, user_id, event_id % 5 AS k, CASE event_id % 5 WHEN 0 THEN CAST(user_id AS VARCHAR) WHEN 1 THEN '-' || (user_id + 1) WHEN 2 THEN strftime(ts, '%Y-%m') WHEN 3 THEN '000' || user_id ELSE CASE WHEN event_id % 10 = 4 THEN '--02-30' ELSE '--02-29' END END AS o FROM events)"""
+)
+def strict_literals(spark, sf_dir):
+    """Whether a strict parser refuses: bytes, whole numbers of one sign, months of years, days of years."""
+    e, k = table(spark, sf_dir, "events"), F.col("event_id") % 5
+    o = F.when(k == 0, F.col("user_id").cast("string")).when(k == 1, F.concat(F.lit("-"), (F.col("user_id") + 1).cast("string"))).when(k == 2, F.date_format("ts", "yyyy-MM")).when(k == 3, F.concat(F.lit("000"), F.col("user_id").cast("string"))).otherwise(F.when(F.col("event_id") % 10 == 4, "--02-30").otherwise("--02-29"))
+    dt = F.when(k == 0, XSD + "byte").when(k == 1, XSD + "nonNegativeInteger").when(k == 2, XSD + "gYearMonth").when(k == 3, XSD + "unsignedLong").otherwise(XSD + "gMonthDay")
+    return e.select("event_id", k.alias("k"), o.alias("o"), strict_fault(dt, o).alias("fault"))
 
 
 @query(f"SELECT DISTINCT '\"' || {_ESCAPED} || '\"@' || lang AS term, sha256('\"' || {_ESCAPED} || '\"@' || lang) AS digest FROM documents WHERE text IS NOT NULL")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphwarden.functions.terms import SH, sha256
+from graphwarden.operators.closure import checkpointed
 
 FIELDS = ("signature", "severity", "rule", "constraint_component", "focus", "path", "value", "source_module", "message")
 VIOLATION, WARNING, INFO = f"<{SH}Violation>", f"<{SH}Warning>", f"<{SH}Info>"
@@ -48,3 +49,12 @@ def severity_counts(findings: DataFrame) -> DataFrame:
 
 def ordered(findings: DataFrame) -> DataFrame:
     return findings.orderBy("signature", "source_module", "message")
+
+
+def ranked(rows: DataFrame, *order: str) -> DataFrame:
+    """rows with rank, their number in the order given: a sort by ranges, whose tasks' rows are numbered behind those of the tasks before."""
+    numbered = checkpointed(rows.orderBy(*order).withColumn("__at", F.monotonically_increasing_id()))
+    task = F.shiftright("__at", 33)
+    sizes = numbered.groupBy(task.alias("__task")).agg(F.count("*").alias("n"))
+    before = sizes.withColumn("__before", F.sum("n").over(Window.orderBy("__task")) - F.col("n")).drop("n")  # a row for each task
+    return numbered.withColumn("__task", task).join(F.broadcast(before), "__task").withColumn("rank", F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).select("rank", *rows.columns)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphwarden.functions.terms import DCT, IRI, OWL, RDF, RDFS, SKOS, TRIPLE_FIELDS, TYPE, iri_nt
+from graphwarden.operators.findings import regressions
 
 
 class RepairRejected(ValueError):
@@ -122,6 +123,36 @@ def same_set(a: DataFrame, b: DataFrame) -> bool:
     return a.subtract(b).isEmpty() and b.subtract(a).isEmpty()
 
 
+def uncorresponding(found: DataFrame, findings: DataFrame, repair: Repair) -> DataFrame:
+    """(module): modules with a match, but without a finding of the repair's rule about the bad IRI."""
+    named = findings.where((F.col("rule") == repair.rule) & (F.col("path") == f"<{repair.bad}>")).select(F.col("source_module").alias("module")).distinct()
+    return found.select("module").distinct().join(named, "module", "left_anti")
+
+
+def merging(new: DataFrame) -> DataFrame:
+    """Replacements that two matches would share."""
+    return new.groupBy(*KEY).count().where("count > 1").select(*KEY)
+
+
+def expected(t: DataFrame, found: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(deleted, added) statements that the matches and their replacements call for; what is there already is not added."""
+    return found.select(*KEY), new.select(*KEY).subtract(t.select(*KEY))
+
+
+def unmet(after: DataFrame, new: DataFrame, repair: Repair) -> DataFrame:
+    """Statements that still have the bad IRI, and replacements that are missing."""
+    return matches(after, repair.bad).select(*KEY).unionByName(new.select(*KEY).join(after.select(*KEY), KEY, "left_anti"))
+
+
+CHANGE_FIELDS = ("source_module", "repair_id", "rule_id", "s", "p_before", "o_before", "p_after", "o_after", "replacement_added")
+
+
+def records(t: DataFrame, new: DataFrame, repair: Repair) -> DataFrame:
+    """CHANGE_FIELDS of each replaced statement."""
+    had = t.select(*KEY).distinct().withColumn("had", F.lit(True))
+    return new.join(had, KEY, "left").select(F.col("module").alias("source_module"), F.lit(repair.id).alias("repair_id"), F.lit(repair.rule).alias("rule_id"), F.col("s_nt").alias("s"), iri_nt(F.col("p_before")).alias("p_before"), F.col("o_nt_before").alias("o_before"), iri_nt(F.col("p")).alias("p_after"), F.col("o_nt").alias("o_after"), F.col("had").isNull().alias("replacement_added"))
+
+
 @dataclass
 class RepairResult:
     triples: DataFrame
@@ -129,9 +160,6 @@ class RepairResult:
     applied: list[Repair]
 
 
-CHANGE_FIELDS = ("source_module", "repair_id", "rule_id", "s", "p_before", "o_before", "p_after", "o_after", "replacement_added")
-
-
 def apply(t: DataFrame, repairs: list[Repair], validate: Callable[[DataFrame], DataFrame], cut: Callable[[DataFrame], DataFrame]) -> RepairResult:
     """Apply the repairs one after another with all guards; RepairRejected if any fails, and then nothing holds.
 
@@ -145,30 +173,22 @@ def apply(t: DataFrame, repairs: list[Repair], validate: Callable[[DataFrame], D
         found = cut(matches(now, repair.bad))
         if found.isEmpty():
             continue
-        named = before.where((F.col("rule") == repair.rule) & (F.col("path") == f"<{repair.bad}>")).select(F.col("source_module").alias("module")).distinct()
-        if not found.select("module").distinct().join(named, "module", "left_anti").isEmpty():
+        if not uncorresponding(found, before, repair).isEmpty():
             raise RepairRejected(f"{repair.id}: no finding corresponds to a match")
-        new = replaced(found, repair)
-        if not new.groupBy(*KEY).count().where("count > 1").isEmpty():
+        new = cut(replaced(found, repair))
+        if not merging(new).isEmpty():
             raise RepairRejected(f"{repair.id}: two statements would become one")
-        present = now.select(*KEY).join(new.select(*KEY), KEY, "left_semi")
-        expected_added = new.select(*KEY).subtract(present)
         after = cut(rewritten(now, repair))
-        deleted, added = delta(now, after)
-        if not same_set(deleted, found.select(*KEY)) or not same_set(added, expected_added):
+        if not all(same_set(is_, want) for is_, want in zip(delta(now, after), expected(now, found, new), strict=True)):
             raise RepairRejected(f"{repair.id}: the update does not do exactly what is expected")
-        if not matches(after, repair.bad).isEmpty() or not new.select(*KEY).join(after, KEY, "left_anti").isEmpty():
+        if not unmet(after, new, repair).isEmpty():
             raise RepairRejected(f"{repair.id}: the bad IRI remains, or a replacement is missing")
-        had = present.withColumn("had", F.lit(True)).distinct()
-        rows = new.join(had, KEY, "left").select(F.col("module").alias("source_module"), F.lit(repair.id).alias("repair_id"), F.lit(repair.rule).alias("rule_id"), F.col("s_nt").alias("s"), iri_nt(F.col("p_before")).alias("p_before"), F.col("o_nt_before").alias("o_before"), iri_nt(F.col("p")).alias("p_after"), F.col("o_nt").alias("o_after"), F.col("had").isNull().alias("replacement_added"))
+        rows = records(now, new, repair)
         changes = cut(rows) if changes is None else cut(changes.unionByName(rows))
         now = after
         applied.append(repair)
-    if applied:
-        from graphwarden.operators.findings import regressions
-
-        if not regressions(validate(now), before).isEmpty():
-            raise RepairRejected("the repairs introduce a new violation")
+    if applied and not regressions(validate(now), before).isEmpty():
+        raise RepairRejected("the repairs introduce a new violation")
     if changes is None:
         changes = start.sparkSession.createDataFrame([], ", ".join(f"{c} {'boolean' if c == 'replacement_added' else 'string'}" for c in CHANGE_FIELDS))
     return RepairResult(now, changes.orderBy(*CHANGE_FIELDS), applied)

@@ -271,9 +271,10 @@ def _turtle(spark: SparkSession, files: list[tuple[str, str]]) -> DataFrame:
     return rows.select("path", "content", "module").mapInPandas(run, RAW)
 
 
-_IRI = r"<(?:[^\x00-\x20<>\"{}|^`\\]|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8})*>"
+# possessive, so that a long text costs no stack
+_IRI = r"<(?:[^\x00-\x20<>\"{}|^`\\]|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8})*+>"
 _BLANK = r"_:[\p{L}\p{N}_](?:[\p{L}\p{N}_.\-\u00b7]*[\p{L}\p{N}_\-\u00b7])?"
-_TEXT = r"\"(?:[^\"\\\n\r]|\\[tbnrf\"'\\]|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8})*\""
+_TEXT = r"\"(?:[^\"\\\n\r]|\\[tbnrf\"'\\]|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8})*+\""
 _LINE = rf"^[ \t]*({_IRI}|{_BLANK})[ \t]*({_IRI})[ \t]*({_IRI}|{_BLANK}|{_TEXT}(?:@[A-Za-z]+(?:-[A-Za-z0-9]+)*|\^\^{_IRI})?)[ \t]*\.[ \t]*(?:#.*)?$"
 
 
@@ -297,9 +298,14 @@ def unescaped(text: Column) -> Column:
 
 
 def _ntriples(spark: SparkSession, files: list[tuple[str, str]]) -> DataFrame:
-    """Rows of RAW, by Spark's own text reader: a file of any size is split, and nothing runs in Python. A line that is no statement is a fault of its module."""
+    """Rows of RAW, by Spark's own text reader: a file of any size is split, and nothing runs in Python."""
     read_ = spark.read.option("lineSep", "\n").text([p for p, _ in files]).select(F.regexp_replace("value", "\r$", "").alias("value"), F.regexp_replace(F.input_file_name(), "^file:/+", "file:/").alias("path"))
-    lines = read_.join(F.broadcast(_paths(spark, files)), "path").where(~F.col("value").rlike(r"^[ \t]*(#.*)?$"))  # a row for each file
+    return statements(read_.join(F.broadcast(_paths(spark, files)), "path"))  # a row for each file
+
+
+def statements(text: DataFrame) -> DataFrame:
+    """Rows of RAW from N-Triples lines (module, value). A line that is no statement is a fault of its module."""
+    lines = text.where(~F.col("value").rlike(r"^[ \t]*(#.*)?$"))
     parts = lines.select("module", "value", *[F.regexp_extract("value", _LINE, k).alias(n) for k, n in ((1, "s"), (2, "p"), (3, "o"))])
     good, literal = F.col("s") != "", F.col("o").startswith('"')
     suffix = rf"^{_TEXT}(?:@([A-Za-z0-9\-]+)|\^\^(<.*>))?$"
