@@ -186,6 +186,46 @@ def test_near_duplicates(docs, texts, spark):
     assert got == near_by_brute_force(rows, 3, 85)
 
 
+def test_near_duplicates_of_repeated_rows(spark):
+    rng = random.Random(4)
+    words = [[str(rng.randrange(10**6)) for _ in range(80)] for _ in range(4)]
+    near = [[*w[:79], "x"] for w in words]
+    rows = [(5, words[0]), (5, words[1]), (5, words[2]), (7, near[0]), (8, near[1]), (9, near[2]), (9, near[2]), (3, words[3]), (None, words[3]), (11, words[0][:20])]
+    frame = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(frame, 3, 85).collect()), key=str)
+    assert got == sorted([(i, {None: None, 3: 3, 11: 11}.get(i, 5), i in (None, 3, 5, 11)) for i, _ in rows], key=str)
+
+
+def test_near_duplicates_close_to_the_threshold(spark):
+    """Every pair from the threshold to a little above is found."""
+    rng = random.Random(14)
+    rows, want = [], set()
+    for i in range(500):
+        w = [str(rng.randrange(10**7)) for _ in range(rng.randint(100, 300))]
+        v = list(w)
+        while True:
+            a, b = (set(zip(x, x[1:], x[2:], strict=False)) for x in (w, v))
+            if 100 * len(a & b) < 90 * len(a | b):
+                break
+            v[rng.randrange(len(v))] = str(rng.randrange(10**7))
+        if 100 * len(a & b) >= 85 * len(a | b):
+            want.add(2 * i)
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(v))]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).where("NOT kept").collect()
+    assert {r.component_id for r in got} == want and len(want) > 400
+
+
+def test_a_hot_key_is_not_replicated(spark):
+    n = 100_000
+    members = spark.range(n).select(F.lit(1).alias("key"), F.lit(n).alias("n"), F.lit(0).alias("band"), F.col("id").alias("rep"), F.col("id").alias("h1"))
+    assert minhash._in_blocks(members).count() <= n + 49
+    labelled = members.withColumn("label", F.when(F.col("rep") < 500, F.col("rep")).otherwise(F.lit(500)))
+    rows = minhash._in_meetings(labelled)
+    assert rows.count() == n - 500 + 500 * 50  # one block outside the largest component meets itself and 49 inside
+    met = {(r.ci, r.cj) for r in rows.select("ci", "cj").distinct().collect()}
+    assert met == {(0, k) for k in range(50)}
+
+
 def test_quality_held_out(spark):
     rows = queries.op3_quality_classifier(spark, DATA).join(spark.read.parquet(f"{DATA}/labels.parquet"), "doc_id").where("held_out").collect()
     assert sum(r.predicted == r.quality for r in rows) >= 0.93 * len(rows)
