@@ -5,8 +5,10 @@ binned statistics (second-order logistic loss) from a bounded sample of labelled
 arrays of a complete binary tree, and traversed for all rows of a batch at once.
 
 Rows: null and empty texts have all statistics 0 and get a score like any other; labels that are null
-are not learned from, and of several labels for one document the least counts; without labels every
-score is 0.5. Repeated doc_ids are scored row by row. Other columns are not read.
+are not learned from, and of several labels for one document the least counts, as does the least text of a
+doc_id that repeats; without labels every score is 0.5. Repeated doc_ids are scored row by row, a null
+doc_id passes through, texts of any length count whole, an empty table gives no rows. Other columns
+are not read.
 """
 
 from __future__ import annotations
@@ -207,7 +209,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     picked = labels.where(F.col("doc_id").isNotNull() & F.col("label").isNotNull()).groupBy("doc_id").agg(F.min("label").cast("int").alias("label"))
     picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     # sample_rows ids at most, 12 bytes each: small enough to broadcast whatever the corpus
-    rows = id_text(docs).join(F.broadcast(picked), "doc_id").select("text", "label")
+    rows = id_text(docs).join(F.broadcast(picked), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("text", "label")
     got = _statistics_frame(rows).collect()
     x = np.array([r.x for r in got], np.float32).reshape(len(got), len(FEATURES))
     y = np.array([r.label for r in got], float)
