@@ -119,6 +119,28 @@ def words(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
+#: Bytes whose words are hashed at once; a piece ends at white space, so a longer word makes a longer piece.
+WORD_BYTES = 1 << 20
+
+
+def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word of the joined documents, and the word's document; a hash takes some 40 bytes a byte of text, so long texts go in pieces."""
+    hashes, docs, lo = [], [], 0
+    while lo < len(data):
+        hi = min(lo + WORD_BYTES, len(data))
+        while hi < len(data) and not IS_SPACE[data[hi]]:
+            gap = np.flatnonzero(IS_SPACE[data[hi : hi + WORD_BYTES]])
+            hi = hi + int(gap[0]) if len(gap) else min(hi + WORD_BYTES, len(data))
+        inside = off[(off > lo) & (off < hi)] - lo
+        ws, we = words(data[lo:hi], np.concatenate([[0], inside]))
+        hashes.append(range_hashes(prefix_sums(BYTE_CODE[data[lo:hi]]), ws, we))
+        docs.append(np.searchsorted(off, ws + lo, "right") - 1)
+        lo = hi
+    if not hashes:
+        return np.zeros(0, U64), np.zeros(0, np.int64)
+    return np.concatenate(hashes), np.concatenate(docs)
+
+
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct word shingles of each document, as sorted 64-bit hashes.
 
@@ -130,10 +152,8 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.n
     base = offsets[0]
     data = LOWER[data[base : offsets[-1]]]
     off = offsets - base
-    ws, we = words(data, off[:-1])
-    doc = np.searchsorted(off, ws, "right") - 1
+    h, doc = word_hashes(data, off)
     n_words = np.bincount(doc, minlength=n_docs).astype(np.int64)
-    h = range_hashes(prefix_sums(BYTE_CODE[data]), ws, we)
     first = np.concatenate([[0], np.cumsum(n_words)])
     seq = prefix_sums(h)
     whole = range_hashes(seq, first[:-1], first[1:])

@@ -46,10 +46,49 @@ def test_every_operator_takes_odd_rows(spark):
         pii.digest,
         suffix_dedup.remove_repeats,
     ]
-    for run in runs:
-        assert run(frame).count() == len(ODD)
-        assert run(empty).count() == 0
-    assert packing.pack(frame).select(F.sum("length")).first()[0] > 0 and packing.pack(empty).count() == 0
+    found = [run(frame).collect() for run in runs]
+    for run, rows in zip(runs, found, strict=True):
+        assert len(rows) == len(ODD) and run(empty).count() == 0
+    lang, near, quality, secret, tokens, rules, leaks, personal, repeats = found
+    none = hashlib.sha256(b"").hexdigest()
+
+    def of(rows, *fields):
+        return sorted((tuple(r[f] for f in ("doc_id", *fields)) for r in rows), key=str)
+
+    def keyed(values):
+        return sorted(((i, *values(i, t)) for i, t in ODD), key=str)
+
+    assert of(lang, "lang_pred") == keyed(lambda i, t: ("en" if re.search("[a-z]", t or "") else "und",))
+    assert all((r.score == 0) == (r.lang_pred == "und") for r in lang)
+    sizes = {**dict.fromkeys((1, 2, 3), 0), 4: 1, 6: 1, 7: 1}
+    assert of(near, "component_id", "kept") == keyed(lambda i, t: ({7: 6}.get(i, i), i != 7))
+    assert all(r.n_shingles == sizes.get(r.doc_id, 3 if r.n_shingles == 3 else 1) for r in near)
+    assert len({r.score for r in quality if r.doc_id in (1, 2)}) == 1 and all(r.predicted == int(r.score >= 0.3) for r in quality)
+    assert of(secret, "n_assign", "n_access", "n_hex", "base_sha256", "spans") == keyed(lambda i, t: (0, 0, int(i in (6, 7)), hashlib.sha256(b"hex:0:30000").hexdigest() if i in (6, 7) else none, "hex:0:30000" if i in (6, 7) else ""))
+    assert of(tokens, "n_chars") == keyed(lambda i, t: (len(t or ""),)) and all((r.n_tokens == 0) == (r.n_chars == 0) for r in tokens)
+    assert of(rules, "n_words", "base_failed", "kept") == keyed(lambda i, t: (len((t or "").split()), True, False))
+    assert of(leaks, "contaminated", "n_items") == keyed(lambda i, t: (False, 0))
+    assert of(personal, "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans") == keyed(lambda i, t: (0, 0, 0, 0, none, ""))
+    plain = [(i, t or "") for i, t in ODD if i is not None]
+    assert sorted(tuple(r) for r in repeats if r.doc_id is not None and r.doc_id != 4) == [r for r in repeats_by_brute_force(plain) if r[0] != 4]
+    assert [tuple(r) for r in repeats if r.doc_id is None] == [(None, 5, 0, 0, hashlib.sha256(b"no id").hexdigest())]
+    pieces = packing.pack(frame).collect()
+    assert collections.Counter(r.doc_id for r in pieces if r.start == 0) == collections.Counter(i for i, _ in ODD) and packing.pack(empty).count() == 0
+    assert sum(r.length for r in pieces) == sum(r.n_tokens + 1 for r in tokens) and all(r.doc_tokens == 1 for r in pieces if r.doc_id in (1, 2))
+
+
+def test_words_in_pieces(monkeypatch):
+    import pyarrow as pa
+
+    from graphwarden.llm import textbatch
+
+    rng = random.Random(3)
+    rows = ["".join(rng.choice("abc  \n\té") for _ in range(rng.randint(0, 60))) for _ in range(80)] + ["x" * 300, "", "a b " * 50]
+    data, offsets, _ = textbatch.buffers(pa.array(rows))
+    want = textbatch.shingle_sets(data, offsets, 3)
+    for size in (1, 7, 64):
+        monkeypatch.setattr(textbatch, "WORD_BYTES", size)
+        assert all((a == b).all() for a, b in zip(textbatch.shingle_sets(data, offsets, 3), want, strict=True))
 
 
 def test_language_held_out(spark, docs):
