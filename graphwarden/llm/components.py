@@ -9,29 +9,27 @@ no more than a round.
 from __future__ import annotations
 
 import atexit
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphwarden.operators.closure import shared_folder
+
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df, written to the folder in spark.checkpoint.dir; a folder is set here only where none is (a local run)."""
+    """df, written to the shared folder: lineage ends there."""
     spark: SparkSession = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "graphwarden-checkpoints"))
+        context.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
 
 
 def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder, read back: columns are compressed there, which checkpoint() does not do. The folder goes when the session's Python ends."""
     spark: SparkSession = df.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "graphwarden-checkpoints")
-    path = f"{shared.rstrip('/')}/table-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
