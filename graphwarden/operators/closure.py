@@ -19,7 +19,8 @@ def shared_folder(spark) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return os.path.join(tempfile.gettempdir(), "graphwarden-checkpoints")
 

@@ -20,6 +20,9 @@ from graphwarden.plans.profiles import Context, Rule, component, registry, rule_
 #: Called with (rule, None, focus nodes) when a rule begins, and (rule, seconds, findings) when its findings are made.
 Progress = Callable[[str, float | None, int], None]
 
+#: Shares in which a support graph is dealt to scopes.
+SHARES = 64
+
 
 class PeakHeap:
     """The most heap that the driver's JVM was seen to use, in MiB, by a thread that looks now and then."""
@@ -45,12 +48,13 @@ class PeakHeap:
 
 
 def scoped(triples: DataFrame, support: DataFrame | None, union: bool) -> DataFrame:
-    """Distinct triples by scope, with the support graph in every scope: its statements are dealt to the scopes by a join on one constant key, and neither side is broadcast unseen."""
+    """Distinct triples by scope, with the support graph in every scope: its statements meet the scopes by a join on SHARES shares of them, and neither side is broadcast unseen."""
     cols = [c for c in TRIPLE_FIELDS if c != "module"]
     own = triples.select((F.lit(UNION) if union else F.col("module")).alias("scope"), *cols)
     if support is not None:
-        scopes = own.select("scope").distinct().withColumn("every", F.lit(1))
-        own = own.unionByName(support.select(*cols).withColumn("every", F.lit(1)).join(scopes, "every").select("scope", *cols))
+        scopes = own.select("scope").distinct().withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
+        dealt = support.select(*cols).withColumn("share", F.pmod(F.xxhash64("s_nt", "p", "o_nt"), F.lit(SHARES)).cast("int"))
+        own = own.unionByName(dealt.join(scopes, "share").select("scope", *cols))
     return own.distinct()
 
 

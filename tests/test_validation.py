@@ -117,6 +117,13 @@ def test_baseline_round_trip(data, tmp_path, spark):
         tables.read_baseline(spark, str(tmp_path / "bad.tsv")).collect()
 
 
+def test_support_is_in_every_scope(data):
+    triples, _ = data.read(a="e:x skos:broader e:y .", b="e:z skos:broader e:w .")
+    support, _ = data.read(s="e:y skos:broader e:x . e:w skos:broader e:z .")
+    run = validate(triples, triples.select("module", "module").limit(0).toDF("module", "fault"), data.context(), "skos", support=support)
+    assert sorted((r.source_module, r.rule.rsplit(":", 1)[-1]) for r in run.findings.collect()) == [(m, "BroaderCycle>") for m in ("a.ttl", "a.ttl", "b.ttl", "b.ttl")]
+
+
 def test_report_is_deterministic_and_parses(data, tmp_path):
     for name in ("r1.nt", "r2.nt"):
         sinks.write_report(data.run("core", a="e:c skos:preflabel 'x\"\\n' .").findings, str(tmp_path / name))
