@@ -13,13 +13,16 @@ are not read.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphwarden.llm.textbatch import BYTE_CODE, LOWER, buffers, id_text, prefix_sums, range_hashes, slices, words
+from graphwarden.llm import textbatch
+from graphwarden.llm.textbatch import BYTE_CODE, LOWER, buffers, id_text, prefix_sums, range_hashes, slices, word_parts
 
 #: The bound of the training sample, in labelled rows (those with the least hash of doc_id).
 SAMPLE_ROWS = 20_000
@@ -68,6 +71,25 @@ def _counts(doc: np.ndarray, hashes: np.ndarray, n: int) -> tuple[np.ndarray, np
     return distinct, top, repeated
 
 
+def _lines(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Document and hash of each line that is not empty, in lower case."""
+    if len(raw) > textbatch.WORD_BYTES:  # long texts line by line
+        docs, hashes = [], []
+        for d, (lo, hi) in enumerate(zip(off[:-1].tolist(), off[1:].tolist(), strict=True)):
+            own = [int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little") for x in LOWER[raw[lo:hi]].tobytes().split(b"\n") if x]
+            hashes.append(np.array(own, np.uint64))
+            docs.append(np.full(len(own), d))
+        return np.concatenate(docs), np.concatenate(hashes)
+    cut = np.flatnonzero(raw == 10)
+    ls = np.unique(np.concatenate([off[:-1][np.diff(off) > 0], cut + 1]))
+    ls = ls[ls < len(raw)]
+    doc = np.searchsorted(off, ls, "right") - 1
+    le = np.minimum(np.append(ls[1:], len(raw)), off[doc + 1])
+    le = le - (raw[le - 1] == 10) if len(le) else le
+    full = le > ls
+    return doc[full], range_hashes(prefix_sums(BYTE_CODE[LOWER[raw]]), ls[full], le[full])
+
+
 def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """FEATURES of each document, one row each."""
     n = len(offsets) - 1
@@ -75,25 +97,29 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     off = offsets - offsets[0]
     size = np.diff(off).astype(float)
 
-    kind = np.repeat(np.arange(n, dtype=np.int32) * 9, np.diff(off)) + _KIND[raw]
-    shares = np.bincount(kind, minlength=9 * n).reshape(n, 9) / np.maximum(size, 1)[:, None]
+    kinds = np.zeros((n, 9), np.int64)
+    hashes, docs, lengths = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+    closing = np.zeros(256, bool)
+    closing[list(b".,;:!?")] = True
+    for piece, lo, ws, we in word_parts(raw, off):  # what is kept of a piece is its words' alone
+        rows = np.arange(np.searchsorted(off, lo, "right") - 1, np.searchsorted(off, lo + len(piece), "left"))
+        size_in = np.diff(np.clip(off[rows[0] : rows[-1] + 2], lo, lo + len(piece)))
+        of = np.repeat(np.arange(len(rows), dtype=np.int32) * 9, size_in) + _KIND[piece]
+        kinds[rows] += np.bincount(of, minlength=9 * len(rows)).reshape(-1, 9)
+        low = LOWER[piece]
+        # closing marks do not belong to the word
+        end = we.copy()
+        for _ in range(2):
+            end = end - ((end - ws > 1) & closing[low[end - 1]] if len(end) else np.zeros(0, bool))
+        hashes.append(range_hashes(prefix_sums(BYTE_CODE[low]), ws, end))
+        docs.append(np.searchsorted(off, ws + lo, "right") - 1)
+        lengths.append((we - ws).astype(float))
+    h, doc, length = np.concatenate(hashes), np.concatenate(docs), np.concatenate(lengths)
+    shares = kinds / np.maximum(size, 1)[:, None]
     upper, lower, digits, symbols, bangs, bars, high, space = shares[:, 1:].T
-    ws, we = words(raw, off[:-1])
-    doc = np.searchsorted(off, ws, "right") - 1
     n_words = np.bincount(doc, minlength=n).astype(float)
-    length = (we - ws).astype(float)
     mean = np.bincount(doc, weights=length, minlength=n) / np.maximum(n_words, 1)
     spread = np.sqrt(np.maximum(np.bincount(doc, weights=length**2, minlength=n) / np.maximum(n_words, 1) - mean**2, 0))
-    low = LOWER[raw]
-    sums = prefix_sums(BYTE_CODE[low])
-    # closing marks do not belong to the word
-    end = we.copy()
-    closing = np.zeros(256, bool)
-    closing[list(b".,;:!?")] = True
-    for _ in range(2):
-        trim = (end - ws > 1) & closing[low[end - 1]] if len(end) else np.zeros(0, bool)
-        end = end - trim
-    h = range_hashes(sums, ws, end)
     stops = np.bincount(doc, weights=np.isin(h, _STOPS), minlength=n)
     distinct, top, _ = _counts(doc, h, n)
     if len(h) >= 3:
@@ -104,16 +130,9 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         windows = np.bincount(doc[at], minlength=n)
     else:
         again = windows = np.zeros(n)
-    # lines
-    cut = np.flatnonzero(raw == 10)
-    ls = np.unique(np.concatenate([off[:-1][size > 0], cut + 1]))
-    ls = ls[ls < len(raw)]
-    ldoc = np.searchsorted(off, ls, "right") - 1
-    le = np.minimum(np.append(ls[1:], len(raw)), off[ldoc + 1])
-    le = le - (raw[le - 1] == 10) if len(le) else le
-    full = le > ls
-    lines, _, same = _counts(ldoc[full], range_hashes(sums, ls[full], le[full]), n)
-    n_lines = np.bincount(ldoc[full], minlength=n).astype(float)
+    ldoc, line = _lines(raw, off)
+    lines, _, same = _counts(ldoc, line, n)
+    n_lines = np.bincount(ldoc, minlength=n).astype(float)
     w1 = np.maximum(n_words, 1)
     return np.column_stack(
         [np.log1p(size), np.log1p(n_words), mean, spread, np.log1p(n_lines), n_words / np.maximum(n_lines, 1), upper, lower, digits, symbols, bangs, bars, stops / w1, high, same / np.maximum(n_lines, 1), distinct / w1, top / w1, again / np.maximum(windows, 1), space]

@@ -123,21 +123,25 @@ def words(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 WORD_BYTES = 1 << 20
 
 
-def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of each word of the joined documents, and the word's document; a hash takes some 40 bytes a byte of text, so long texts go in pieces."""
-    hashes, docs, lo = [], [], 0
+def word_parts(data: np.ndarray, off: np.ndarray):
+    """(piece of the joined documents, where it begins, start and end of its words): vectors over bytes are no longer than a piece."""
+    lo = 0
     while lo < len(data):
         hi = min(lo + WORD_BYTES, len(data))
         while hi < len(data) and not IS_SPACE[data[hi]]:
             gap = np.flatnonzero(IS_SPACE[data[hi : hi + WORD_BYTES]])
             hi = hi + int(gap[0]) if len(gap) else min(hi + WORD_BYTES, len(data))
         inside = off[(off > lo) & (off < hi)] - lo
-        ws, we = words(data[lo:hi], np.concatenate([[0], inside]))
-        hashes.append(range_hashes(prefix_sums(BYTE_CODE[data[lo:hi]]), ws, we))
-        docs.append(np.searchsorted(off, ws + lo, "right") - 1)
+        yield data[lo:hi], lo, *words(data[lo:hi], np.concatenate([[0], inside]))
         lo = hi
-    if not hashes:
-        return np.zeros(0, U64), np.zeros(0, np.int64)
+
+
+def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word of the joined documents, and the word's document; a hash takes some 40 bytes a byte of text, so long texts go in pieces."""
+    hashes, docs = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
+    for piece, lo, ws, we in word_parts(data, off):
+        hashes.append(range_hashes(prefix_sums(BYTE_CODE[piece]), ws, we))
+        docs.append(np.searchsorted(off, ws + lo, "right") - 1)
     return np.concatenate(hashes), np.concatenate(docs)
 
 

@@ -309,7 +309,7 @@ def score_by_loops(model, x):
     return 1 / (1 + np.exp(-raw))
 
 
-def test_quality_against_loops(spark, docs, texts):
+def test_quality_against_loops(spark, docs, texts, monkeypatch):
     rng = random.Random(6)
     made = ["", None, "A", "a b", "one two three one two three.", "Stop. The, and | | ! of\n\nThe, and\n\tx\n", "é😀 des über\n" * 30, "X" * 5000, "w " * 3000]
     rows = [(i, t) for i, t in enumerate([*made, *(t for _, t in texts[:150]), *("".join(rng.choice("aB1 .,|#!\n\té") for _ in range(rng.randint(0, 80))) for _ in range(300))])]
@@ -319,7 +319,11 @@ def test_quality_against_loops(spark, docs, texts):
 
     data, offsets, _ = buffers(pa.array([t for _, t in rows]))
     want = np.array([statistics_by_loops(t) for _, t in rows])
-    assert np.allclose(quality_model.statistics(data, offsets), want, rtol=1e-3, atol=1e-3)
+    from graphwarden.llm import textbatch
+
+    for size in (1, 50, textbatch.WORD_BYTES):
+        monkeypatch.setattr(textbatch, "WORD_BYTES", size)
+        assert np.allclose(quality_model.statistics(data, offsets), want, rtol=1e-3, atol=1e-3)
     labels = spark.read.parquet(f"{DATA}/labels.parquet").select("doc_id", F.col("quality").alias("label"))
     model = quality_model.train(docs, labels)
     x = quality_model.statistics(data, offsets)
