@@ -1,6 +1,7 @@
 """Quality rules: a table of thresholds compiled into one projection of built-in functions.
 
 All counts are whole numbers and all rules compare whole numbers, so no rounding decides a row.
+3-word windows are compared by a 64-bit hash of their words' 64-bit hashes.
 
 Rows: a null text has no words (all counts 0) and fails; so does an empty one. Repeated doc_ids are
 judged row by row, a null doc_id passes through, an empty table gives no rows, and other columns are
@@ -34,6 +35,11 @@ def let(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def _from(array: Column, at: int) -> Column:
+    """The array from its element number `at` on."""
+    return F.slice(array, at, F.greatest(F.size(array) - (at - 1), F.lit(0)))
+
+
 def _covered(hashes: Column) -> Column:
     """Words in 3-word windows that occur twice or more; hashes: of the windows, in order."""
 
@@ -58,19 +64,23 @@ def counts(docs: DataFrame) -> DataFrame:
     words = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, "[ \\t-\\r]+"))
     lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != "")
     stops = F.filter(F.col("w"), lambda x: F.lower(x).isin(STOP_WORDS))
-    windows = F.when(F.size("w") >= 3, F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)))).otherwise(F.array().cast("array<bigint>"))
+    hashes = F.transform("w", lambda x: F.xxhash64(x))
+
+    def both(a: Column, b: Column) -> Column:
+        return F.xxhash64(a, b)
+
+    windows = let(hashes, lambda h: F.slice(F.zip_with(F.zip_with(h, _from(h, 2), both), _from(h, 3), both), 1, F.greatest(F.size(h) - 2, F.lit(0))))
     line_counts = let(lines, lambda x: F.struct(F.size(x).cast("bigint").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("dup")))
     first = id_text(docs).select(
         "doc_id",
         words.alias("w"),
-        F.length(F.translate(text, SPACE, "")).cast("bigint").alias("word_chars"),
-        (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
+        (F.size(F.split(text, f"[{SYMBOLS}]", -1)) - 1).cast("bigint").alias("n_symbols"),
         line_counts.alias("l"),
     )
     return first.select(
         "doc_id",
         F.size("w").cast("bigint").alias("n_words"),
-        "word_chars",
+        F.length(F.array_join("w", "")).cast("bigint").alias("word_chars"),
         "n_symbols",
         F.col("l.dup").alias("n_dup_lines"),
         _covered(windows).alias("n_repeat_words"),
