@@ -136,19 +136,19 @@ def duplicate_identifier(t: DataFrame, predicate: str = DCT + "identifier") -> D
 def chronology(t: DataFrame, birth: tuple[str, str, str], death: tuple[str, str, str], span: str = CRM + "P4_has_time-span") -> DataFrame:
     """Persons whose latest birth bound is after their earliest death bound.
 
-    birth and death: (event class, event to person, span to bound). An event's class, persons and spans
-    come together by one aggregation on the event; each side is one row for each person before the two meet.
+    birth and death: (event class, event to person, span to bound). Persons, spans and classes of events
+    are dealt once by the event, and each side is one row for each person before the two meet.
     """
 
     def bound(event: tuple[str, str, str], latest: bool) -> DataFrame:
         cls, person, at = event
-        is_class, is_person, is_span = (F.col("p") == TYPE) & (F.col("o_nt") == f"<{cls}>"), F.col("p") == person, F.col("p") == span
-        who = F.struct(F.col("o_nt").alias("person"), resource(F.col("o_nt"), F.col("o_kind"), F.col("o")).alias("name"))
-        events = t.where(is_class | is_person | is_span).groupBy("scope", F.col("s_nt").alias("e")).agg(F.bool_or(is_class).alias("typed"), F.collect_set(F.when(is_person, who)).alias("persons"), F.collect_set(F.when(is_span, F.col("o_nt"))).alias("spans"))
-        joined = events.where("typed").select("scope", F.explode("persons").alias("x"), "spans").select("scope", "x.person", "x.name", F.explode("spans").alias("sp"))
+        events = t.where((F.col("p") == TYPE) & (F.col("o_nt") == f"<{cls}>")).select("scope", F.col("s_nt").alias("e"))
+        persons = t.where(F.col("p") == person).select("scope", F.col("s_nt").alias("e"), F.col("o_nt").alias("person"), resource(F.col("o_nt"), F.col("o_kind"), F.col("o")).alias("name"))
+        spans = t.where(F.col("p") == span).select("scope", F.col("s_nt").alias("e"), F.col("o_nt").alias("sp"))
         days = t.where((F.col("p") == at) & (F.col("o_kind") == LITERAL)).select("scope", F.col("s_nt").alias("sp"), F.col("o").alias("text"), strict_date(F.col("o")).alias("day")).where("day IS NOT NULL")
         pick = F.max(F.struct("day", "text")) if latest else F.min(F.struct("day", "text"))
-        return joined.join(days, ["scope", "sp"]).groupBy("scope", "person").agg(pick.alias("x"), F.min("name").alias("name"))
+        joined = persons.join(spans, ["scope", "e"]).join(events, ["scope", "e"], "left_semi").join(days, ["scope", "sp"])
+        return joined.groupBy("scope", "person").agg(pick.alias("x"), F.min("name").alias("name"))
 
     born = bound(birth, True).select("scope", "person", F.col("x").alias("b"), "name")
     died = bound(death, False).select("scope", "person", F.col("x").alias("d"))
