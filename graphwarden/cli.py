@@ -15,6 +15,7 @@ from graphwarden.functions.terms import STANDARD_NAMESPACES
 from graphwarden.operators import repair as rp
 from graphwarden.operators.closure import checkpointed
 from graphwarden.plans.profiles import PROFILES, Context, broadest
+from graphwarden.plans.shapes import read_shapes
 from graphwarden.plans.validation import local_findings, validate
 from graphwarden.sources import files, tables, turtle
 
@@ -35,6 +36,7 @@ def options() -> argparse.ArgumentParser:
         p.add_argument("--internal", action="append")
         if name == "validate":
             p.add_argument("--cross-module", action="store_true")
+            p.add_argument("--shapes", action="append", help="files of SHACL property shapes that are checked beside the profile")
             p.add_argument("--store", help="a new folder for the union on disk; goes with --cross-module")
             for n in ("report", "summary", "baseline", "write-baseline"):
                 p.add_argument(f"--{n}")
@@ -105,7 +107,7 @@ def run_validate(spark: SparkSession, o) -> int:
     accepted = tables.read_baseline(spark, o.baseline).persist()
     accepted.count()
     triples, faults = turtle.read(spark, [(p, files.module_name(p, o.root)) for p in found])
-    run = validate(triples, faults.persist(), _context(spark, o), o.profile, o.cross_module, accepted=accepted, progress=_told, store=o.store)
+    run = validate(triples, faults.persist(), _context(spark, o), o.profile, o.cross_module, accepted=accepted, progress=_told, store=o.store, own=tuple(read_shapes(_read(spark, files.discover(o.shapes), "a file of shapes"))) if o.shapes else ())
     text = run.summary()
     if o.summary:
         sinks.write_atomically(o.summary, text.splitlines())

@@ -42,9 +42,11 @@ class Rule:
     union: bool = False
     #: Predicates whose subjects the rule looks at; none: the scope as a whole.
     subjects: tuple[str, ...] = ()
+    #: The IRI of a rule that was read from data.
+    shape: str = ""
 
     def iri(self, context: Context) -> str:
-        return f"<{context.rules_namespace}{self.name}>"
+        return f"<{self.shape or context.rules_namespace + self.name}>"
 
 
 def _exactly_one(name: str, cls: str, path: str) -> list[Rule]:

@@ -74,7 +74,7 @@ def findings(triples: DataFrame, context: Context, rules: list[Rule], support: D
     """Findings without signature of the rules over modules, or over their union (on disk in a folder `store`, if there is one). With progress, each rule's findings are made one after another, and timed."""
     t = scoped(triples, support, union)
     t = stored(t, store) if store else t.persist()  # read once by each rule
-    if any(r.profile == "full" for r in rules):
+    if any(r.profile == "full" or r.shape for r in rules):
         context = replace(context, below=subclasses(t))
     parts = []
     for rule in rules:
@@ -125,12 +125,12 @@ class Run:
         return "\n".join(lines) + "\n"
 
 
-def validate(triples: DataFrame, faults: DataFrame, context: Context, profile: str = "full", cross: bool = False, support: DataFrame | None = None, accepted: DataFrame | None = None, progress: Progress | None = None, store: str | None = None) -> Run:
-    """One run. The union is looked at only if every module could be read; what a module has found already is not told again."""
+def validate(triples: DataFrame, faults: DataFrame, context: Context, profile: str = "full", cross: bool = False, support: DataFrame | None = None, accepted: DataFrame | None = None, progress: Progress | None = None, store: str | None = None, own: tuple[Rule, ...] = ()) -> Run:
+    """One run of a profile's rules and of one's own (shapes.read_shapes()). The union is looked at only if every module could be read; what a module has found already is not told again."""
     spark = triples.sparkSession
     with PeakHeap(spark) as heap:
         triples = triples.select(*TRIPLE_FIELDS).distinct().persist()
-        local = findings(triples, context, registry(profile, False), support).persist()
+        local = findings(triples, context, [*registry(profile, False), *own], support).persist()
         every, timings = fd.signed(local), []
         looked = cross and faults.isEmpty()
         if looked:
@@ -141,7 +141,7 @@ def validate(triples: DataFrame, faults: DataFrame, context: Context, profile: s
                 if progress:
                     progress(name, seconds, rows)
 
-            union = findings(triples, context, registry(profile, True), support, union=True, progress=timed, store=store)
+            union = findings(triples, context, [*registry(profile, True), *own], support, union=True, progress=timed, store=store)
             every = every.unionByName(fd.signed(fd.new_in_union(local, union)))
         every = every.persist()
         every.count()
@@ -149,7 +149,7 @@ def validate(triples: DataFrame, faults: DataFrame, context: Context, profile: s
         counts = triples.groupBy("module").count().agg(F.count("*").alias("m"), F.coalesce(F.sum("count"), F.lit(0)).alias("t")).first()
         triples.unpersist()
         local.unpersist()
-    return Run(every, fd.regressions(every, accepted), faults, counts.m, counts.t, rule_count(profile, looked), timings, heap.mib)
+    return Run(every, fd.regressions(every, accepted), faults, counts.m, counts.t, rule_count(profile, looked) + len({r.name for r in own}), timings, heap.mib)
 
 
 def check_file(spark: SparkSession, path: str, context: Context, profile: str = "full") -> tuple[bool, list]:

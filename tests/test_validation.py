@@ -9,6 +9,7 @@ from graphwarden.operators import repair as rp
 from graphwarden.operators.bnodes import colours
 from graphwarden.operators.closure import checkpointed, closure, cyclic_nodes, reached_pairs
 from graphwarden.plans.profiles import Context, broadest, registry, rule_count
+from graphwarden.plans.shapes import read_shapes
 from graphwarden.plans.validation import check_file, local_findings, validate
 from graphwarden.sources import files, tables, turtle
 
@@ -124,6 +125,22 @@ def test_baseline_round_trip(data, tmp_path, spark):
         tables.read_baseline(spark, str(tmp_path / "bad.tsv")).collect()
 
 
+def test_shapes_as_data(data):
+    head = "@prefix sh: <http://www.w3.org/ns/shacl#> .\n"
+    shapes, _ = data.read(s=head + """e:S a sh:NodeShape ; sh:targetClass d:Birth ; sh:targetNode e:lone ; sh:property [ sh:path dct:date ; sh:minCount 1 ; sh:maxCount 2 ; sh:message "dates" ; sh:severity sh:Warning ] ,
+      [ sh:path dct:creator ; sh:nodeKind sh:IRI ] .""")
+    own = read_shapes(shapes)
+    assert [(r.component[:8], r.severity.rsplit("#")[-1]) for r in own] == [("NodeKind", "Violation>"), ("MaxCount", "Warning>"), ("MinCount", "Warning>")]
+    triples, faults = data.read(a="d:Early rdfs:subClassOf d:Birth . e:b a d:Early ; dct:date '1', '2', '3' ; dct:creator 'x' . e:c a d:Birth ; dct:date '1' ; dct:creator e:y .")
+    run = validate(triples, faults, data.context(), "skos", own=tuple(own))
+    found = sorted((r.rule, r.constraint_component.rsplit("#")[-1][:8], r.focus.rsplit(":")[-1], r.message) for r in run.findings.where("rule LIKE '%data:S>'").collect())
+    assert found == [("<urn:graphwarden:data:S>", "MaxCount", "b>", "dates"), ("<urn:graphwarden:data:S>", "MinCount", "lone>", "dates"), ("<urn:graphwarden:data:S>", "NodeKind", "b>", own[0].message)]
+    assert run.rules == rule_count("skos", False) + 1
+    for bad in ("sh:property [ sh:path dct:date ; sh:pattern 'x' ]", "sh:property [ sh:minCount 1 ]", "sh:property [ sh:path dct:date ; sh:nodeKind sh:Literal ]", "sh:closed true"):
+        with pytest.raises(ValueError):
+            read_shapes(data.read(s=head + f"e:S a sh:NodeShape ; sh:targetClass d:Birth ; {bad} .")[0])
+
+
 def test_support_is_in_every_scope(data):
     triples, _ = data.read(a="e:x skos:broader e:y .", b="e:z skos:broader e:w .")
     support, _ = data.read(s="e:y skos:broader e:x . e:w skos:broader e:z .")
@@ -303,6 +320,8 @@ def test_cli(data, tmp_path, capsys):
     (tmp_path / "known.nt").write_text("")
     assert cli.main(["manifest", "--vocabulary", str(tmp_path / "vocabulary.ttl"), "--output", manifest, "--check"]) == 1
     assert cli.main(["validate", *common, "--store", str(tmp_path / "s2")]) == 2
+    (tmp_path / "shapes.ttl").write_text("@prefix sh: <http://www.w3.org/ns/shacl#> . <urn:s> a sh:NodeShape ; sh:targetNode <urn:graphwarden:data:a> ; sh:property [ sh:path <urn:p> ; sh:minCount 1 ] .")
+    assert cli.main(["validate", *common, "--profile", "core", "--baseline", str(tmp_path / "b.tsv"), "--shapes", str(tmp_path / "shapes.ttl")]) == 1
 
 
 def test_catalog_of_repairs(data):
