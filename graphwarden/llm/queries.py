@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphwarden.llm import decontaminate, language_id, minhash, packing, pii, quality_model, quality_rules, secret_crf, suffix_dedup, token_counts
+from graphwarden.llm import decontaminate, fill_in_middle, language_id, license_scan, minhash, packing, pii, prefix_trie, quality_model, quality_rules, secret_crf, suffix_dedup, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,7 +64,19 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
-OPERATORS = (op1_language_id, op2_minhash_dedup, op3_quality_classifier, op4_secret_scan, op5_token_counts, op6_packing, op7_quality_rules, op8_decontamination, op9_pii, op10_suffix_dedup)
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.digest(table(spark, sf_dir, "documents"))
+
+
+OPERATORS = (op1_language_id, op2_minhash_dedup, op3_quality_classifier, op4_secret_scan, op5_token_counts, op6_packing, op7_quality_rules, op8_decontamination, op9_pii, op10_suffix_dedup, op11_license_scan, op12_prefix_trie, op13_fill_in_middle)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -94,4 +106,4 @@ FROM c LEFT JOIN n USING (doc_id)"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_minhash_dedup": MINHASH_SQL, "op7_quality_rules": quality_rules.oracle()}
+    return {"op2_minhash_dedup": MINHASH_SQL, "op7_quality_rules": quality_rules.oracle(), "op12_prefix_trie": prefix_trie.ORACLE, "op13_fill_in_middle": fill_in_middle.ORACLE}
