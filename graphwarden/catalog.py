@@ -17,10 +17,12 @@ from graphwarden.operators import findings as fd
 from graphwarden.operators import repair as rp
 from graphwarden.operators import rules
 from graphwarden.operators.bnodes import colours
+from graphwarden.plans import algebra, rule_texts
+from graphwarden.plans.sparql import read_select
 from graphwarden.sinks import provenance_lines, report_lines, triple_lines, turtle_lines
 from graphwarden.sources import turtle
 from graphwarden.sources.lift import EX, blank, iri, table, triples
-from graphwarden.sources.tables import baseline_lines, manifest
+from graphwarden.sources.tables import IS_CLASS, IS_PREDICATE, baseline_lines, manifest
 
 KNOWN = ("click", "purchase", "view")
 RULE, COMPONENT = "<urn:graphwarden:rule:KnownVocabularyTerm>", "<http://www.w3.org/ns/shacl#SPARQLConstraintComponent>"
@@ -186,9 +188,13 @@ SELECT 'm' AS scope, a.s AS focus, '<' || b.p || '>' AS path, '"' || a.o || '"'
 FROM l a JOIN l b ON a.s = b.s AND a.o = b.o AND a.p < b.p"""
 )
 def label_disjoint(spark, sf_dir):
+    return shown(rules.label_disjointness(brand_labels(spark, sf_dir)))
+
+
+def brand_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     role = F.concat(F.lit(SKOS), F.when(F.col("p_size") % 3 == 0, _ROLES[0]).when(F.col("p_size") % 3 == 1, _ROLES[1]).otherwise(_ROLES[2]))
-    return shown(rules.label_disjointness(triples(p, iri("brand", "p_brand"), role, F.col("p_name"), literal=True)))
+    return triples(p, iri("brand", "p_brand"), role, F.col("p_name"), literal=True)
 
 
 # a hierarchy of all parts with self-links and cycles
@@ -225,8 +231,12 @@ def broader_cycle(spark, sf_dir):
 FROM part WHERE (p_partkey, p_size) IN (SELECT (a, b) FROM c) OR (CAST(p_size AS BIGINT), p_partkey) IN (SELECT (a, b) FROM c)"""
 )
 def broader_related(spark, sf_dir):
+    return shown(rules.closure_disjoint(related_parts(spark, sf_dir)))
+
+
+def related_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     related = triples(table(spark, sf_dir, "part"), iri("part", "p_partkey"), SKOS + "related", iri("part", "p_size"))
-    return shown(rules.closure_disjoint(union(hierarchy(spark, sf_dir), related)))
+    return union(hierarchy(spark, sf_dir), related)
 
 
 @query(f"SELECT 'm' AS scope, '<{EX}doc/' || doc_id || '>' AS focus, '<{EX}quality>' AS path, '' AS value, '' AS message FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality IS NOT NULL)")
@@ -260,10 +270,14 @@ def node_kind(spark, sf_dir):
 FROM events a WHERE a.event_id % 2 = 0 AND EXISTS (SELECT 1 FROM events b WHERE b.event_id % 2 = 1 AND b.event_type = a.event_type AND b.user_id = a.user_id)"""
 )
 def self_join_roles(spark, sf_dir):
+    t = event_roles(spark, sf_dir)
+    return shown(rules.same_value(t, rules.target_subjects_of(t, EX + "first", EX + "second"), EX + "first", EX + "second"))
+
+
+def event_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     role = F.when(F.col("event_id") % 2 == 0, EX + "first").otherwise(EX + "second")
-    t = triples(e, iri("type", "event_type"), role, iri("user", "user_id")).distinct()
-    return shown(rules.same_value(t, rules.target_subjects_of(t, EX + "first", EX + "second"), EX + "first", EX + "second"))
+    return triples(e, iri("type", "event_type"), role, iri("user", "user_id")).distinct()
 
 
 @query(
@@ -271,9 +285,12 @@ def self_join_roles(spark, sf_dir):
 FROM nation WHERE n_nationkey = 7 AND n_regionkey = 2 AND EXISTS (SELECT 1 FROM region WHERE r_regionkey = 4)"""
 )
 def node_target_pair(spark, sf_dir):
+    return shown(rules.node_target_pair(nation_ranges(spark, sf_dir), EX + "nation/7", EX + "region/2", EX + "region/4"))
+
+
+def nation_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    t = union(triples(n, iri("nation", "n_nationkey"), RDFS + "range", iri("region", "n_regionkey")), triples(r, iri("region", "r_regionkey"), TYPE, F.lit(RDFS + "Class")))
-    return shown(rules.node_target_pair(t, EX + "nation/7", EX + "region/2", EX + "region/4"))
+    return union(triples(n, iri("nation", "n_nationkey"), RDFS + "range", iri("region", "n_regionkey")), triples(r, iri("region", "r_regionkey"), TYPE, F.lit(RDFS + "Class")))
 
 
 @query(
@@ -281,30 +298,42 @@ def node_target_pair(spark, sf_dir):
 FROM documents WHERE text IS NOT NULL GROUP BY text HAVING count(DISTINCT doc_id) > 1"""
 )
 def dup_identifier(spark, sf_dir):
-    return shown(rules.duplicate_identifier(triples(table(spark, sf_dir, "documents"), iri("doc", "doc_id"), DCT + "identifier", F.col("text"), literal=True)))
+    return shown(rules.duplicate_identifier(identified(spark, sf_dir)))
+
+
+def identified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return triples(table(spark, sf_dir, "documents"), iri("doc", "doc_id"), DCT + "identifier", F.col("text"), literal=True)
 
 
 @query(
-    f"""SELECT DISTINCT 'm' AS scope, '{AUDIT}' AS focus, '<{EX}of>' AS path, '<{EX}order/' || l_orderkey || '>' AS value, 'Unresolved internal IRI {EX}order/' || l_orderkey AS message
-FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')"""
+    f"""SELECT DISTINCT 'm' AS scope, '{AUDIT}' AS focus, '<{EX}of>' AS path, '<{EX}order/' || l_orderkey * l_linenumber || '>' AS value, 'Unresolved internal IRI {EX}order/' || l_orderkey * l_linenumber AS message
+FROM lineitem WHERE l_orderkey * l_linenumber NOT IN (SELECT o_orderkey FROM orders)"""
 )
 def dangling_ref(spark, sf_dir):
+    return shown(rules.dangling_reference(order_references(spark, sf_dir), [EX + "order/"]))
+
+
+def order_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders, and each line with a reference that may lead to none."""
     lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
     line = iri("line", F.concat_ws("-", "l_orderkey", "l_linenumber"))
-    t = union(triples(lines, line, EX + "of", iri("order", "l_orderkey")), triples(orders.where("o_orderstatus = 'F'"), iri("order", "o_orderkey"), EX + "status", F.col("o_orderstatus"), literal=True))
-    return shown(rules.dangling_reference(t, [EX + "order/"]))
+    return union(triples(lines, line, EX + "of", iri("order", F.col("l_orderkey") * F.col("l_linenumber"))), triples(orders, iri("order", "o_orderkey"), EX + "status", F.col("o_orderstatus"), literal=True))
+
+
+_SEGMENTS = ("BUILDING", "MACHINERY")
 
 
 @query(
     f"""SELECT DISTINCT 'm' AS scope, '{AUDIT}' AS focus, '<{EX}by>' AS path, '<{EX}customer/' || o_custkey || '>' AS value, 'Untyped participant {EX}customer/' || o_custkey AS message
-FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment IN (SELECT min(c_mktsegment) FROM customer UNION SELECT max(c_mktsegment) FROM customer))"""
+FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment IN {_SEGMENTS})"""
 )
 def typed_participant(spark, sf_dir):
+    return shown(rules.typed_participant(order_participants(spark, sf_dir), EX + "by", EX + "customer/", [EX + s for s in _SEGMENTS]))
+
+
+def order_participants(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders, customers = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
-    ends = customers.agg(F.array(F.min("c_mktsegment"), F.max("c_mktsegment")).alias("ends"))
-    named = customers.join(F.broadcast(ends.select(F.explode("ends").alias("c_mktsegment")).distinct()), "c_mktsegment")
-    t = union(triples(orders, iri("order", "o_orderkey"), EX + "by", iri("customer", "o_custkey")), triples(named, iri("customer", "c_custkey"), TYPE, F.lit(EX + "Person")))
-    return shown(rules.typed_participant(t, EX + "by", EX + "customer/", [EX + "Person", EX + "Unit"]))
+    return union(triples(orders, iri("order", "o_orderkey"), EX + "by", iri("customer", "o_custkey")), triples(customers, iri("customer", "c_custkey"), TYPE, F.concat(F.lit(EX), "c_mktsegment")))
 
 
 @query(
@@ -313,6 +342,13 @@ SELECT 'm' AS scope, '{AUDIT}' AS focus, '<{CRM}P4_has_time-span>' AS path, '<{E
 FROM b JOIN x USING (k) WHERE b.d > x.d"""
 )
 def chronology(spark, sf_dir):
+    return shown(rules.chronology(life_events(spark, sf_dir), _BORN, _DIED))
+
+
+_BORN, _DIED = (EX + "Birth", EX + "born", EX + "end"), (EX + "Death", EX + "dead", EX + "begin")
+
+
+def life_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
     line = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
@@ -322,7 +358,7 @@ def chronology(spark, sf_dir):
 
     birth = event(orders, "birth", "o_orderkey", "Birth", EX + "born", iri("order", "o_orderkey"), EX + "end", "o_orderdate")
     death = event(lines, "death", line, "Death", EX + "dead", iri("order", "l_orderkey"), EX + "begin", "l_shipdate")
-    return shown(rules.chronology(union(birth, death), (EX + "Birth", EX + "born", EX + "end"), (EX + "Death", EX + "dead", EX + "begin")))
+    return union(birth, death)
 
 
 @query(f"WITH {_EVENT_FINDINGS} SELECT (SELECT count(*) FROM signed) AS violations, (SELECT count(*) FROM part WHERE p_partkey = {_PARENT_SQL}) AS warnings, (SELECT count(*) FROM region) AS infos")
@@ -400,15 +436,16 @@ def repair_uncorresponding(spark, sf_dir):
 
 
 def typed_or_linked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users linked to the bad term by a predicate that the bad term stands for, and by a type that is the bad term."""
-    e = table(spark, sf_dir, "events").where("event_type = 'error'")
-    linked = triples(e.where("event_id % 2 = 0"), iri("user", "user_id"), SKOS + "error", F.when(F.col("event_id") % 4 == 0, SKOS + "error").otherwise(SKOS + "click"))
-    return modules(union(linked, triples(e.where("event_id % 2 = 1"), iri("user", "user_id"), TYPE, F.lit(SKOS + "error"))))
+    """All events: users linked by the event's term as predicate, to that term or to another, and users of the term as a type."""
+    e = table(spark, sf_dir, "events")
+    k, term = F.col("event_id") % 4, F.concat(F.lit(SKOS), "event_type")
+    return modules(triples(e, iri("user", "user_id"), F.when(k % 2 == 0, term).otherwise(TYPE), F.when(k == 2, SKOS + "click").otherwise(term)))
 
 
-_LINKED = f"""l AS (SELECT DISTINCT 'm' AS module, '<{EX}user/' || user_id || '>' AS s_nt, CASE event_id % 2 WHEN 0 THEN '{SKOS}error' ELSE '{TYPE}' END AS p,
-  CASE event_id % 4 WHEN 2 THEN '<{SKOS}click>' ELSE '<{SKOS}error>' END AS o_nt FROM events WHERE event_type = 'error'),
-r AS (SELECT module, s_nt, CASE WHEN p = '{SKOS}error' THEN '{SKOS}click' ELSE p END AS p, CASE WHEN o_nt = '<{SKOS}error>' THEN '<{SKOS}click>' ELSE o_nt END AS o_nt FROM l)"""
+_LINKED = f"""l AS (SELECT DISTINCT 'm' AS module, '<{EX}user/' || user_id || '>' AS s_nt, CASE event_id % 2 WHEN 0 THEN '{SKOS}' || event_type ELSE '{TYPE}' END AS p,
+  '<{SKOS}' || CASE event_id % 4 WHEN 2 THEN 'click' ELSE event_type END || '>' AS o_nt FROM events),
+b AS (SELECT * FROM l WHERE p = '{SKOS}error' OR (p = '{TYPE}' AND o_nt = '<{SKOS}error>')),
+r AS (SELECT module, s_nt, CASE WHEN p = '{SKOS}error' THEN '{SKOS}click' ELSE p END AS p, CASE WHEN o_nt = '<{SKOS}error>' THEN '<{SKOS}click>' ELSE o_nt END AS o_nt FROM b)"""
 
 
 @query(f"WITH {_LINKED} SELECT module, s_nt, p, o_nt FROM r GROUP BY ALL HAVING count(*) > 1")
@@ -417,7 +454,7 @@ def repair_merging(spark, sf_dir):
     return rp.merging(rp.replaced(rp.matches(typed_or_linked(spark, sf_dir), _REPAIR.bad), _REPAIR))
 
 
-@query(f"WITH {_LINKED} SELECT DISTINCT 'deleted' AS change, * FROM l UNION ALL SELECT DISTINCT 'added', * FROM r WHERE (module, s_nt, p, o_nt) NOT IN (SELECT (module, s_nt, p, o_nt) FROM l)")
+@query(f"WITH {_LINKED} SELECT DISTINCT 'deleted' AS change, * FROM b UNION ALL SELECT DISTINCT 'added', * FROM r WHERE (module, s_nt, p, o_nt) NOT IN (SELECT (module, s_nt, p, o_nt) FROM l)")
 def repair_expected(spark, sf_dir):
     t = typed_or_linked(spark, sf_dir)
     found = rp.matches(t, _REPAIR.bad)
@@ -426,7 +463,7 @@ def repair_expected(spark, sf_dir):
 
 
 @query(
-    f"""WITH {_LINKED}, is_ AS (SELECT module, s_nt, CASE WHEN p = '{SKOS}error' THEN '{SKOS}click' ELSE p END AS p, CASE WHEN p = '{TYPE}' THEN '<{SKOS}click>' ELSE o_nt END AS o_nt FROM l)
+    f"""WITH {_LINKED}, is_ AS (SELECT module, s_nt, CASE WHEN p = '{SKOS}error' THEN '{SKOS}click' ELSE p END AS p, CASE WHEN p = '{TYPE}' THEN '<{SKOS}click>' ELSE o_nt END AS o_nt FROM b)
 SELECT 'unexpected' AS fault, * FROM (SELECT * FROM is_ EXCEPT SELECT * FROM l EXCEPT SELECT * FROM r) UNION ALL SELECT 'missing', * FROM (SELECT * FROM r EXCEPT SELECT * FROM l EXCEPT SELECT * FROM is_)"""
 )
 def repair_exactness(spark, sf_dir):
@@ -438,7 +475,7 @@ def repair_exactness(spark, sf_dir):
     return union(is_.subtract(want).withColumn("fault", F.lit("unexpected")), want.subtract(is_).withColumn("fault", F.lit("missing"))).select("fault", *rp.KEY)
 
 
-@query(f"WITH {_LINKED} SELECT * FROM l UNION ALL SELECT module, s_nt, p, o_nt FROM (SELECT DISTINCT * FROM r) WHERE (module, s_nt, p, o_nt) NOT IN (SELECT (module, s_nt, p, o_nt) FROM l)")
+@query(f"WITH {_LINKED} SELECT * FROM b UNION ALL SELECT module, s_nt, p, o_nt FROM (SELECT DISTINCT * FROM r) WHERE (module, s_nt, p, o_nt) NOT IN (SELECT (module, s_nt, p, o_nt) FROM l)")
 def repair_unmet(spark, sf_dir):
     """What a repair that was not run leaves open: bad statements, and replacements that are not there."""
     t = typed_or_linked(spark, sf_dir)
@@ -545,16 +582,16 @@ def target_subclass(spark, sf_dir):
 
 
 @query(
-    f"""WITH v AS (SELECT DISTINCT o_custkey AS c, o_orderkey AS o FROM orders WHERE o_orderkey % 2 = 0), n AS (SELECT c_custkey AS c, count(o) AS n FROM customer LEFT JOIN v ON c = c_custkey GROUP BY 1)
+    f"""WITH v AS (SELECT DISTINCT o_custkey * 3 AS c, o_orderkey AS o FROM orders), n AS (SELECT c_custkey AS c, count(o) AS n FROM customer LEFT JOIN v ON c = c_custkey GROUP BY 1)
 SELECT 'm' AS scope, 'MinCount' AS component, '<{EX}customer/' || c || '>' AS focus, '<{EX}ordered>' AS path, '' AS value FROM n WHERE n = 0
 UNION ALL SELECT 'm', 'MaxCount', '<{EX}customer/' || c || '>', '<{EX}ordered>', '' FROM n WHERE n > 1
-UNION ALL SELECT 'm', 'NodeKind', '<{EX}customer/' || c || '>', '<{EX}ordered>', '"{EX}order/' || o || '"' FROM v WHERE o % 4 = 0"""
+UNION ALL SELECT 'm', 'NodeKind', '<{EX}customer/' || c || '>', '<{EX}ordered>', '"{EX}order/' || o || '"' FROM v WHERE o % 4 = 0 AND c IN (SELECT c FROM n)"""
 )
 def property_shape(spark, sf_dir):
-    """One property of every customer with its three components: an order, once, and an IRI."""
-    customers, orders = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders").where("o_orderkey % 2 = 0")
-    who, what = iri("customer", "o_custkey"), iri("order", "o_orderkey")
-    t = union(triples(customers, iri("customer", "c_custkey"), TYPE, F.lit(EX + "Customer")), triples(orders.where("o_orderkey % 4 = 0"), who, EX + "ordered", what, literal=True), triples(orders.where("o_orderkey % 4 <> 0"), who, EX + "ordered", what))
+    """One property of every customer with its three components: an order, once, and an IRI. Every third customer alone can have orders; other orders are of nobody."""
+    customers, orders = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+    who, what, fourth = iri("customer", F.col("o_custkey") * 3), iri("order", "o_orderkey"), F.col("o_orderkey") % 4 == 0
+    t = union(triples(customers, iri("customer", "c_custkey"), TYPE, F.lit(EX + "Customer")), triples(orders.where(fourth), who, EX + "ordered", what, literal=True), triples(orders.where(~fourth), who, EX + "ordered", what))
     target = rules.target_class(t, EX + "Customer")
     parts = (("MinCount", rules.min_count), ("MaxCount", rules.max_count), ("NodeKind", rules.node_kind_iri))
     return union(*(check(t, target, EX + "ordered").select("scope", F.lit(name).alias("component"), "focus", "path", "value") for name, check in parts))
@@ -609,3 +646,49 @@ def term_format(spark, sf_dir):
     return source_labels(spark, sf_dir, "m").select(F.col("o_nt").alias("term"), F.sha2("o_nt", 256).alias("digest")).distinct()
 
 
+# rules as SPARQL text, over the triples of the rules above
+
+
+def by_text(sql: str, text: str, data: Callable[[SparkSession, str], DataFrame], node: str | None = AUDIT[1:-1], targets: Callable[[DataFrame], DataFrame] | None = None):
+    """A query that runs a rule's text for one node, or for the targets."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t = data(spark, sf_dir)
+        found = algebra.rule_rows(t, read_select(text), None if targets is None else targets(t), None if targets is not None else node)
+        return shown(found)
+
+    return sql, run
+
+
+def _with_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events' terms, as predicates and as types, with a manifest of the known ones in the graph."""
+    e = table(spark, sf_dir, "events")
+    listed = spark.createDataFrame([(SKOS + k, IS_PREDICATE) for k in KNOWN] + [(SKOS + "view", IS_CLASS), (TYPE, IS_PREDICATE)], "s string, p string")
+    return union(event_terms(spark, sf_dir), triples(e, iri("user", "user_id"), TYPE, F.concat(F.lit(SKOS), F.col("event_type"))).distinct(), triples(listed, F.col("s"), F.col("p"), F.lit("true"), literal=True))
+
+
+_MANIFEST_SQL = f"""SELECT DISTINCT 'm' AS scope, '{AUDIT}' AS focus, '<{SKOS}' || event_type || '>' AS path, '<{EX}user/' || user_id || '>' AS value, event_id, 'Unknown standard vocabulary term {SKOS}' || event_type || ' used by {EX}user/' || user_id AS message FROM events WHERE event_type NOT IN ('click', 'purchase', 'view')
+UNION ALL SELECT DISTINCT 'm', '{AUDIT}', '<{SKOS}' || event_type || '>', '<{EX}user/' || user_id || '>', NULL::BIGINT, 'Unknown standard vocabulary term {SKOS}' || event_type || ' used by {EX}user/' || user_id FROM events WHERE event_type <> 'view'"""
+
+
+def _subjects(*predicates: str):
+    return lambda t: rules.target_subjects_of(t, *predicates)
+
+
+_BY_TEXT = {
+    "ill_typed": by_text(_sql["ill_typed"], rule_texts.ill_typed_literals(), typed_events),
+    "known_terms": by_text(f"SELECT scope, focus, path, value, message FROM ({_MANIFEST_SQL})", rule_texts.known_terms(), _with_manifest),
+    "pref_label_conflict": by_text(_sql["pref_label_conflict"], rule_texts.preferred_label_language(), lambda s, d: source_labels(s, d, "m"), targets=_subjects(SKOS + "prefLabel")),
+    "label_disjoint": by_text(_sql["label_disjoint"], rule_texts.label_disjointness(), brand_labels, targets=_subjects(*(SKOS + r for r in _ROLES))),
+    "self_link": by_text(_sql["self_link"], rule_texts.self_link(SKOS + "broader"), hierarchy, targets=_subjects(SKOS + "broader")),
+    "broader_cycle": by_text(_sql["broader_cycle"], rule_texts.link_cycle(), hierarchy, targets=_subjects(SKOS + "broader")),
+    "broader_related": by_text(_sql["broader_related"], rule_texts.closure_disjoint(), related_parts, targets=_subjects(SKOS + "broader", SKOS + "related")),
+    "self_join_roles": by_text(_sql["self_join_roles"], rule_texts.same_value(EX + "first", EX + "second"), event_roles, targets=_subjects(EX + "first", EX + "second")),
+    "node_target_pair": by_text(_sql["node_target_pair"], rule_texts.node_target_pair(EX + "region/2", EX + "region/4"), nation_ranges, node=EX + "nation/7"),
+    "dup_identifier": by_text(_sql["dup_identifier"], rule_texts.duplicate_identifier(), identified),
+    "chronology": by_text(_sql["chronology"], rule_texts.chronology(_BORN, _DIED, CRM + "P4_has_time-span"), life_events),
+    "dangling_ref": by_text(_sql["dangling_ref"], rule_texts.dangling_reference([EX + "order/"]), order_references),
+    "typed_participant": by_text(_sql["typed_participant"], rule_texts.typed_participant(EX + "by", EX + "customer/", [EX + s for s in _SEGMENTS]), order_participants),
+}
+for _name, (_said, _run) in _BY_TEXT.items():
+    _queries[f"text_{_name}"], _sql[f"text_{_name}"] = _run, _said
