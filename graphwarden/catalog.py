@@ -18,7 +18,7 @@ from graphwarden.operators import repair as rp
 from graphwarden.operators import rules
 from graphwarden.operators.bnodes import colours
 from graphwarden.plans import algebra, rule_texts
-from graphwarden.plans.sparql import read_select
+from graphwarden.plans.sparql import read_select, read_update
 from graphwarden.sinks import provenance_lines, report_lines, triple_lines, turtle_lines
 from graphwarden.sources import turtle
 from graphwarden.sources.lift import EX, blank, iri, table, triples
@@ -521,6 +521,43 @@ def copy_sink(spark, sf_dir):
     return turtle_lines(event_modules(spark, sf_dir), {"t": EX, "s": SKOS, "w": "http://www.w3.org/"})
 
 
+# updates as text
+
+_UPDATE = f"""PREFIX s: <{SKOS}>
+DELETE {{ ?x s:error ?y }} INSERT {{ ?x s:click ?y }} WHERE {{ ?x s:error ?y FILTER(STRENDS(STR(?x), "7")) }} ;
+DELETE {{ ?x s:signup ?y }} INSERT {{ ?y s:by ?x . ?x a s:click }} WHERE {{ ?x s:signup ?y ; s:click ?z }} ;
+DELETE WHERE {{ ?x s:purchase ?y }}"""
+
+
+@query(
+    f"""WITH t AS (SELECT DISTINCT '<{EX}user/' || user_id || '>' AS s, '{SKOS}' || event_type AS p, '<{EX}event/' || event_id || '>' AS o FROM events),
+a AS (SELECT s, CASE WHEN p = '{SKOS}error' AND s LIKE '%7>' THEN '{SKOS}click' ELSE p END AS p, o FROM t),
+hit AS (SELECT * FROM a WHERE p = '{SKOS}signup' AND s IN (SELECT s FROM a WHERE p = '{SKOS}click'))
+SELECT 'm' AS module, s AS s_nt, p, o AS o_nt FROM (
+  SELECT * FROM a EXCEPT SELECT * FROM hit UNION SELECT o, '{SKOS}by', s FROM hit UNION SELECT s, '{TYPE}', '<{SKOS}click>' FROM hit) WHERE p <> '{SKOS}purchase'"""
+)
+def update_text(spark, sf_dir):
+    """Three operations of an update in order, each over what the one before left."""
+    after = algebra.updated(event_terms(spark, sf_dir).distinct(), read_update(_UPDATE))
+    return after.select(F.col("scope").alias("module"), "s_nt", "p", "o_nt")
+
+
+#: A repair whose update also renames a term that it does not name.
+_WIDER = rp.Repair(_REPAIR.id, RULE, _REPAIR.bad, _REPAIR.replacement, text=f"DELETE {{ ?s ?p ?o }} INSERT {{ ?s <{SKOS}click> ?o }} WHERE {{ ?s ?p ?o . VALUES ?p {{ <{SKOS}error> <{SKOS}signup> }} }}")
+
+
+@query(
+    f"""SELECT DISTINCT 'deleted' AS change, 'm' AS module, '<{EX}user/' || user_id || '>' AS s_nt, '{SKOS}signup' AS p, '<{EX}event/' || event_id || '>' AS o_nt FROM events WHERE event_type = 'signup'
+UNION ALL SELECT DISTINCT 'added', 'm', '<{EX}user/' || user_id || '>', '{SKOS}click', '<{EX}event/' || event_id || '>' FROM events WHERE event_type = 'signup'"""
+)
+def repair_refused(spark, sf_dir):
+    """What a repair's own update does beside its substitution: where there is any, the repair is refused."""
+    t = modules(event_terms(spark, sf_dir))
+    found = rp.matches(t, _WIDER.bad)
+    is_, want = rp.delta(t, rp.rewritten(t, _WIDER)), rp.expected(t, found, rp.replaced(found, _WIDER))
+    return union(*(a.subtract(b).withColumn("change", F.lit(c)) for a, b, c in zip(is_, want, ("deleted", "added"), strict=True))).select("change", *rp.KEY)
+
+
 # ordered output
 
 

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from graphwarden.functions.terms import DCT, IRI, OWL, RDF, RDFS, SKOS, TRIPLE_FIELDS, TYPE, iri_nt
 from graphwarden.operators.findings import regressions
+from graphwarden.plans.algebra import updated
+from graphwarden.plans.sparql import Operation, SparqlError, read_update
 
 
 class RepairRejected(ValueError):
@@ -24,19 +26,31 @@ class Repair:
     replacement: str
     profile: str = "core"
     safety: str = "Automatic"
+    #: The update that a definition gives; without, the substitution itself.
+    text: str = ""
 
     def __post_init__(self):
         if self.bad == self.replacement:
             raise ValueError(f"{self.id}: the replacement is the bad IRI")
         if self.safety != "Automatic":
             raise ValueError(f"{self.id}: only automatic repairs can be run")
+        self.operations()
 
     def update(self) -> str:
         """The repair as a SPARQL update."""
+        if self.text:
+            return self.text
         b, r = f"<{self.bad}>", f"<{self.replacement}>"
         return f"DELETE {{ ?s {b} ?o }} INSERT {{ ?s {r} ?o }} WHERE {{ ?s {b} ?o }} ;\nDELETE {{ ?s a {b} }} INSERT {{ ?s a {r} }} WHERE {{ ?s a {b} }}"
 
 
+    def operations(self) -> tuple[Operation, ...]:
+        try:
+            return read_update(self.update())
+        except SparqlError as e:
+            raise ValueError(f"{self.id}: {e}") from e
+
+
 def standard_catalog(rule: str) -> list[Repair]:
     """Misspelt standard terms and what they stand for."""
     pairs = (
@@ -50,16 +64,18 @@ def standard_catalog(rule: str) -> list[Repair]:
 
 
 #: Names of a repair's definition in triples.
-REPAIR, RULE, BAD, REPLACEMENT, PROFILE, SAFETY = (f"urn:graphwarden:{n}" for n in ("Repair", "rule", "bad", "replacement", "profile", "safety"))
+REPAIR, RULE, BAD, REPLACEMENT, PROFILE, SAFETY, UPDATE = (f"urn:graphwarden:{n}" for n in ("Repair", "rule", "bad", "replacement", "profile", "safety", "update"))
 
 
 def read_catalog(triples: DataFrame) -> list[Repair]:
-    """The repairs that triples define: resources of type Repair with a rule, the bad IRI and its replacement, each once and an IRI, and a profile and a safety at most once (a literal).
+    """The repairs that triples define: resources of type Repair with a rule, the bad IRI and its replacement, each once and an IRI, and a profile, a safety and an update at most once (a literal).
 
+    The update is SPARQL (plans/sparql.py) and is read here, so that a definition with another is an error
+    before anything is run; what it does is held against the substitution when it is applied.
     A catalog is a handful of definitions; they are read by the driver.
     """
     typed = triples.where((F.col("p") == TYPE) & (F.col("o") == REPAIR)).select("s").distinct()
-    rows = triples.join(typed, "s", "left_semi").where(F.col("p").isin(RULE, BAD, REPLACEMENT, PROFILE, SAFETY)).select("s", "p", "o", "o_kind").distinct().collect()
+    rows = triples.join(typed, "s", "left_semi").where(F.col("p").isin(RULE, BAD, REPLACEMENT, PROFILE, SAFETY, UPDATE)).select("s", "p", "o", "o_kind").distinct().collect()
     named: dict[str, dict[str, str]] = {r.s: {} for r in typed.collect()}
     for r in sorted(rows):
         what = r.p.rsplit(":", 1)[-1]
@@ -71,7 +87,7 @@ def read_catalog(triples: DataFrame) -> list[Repair]:
     for i, given in named.items():
         if missing := {"rule", "bad", "replacement"} - set(given):
             raise ValueError(f"{i}: without {', '.join(sorted(missing))}")
-    return [Repair(i, f"<{g['rule']}>", g["bad"], g["replacement"], g.get("profile", "core"), g.get("safety", "Automatic")) for i, g in sorted(named.items())]
+    return [Repair(i, f"<{g['rule']}>", g["bad"], g["replacement"], g.get("profile", "core"), g.get("safety", "Automatic"), g.get("update", "")) for i, g in sorted(named.items())]
 
 
 def selected(catalog: list[Repair], ids: list[str] | None) -> list[Repair]:
@@ -103,12 +119,9 @@ def replaced(found: DataFrame, repair: Repair) -> DataFrame:
 
 
 def rewritten(t: DataFrame, repair: Repair) -> DataFrame:
-    """The graph after the declared update: predicates, then types; a predicate's object is left as it is."""
-    b, r = repair.bad, repair.replacement
-    as_type = (F.col("p") == TYPE) & (F.col("o_kind") == IRI) & (F.col("o") == b)
-    out = t.withColumn("hit", as_type)
-    out = out.withColumn("p", F.when(F.col("p") == b, F.lit(r)).otherwise(F.col("p"))).withColumn("o", F.when(F.col("hit"), F.lit(r)).otherwise(F.col("o"))).withColumn("o_nt", F.when(F.col("hit"), iri_nt(F.lit(r))).otherwise(F.col("o_nt")))
-    return out.select(*TRIPLE_FIELDS).distinct()
+    """The graph after the repair's update, whatever it does."""
+    scoped = t.select(*TRIPLE_FIELDS).withColumnRenamed("module", "scope")
+    return updated(scoped, repair.operations()).withColumnRenamed("scope", "module").select(*TRIPLE_FIELDS).distinct()
 
 
 KEY = ["module", "s_nt", "p", "o_nt"]

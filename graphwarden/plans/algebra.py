@@ -521,9 +521,11 @@ def updated(t: DataFrame, operations: tuple[Operation, ...]) -> DataFrame:
         keys = ["scope", "s_nt", "p", "o_nt"]
         after = t
         if op.delete:
-            gone = reduce(DataFrame.unionByName, [_instances(rel, x).select(*keys) for x in op.delete]).distinct()
             may = reduce(lambda a, b: a | b, [_could_be(x) for x in op.delete])
-            after = t.where(~may).unionByName(t.where(may).join(gone, keys, "left_anti").select(*t.columns))
+            after = t.where(~may)
+            if not _takes_all(op):
+                gone = reduce(DataFrame.unionByName, [_instances(rel, x).select(*keys) for x in op.delete]).distinct()
+                after = after.unionByName(t.where(may).join(gone, keys, "left_anti").select(*t.columns))
         if op.insert:
             new = reduce(DataFrame.unionByName, [_instances(rel, x) for x in op.insert])
             after = after.unionByName(new.select(*t.columns)).distinct()
@@ -531,6 +533,12 @@ def updated(t: DataFrame, operations: tuple[Operation, ...]) -> DataFrame:
     return t
 
 
+def _takes_all(op: Operation) -> bool:
+    """Whether the deletion is of just what the pattern finds, all of it: one statement pattern without a repeated variable."""
+    own = [v.name for v in (op.delete[0].s, op.delete[0].p, op.delete[0].o) if isinstance(v, Var)]
+    return op.where.parts == op.delete and len(op.delete) == 1 and len(own) == len(set(own))
+
+
 def _could_be(x: Triple) -> Column:
     tests = [F.lit(True)]
     if isinstance(x.s, Term):
