@@ -1,4 +1,10 @@
-"""Paths in a link table (scope, a, b): closure, reach from given ends, and nodes on cycles."""
+"""Paths in a link table (scope, a, b): closure, reach between given ends, and nodes on cycles.
+
+Reach and cycles work on a graph that is folded first. A node with one way out is a pointer to the next one, and
+pointers of pointers lead past whole chains and trees in a logarithm of rounds: the node goes, and links to it lead
+to where its pointers end. The same is done against the links. What is left has two ways in and out of
+every node; its cycles are found by colours, and folding goes on with what they leave.
+"""
 
 from __future__ import annotations
 
@@ -6,13 +12,11 @@ import atexit
 import os
 import tempfile
 import uuid
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Links of a graph that one task finishes; a larger one is made smaller by joins first.
-LOCAL_LINKS = 200_000
-
 
 def shared_folder(spark) -> str:
     """The folder in spark.checkpoint.dir; a local session may do without, a cluster may not."""
@@ -46,162 +50,203 @@ def closure(edges: DataFrame) -> DataFrame:
     """All (scope, a, b) with a path of one link or more; cycles are fine.
 
     Each round joins the newest pairs with all pairs known, so the number of rounds is the logarithm
-    of the longest shortest path, and only new pairs are kept.
+    of the longest shortest path, and only new pairs are written.
     """
-    reached = checkpointed(edges.select("scope", "a", "b").distinct())
-    frontier = reached
+    frontier = reached = checkpointed(edges.select("scope", "a", "b").distinct())
     while not frontier.isEmpty():
         ahead = frontier.select("scope", "a", F.col("b").alias("via")).join(reached.select("scope", F.col("a").alias("via"), "b"), ["scope", "via"]).select("scope", "a", "b")
         behind = reached.select("scope", "a", F.col("b").alias("via")).join(frontier.select("scope", F.col("a").alias("via"), "b"), ["scope", "via"]).select("scope", "a", "b")
         frontier = checkpointed(ahead.unionByName(behind).distinct().join(reached, ["scope", "a", "b"], "left_anti"))
-        reached = checkpointed(reached.unionByName(frontier))
+        reached = reached.unionByName(frontier)
     return reached
 
 
-def reached_pairs(edges: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (scope, a, b) with a path from a to b. Only what lies ahead of the pairs' own ends a is looked at.
+# folding
 
-    A round is one link. Nodes of a hierarchy have few others above them, so rows follow the ends and the depth.
-    """
-    links = edges.select("scope", F.col("a").alias("via"), F.col("b").alias("next")).distinct()
-    front = checkpointed(pairs.select("scope", "a", F.col("a").alias("via")).distinct().join(links, ["scope", "via"]).select("scope", "a", F.col("next").alias("via")).distinct())
-    seen = front
-    while True:
-        step = front.join(links, ["scope", "via"]).select("scope", "a", F.col("next").alias("via")).distinct()
-        front = checkpointed(step.join(seen, ["scope", "a", "via"], "left_anti"))
-        if front.isEmpty():
+
+def _turned(edges: DataFrame) -> DataFrame:
+    return edges.select("scope", F.col("b").alias("a"), F.col("a").alias("b"))
+
+
+def _ends(edges: DataFrame, end: str) -> DataFrame:
+    return edges.select("scope", F.col(end).alias("node")).distinct()
+
+
+@dataclass
+class Fold:
+    """One folding: pointers after 1, 4, 16, ... links (scope, node, to, open), and the links that led into what was folded (scope, a, via, b): from a by the folded node via to b."""
+
+    powers: list[DataFrame]
+    entries: DataFrame
+    turned: bool
+
+    @property
+    def circling(self) -> DataFrame:
+        """(scope, node): nodes on cycles of pointers alone: after so many steps none else is led to."""
+        return self.powers[-1].where("open").select("scope", F.col("to").alias("node")).distinct()
+
+
+def _jumped(pointers: DataFrame) -> DataFrame:
+    """Pointers of pointers; open: whether what is led to has a pointer itself."""
+    ahead = pointers.select("scope", F.col("node").alias("to"), F.col("to").alias("next"), F.col("open").alias("further"))
+    moved = pointers.where("open").drop("open").join(ahead, ["scope", "to"]).select("scope", "node", F.col("next").alias("to"), F.col("further").alias("open"))
+    return pointers.where("NOT open").unionByName(moved)
+
+
+def _pointers(single: DataFrame) -> list[DataFrame]:
+    """Pointers (scope, node, to, open) after 1, 4, 16, ... steps, until nothing is led to that steps would leave."""
+    known = single.select("scope", F.col("node").alias("to"), F.lit(True).alias("open"))
+    powers = [checkpointed(single.join(known, ["scope", "to"], "left").select("scope", "node", "to", F.coalesce("open", F.lit(False)).alias("open")))]
+    led = powers[-1].where("open").select("scope", "to").distinct().count()
+    while led:
+        powers.append(checkpointed(_jumped(_jumped(powers[-1]))))
+        before, led = led, powers[-1].where("open").select("scope", "to").distinct().count()
+        if led == before:
             break
-        seen = seen.unionByName(front)
-    return pairs.select("scope", "a", "b").distinct().join(seen.withColumnRenamed("via", "b"), ["scope", "a", "b"], "left_semi")
+    return powers
+
+
+def _fold(edges: DataFrame, turned: bool, keep: DataFrame | None) -> tuple[DataFrame, Fold] | None:
+    """(links left, what was folded) of nodes with one way out, and without those that lead nowhere; None if there are neither. Nodes of keep (scope, node) stay."""
+    now = _turned(edges) if turned else edges
+    sinks = _ends(now, "b").join(_ends(now, "a"), ["scope", "node"], "left_anti")
+    single = now.groupBy("scope", F.col("a").alias("node")).agg(F.count("*").alias("n"), F.min("b").alias("to")).where("n = 1").drop("n")
+    if keep is not None:
+        sinks, single = sinks.join(keep, ["scope", "node"], "left_anti"), single.join(keep, ["scope", "node"], "left_anti")
+    single, sinks = checkpointed(single), checkpointed(sinks)
+    if single.isEmpty() and sinks.isEmpty():
+        return None
+    powers = _pointers(single)
+    rest = now.join(single.select("scope", F.col("node").alias("a")), ["scope", "a"], "left_anti")
+    led = rest.join(powers[-1].select("scope", F.col("node").alias("b"), "to", "open"), ["scope", "b"], "left").where("open IS NULL OR NOT open")
+    entries = led.select("scope", "a", F.when(F.col("to").isNotNull(), F.col("b")).alias("via"), F.coalesce("to", "b").alias("b"))
+    entries = checkpointed(entries.join(sinks.select("scope", F.col("node").alias("b")), ["scope", "b"], "left_anti").select("scope", "a", "via", "b").distinct())
+    left = entries.select("scope", "a", "b").distinct()
+    return _turned(left) if turned else left, Fold(powers, entries, turned)
 
 
-def cyclic_nodes(edges: DataFrame, local_links: int = LOCAL_LINKS) -> DataFrame:
+def reached_pairs(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (scope, a, b) with a path from a to b, of one link or more.
+
+    The graph is folded to the pairs' ends and to what branches and meets between them, in rounds that grow
+    with the logarithm of the longest chain; of that the closure is made.
+    """
+    pairs = checkpointed(pairs.select("scope", "a", "b").distinct())
+    keep = checkpointed(_ends(pairs, "a").unionByName(_ends(pairs, "b")).distinct())
+    now, idle = checkpointed(edges.select("scope", "a", "b").distinct()), 0
+    turned = False
+    while idle < 2:
+        folded = _fold(now, turned, keep)
+        idle = idle + 1 if folded is None else 0
+        if folded is not None:
+            # a way from a node to itself matters at the pairs' ends alone
+            now = folded[0].where("a <> b").unionByName(folded[0].where("a = b").join(keep.withColumnRenamed("node", "a"), ["scope", "a"], "left_semi").select("scope", "a", "b"))
+            now = checkpointed(now)
+        turned = not turned
+    return pairs.join(closure(now), ["scope", "a", "b"], "left_semi")
+
+
+def cyclic_nodes(edges: DataFrame) -> DataFrame:
     """(scope, node) of all nodes on a cycle; a self-link is one.
 
-    A graph of at most local_links links is one task's. A larger one is made smaller in rounds: nodes
-    without a way in or out go, and a node with one way in and one out becomes a part of the link
-    between its neighbours, so trees and chains end in a logarithm of rounds. What neither takes on is
-    told by colours: each node takes the greatest node that reaches it, and those that reach
-    back, by links of that colour, to the node the colour is named for are on a cycle with it.
+    After folding, a cycle is one of pointers alone, a link from a node to itself, or in what is left; that is
+    coloured, and what the colours leave is folded again. Nodes that were folded are on a cycle
+    if a link by them joins two nodes of one class: they take its class, from the last folding to the first.
     """
     now = checkpointed(edges.select("scope", "a", "b").distinct())
-    loops = now.where("a = b").select("scope", F.col("a").alias("node"))
-    now = now.where("a <> b")
-    folded: list[DataFrame] = []  # (scope, node, a, b): the node lies on the link a to b
-    while (n := now.count()) > local_links:
-        into, out = now.groupBy("scope", F.col("b").alias("node")).agg(F.count("*").alias("n_in"), F.min("a").alias("before")), now.groupBy("scope", F.col("a").alias("node")).agg(F.count("*").alias("n_out"), F.min("b").alias("behind"))
-        # links of nodes with both; a self-link that folding made is settled where it arose
-        inner = checkpointed(into.join(out, ["scope", "node"]).withColumn("draw", F.xxhash64("node", F.lit(len(folded)))))
-        kept = now.join(inner.select("scope", F.col("node").alias("a"), F.col("draw").alias("draw_a"), ((F.col("n_in") == 1) & (F.col("n_out") == 1)).alias("plain_a")), ["scope", "a"]).join(inner.select("scope", F.col("node").alias("b"), F.col("draw").alias("draw_b"), ((F.col("n_in") == 1) & (F.col("n_out") == 1)).alias("plain_b")), ["scope", "b"])
-        kept = checkpointed(kept)
-        # of neighbours that could both be folded, the one with the least draw is
-        lower_in = kept.where("plain_b AND (NOT plain_a OR draw_b < draw_a OR (draw_b = draw_a AND b < a))").select("scope", F.col("b").alias("node"), F.col("a").alias("from"))
-        lower_out = kept.where("plain_a AND (NOT plain_b OR draw_a < draw_b OR (draw_a = draw_b AND a < b))").select("scope", F.col("a").alias("node"), F.col("b").alias("to"))
-        fold = checkpointed(lower_in.join(lower_out, ["scope", "node"]).select("scope", "node", F.col("from").alias("a"), F.col("to").alias("b")))
-        folded.append(fold)
-        rest = kept.select("scope", "a", "b").join(fold.select("scope", F.col("node").alias("a")), ["scope", "a"], "left_anti").join(fold.select("scope", F.col("node").alias("b")), ["scope", "b"], "left_anti")
-        both = checkpointed(rest.unionByName(fold.select("scope", "a", "b")).distinct())
-        loops = loops.unionByName(both.where("a = b").select("scope", F.col("a").alias("node")))
-        now = both.where("a <> b")
-        if now.count() == n:
-            break
-    classes = _local_classes(now) if now.count() <= local_links else _coloured_classes(now)
-    classes = checkpointed(classes)  # (scope, node, class) of nodes on a cycle of what is left
-    found = checkpointed(classes.select("scope", "node").unionByName(loops).distinct())
-    same = classes
-    for fold in reversed(folded):
-        # a folded node is on a cycle if its link is: within a class, or from a node to itself
-        ends = fold.join(same.select("scope", F.col("node").alias("a"), F.col("class").alias("ca")), ["scope", "a"], "left").join(same.select("scope", F.col("node").alias("b"), F.col("class").alias("cb")), ["scope", "b"], "left")
-        on = checkpointed(ends.where("a = b OR ca = cb").select("scope", "node", F.coalesce("ca", F.col("a")).alias("class"), "a"))
-        same = checkpointed(same.unionByName(on.select("scope", "node", "class")).unionByName(on.select("scope", F.col("a").alias("node"), "class")).distinct())
-        found = checkpointed(found.unionByName(on.select("scope", "node")).distinct())
-    return found
-
-
-CLASSES = "scope string, node string, class string"
-
-
-def _local_classes(edges: DataFrame) -> DataFrame:
-    """Classes of nodes on common cycles, in one task."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        after: dict[tuple, list] = {}
-        for batch in batches:
-            for scope, a, b in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
-                after.setdefault((scope, a), []).append((scope, b))
-        order: dict[tuple, int] = {}
-        low: dict[tuple, int] = {}
-        held: list[tuple] = []
-        inside: set[tuple] = set()
-        rows = []
-        for root in after:
-            if root in order:
-                continue
-            path = [(root, iter(after[root]))]
-            order[root] = low[root] = len(order)
-            held.append(root)
-            inside.add(root)
-            while path:
-                node, ways = path[-1]
-                for to in ways:
-                    if to not in order:
-                        order[to] = low[to] = len(order)
-                        held.append(to)
-                        inside.add(to)
-                        path.append((to, iter(after.get(to, ()))))
-                        break
-                    if to in inside:
-                        low[node] = min(low[node], order[to])
-                else:
-                    path.pop()
-                    if path:
-                        low[path[-1][0]] = min(low[path[-1][0]], low[node])
-                    if low[node] == order[node]:
-                        part = []
-                        while not part or part[-1] != node:
-                            part.append(held.pop())
-                            inside.discard(part[-1])
-                        if len(part) > 1:
-                            rows += [(*x, node[1]) for x in part]
-        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.string()) for c in range(3)], names=["scope", "node", "class"])
-
-    return edges.select("scope", "a", "b").coalesce(1).mapInArrow(run, CLASSES)
-
-
-def _coloured_classes(edges: DataFrame) -> DataFrame:
-    """The same by joins alone."""
-    now, out = checkpointed(edges.select("scope", "a", "b")), None
+    found = [now.where("a = b").select("scope", F.col("a").alias("node"))]
+    classes: list[DataFrame] = []  # (scope, node, class) of nodes on cycles of what was left by all foldings
+    folds: list[Fold] = []
+    now, turned, idle = now.where("a <> b"), False, 0
+    while not now.isEmpty():
+        folded = _fold(now, turned, None)
+        if folded is not None:
+            left, fold = folded
+            folds.append(fold)
+            found.append(left.where("a = b").select("scope", F.col("a").alias("node")))
+            now, idle = left.where("a <> b"), 0
+        elif idle:
+            now, some = _coloured(now)
+            classes.append(some)
+            idle = 0
+        else:
+            idle = 1
+        turned = not turned
+    # classes tell only folded nodes apart: without a link into them there is none to tell
+    same = _unioned([c.select("scope", "node", "class") for c in classes])
+    for at, fold in reversed(list(enumerate(folds))):
+        known = fold.entries.where("via IS NOT NULL")
+        if same is not None:
+            ends = known.join(same.select("scope", F.col("node").alias("a"), F.col("class").alias("ca")), ["scope", "a"], "left").join(same.select("scope", F.col("node").alias("b"), F.col("class").alias("cb")), ["scope", "b"], "left")
+        else:
+            ends = known.withColumns({"ca": F.lit(None).cast("string"), "cb": F.lit(None).cast("string")})
+        marked = checkpointed(ends.where("a = b OR ca = cb").select("scope", "a", F.col("via").alias("node"), F.coalesce("ca", F.col("a").cast("string")).alias("class")))
+        parts = [marked.select("scope", "node", "class"), marked.select("scope", F.col("a").alias("node"), "class")]
+        if not marked.isEmpty():
+            parts[0] = _along(parts[0].distinct(), fold.powers)
+        circling = fold.circling
+        found += [*parts, circling]
+        if at:  # links of an earlier folding may lead by these
+            parts.append(_named(circling, fold.powers))
+            same = checkpointed(_unioned([*([same] if same is not None else []), *parts]).distinct())
+    return checkpointed(_unioned([f.select("scope", "node") for f in [*found, *classes]]).distinct())
+
+
+def _unioned(parts: list[DataFrame]) -> DataFrame | None:
+    out = None
+    for p in parts:
+        out = p if out is None else out.unionByName(p)
+    return out
+
+
+def _along(marked: DataFrame, powers: list[DataFrame]) -> DataFrame:
+    """Marked nodes (scope, node, class) with all that pointers lead to from them."""
+    for power in powers:
+        step = power.select("scope", "node", "to")
+        for _ in range(3):
+            ahead = marked.join(step, ["scope", "node"]).select("scope", F.col("to").alias("node"), "class")
+            marked = marked.unionByName(ahead).distinct()
+        marked = checkpointed(marked)
+    return marked
+
+
+def _named(circling: DataFrame, powers: list[DataFrame]) -> DataFrame:
+    """(scope, node, class) of nodes on cycles of pointers: the class is the cycle's least node."""
+    least = circling.withColumn("class", F.col("node").cast("string"))
+    for power in powers:
+        step = power.select("scope", "node", "to")
+        for _ in range(3):
+            ahead = least.join(step, ["scope", "node"]).join(least.select("scope", F.col("node").alias("to"), F.col("class").alias("further")), ["scope", "to"])
+            least = ahead.select("scope", "node", F.least("class", "further").alias("class"))
+        least = checkpointed(least)
+    return least
+
+
+def _coloured(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(links left, (scope, node, class) of nodes on cycles that were found).
+
+    Each node takes the greatest node that reaches it as its colour. Those of a colour that reach
+    its own node by links of that colour are one class. The least colour of every part is settled, so each time some
+    are; links between colours are on no cycle.
+    """
+    nodes = _ends(edges, "a").unionByName(_ends(edges, "b")).distinct()
+    colour = checkpointed(nodes.withColumn("class", F.col("node")))
     while True:
-        into, away = now.select("scope", F.col("b").alias("a")).distinct(), now.select("scope", F.col("a").alias("b")).distinct()
-        trimmed = checkpointed(now.join(into, ["scope", "a"], "left_semi").join(away, ["scope", "b"], "left_semi").select("scope", "a", "b"))
-        n = trimmed.count()
-        if not n:
+        met = edges.join(colour.withColumnRenamed("node", "a"), ["scope", "a"]).select("scope", F.col("b").alias("node"), "class")
+        nxt = checkpointed(colour.unionByName(met).groupBy("scope", "node").agg(F.max("class").alias("class")))
+        if nxt.join(colour, ["scope", "node", "class"], "left_anti").isEmpty():
             break
-        if n < now.count():
-            now = trimmed
-            continue
-        nodes = now.select("scope", F.col("a").alias("node")).unionByName(now.select("scope", F.col("b").alias("node"))).distinct()
-        colour = checkpointed(nodes.withColumn("class", F.col("node")))
-        while True:
-            met = now.join(colour.withColumnRenamed("node", "a"), ["scope", "a"]).select("scope", F.col("b").alias("node"), "class")
-            nxt = checkpointed(colour.unionByName(met).groupBy("scope", "node").agg(F.max("class").alias("class")))
-            if nxt.join(colour, ["scope", "node", "class"], "left_anti").isEmpty():
-                break
-            colour = nxt
-        # back from each colour's own node, by links within the colour
-        of_a, of_b = colour.select("scope", F.col("node").alias("a"), F.col("class").alias("ca")), colour.select("scope", F.col("node").alias("b"), F.col("class").alias("cb"))
-        within = checkpointed(now.join(of_a, ["scope", "a"]).join(of_b, ["scope", "b"]).where("ca = cb").select("scope", "a", "b", F.col("ca").alias("class")))
-        back = checkpointed(colour.where("node = class"))
-        front = back
-        while not front.isEmpty():
-            step = within.join(front.select("scope", F.col("node").alias("b"), "class"), ["scope", "b", "class"]).select("scope", F.col("a").alias("node"), "class").distinct()
-            front = checkpointed(step.join(back, ["scope", "node", "class"], "left_anti"))
-            back = checkpointed(back.unionByName(front))
-        size = F.count("*").over(Window.partitionBy("scope", "class"))
-        several = back.withColumn("size", size).where("size > 1").drop("size")
-        out = checkpointed(several if out is None else out.unionByName(several))
-        gone = back.select("scope", "node")
-        now = checkpointed(now.join(gone.withColumnRenamed("node", "a"), ["scope", "a"], "left_anti").join(gone.withColumnRenamed("node", "b"), ["scope", "b"], "left_anti").select("scope", "a", "b"))
-    return out if out is not None else edges.sparkSession.createDataFrame([], CLASSES)
+        colour = nxt
+    of_a, of_b = colour.select("scope", F.col("node").alias("a"), F.col("class").alias("ca")), colour.select("scope", F.col("node").alias("b"), F.col("class").alias("cb"))
+    within = checkpointed(edges.join(of_a, ["scope", "a"]).join(of_b, ["scope", "b"]).where("ca = cb").select("scope", "a", "b", F.col("ca").alias("class")))
+    front = back = checkpointed(colour.where("node = class"))
+    while not front.isEmpty():
+        step = within.join(front.select("scope", F.col("node").alias("b"), "class"), ["scope", "b", "class"]).select("scope", F.col("a").alias("node"), "class").distinct()
+        front = checkpointed(step.join(back, ["scope", "node", "class"], "left_anti"))
+        back = back.unionByName(front)
+    gone = checkpointed(back.select("scope", "node", "class"))
+    several = gone.groupBy("scope", "class").agg(F.count("*").alias("n")).where("n > 1").select("scope", "class")
+    some = gone.join(several, ["scope", "class"], "left_semi").select("scope", "node", F.col("class").cast("string").alias("class"))
+    out = gone.select("scope", "node")
+    left = within.join(out.withColumnRenamed("node", "a"), ["scope", "a"], "left_anti").join(out.withColumnRenamed("node", "b"), ["scope", "b"], "left_anti").select("scope", "a", "b")
+    return checkpointed(left), checkpointed(some)
