@@ -4,11 +4,9 @@ Tokens are tagged as the begin (B) or inside (I) of a secret, or outside (O). Em
 token's shape class, on the classes of its neighbours, on words that speak for or against a secret
 among the NEAR tokens before it, and on features of the file; transitions on the tags. The weights
 are fitted on the driver by gradient steps on the log-likelihood of generated lines (fixed seed),
-measured on others (held_out()), and Viterbi decodes. A line is a sequence and is never cut. A
-secret of the field has SHORTEST characters or more. Lines that can have none are not decoded: the
-weights never let I win but on a fence, so a secret is one token, a fence or a run of SHORTEST key
-characters whose class the weights let be tagged at all (Field.margins); a test holds this against
-decoding every line.
+measured on others (held_out()), and Viterbi decodes. A line is a sequence and is never cut. A secret is one
+token of a class that a key can have (KEYS), or a fence: the field has no other tags for the other classes, so a
+line without such a token is not decoded. There is no least length; how long a token is enters by its class.
 
 Base kinds (assign, access, hex) follow fixed patterns and checks, and their spans always stand. The
 method's spans have kind crf; one that overlaps a base span is dropped.
@@ -21,7 +19,6 @@ texts of any length are scanned whole, an empty table gives no rows, and other c
 from __future__ import annotations
 
 import hashlib
-import itertools
 import random
 import re
 from dataclasses import dataclass
@@ -42,20 +39,25 @@ ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 6, 20, 24
 
 TAGS = ("O", "B", "I")
 #: Shape classes.
-WORD, NUMBER, MARK, CUE, NAME, EQUALS, QUOTE, MIXED, LONG, DENSE, PREFIXED, UUID, PATH, FENCE, EDGE = range(15)
-CLASSES = 15
-#: A token: a run of key characters, or one mark. Quotes and the like are marks.
-TOKEN = re.compile(r"-----[A-Z ]{4,40}-----|[A-Za-z0-9_+/=.\-]+|[^\sA-Za-z0-9_+/=.\-]")
-#: Characters of the shortest secret that the field may tell.
-SHORTEST = 12
-#: What a line must have to be decoded: a token that may be a secret.
-SUSPECT = re.compile(r"-----[A-Z ]{4,40}-----|[A-Za-z0-9_+/=.\-]{%d,}" % SHORTEST)
+WORD, NUMBER, MARK, CUE, NAME, EQUALS, QUOTE, TINY, MIXED, STRONG, LONG, DENSE, PREFIXED, UUID, PATH, FENCE, EDGE = range(17)
+CLASSES = 17
+#: Classes of what may be a secret.
+KEYS = (TINY, MIXED, STRONG, LONG, DENSE, PREFIXED, FENCE)
+#: A token: key characters, with marks between them as passwords have, or one mark. Quotes and the like are marks, and so is the @ before a host.
+_KEY = r"[A-Za-z0-9_+/=.\-]"
+_INNER = r"(?:[!#$%^&*~?]|@(?![A-Za-z0-9-]+\.[A-Za-z]))"
+TOKEN = re.compile(rf"-----[A-Z ]{{4,40}}-----|{_KEY}+(?:{_INNER}+{_KEY}+)*|[^\sA-Za-z0-9_+/=.\-]")
+#: Where a token of KEYS may stand: every one has a fence, a digit beside other key characters, 16 of these in a row, or an inner mark.
+SUSPECT = re.compile(rf"-----|[0-9][A-Za-z_+/=.\-]|[A-Za-z_+/=.\-][0-9]|{_KEY}{{16}}|{_KEY}{_INNER}+{_KEY}")
 _PREFIX = re.compile(r"(?:sk|pk|rk)[_-](?:live|test|ant|proj)?[_-]?[A-Za-z0-9_-]{12,}|gh[pousr]_[A-Za-z0-9]{16,}|github_pat_[A-Za-z0-9_]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|glpat-[A-Za-z0-9_-]{16,}|AIza[A-Za-z0-9_-]{20,}|eyJ[A-Za-z0-9_-]{8,}(?:\.[A-Za-z0-9_-]+)+|SG\.[A-Za-z0-9_-]{12,}\.?[A-Za-z0-9_-]*")
-_CUE = re.compile(r"(?i)(?:.*[_.-])?(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|apikey|auth(?:orization)?|bearer|credentials?|private[_-]?key|access[_-]?key|client[_-]?secret|key)")
+_CUE = re.compile(
+    r"(?i).*(?:password|passwd|passphrase|passcode|passwort|kennwort|secret|token|(?:api|auth|private|access|secret|signing|encryption|licen[cs]e|account)[_-]?key|credentials?)s?"
+    r"|(?:.*[_.-])?(?:pass|pwd|pw|key|auth|authorization|bearer|login|pin|psk|clave|contraseña)s?"
+)
 _UUID = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}")
 FILE_FEATURES = 3
 #: Generated lines that the field learns from.
-LINES = 900
+LINES = 1200
 #: Tokens before a token in which words for or against a secret count, and the words against.
 NEAR = 4
 _AGAINST = re.compile(r"(?i)(?:commit|sha\d*|md5|hash|checksum|digest|uuid|guid|build|revision|rev|version|id|serial|order|isbn|doi|etag|trace)")
@@ -64,8 +66,8 @@ NEAR_FEATURES = 2
 
 def shape(token: str) -> int:
     """The shape class of a token."""
-    if token.startswith("-----"):
-        return FENCE
+    if token.startswith("-----") and token.endswith("-----") and len(token) > 10:
+        return FENCE if "PRIVATE" in token else MARK
     c = token[0]
     if len(token) == 1 and not (c.isalnum() or c in "_+/=.-"):
         return QUOTE if c in "\"'`" else EQUALS if c == ":" else MARK
@@ -74,6 +76,8 @@ def shape(token: str) -> int:
     if _CUE.fullmatch(token.rstrip("=:.")):
         return CUE
     body = token.strip(".=-")
+    if not body.isascii() or _MARKED.search(body):
+        return _marked(body)
     if body.isalpha():
         # a random key without digits changes case all the time; a word does not
         turns = sum(a.isupper() != b.isupper() for a, b in zip(body, body[1:], strict=False))
@@ -94,10 +98,23 @@ def shape(token: str) -> int:
     if len(body) >= 16 and digits >= 3 and upper + lower >= 3:
         return LONG
     if digits and upper + lower:
-        return MIXED
+        return MIXED if len(body) >= MIXED_LEAST else TINY
     return NAME
 
 
+#: Characters from which on a token of letters and digits is MIXED; a shorter one is TINY.
+MIXED_LEAST = 6
+_MARKED = re.compile(r"[!#$%^&*~?@]")
+
+
+def _marked(body: str) -> int:
+    """The class of a token with inner marks: STRONG as passwords are made, PATH as queries of addresses are, else NAME."""
+    if "&" in body and "=" in body or "/" in body:
+        return PATH
+    kinds = sum(any(test(ch) for ch in body) for test in (str.isdigit, str.isupper, str.islower)) + 1
+    return STRONG if len(body) >= MIXED_LEAST and kinds >= 3 and any(ch.isalpha() for ch in body) else NAME
+
+
 def file_features(text: str) -> np.ndarray:
     """Whether the file looks like settings, like code, like prose."""
     head = text.count("=") + text.count(":")
@@ -106,16 +123,20 @@ def file_features(text: str) -> np.ndarray:
 
 
 def near_words(classes: list[int], tokens: list[str]) -> np.ndarray:
-    """For each token, whether a word for a secret and a word against one stand among the NEAR tokens before it."""
+    """For each token, whether a word for a secret (or the start of an address) and a word against one stand among the NEAR tokens before it."""
     out = np.zeros((len(classes), NEAR_FEATURES))
     for i, (c, t) in enumerate(zip(classes, tokens, strict=True)):
-        if c == CUE:
+        if c == CUE or t.startswith("//"):  # behind // an address may have a login
             out[i + 1 : i + 1 + NEAR, 0] = 1
         if _AGAINST.fullmatch(t.rstrip("=:.")):
             out[i + 1 : i + 1 + NEAR, 1] = 1
     return out
 
 
+#: What is added to the tags' scores by class: B is for KEYS alone, I for fences alone.
+BARRED = np.array([[0.0, 0.0 if c in KEYS else -1e6, 0.0 if c == FENCE else -1e6] for c in range(CLASSES)])
+
+
 class Field:
     """Weights of the field."""
 
@@ -129,24 +150,11 @@ class Field:
         self.move = np.zeros((3, 3))
         self.first = np.zeros(3)
         self._fit(lines, steps, rate)
-        self.taggable = (self.margins()[1:] >= 0).any(0)
+        self.taggable = np.isin(np.arange(CLASSES), KEYS)
 
     def emissions(self, classes: np.ndarray, near: np.ndarray, file: np.ndarray) -> np.ndarray:
         padded = np.concatenate([[EDGE], classes, [EDGE]])
-        return self.own[classes] + self.before[padded[:-2]] + self.after[padded[2:]] + near @ self.near + file @ self.file
-
-    def margins(self) -> np.ndarray:
-        """The most by which each tag can beat the best other tag on a token of each class, whatever stands beside it: below 0, no best path has it there."""
-        files = np.array(list(itertools.product((0.0, 1.0), repeat=FILE_FEATURES + NEAR_FEATURES))) @ np.vstack([self.file, self.near])
-        out = np.full((3, CLASSES), -np.inf)
-        for before, after in itertools.product(range(CLASSES), repeat=2):
-            e = self.own[:, None] + self.before[before] + self.after[after] + files
-            for come, go in itertools.product([self.first] if before == EDGE else self.move, [np.zeros(3)] if after == EDGE else self.move.T):
-                score = e + come + go
-                for tag in range(3):
-                    out[tag] = np.maximum(out[tag], (score[..., tag] - np.delete(score, tag, 2).max(2)).max(1))
-        out[:, EDGE] = -np.inf
-        return out
+        return self.own[classes] + BARRED[classes] + self.before[padded[:-2]] + self.after[padded[2:]] + near @ self.near + file @ self.file
 
     def _fit(self, lines: list["Line"], steps: int, rate: float) -> None:
         n, width = len(lines), max(len(x.classes) for x in lines)
@@ -163,7 +171,7 @@ class Field:
         gold_move = np.einsum("ntp,ntq->pq", gold[:, :-1], gold[:, 1:])
         velocity = None
         for _ in range(steps):
-            e = self.own[cls[:, 1:-1]] + self.before[cls[:, :-2]] + self.after[cls[:, 2:]] + near @ self.near + (file @ self.file)[:, None, :]
+            e = self.own[cls[:, 1:-1]] + BARRED[cls[:, 1:-1]] + self.before[cls[:, :-2]] + self.after[cls[:, 2:]] + near @ self.near + (file @ self.file)[:, None, :]
             forward = np.zeros((n, width, 3))
             backward = np.zeros((n, width, 3))
             forward[:, 0] = self.first + e[:, 0]
@@ -240,15 +248,18 @@ def _examples(rng: random.Random, count: int) -> list[Line]:
         return rng.choice((lambda: "ghp_" + key(36), lambda: "sk_live_" + key(24), lambda: "xoxb-" + key(11, "0123456789") + "-" + key(24), lambda: "AIza" + key(35), lambda: key(40, alnum + "+/"), lambda: key(32), lambda: "eyJ" + key(20) + "." + key(40) + "." + key(30), lambda: "glpat-" + key(20), lambda: "sk-proj-" + key(40)))()
 
     def harmless() -> str:
-        return rng.choice((lambda: word() + str(rng.randint(1, 999)), lambda: f"v{rng.randint(1, 9)}.{rng.randint(0, 20)}.{rng.randint(0, 9)}", lambda: "/".join(word() for _ in range(4)), lambda: str(rng.randint(10**9, 10**16)), lambda: "-".join(key(n, "0123456789abcdef") for n in (8, 4, 4, 4, 12)), lambda: f"{word()}_{word()}", lambda: f"mail{rng.randint(1, 9)}.example.com", lambda: "".join(word() for _ in range(5)), lambda: word().upper() + "-" + str(rng.randint(1, 99999)) + "-" + word() + word()))()
+        return rng.choice((lambda: word() + str(rng.randint(1, 999)), lambda: f"v{rng.randint(1, 9)}.{rng.randint(0, 20)}.{rng.randint(0, 9)}", lambda: "/".join(word() for _ in range(4)), lambda: str(rng.randint(10**9, 10**16)), lambda: "-".join(key(n, "0123456789abcdef") for n in (8, 4, 4, 4, 12)), lambda: f"{word()}_{word()}", lambda: f"mail{rng.randint(1, 9)}.example.com", lambda: "".join(word() for _ in range(5)), lambda: word().upper() + "-" + str(rng.randint(1, 99999)) + "-" + word() + word(), lambda: f"{word().upper()}#{rng.randint(1, 9999)}", lambda: f"{word()}&{word()}", lambda: f"{rng.randint(1, 31)}th", lambda: f"{word()}@{word()}", lambda: f"{word()}={rng.randint(1, 99)}&{word()}={word()}", lambda: f"{rng.choice('ABMP')}{rng.randint(1, 99)}", lambda: f"2024-0{rng.randint(1, 9)}-1{rng.randint(0, 9)}T1{rng.randint(0, 9)}"))()
 
     def short() -> str:
-        return key(rng.randint(5, 9)) + key(2, "0123456789") + key(rng.randint(5, 9))
+        """Passwords and short keys, as people and programs make them."""
+        marks = "!#$%&*?@^~"
+        made = rng.choice((lambda: key(rng.randint(3, 9)) + key(2, "0123456789") + key(rng.randint(2, 9)), lambda: word().capitalize() + key(rng.randint(2, 4), "0123456789") + rng.choice(marks) + key(rng.randint(1, 3)), lambda: key(rng.randint(3, 6)) + rng.choice(marks) + key(rng.randint(3, 6)) + key(1, "0123456789"), lambda: key(1, "ABCDEFGHIJ") + rng.choice(marks) + word() + key(2, "0123456789"), lambda: word() + key(rng.randint(3, 5), "0123456789") + key(2)))()
+        return made if any(c.isdigit() for c in made) else made + key(1, "0123456789") + "x"
 
     def digest() -> str:
-        return rng.choice((lambda: key(40, alnum + "+/"), lambda: key(32), lambda: key(20)))()
+        return rng.choice((lambda: key(40, alnum + "+/"), lambda: key(32), lambda: key(20), lambda: key(rng.randint(6, 10), "0123456789abcdef")))()
 
-    names = ("API_KEY", "client_secret", "auth", "bearer", "password", "access_key", "credential", "token")
+    names = ("API_KEY", "client_secret", "auth", "bearer", "password", "access_key", "credential", "token", "DB_PASS", "passphrase", "pwd", "key", "login")
     lines = []
     against = ("commit", "sha256", "checksum:", "uuid", "build", "trace", "id:", "revision", "etag")
     for _ in range(count):
@@ -261,9 +272,20 @@ def _examples(rng: random.Random, count: int) -> list[Line]:
             parts = [(rng.choice(names), 0), *((m, 0) for m in mark), (short() if rng.random() < 0.3 else secret(), 1), *((m, 0) for m in mark[1:])]
             file = np.array([1.0, float(rng.random() < 0.5), 0.0])
         elif kind < 0.4:
-            told = [rng.choice(names), *rng.choice((["is"], ["was", "set", "to"], [":"], []))] if rng.random() < 0.5 else []
-            parts = [*((w, 0) for w in (*prose, *told)), (short() if told and rng.random() < 0.4 else secret(), 1), *((word(), 0) for _ in range(rng.randint(0, 5)))]
+            told = [rng.choice(names), *rng.choice((["is"], ["was", "set", "to"], [":"], [], [":", '"'], ["=", "'"], [word(), ":"]))] if rng.random() < 0.6 else []
+            if told and rng.random() < 0.15:  # an address with a login in it
+                told = [word(), ":", "//" + word(), ":"]
+                parts = [*((w, 0) for w in (*prose, *told)), (short(), int(True)), ("@", 0), (word() + ".example.com", 0)]
+            else:
+                parts = [*((w, 0) for w in (*prose, *told)), (short() if told and rng.random() < 0.6 else secret(), 1), *((word(), 0) for _ in range(rng.randint(0, 5)))]
             file = np.array([0.0, 0.0, 1.0])
+        elif kind < 0.47:  # mail addresses, which a token and a host are too
+            told = rng.choice(([], ["mail"], ["contact", ":"], ["write", "to"], ["<"], [":"]))
+            parts = [*((w, 0) for w in (*prose, *told)), (rng.choice((f"{word()}.{rng.randint(0, 99):02d}", f"{word()}{rng.randint(1, 999)}", f"{word()}.{word()}", f"{word()}_{rng.randint(1, 9)}")), 0), ("@", 0), (rng.choice((f"mail{rng.randint(0, 9)}.example.com", f"{word()}.{word()}", f"{word()}{rng.randint(1, 99)}.org")), 0), *((word(), 0) for _ in range(rng.randint(0, 5)))]
+            file = np.array([0.0, 0.0, float(rng.random() < 0.7)])
+        elif kind < 0.5:  # a private key's fence
+            parts = [(f"-----BEGIN {rng.choice(('', 'RSA ', 'EC ', 'OPENSSH '))}PRIVATE KEY-----", 1)]
+            file = np.array([float(rng.random() < 0.5), 0.0, float(rng.random() < 0.5)])
         elif kind < 0.7:
             told = [rng.choice(against), *rng.choice((["is"], []))] if rng.random() < 0.3 else []
             parts = [*((w, 0) for w in (*prose, *told)), (digest() if told and rng.random() < 0.5 else harmless(), 0), *((word(), 0) for _ in range(rng.randint(0, 5)))]
@@ -273,7 +295,9 @@ def _examples(rng: random.Random, count: int) -> list[Line]:
             parts = [(rng.choice(names) if told else word(), 0), (rng.choice("=:"), 0), *([("'", 0)] if told and rng.random() < 0.5 else []), ("".join(word() for _ in range(rng.randint(1, 4))) if told else harmless(), 0)]
             file = np.array([1.0, float(rng.random() < 0.5), 0.0])
         else:
-            parts = [*((w, 0) for w in prose), (rng.choice(names).lower(), 0), *((word(), 0) for _ in range(rng.randint(1, 5)))]
+            # far from the word that names a secret, and small things right behind it, there is none
+            far = [(word(), 0) for _ in range(NEAR)] + [(harmless(), 0)] if rng.random() < 0.4 else [(rng.choice((f"{rng.randint(1, 31)}th", f"{rng.choice('ABMP')}{rng.randint(1, 9)}", str(rng.randint(1, 99)))), 0)] if rng.random() < 0.3 else []
+            parts = [*((w, 0) for w in prose), (rng.choice(names).lower(), 0), *far, *((word(), 0) for _ in range(rng.randint(1, 5)))]
             file = np.array([0.0, 0.0, float(rng.random() < 0.7)])
         classes = [shape(t) for t, _ in parts]
         lines.append(Line(classes, [g for _, g in parts], near_words(classes, [t for t, _ in parts]), file))
@@ -308,7 +332,6 @@ def _runs(of: bytes) -> bytes:
 
 
 _HEX_RUNS = _runs(b"0123456789abcdef")
-_KEY_RUNS = _runs(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_+/=-.")
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -330,18 +353,15 @@ def crf_spans(model: Field, text: str, base: list[tuple[int, int, int]]) -> list
     found: list[tuple[int, int]] = []
     file = None
     line_end = -1
-    # so many key characters in a row are in all that SUSPECT can match but a fence
-    if text.encode().translate(_KEY_RUNS).find(b"x" * SHORTEST) < 0 and "-----" not in text:
-        return found
     for m in SUSPECT.finditer(text):
-        if m.start() < line_end or not model.taggable[shape(m.group())]:
+        if m.start() < line_end:
             continue
         lo = text.rfind("\n", 0, m.start()) + 1
         hi = text.find("\n", m.start())
         line_end = hi = len(text) if hi < 0 else hi
         tokens = [(t.start() + lo, t.end() + lo, shape(t.group())) for t in TOKEN.finditer(text[lo:hi])]
         classes = [c for _, _, c in tokens]
-        if not classes:
+        if not any(model.taggable[c] for c in classes):
             continue
         file = file_features(text) if file is None else file
         tags = model.decode(np.array(classes), near_words(classes, [text[s:e] for s, e, _ in tokens]), file).tolist()
@@ -352,7 +372,6 @@ def crf_spans(model: Field, text: str, base: list[tuple[int, int, int]]) -> list
             elif tag == 2:
                 found[-1] = (found[-1][0], e)
             open_ = tag != 0
-    found = [x for x in found if x[1] - x[0] >= SHORTEST]
     if not found or not base:
         return found
     out, i, reach = [], 0, 0
