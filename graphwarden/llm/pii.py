@@ -1,8 +1,9 @@
 """Personal data by candidate gradient boosting, in DataFrame functions alone.
 
 Base kinds (email, ip, card, phone) follow fixed patterns and checks; their spans always stand.
-High-recall generators propose further spans (spelled-out addresses, national phone numbers, social
-security numbers, account numbers, postal forms of IPv6). Boosted trees score each proposal on its
+High-recall generators propose further spans (addresses spelled out in brackets or in words, national phone
+numbers in two ways of writing, social security numbers, account numbers, IPv6 in full and shortened). A name of an
+address has at most 64 characters and a label 63, as mail and host names have; longer ones are none. Boosted trees score each proposal on its
 format and on the words before it; a threshold for each kind selects.
 
 The trees learn from generated texts (fixed seed) in which personal data and look-alikes are planted
@@ -44,13 +45,16 @@ NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9]", "phone": r"\+[0-9
 
 #: Generators of further spans, likewise linear.
 MORE = {
-    "email_spelled": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+[ ]?[\[({](?:at|AT)[\])}][ ]?[A-Za-z0-9-]{1,63}+(?:[ ]?(?:[\[({](?:dot|DOT)[\])}]|\.)[ ]?[A-Za-z0-9-]{1,63}+){1,4}+",
+    "email_spelled": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+[ ]?[\[({](?:at|AT)[\])}][ ]?[A-Za-z0-9-]{1,63}+(?:[ ]?(?:[\[({](?:dot|DOT)[\])}]|\.)[ ]?[A-Za-z0-9-]{1,63}+){1,8}+",
+    "email_words": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ (?:at|AT) [A-Za-z0-9-]{1,63}+(?: (?:dot|DOT) [A-Za-z0-9-]{1,63}+){1,8}+",
     "phone_national": r"(?<![0-9+().-])(?<![0-9+()][ -])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![ -]?[0-9])",
+    "phone_zero": r"(?<![0-9+().,/-])(?<![0-9] )\(?0[0-9]{1,4}\)?(?:[ .-]| ?/ ?)[0-9]{2,8}(?:[ .-][0-9]{2,4}){0,4}+(?![0-9]|[.,:/-][0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}+(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip6": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
+    "ip6_short": r"(?<![0-9A-Za-z:])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5}+::[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5}+(?![0-9A-Za-z:])",
 }
-MORE_NEEDS = {"email_spelled": r"[\[({](?:at|AT)[\])}]", "phone_national": r"[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}", "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}", "iban": r"[A-Z]{2}[0-9]{2}", "ip6": r"[0-9A-Fa-f]:[0-9A-Fa-f]"}
+MORE_NEEDS = {"email_spelled": r"[\[({](?:at|AT)[\])}]", "email_words": " (?:dot|DOT) ", "phone_zero": r"0[0-9]{1,4}\)?[ ./-]", "ip6_short": "[0-9A-Fa-f]::[0-9A-Fa-f]", "phone_national": r"[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}", "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}", "iban": r"[A-Z]{2}[0-9]{2}", "ip6": r"[0-9A-Fa-f]:[0-9A-Fa-f]"}
 
 #: Words that speak for personal data when they stand shortly before a span.
 CUES = r"(?i)(mail|phone|tel|call|mobile|cell|fax|contact|ssn|social|security|iban|account|konto|bank|address|addr|ip|host)[^A-Za-z0-9]{0,4}(?:[A-Za-z]{0,8}[^A-Za-z0-9]{1,3})?$"
@@ -60,10 +64,10 @@ ANTI = r"(?i)(isbn|order|invoice|version|part|ref|ticket|page|item|serial|build|
 CONTEXT = 32
 #: Matches placed together; it keeps the placing linear in a text's matches.
 CHUNK = 64
-#: The most proposals that can end within one: MORE's longest match has some 420 code points, its shortest seven to fifteen.
-NEAR = 256
+#: The most proposals that can end within one: MORE's longest match has some 700 code points, its shortest four to fifteen, and those of one kind do not overlap.
+NEAR = 768
 #: Generated texts of each kind, with personal data and with look-alikes.
-EXAMPLES = 200
+EXAMPLES = 300
 
 
 def _empty(kind: str) -> Column:
@@ -162,6 +166,7 @@ def _planted(rng: random.Random, kind: str, good: bool) -> tuple[str, list[str]]
     def hexes(low: int, high: int) -> str:
         return ":".join(f"{rng.randint(low, high):x}" for _ in range(8))
 
+    words = ("the", "noon", "look", "big", "red", "end", "point", "home", "three", "line", "last", "this", "half", "once", "place")
     neutral = ["", "here", "this is", "see", "it was", "we have"]
     against = ["order", "invoice no.", "part", "ticket", "version", "item", "serial", "ref:", "build", "SKU"]
     if kind == "email_spelled":
@@ -170,6 +175,18 @@ def _planted(rng: random.Random, kind: str, good: bool) -> tuple[str, list[str]]
         if good:
             return f"{name} {at} {rng.choice(('example', 'mail-host', 'uni-town', 'acme'))} {dot} {rng.choice(('com', 'org', 'de', 'co.uk'))}", [*neutral, "mail", "contact:", "e-mail:", "write to"]
         return rng.choice((f"sold {at} {rng.randint(1, 99)}.{rng.randint(10, 99)}", f"meet {at} {rng.randint(1, 12)}.{rng.randint(10, 59)}", f"look {at} it.{rng.choice(('Then', 'And', 'So'))}")), neutral
+    if kind == "email_words":
+        if good:
+            return f"{rng.choice(('jane', 'j.doe', 'info', 'max_muster', 'anna.k', 'team-42', 'kim88'))} at {rng.choice(('example', 'mail-host', 'uni-town', 'acme', 'firm7'))} dot {rng.choice(('com', 'org', 'de', 'net', 'co dot uk'))}", [*neutral, "mail", "contact:", "e-mail:", "write to"]
+        return rng.choice((f"{rng.choice(words)} at {rng.choice(words)} dot {rng.choice(words)}", f"look at the dot {rng.choice(words)}", f"sold at {rng.randint(1, 99)} dot {rng.randint(1, 99)}")), neutral
+    if kind == "phone_zero":
+        if good:
+            return rng.choice((f"0{number(20, 999, 2)} {number(100000, 9999999, 6)}", f"0{number(20, 89, 2)} / {number(10, 999, 3)} {number(10, 99, 2)} {number(10, 99, 2)}", "0" + rng.choice("1234567") + "".join(f" {number(0, 99, 2)}" for _ in range(4)), f"(0{number(20, 161, 2)}) {number(100, 9999, 3)} {number(1000, 9999, 4)}", f"0{number(150, 179, 3)}-{number(1000000, 99999999, 7)}")), [*neutral, "call", "phone:", "tel", "mobile", "fax:", "reach us on"]
+        return rng.choice((f"0{number(1, 9, 1)}.{number(10, 99, 2)}", f"0{number(1, 9, 1)}-{number(10, 28, 2)}", f"00{number(1, 99, 2)} {number(10, 99, 2)}", f"0{number(1, 9, 1)}/{number(10, 12, 2)}", f"0{number(1, 9, 1)}.{number(10, 12, 2)} {number(1900, 2030, 4)}", f"0{number(100, 999, 3)}-{number(10, 99, 2)}")), [*against, *neutral]
+    if kind == "ip6_short":
+        if good:
+            return f"{rng.choice(('2001:db8', 'fe80', '2a02:26f0:1c', 'fd00:17:a', '2001:470:1f0b'))}::{':'.join(f'{rng.randint(1, 0xFFFF):x}' for _ in range(rng.randint(1, 4)))}", [*neutral, "host", "address", "ip:", "from"]
+        return f"{rng.choice(('a', 'de', 'abc', 'face', 'dead', 'b', '1', '12'))}::{rng.choice(('b', 'add', 'cafe', 'be', '2', 'fade'))}", [*against, *neutral]
     if kind == "phone_national":
         sep = rng.choice("-. ")
         if good:
@@ -218,7 +235,7 @@ class Judge:
         kinds = list(MORE)
         right = np.array([(lambda m: m[4] and m[1] == kinds[r.kind] and r.s < m[3] and m[2] < r.e)(made[r.n]) for r in got])
         x, n, kind = np.array([r.f for r in got], np.float32), np.array([r.n for r in got]), np.array([r.kind for r in got])
-        self.trees = BoostedTrees(x[n % 4 < 2], right[n % 4 < 2].astype(float), trees=24, depth=3)
+        self.trees = BoostedTrees(x[n % 4 < 2], right[n % 4 < 2].astype(float), trees=48, depth=3)
         score = self.trees.score(x)
         self.least, self.measured = [], {}
         for k, name in enumerate(kinds):
