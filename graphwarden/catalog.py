@@ -20,9 +20,9 @@ from graphwarden.operators.bnodes import colours
 from graphwarden.plans import algebra, rule_texts
 from graphwarden.plans.sparql import read_select, read_update
 from graphwarden.sinks import provenance_lines, report_lines, triple_lines, turtle_lines
-from graphwarden.sources import turtle
+from graphwarden.sources import store, turtle
 from graphwarden.sources.lift import EX, blank, iri, table, triples
-from graphwarden.sources.tables import IS_CLASS, IS_PREDICATE, baseline_lines, manifest
+from graphwarden.sources.tables import IS_CLASS, IS_PREDICATE, baseline_lines, manifest, read_baseline
 
 KNOWN = ("click", "purchase", "view")
 RULE, COMPONENT = "<urn:graphwarden:rule:KnownVocabularyTerm>", "<http://www.w3.org/ns/shacl#SPARQLConstraintComponent>"
@@ -683,6 +683,48 @@ def term_format(spark, sf_dir):
     return source_labels(spark, sf_dir, "m").select(F.col("o_nt").alias("term"), F.sha2("o_nt", 256).alias("digest")).distinct()
 
 
+# stores and files, written and read back
+
+
+@query(_sql["chronology"])
+def store_chronology(spark, sf_dir):
+    """The rule over a store of the same triples: ids for keys, spelled at the end."""
+    kept = store.write(life_events(spark, sf_dir).distinct(), paths.new_folder(spark))
+    return shown(kept.spelled(rules.chronology(kept.keyed, _BORN, _DIED)))
+
+
+@query(
+    f"""WITH t AS (SELECT DISTINCT 'm' AS scope, '<{EX}user/' || user_id || '>' AS s_nt, '{SKOS}' || event_type AS p, '<{EX}event/' || event_id || '>' AS o_nt FROM events),
+n AS (SELECT nt, row_number() OVER (ORDER BY nt) AS id FROM (SELECT s_nt AS nt FROM t UNION SELECT o_nt FROM t))
+SELECT t.*, a.id AS s_id, b.id AS o_id FROM t JOIN n a ON a.nt = s_nt JOIN n b ON b.nt = o_nt"""
+)
+def store_triples(spark, sf_dir):
+    """A store's triples with the ids of its dictionary."""
+    kept = store.write(event_terms(spark, sf_dir).distinct(), paths.new_folder(spark))
+    return spark.table(kept.tables[0]).select("scope", "s_nt", "p", "o_nt", "s_id", "o_id")
+
+
+@query(f"WITH {_EVENT_FINDINGS} SELECT signature FROM signed")
+def baseline_read(spark, sf_dir):
+    """Signatures that a baseline's file has."""
+    folder = paths.new_folder(spark)
+    baseline_lines(fd.signed(event_findings(spark, sf_dir))).write.text(folder)
+    return read_baseline(spark, folder)
+
+
+@query(
+    f"""SELECT DISTINCT 'urn:r:' || event_type AS id, '<urn:rule>' AS rule, '{SKOS}' || event_type AS bad, '{SKOS}' || event_type || 'ed' AS replacement, CASE WHEN event_type < 'f' THEN 'skos' ELSE 'core' END AS profile,
+  CASE WHEN event_type < 'f' THEN 'DELETE WHERE {{ ?s <{SKOS}' || event_type || '> ?o }}' ELSE '' END AS text FROM events"""
+)
+def repair_catalog(spark, sf_dir):
+    """Definitions of repairs, one for each type of event, read from triples."""
+    e = table(spark, sf_dir, "events").select("event_type").distinct()
+    me, bad, some = F.concat(F.lit("urn:r:"), "event_type"), F.concat(F.lit(SKOS), "event_type"), e.where("event_type < 'f'")
+    said = union(triples(e, me, TYPE, F.lit(rp.REPAIR)), triples(e, me, rp.RULE, F.lit("urn:rule")), triples(e, me, rp.BAD, bad), triples(e, me, rp.REPLACEMENT, F.concat(bad, F.lit("ed"))), triples(some, me, rp.PROFILE, F.lit("skos"), literal=True), triples(some, me, rp.UPDATE, F.concat(F.lit("DELETE WHERE { ?s <"), bad, F.lit("> ?o }")), literal=True))
+    rows = [(r.id, r.rule, r.bad, r.replacement, r.profile, r.text) for r in rp.read_catalog(said)]
+    return spark.createDataFrame(rows, "id string, rule string, bad string, replacement string, profile string, text string")
+
+
 # rules as SPARQL text, over the triples of the rules above
 
 

@@ -32,12 +32,18 @@ def shared_folder(spark) -> str:
 def checkpointed(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder, read back: lineage ends there, and so do the constraints that a plan of many self-joins piles up. The folder goes when the session's Python ends."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    path = new_folder(spark)
     df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def new_folder(spark) -> str:
+    """A folder's name in the shared one that nothing has yet; it goes when the session's Python ends."""
+    path = f"{shared_folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
 def _remove(spark, path: str) -> None:
     try:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -114,8 +120,12 @@ def _fold(edges: DataFrame, turned: bool, keep: DataFrame | None) -> tuple[DataF
     if keep is not None:
         sinks, single = sinks.join(keep, ["scope", "node"], "left_anti"), single.join(keep, ["scope", "node"], "left_anti")
     single, sinks = checkpointed(single), checkpointed(sinks)
-    if single.isEmpty() and sinks.isEmpty():
+    none = single.isEmpty()
+    if none and sinks.isEmpty():
         return None
+    if none:  # nothing is led on: what leads nowhere goes
+        left = checkpointed(now.join(sinks.select("scope", F.col("node").alias("b")), ["scope", "b"], "left_anti").select("scope", "a", "b"))
+        return _turned(left) if turned else left, Fold([], left.select("scope", "a", F.lit(None).cast("string").alias("via"), "b"), turned)
     powers = _pointers(single)
     rest = now.join(single.select("scope", F.col("node").alias("a")), ["scope", "a"], "left_anti")
     led = rest.join(powers[-1].select("scope", F.col("node").alias("b"), "to", "open"), ["scope", "b"], "left").where("open IS NULL OR NOT open")
@@ -132,6 +142,8 @@ def reached_pairs(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     with the logarithm of the longest chain; of that the closure is made.
     """
     pairs = checkpointed(pairs.select("scope", "a", "b").distinct())
+    if pairs.isEmpty():
+        return pairs
     keep = checkpointed(_ends(pairs, "a").unionByName(_ends(pairs, "b")).distinct())
     now, idle = checkpointed(edges.select("scope", "a", "b").distinct()), 0
     turned = False
@@ -175,6 +187,8 @@ def cyclic_nodes(edges: DataFrame) -> DataFrame:
     # classes tell only folded nodes apart: without a link into them there is none to tell
     same = _unioned([c.select("scope", "node", "class") for c in classes])
     for at, fold in reversed(list(enumerate(folds))):
+        if not fold.powers:
+            continue
         known = fold.entries.where("via IS NOT NULL")
         if same is not None:
             ends = known.join(same.select("scope", F.col("node").alias("a"), F.col("class").alias("ca")), ["scope", "a"], "left").join(same.select("scope", F.col("node").alias("b"), F.col("class").alias("cb")), ["scope", "b"], "left")

@@ -1,7 +1,8 @@
 """The rules, each one set-based plan over triples of any number of scopes.
 
 A scope is a module, or the union of all (UNION). Input triples have the columns of TRIPLE_FIELDS with
-`scope` for `module`, and are distinct within a scope. A rule gives rows (scope, focus, path, value,
+`scope` for `module`, and are distinct within a scope; s_nt and o_nt are keys to rules: spellings, or the ids of
+a store (sources/store.py), which stand marked in the rows of a rule until they are spelled. A rule gives rows (scope, focus, path, value,
 message, occurrence): terms in N-Triples spelling ('' where absent). occurrence tells apart findings
 that are otherwise equal and is dropped by findings().
 
@@ -12,11 +13,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphwarden.functions.terms import BNODE, CRM, DCT, IRI, LITERAL, OWL, RDF, RDFS, SKOS, STANDARD_NAMESPACES, TYPE, XSD, LEXICAL, ill_typed, iri_nt, starts_with_any, strict_date
 from graphwarden.operators import closure as paths
 
 UNION = "@union"
+#: What stands before an id in a rule's row; no spelling begins so.
+MARK = "#"
 #: The focus of rules that run once over a whole scope.
 AUDIT_TARGET = "<urn:graphwarden:audit-target>"
 FIELDS = ("scope", "focus", "path", "value", "message", "occurrence")
@@ -28,9 +32,16 @@ def rows(df: DataFrame, *, focus: Column | str, path: Column | str = "", value:
 
     text = F.lit(None).cast("string") if message is None else column(message)
     out = df.select("scope", column(focus).alias("focus"), column(path).alias("path"), column(value).alias("value"), text.alias("message"), column(occurrence).alias("occurrence"))
+    ids = [f.name for f in out.schema.fields if isinstance(f.dataType, T.LongType)]
+    out = out.withColumns({c: F.concat(F.lit(MARK), F.col(c).cast("string")) for c in ids}) if ids else out
     return out.distinct() if distinct else out
 
 
+def is_iri(side: str, *iris: str) -> Column:
+    """Whether a statement's subject (s) or object (o) is one of the IRIs, by its text: keys may be ids."""
+    return (F.col(f"{side}_kind") == IRI) & F.col(side).isin(*iris)
+
+
 def resource(nt: Column, kind: Column, text: Column) -> Column:
     """STR() of a term: unbound for a blank node."""
     return F.when(kind != BNODE, text)
@@ -54,13 +65,13 @@ def known_terms(t: DataFrame, manifest: DataFrame, namespaces=STANDARD_NAMESPACE
     typed = (F.col("p") == TYPE) & (F.col("o_kind") == IRI)
 
     def use(role: str, term: Column, path: Column, occurrence: Column) -> Column:
-        return F.struct(F.lit(role).alias("role"), term.alias("term"), path.alias("path"), F.col("s_nt").alias("value"), occurrence.alias("occurrence"), subject.alias("user"), F.col("s_kind").alias("user_kind"))
+        return F.struct(F.lit(role).alias("role"), term.alias("term"), path.alias("path"), F.col("s_nt").alias("value"), occurrence.cast("string").alias("occurrence"), subject.alias("user"), F.col("s_kind").alias("user_kind"))
 
     def declared(kinds: list[str], role: str) -> Column:
         return F.when(typed & F.col("o").isin(kinds) & (F.col("s_kind") == IRI), use(role, F.col("s"), F.lit(f"<{TYPE}>"), F.lit("")))
 
     as_predicate = use("predicate", F.col("p"), iri_nt(F.col("p")), F.col("o_nt"))
-    as_class = F.when(typed, use("class", F.col("o"), F.col("o_nt"), F.lit("")))
+    as_class = F.when(typed, use("class", F.col("o"), iri_nt(F.col("o")), F.lit("")))
     of_predicates = declared([RDF + "Property", OWL + "ObjectProperty", OWL + "DatatypeProperty", OWL + "AnnotationProperty"], "predicate")
     of_classes = declared([RDFS + "Class", RDFS + "Datatype", OWL + "Class"], "class")
     checked = F.filter(F.array(as_predicate, as_class, of_predicates, of_classes), lambda x: x.isNotNull() & starts_with_any(x["term"], namespaces) & ~((x["role"] == "predicate") & x["term"].rlike("^" + RDF.replace(".", "[.]") + r"_[1-9][0-9]*\z")))
@@ -121,8 +132,8 @@ def closure_disjoint(t: DataFrame, hierarchy: str = SKOS + "broader", relation:
 
 def node_target_pair(t: DataFrame, node: str, range_: str, declared: str) -> DataFrame:
     """The node where its range is one class while another is declared as a class."""
-    ranged = target_node(t, node).join(t.where((F.col("s_nt") == f"<{node}>") & (F.col("p") == RDFS + "range") & (F.col("o_nt") == f"<{range_}>")).select("scope").distinct(), "scope", "left_semi")
-    other = t.where((F.col("s_nt") == f"<{declared}>") & (F.col("p") == TYPE) & (F.col("o_nt") == f"<{RDFS}Class>")).select("scope").distinct()
+    ranged = t.where(is_iri("s", node) & (F.col("p") == RDFS + "range") & is_iri("o", range_)).select("scope").distinct()
+    other = t.where(is_iri("s", declared) & (F.col("p") == TYPE) & is_iri("o", RDFS + "Class")).select("scope").distinct()
     return rows(ranged.join(other, "scope", "left_semi"), focus=f"<{node}>", path=f"<{RDFS}range>", value=f"<{range_}>", distinct=False)
 
 
@@ -142,7 +153,7 @@ def chronology(t: DataFrame, birth: tuple[str, str, str], death: tuple[str, str,
 
     def bound(event: tuple[str, str, str], latest: bool) -> DataFrame:
         cls, person, at = event
-        events = t.where((F.col("p") == TYPE) & (F.col("o_nt") == f"<{cls}>")).select("scope", F.col("s_nt").alias("e"))
+        events = t.where((F.col("p") == TYPE) & is_iri("o", cls)).select("scope", F.col("s_nt").alias("e"))
         persons = t.where(F.col("p") == person).select("scope", F.col("s_nt").alias("e"), F.col("o_nt").alias("person"), resource(F.col("o_nt"), F.col("o_kind"), F.col("o")).alias("name"))
         spans = t.where(F.col("p") == span).select("scope", F.col("s_nt").alias("e"), F.col("o_nt").alias("sp"))
         days = t.where((F.col("p") == at) & (F.col("o_kind") == LITERAL)).select("scope", F.col("s_nt").alias("sp"), F.col("o").alias("text"), strict_date(F.col("o")).alias("day")).where("day IS NOT NULL")
@@ -167,7 +178,7 @@ def dangling_reference(t: DataFrame, namespaces: list[str]) -> DataFrame:
 def typed_participant(t: DataFrame, predicate: str, namespace: str, classes: list[str]) -> DataFrame:
     """Participants of a namespace that have none of the classes."""
     used = t.where((F.col("p") == predicate) & (F.col("o_kind") == IRI) & F.col("o").startswith(namespace)).select("scope", "o", "o_nt").distinct()
-    typed = t.where((F.col("p") == TYPE) & F.col("o_nt").isin([f"<{c}>" for c in classes])).select("scope", F.col("s_nt").alias("o_nt")).distinct()
+    typed = t.where((F.col("p") == TYPE) & is_iri("o", *classes)).select("scope", F.col("s_nt").alias("o_nt")).distinct()
     return rows(used.join(typed, ["scope", "o_nt"], "left_anti"), focus=AUDIT_TARGET, path=f"<{predicate}>", value=F.col("o_nt"), message=F.concat(F.lit("Untyped participant "), F.col("o")))
 
 
@@ -191,9 +202,10 @@ def subclasses(t: DataFrame) -> DataFrame:
 def target_class(t: DataFrame, cls: str, below: DataFrame | None = None) -> DataFrame:
     """Instances of a class or of a subclass that the same scope declares; below: subclasses(t)."""
     below = subclasses(t) if below is None else below
-    under = below.where(F.col("b") == f"<{cls}>").select("scope", "a")
+    named = t.where((F.col("p") == RDFS + "subClassOf") & is_iri("o", cls)).select("scope", F.col("o_nt").alias("b")).distinct()
+    under = below.join(named, ["scope", "b"], "left_semi").select("scope", "a")
     direct = t.where(F.col("p") == TYPE).select("scope", F.col("s_nt").alias("focus"), F.col("o_nt").alias("a"))
-    own = direct.where(F.col("a") == f"<{cls}>").select("scope", "focus")
+    own = t.where((F.col("p") == TYPE) & is_iri("o", cls)).select("scope", F.col("s_nt").alias("focus"))
     return own.unionByName(direct.join(under, ["scope", "a"], "left_semi").select("scope", "focus")).distinct()
 
 

@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from graphwarden.functions.terms import TRIPLE_FIELDS
 from graphwarden.operators import findings as fd
 from graphwarden.operators.bnodes import stable
+from graphwarden.operators.closure import checkpointed
 from graphwarden.operators.rules import UNION, subclasses
 from graphwarden.plans.profiles import Context, Rule, component, registry, rule_count
+from graphwarden.sources.store import write as write_store
 
 #: Called with (rule, None, focus nodes) when a rule begins, and (rule, seconds, findings) when its findings are made.
 Progress = Callable[[str, float | None, int], None]
@@ -58,12 +60,6 @@ def scoped(triples: DataFrame, support: DataFrame | None, union: bool) -> DataFr
     return own.distinct()
 
 
-def stored(t: DataFrame, folder: str) -> DataFrame:
-    """t as a Parquet store in a new folder, sorted by predicate, so that a rule reads the row groups of its predicates."""
-    t.repartition("p").sortWithinPartitions("p", "s_nt").write.mode("errorifexists").parquet(folder)
-    return t.sparkSession.read.schema(t.schema).parquet(folder)
-
-
 def _focus_nodes(rule: Rule, t: DataFrame) -> int:
     if not rule.subjects:
         return t.select("scope").distinct().count()
@@ -71,23 +67,37 @@ def _focus_nodes(rule: Rule, t: DataFrame) -> int:
 
 
 def findings(triples: DataFrame, context: Context, rules: list[Rule], support: DataFrame | None = None, union: bool = False, progress: Progress | None = None, store: str | None = None) -> DataFrame:
-    """Findings without signature of the rules over modules, or over their union (on disk in a folder `store`, if there is one). With progress, each rule's findings are made one after another, and timed."""
+    """Findings without signature of the rules over modules, or over their union; every rule is run once, and nothing of the graph stays in memory.
+
+    With a folder `store`, the graph is kept there (sources/store.py) and rules join on its ids; rules of one's
+    own, whose text names spellings, read its spellings. With progress, each rule's findings are made one
+    after another, and timed.
+    """
     t = scoped(triples, support, union)
-    t = stored(t, store) if store else t.persist()  # read once by each rule
+    kept = write_store(t, store) if store else None
+    t = kept.plain if kept else t.persist()  # read once by each rule
+    keys = kept.keyed if kept else t
     if any(r.profile == "full" or r.shape for r in rules):
-        context = replace(context, below=subclasses(t))
+        context = replace(context, below=subclasses(keys))
+    own = replace(context, below=subclasses(t)) if kept and any(r.shape for r in rules) else context
     parts = []
     for rule in rules:
         if progress:
             progress(rule.name, None, _focus_nodes(rule, t))
         began = time.monotonic()
-        part = fd.bag(rule.build(t, context), rule.iri(context), rule.severity, component(rule), rule.message)
+        part = fd.bag(rule.build(t, own) if rule.shape else rule.build(keys, context), rule.iri(context), rule.severity, component(rule), rule.message)
         if progress:
-            part = part.persist()
-            n = part.count()
-            progress(rule.name, time.monotonic() - began, n)
+            part = checkpointed(part)
+            progress(rule.name, time.monotonic() - began, part.count())
         parts.append(part)
-    return stable(reduce(DataFrame.unionByName, parts), t)
+    found = reduce(DataFrame.unionByName, parts)
+    found = checkpointed(kept.spelled(found) if kept else found)
+    out = stable(found, t)
+    if kept:
+        kept.drop()
+    else:
+        t.unpersist()
+    return out
 
 
 def local_findings(triples: DataFrame, context: Context, profile: str, support: DataFrame | None = None) -> DataFrame:

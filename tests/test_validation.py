@@ -349,3 +349,36 @@ def test_registry():
     assert [rule_count(p, False) for p in ("core", "skos", "full")] == [2, 8, 16]
     assert rule_count("full", True) == 20
 
+
+
+def test_store_gives_the_same_findings_with_fewer_exchanges(data, spark, tmp_path):
+    """Every rule of the full profile over ids and over spellings, and what each shuffles."""
+    from graphwarden.operators import rules
+    from graphwarden.plans.validation import findings, scoped
+    from graphwarden.sources import store
+
+    modules = {
+        "a": 'e:x skos:prefLabel "a"@en , "b"@en ; skos:altLabel "a"@en ; skos:broader e:y ; skos:related e:y ; dct:identifier "1" . e:y skos:broader e:x ; dct:identifier "1" . e:z skos:broader e:z ; skos:related e:z ; skos:made e:q .',
+        "b": 'e:b1 a d:Birth ; crm:P98_brought_into_life e:p ; crm:P4_has_time-span e:s1 . e:s1 crm:P82b_end_of_the_end "1950-01-01"^^xsd:date . e:b2 a d:Birth ; crm:P98_brought_into_life "x" , e:q . e:sub rdfs:subClassOf d:UnitJoining . e:j a e:sub ; crm:P143_joined e:u ; crm:P144_joined_with e:u .',
+        "c": 'e:d1 a d:Death ; crm:P100_was_death_of e:p ; crm:P4_has_time-span e:s2 . e:s2 crm:P82a_begin_of_the_begin "1940-01-01"^^xsd:date . e:m a d:MedalAwarding ; crm:P11_had_participant <urn:graphwarden:actors:n> , [] . d:Conflict a rdfs:Class . <urn:graphwarden:domain:actors/hasConflict> rdfs:range <urn:graphwarden:conflicts:Conflict> .',
+    }
+    triples, faults = data.read(**modules)
+    assert faults.isEmpty()
+    context = data.context()
+    for n, union in enumerate((False, True)):
+        every = registry("full", union)
+        plain = sorted(map(tuple, findings(triples, context, every, union=union).collect()))
+        kept = sorted(map(tuple, findings(triples, context, every, union=union, store=str(tmp_path / f"s{n}")).collect()))
+        assert plain == kept and len(plain) > 12
+    t = scoped(triples, None, True)
+    kept = store.write(t, str(tmp_path / "s"))
+    assert sorted(map(tuple, kept.plain.select(*t.columns).collect())) == sorted(map(tuple, t.collect()))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        ids = [f for f in registry("full", True) if f.name == "BirthDeathChronology"][0].build
+        counts = [ids(x, context)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") for x in (spark.createDataFrame(t.collect(), t.schema), kept.keyed)]
+        stars = [rules.same_value(x, rules.target_subjects_of(x, "urn:p"), "urn:q", "urn:r")._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") for x in (t, kept.keyed)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert counts[1] * 2 <= counts[0] and stars[1] < stars[0], (counts, stars)
+    kept.drop()
