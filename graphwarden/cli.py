@@ -151,7 +151,7 @@ def run_repair(spark: SparkSession, o) -> int:
         print("\n".join(patch))
     if o.provenance:
         when = datetime.now(UTC).strftime("%Y%m%dT%H%M%SZ")
-        sinks.write_atomically(o.provenance, (r.value for r in sinks.provenance_lines(done.changes, when).toLocalIterator()))
+        sinks.write_sorted(sinks.provenance_lines(done.changes, when), o.provenance)
     print(f"{done.changes.count()} changes by {len(done.applied)} repairs")
     return 0
 

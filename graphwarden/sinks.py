@@ -1,18 +1,23 @@
-"""Writers: report, baseline, repaired copies, provenance, patch; and where they may write."""
+"""Writers: report, baseline, repaired copies, provenance, patch; and where they may write.
+
+Lines that grow with the data are sorted and written by tasks, each its range, into the shared folder; Spark
+commits the files of finished tasks alone. The driver's JVM then joins their bytes, in order, to one file beside
+the target and moves it there: no line passes through Python.
+"""
 
 from __future__ import annotations
 
-import itertools
 import os
 import re
 import shutil
 import tempfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphwarden.functions.terms import SH, TYPE, iri_nt, literal_nt, sha256
+from graphwarden.operators.closure import new_folder
 from graphwarden.operators.repair import CHANGE_FIELDS, Repair
 from graphwarden.sources.tables import HEADER, baseline_lines
 
@@ -34,8 +39,38 @@ def write_atomically(path: str, lines) -> None:
             os.unlink(staged)
 
 
-def _text(df: DataFrame):
-    return (r.value for r in df.toLocalIterator())
+def _joined(spark: SparkSession, folder: str, path: str, head: list[str]) -> None:
+    """The head's lines and the text files of a folder, by their names, as one file at path, if there are none only the head."""
+    jvm, target = spark._jvm, Path(path)
+    at = jvm.org.apache.hadoop.fs.Path(folder)
+    system = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    parts = sorted((x.getPath().toString() for x in (system.listStatus(at) if system.exists(at) else ()) if x.getPath().getName().startswith("part-")))
+    target.parent.mkdir(parents=True, exist_ok=True)
+    handle, staged = tempfile.mkstemp(dir=target.parent, prefix=f".{target.name}.")
+    try:
+        with os.fdopen(handle, "w", encoding="utf-8", newline="\n") as out:
+            out.writelines(line + "\n" for line in head)
+        out = jvm.java.io.FileOutputStream(staged, True)
+        try:
+            for part in parts:
+                read = system.open(jvm.org.apache.hadoop.fs.Path(part))
+                try:
+                    jvm.org.apache.hadoop.io.IOUtils.copyBytes(read, out, 1 << 16, False)
+                finally:
+                    read.close()
+        finally:
+            out.close()
+        os.replace(staged, target)
+    finally:
+        if os.path.exists(staged):
+            os.unlink(staged)
+
+
+def write_sorted(lines: DataFrame, path: str, head: list[str] = ()) -> None:
+    """Lines (value) in the order they have, behind a head, as one file."""
+    folder = new_folder(lines.sparkSession)
+    lines.select("value").write.option("lineSep", "\n").text(folder)
+    _joined(lines.sparkSession, folder, path, list(head))
 
 
 def report_lines(findings: DataFrame) -> DataFrame:
@@ -56,11 +91,11 @@ def report_lines(findings: DataFrame) -> DataFrame:
 
 
 def write_report(findings: DataFrame, path: str) -> None:
-    write_atomically(path, itertools.chain(["# validation report"], _text(report_lines(findings))))
+    write_sorted(report_lines(findings), path, ["# validation report"])
 
 
 def write_baseline(findings: DataFrame, path: str) -> None:
-    write_atomically(path, itertools.chain(HEADER, _text(baseline_lines(findings))))
+    write_sorted(baseline_lines(findings), path, list(HEADER))
 
 
 def check_outputs(outputs: list[str], inputs: list[str]) -> None:
@@ -76,29 +111,37 @@ def check_outputs(outputs: list[str], inputs: list[str]) -> None:
         seen.append(path)
 
 
-def triple_lines(triples: DataFrame) -> DataFrame:
-    """(module, value): N-Triples lines; blank nodes get labels from the hash of their names."""
+def triple_lines(triples: DataFrame, *more: str) -> DataFrame:
+    """(module, more, value): N-Triples lines; blank nodes get labels from the hash of their names."""
 
     def term(c):
         return F.when(F.col(c).startswith("_:"), F.concat(F.lit("_:b"), F.substring(F.sha2(F.col(c), 256), 1, 24))).otherwise(F.col(c))
 
-    return triples.select("module", F.concat(term("s_nt"), F.lit(" "), iri_nt(F.col("p")), F.lit(" "), term("o_nt"), F.lit(" .")).alias("value"))
+    return triples.select("module", *more, F.concat(term("s_nt"), F.lit(" "), iri_nt(F.col("p")), F.lit(" "), term("o_nt"), F.lit(" .")).alias("value"))
 
 
 #: A local name that needs no escape.
 _LOCAL = r"[A-Za-z_][A-Za-z0-9_-]*"
 
 
-def turtle_lines(triples: DataFrame, prefixes: dict[str, str]) -> DataFrame:
-    """(module, value): Turtle statements, a line each, with names shortened by the prefixes where that needs no escape."""
+PREFIXES = "array<struct<name:string,iri:string>>"
+
+
+def turtle_lines(triples: DataFrame, prefixes: dict[str, str] | Column) -> DataFrame:
+    """(module, value): Turtle statements, a line each, with names shortened by the prefixes where that needs no escape. prefixes may be a column of PREFIXES, of each module its own."""
+    if isinstance(prefixes, dict):
+        prefixes = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(i).alias("iri")) for n, i in sorted(prefixes.items())]).cast(PREFIXES)
 
     def short(term):
-        out = term
-        for name, start in sorted(prefixes.items(), key=lambda x: len(x[1])):  # the longest start that fits is tried first
-            out = F.when(term.rlike(f"^<{re.escape(start)}{_LOCAL}>$"), F.concat(F.lit(f"{name}:"), F.substring(term, len(start) + 2, 1 << 30).substr(F.lit(1), F.length(term) - len(start) - 2))).otherwise(out)
-        return out
+        def local(x):
+            return F.substr(term, F.length(x["iri"]) + 2, F.length(term) - F.length(x["iri"]) - 2)
+
+        fits = F.filter("__prefixes", lambda x: term.startswith(F.concat(F.lit("<"), x["iri"])) & local(x).rlike(f"^{_LOCAL}\\z"))
+        # the longest start that fits
+        best = F.array_max(F.transform(fits, lambda x: F.struct(F.length(x["iri"]).alias("size"), x["name"].alias("name"), x["iri"].alias("iri"))))
+        return F.coalesce(F.concat(best["name"], F.lit(":"), local(best)), term)
 
-    own = triple_lines(triples).select("module", F.split("value", " ", 3).alias("t"))
+    own = triple_lines(triples.withColumn("__prefixes", prefixes), "__prefixes").select("module", "__prefixes", F.split("value", " ", 3).alias("t"))
     statement = F.regexp_replace(F.get("t", F.lit(2)), r" \.$", "")
     return own.select("module", F.concat(short(F.get("t", F.lit(0))), F.lit(" "), short(F.get("t", F.lit(1))), F.lit(" "), short(statement), F.lit(" .")).alias("value"))
 
@@ -122,6 +165,14 @@ def publish_copies(before: DataFrame, after: DataFrame, files: dict[str, str], d
     lost, won = before.select(*key).subtract(after.select(*key)), after.select(*key).subtract(before.select(*key))
     changed = {r.module for r in lost.unionByName(won).select("module").distinct().collect()}
     target.parent.mkdir(parents=True, exist_ok=True)
+    spark, folder = after.sparkSession, new_folder(after.sparkSession)
+    numbered = sorted(changed)
+    own = [_prefixes(files[m]) if not files[m].lower().endswith(".nt") else {} for m in numbered]
+    # a row for each changed module
+    rows = spark.createDataFrame([(m, n, sorted(p.items())) for n, (m, p) in enumerate(zip(numbered, own, strict=True))], f"module string, __n int, __own {PREFIXES}")
+    if numbered:
+        lines = turtle_lines(after.join(F.broadcast(rows.drop("__n")), "module"), F.col("__own")).join(F.broadcast(rows.select("module", "__n")), "module")
+        lines.repartitionByRange("__n", "value").sortWithinPartitions("__n", "value").select("__n", "value").write.partitionBy("__n").option("lineSep", "\n").text(folder)
     staged = Path(tempfile.mkdtemp(dir=target.parent, prefix=f".{target.name}."))
     try:
         for module, path in sorted(files.items()):
@@ -131,13 +182,8 @@ def publish_copies(before: DataFrame, after: DataFrame, files: dict[str, str], d
                 raise ValueError(f"module {module} has no place of its own in {directory}")
             copy.parent.mkdir(parents=True, exist_ok=True)
             if module in changed:
-                own = after.where(F.col("module") == module)
-                if path.lower().endswith(".nt"):
-                    head, lines = [], triple_lines(own)
-                else:
-                    prefixes = _prefixes(path)
-                    head, lines = [f"@prefix {n}: <{i}> ." for n, i in sorted(prefixes.items())], turtle_lines(own, prefixes)
-                write_atomically(str(copy), itertools.chain(head, _text(lines.orderBy("value").select("value"))))
+                at = numbered.index(module)
+                _joined(spark, f"{folder}/__n={at}", str(copy), [f"@prefix {n}: <{i}> ." for n, i in sorted(own[at].items())])
             else:
                 shutil.copyfile(path, copy)
         if target.exists():
