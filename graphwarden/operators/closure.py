@@ -115,15 +115,15 @@ def _pointers(single: DataFrame) -> list[DataFrame]:
 def _fold(edges: DataFrame, turned: bool, keep: DataFrame | None) -> tuple[DataFrame, Fold] | None:
     """(links left, what was folded) of nodes with one way out, and without those that lead nowhere; None if there are neither. Nodes of keep (scope, node) stay."""
     now = _turned(edges) if turned else edges
-    sinks = _ends(now, "b").join(_ends(now, "a"), ["scope", "node"], "left_anti")
-    single = now.groupBy("scope", F.col("a").alias("node")).agg(F.count("*").alias("n"), F.min("b").alias("to")).where("n = 1").drop("n")
-    if keep is not None:
-        sinks, single = sinks.join(keep, ["scope", "node"], "left_anti"), single.join(keep, ["scope", "node"], "left_anti")
-    single, sinks = checkpointed(single), checkpointed(sinks)
-    none = single.isEmpty()
-    if none and sinks.isEmpty():
+    # ways out of every node: none of a sink, one of a pointer
+    ways = now.select("scope", F.col("a").alias("node"), F.lit(1).alias("out"), F.col("b").alias("to")).unionByName(now.select("scope", F.col("b").alias("node"), F.lit(0).alias("out"), F.lit(None).alias("to")))
+    ways = ways.groupBy("scope", "node").agg(F.sum("out").alias("n"), F.min("to").alias("to")).where("n < 2")
+    ways = checkpointed(ways if keep is None else ways.join(keep, ["scope", "node"], "left_anti"))
+    single, sinks = ways.where("n = 1").select("scope", "node", "to"), ways.where("n = 0").select("scope", "node")
+    there = {r.n for r in ways.select("n").distinct().collect()}  # 0 and 1 at most
+    if not there:
         return None
-    if none:  # nothing is led on: what leads nowhere goes
+    if there == {0}:  # nothing is led on: what leads nowhere goes
         left = checkpointed(now.join(sinks.select("scope", F.col("node").alias("b")), ["scope", "b"], "left_anti").select("scope", "a", "b"))
         return _turned(left) if turned else left, Fold([], left.select("scope", "a", F.lit(None).cast("string").alias("via"), "b"), turned)
     powers = _pointers(single)
