@@ -6,15 +6,14 @@ where the byte is new in a context, an escape (method C: d / (n + d) for d disti
 goes to the next shorter one, at last to 1 of 256. A text's language is the one with the least code
 length, and the score is its posterior for equal priors.
 
-Training texts are a bounded sample: SAMPLE_TEXTS whole texts of each of at most LANGUAGES languages
-(those with most sampled texts, then by name), the ones with the least hash of doc_id and text.
-Executors count them, and the driver gets counts alone. The trees have at most CELLS nodes times languages: beyond
-that, grams that occur less often than a common bound are left out of all trees (the parts of a gram
-occur at least as often, so no tree loses a context of a node it keeps).
+Training texts are a bounded sample: SAMPLE_TEXTS whole texts of each language, the ones with the least hash of
+doc_id and text. Executors count them, and the driver gets counts alone. Every gram of the sample is kept for every
+language: the trees grow with the sample, that is with the number of languages (labels are taken to be languages).
 
-Texts are scored as a walk through one union tree: the node of the bytes [i - k, i] is the child, by
+Languages are taken in blocks of BLOCK by name, each with its own union tree, so a node has places for the languages
+of its block alone, whatever their number. Texts are scored as a walk through each union tree: the node of the bytes [i - k, i] is the child, by
 byte i, of the node of [i - k, i - 1], so each byte takes one table step for each order and all
-languages are summed together. A long text is walked in pieces that carry `order` bytes over.
+languages of the block are summed together. A long text is walked in pieces that carry `order` bytes over.
 
 Rows: a null text, or one without a letter, is `und` with score 0 (also where nothing could be
 learned). Ties go to the language that sorts first. Rows that repeat doc_id and text count once in
@@ -33,8 +32,10 @@ from pyspark.sql import types as T
 
 from graphwarden.llm.textbatch import buffers, id_text, slices
 
-#: The bounds of the training sample: whole texts of each language, and languages; and of the trees.
-SAMPLE_TEXTS, LANGUAGES, CELLS = 400, 400, 8_000_000
+#: The bound of the training sample: whole texts of each language.
+SAMPLE_TEXTS = 400
+#: Languages that share a union tree.
+BLOCK = 8
 #: Hash buckets in which a language's texts are ranked before they are ranked as one.
 BUCKETS = 64
 #: Tasks that count the sample, which is bounded: each gives its own grams once.
@@ -59,7 +60,7 @@ def training_sample(docs: DataFrame) -> tuple[list[str], DataFrame]:
     # ids alone are ranked, first in buckets of which each task sends its first few on
     near = rows.select("lang", "at", F.dense_rank().over(Window.partitionBy("lang", F.pmod("at", F.lit(BUCKETS))).orderBy("at")).alias("rank")).where(F.col("rank") <= SAMPLE_TEXTS).select("lang", "at").distinct()
     first = near.withColumn("rank", F.dense_rank().over(Window.partitionBy("lang").orderBy("at"))).where(F.col("rank") <= SAMPLE_TEXTS)
-    last = first.groupBy("lang").agg(F.max("at").alias("last"), F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()  # a row for each language, LANGUAGES at most
+    last = first.groupBy("lang").agg(F.max("at").alias("last")).collect()  # a row for each language
     langs = sorted(r.lang for r in last)
     limits = docs.sparkSession.createDataFrame([(r.lang, langs.index(r.lang), r.last) for r in last], "lang string, no long, last long")
     return langs, rows.join(F.broadcast(limits), "lang").where("at <= last").dropDuplicates(["lang", "at"]).select(F.col("no").alias("lang"), "text")
@@ -85,7 +86,7 @@ def counted(texts: list[bytes], order: int) -> list[tuple[np.ndarray, np.ndarray
     return list(zip(own, cnt, strict=True))
 
 
-def train(docs: DataFrame, order: int = ORDER) -> "ByteTrees":
+def train(docs: DataFrame, order: int = ORDER) -> "Forest":
     """Trees of the training sample of docs (doc_id, text, lang)."""
     langs, sample = training_sample(docs)
 
@@ -110,17 +111,26 @@ def train(docs: DataFrame, order: int = ORDER) -> "ByteTrees":
         yield from told()
 
     counts = sample.coalesce(COUNT_TASKS).mapInArrow(run, COUNTS).groupBy("lang", "k", "gram").agg(F.sum("n").alias("n"))
-    whole = counts.groupBy("k", "gram").agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("of")).persist()  # a gram's languages
-    often = whole.groupBy(F.least("total", F.lit(10_000)).alias("total")).count().orderBy(F.desc("total")).collect()  # 10,000 rows at most
-    nodes, least = 0, 10_000
-    for r in often:
-        nodes += r["count"]
-        if nodes * max(1, len(langs)) > CELLS:
-            break
-        least = r.total
-    flat = whole.where(F.col("total") >= least).select("k", "gram", F.explode("of").alias("x")).select("x.lang", "k", "gram", "x.n").toArrow()  # CELLS rows at most
-    whole.unpersist()
-    return ByteTrees(langs, *(flat.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("lang", "k", "gram", "n")), order)
+    if len(langs) > BLOCK:
+        counts = counts.persist()  # read once for each block
+    blocks = []
+    for lo in range(0, len(langs), BLOCK):
+        own = counts.where(F.col("lang").between(lo, lo + BLOCK - 1)).select(F.col("lang") - lo, "k", "gram", "n").toArrow()  # grams of BLOCK samples at most
+        blocks.append(ByteTrees(langs[lo : lo + BLOCK], *(own.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in range(4)), order))
+    counts.unpersist()
+    return Forest(blocks, order)
+
+
+class Forest:
+    """The blocks of languages, in the order of their names."""
+
+    def __init__(self, blocks: list["ByteTrees"], order: int = ORDER):
+        self.blocks, self.order = blocks, order
+        self.langs = [lang for b in blocks for lang in b.langs]
+
+    def bits(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Code length of each document in each language."""
+        return np.concatenate([np.zeros((len(offsets) - 1, 0)), *(b.bits(data, offsets) for b in self.blocks)], axis=1)
 
 
 class ByteTrees:
@@ -229,7 +239,7 @@ class ByteTrees:
 _LETTER = regex.compile(r"\p{L}")
 
 
-def predict(docs: DataFrame, trees: ByteTrees) -> DataFrame:
+def predict(docs: DataFrame, trees: Forest) -> DataFrame:
     """doc_id, lang_pred, score and the least code length of every whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(trees)
 

@@ -101,7 +101,11 @@ def trees_of(sample, order=language_id.ORDER):
     """Trees of (lang, text) without Spark."""
     langs = sorted({lang for lang, _ in sample})
     rows = [(j, k, g, n) for j, lang in enumerate(langs) for k, (gs, ns) in enumerate(language_id.counted([t.encode() for x, t in sample if x == lang], order)) for g, n in zip(gs.tolist(), ns.tolist(), strict=True)]
-    return language_id.ByteTrees(langs, *(np.array(c, np.int64) for c in zip(*rows, strict=True)), order)
+    blocks = []
+    for lo in range(0, len(langs), language_id.BLOCK):
+        own = [(j - lo, k, g, n) for j, k, g, n in rows if lo <= j < lo + language_id.BLOCK]
+        blocks.append(language_id.ByteTrees(langs[lo : lo + language_id.BLOCK], *(np.array(c, np.int64) for c in zip(*own, strict=True)), order))
+    return language_id.Forest(blocks, order)
 
 
 def code_length(learn, text, order):
@@ -161,7 +165,8 @@ def test_language_learns_whole_texts(spark, monkeypatch):
     assert langs == ["de", "en"] and sorted(map(tuple, sample.collect())) == [(0, rows[0][1]), (1, rows[1][1])]
 
     def same(x, y):
-        return all((a == b).all() for a, b in zip((*x.step, *x.seen, *x.escape), (*y.step, *y.seen, *y.escape), strict=True))
+        pairs = [(a, b) for p, q in zip(x.blocks, y.blocks, strict=True) for a, b in zip((*p.step, *p.seen, *p.escape), (*q.step, *q.seen, *q.escape), strict=True)]
+        return pairs and all((a == b).all() for a, b in pairs)
 
     plain = trees_of([("de", rows[0][1]), ("en", rows[1][1])])
     assert same(language_id.train(frame), plain)
@@ -169,11 +174,7 @@ def test_language_learns_whole_texts(spark, monkeypatch):
     whole = trees_of(sample)
     monkeypatch.setattr(language_id, "COUNT_BYTES", 7)
     assert same(whole, trees_of(sample))
-    # fewer cells: rare grams go, and every node left has its contexts
     monkeypatch.setattr(language_id, "COUNT_BYTES", 1 << 20)
-    monkeypatch.setattr(language_id, "CELLS", 60)
-    few = language_id.train(frame)
-    assert 0 < sum(len(s) - 1 for s in few.seen) * 2 <= 60 and few.bits(np.frombuffer(b"second", np.uint8), np.array([0, 6]))[0].argmin() == 1
     # more texts than the sample takes, all with one language
     monkeypatch.setattr(language_id, "SAMPLE_TEXTS", 5)
     many = spark.createDataFrame([(i, f"text {i}", "en") for i in range(900)], "doc_id long, text string, lang string")
@@ -181,6 +182,27 @@ def test_language_learns_whole_texts(spark, monkeypatch):
     assert sorted(r.text for r in language_id.training_sample(many)[1].collect()) == sorted(sorted(at, key=at.get)[:5])
 
 
+def test_four_hundred_languages_keep_all_their_grams(spark):
+    """Blocks of languages score as a plain model of each does, and of languages with equal code length the first is taken."""
+    rng = random.Random(9)
+    rows = []
+    for j in range(400):
+        own = "".join(rng.sample("abcdefghijklmnopqrstuvwxyz", 5))
+        rows += [(3 * j + r, " ".join("".join(rng.choice(own) for _ in range(rng.randint(2, 6))) for _ in range(12)), f"l{j:03d}") for r in range(3)]
+    rows += [(10_000, "twin words are twin words", "tb"), (10_001, "twin words are twin words", "ta")]
+    forest = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert forest.langs == sorted({lang for *_, lang in rows}) and len(forest.blocks) == -(-402 // language_id.BLOCK)
+    given = [rows[0][1], rows[700][1][:30], "zq é", "twin words"]
+    raw = [t.encode() for t in given]
+    got = forest.bits(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in raw])]))
+    for j in (*rng.sample(range(400), 25), 400, 401):
+        learn = [t.encode() for _, t, x in rows if x == forest.langs[j]]
+        assert np.allclose(got[:, j], [code_length(learn, t, forest.order) for t in raw], rtol=1e-4, atol=1e-3)
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(given)], "doc_id long, text string")
+    told = {r.doc_id: r.lang_pred for r in language_id.predict(frame, forest).collect()}
+    assert told[0] == "l000" and told[3] == "ta" and told[1] == rows[700][2]
+
+
 def near_by_brute_force(rows, size, num):
     sets = {}
     for i, t in rows:
