@@ -1,4 +1,4 @@
-"""Turtle and N-Triples: strict readers that run on executors, a Turtle file in one task, N-Triples in lines."""
+"""Turtle, N-Triples and RDF/XML: strict readers that run on executors; N-Triples and large Turtle files in as many tasks as they have splits."""
 
 from __future__ import annotations
 
@@ -14,10 +14,12 @@ from pyspark.sql import types as T
 from graphwarden.functions.terms import BNODE, IRI, LITERAL, RDF, TRIPLE_FIELDS, XSD, literal_nt, strict_fault
 from graphwarden.operators.closure import checkpointed
 
-_TOKEN = re.compile(
-    r"""(?P<skip>\s+|\#[^\n\r]*)
+
+def _lexer(long: str) -> re.Pattern:
+    return re.compile(
+        r"""(?P<skip>\s+|\#[^\n\r]*)
   | (?P<iri><(?:[^\x00-\x20<>"{}|^`\\]|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8})*>)
-  | (?P<long>\"{3}(?:"{0,2}(?:[^"\\]|\\.))*\"{3}|'{3}(?:'{0,2}(?:[^'\\]|\\.))*'{3})
+  | """ + long + r"""
   | (?P<string>"(?:[^"\\\n\r]|\\.)*"|'(?:[^'\\\n\r]|\\.)*')
   | (?P<at>@[A-Za-z]+(?:-[A-Za-z0-9]+)*)
   | (?P<bnode>_:[\w](?:[\w.\-\u00b7]*[\w\-\u00b7])?)
@@ -25,8 +27,13 @@ _TOKEN = re.compile(
   | (?P<name>(?:[^\W\d_](?:[\w.\-\u00b7]*[\w\-\u00b7])?)?:(?:(?:[\w:]|%[0-9A-Fa-f]{2}|\\[_~.\-!$&'()*+,;=/?\#@%])(?:(?:[\w:.\-\u00b7]|%[0-9A-Fa-f]{2}|\\[_~.\-!$&'()*+,;=/?\#@%])*(?:[\w:\-\u00b7]|%[0-9A-Fa-f]{2}|\\[_~.\-!$&'()*+,;=/?\#@%]))?)?)
   | (?P<word>[A-Za-z]+)
   | (?P<mark>\^\^|[.;,\[\]()])""",
-    re.VERBOSE | re.DOTALL,
-)
+        re.VERBOSE | re.DOTALL,
+    )
+
+
+_TOKEN = _lexer(r"""(?P<long>\"{3}(?:"{0,2}(?:[^"\\]|\\.))*\"{3}|'{3}(?:'{0,2}(?:[^'\\]|\\.))*'{3})""")
+#: As _TOKEN, but of a long string only the opening marks.
+SCAN = _lexer(r"""(?P<open>\"{3}|'{3})""")
 _ESCAPE = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|U([0-9A-Fa-f]{8})|(.))", re.DOTALL)
 _PLAIN = {"t": "\t", "b": "\b", "n": "\n", "r": "\r", "f": "\f", '"': '"', "'": "'", "\\": "\\"}
 
@@ -35,7 +42,7 @@ class TurtleError(ValueError):
     pass
 
 
-def _unescape(text: str) -> str:
+def unescape(text: str) -> str:
     def one(m):
         if m[1] or m[2]:
             return chr(int(m[1] or m[2], 16))
@@ -46,12 +53,17 @@ def _unescape(text: str) -> str:
     return _ESCAPE.sub(one, text) if "\\" in text else text
 
 
+def resolved(base: str, iri: str) -> str:
+    """iri, which may be relative, against a base."""
+    return iri if re.match(r"[A-Za-z][A-Za-z0-9+.\-]*:", iri) else urljoin(base, iri) if iri else base
+
+
 class Parser:
-    """Statements of one text. Blank nodes get the module's name, so they meet those of no other file."""
+    """Statements of one text, or of a piece of one: then with the prefixes in force, a start for the names of its own nodes, and its first line. Blank nodes get the module's name, so they meet those of no other file."""
 
-    def __init__(self, text: str, base: str, module: str):
-        self.base, self.module = base, module
-        self.prefixes: dict[str, str] = {}
+    def __init__(self, text: str, base: str, module: str, prefixes: dict[str, str] | None = None, own: str = "genid.", line: int = 1):
+        self.base, self.module, self.own, self.line = base, module, own, line
+        self.prefixes: dict[str, str] = dict(prefixes or {})
         self.made = 0
         self.out: list[tuple] = []
         self.tokens = self._scan(text)
@@ -62,7 +74,7 @@ class Parser:
         while at < len(text):
             m = _TOKEN.match(text, at)
             if not m:
-                line = text.count("\n", 0, at) + 1
+                line = text.count("\n", 0, at) + self.line
                 raise TurtleError(f"{self.module}, line {line}: cannot read {text[at : at + 20]!r}")
             at = m.end()
             if m.lastgroup != "skip":
@@ -100,15 +112,18 @@ class Parser:
             if self.kind != "name" or not name.endswith(":"):
                 raise TurtleError(f"{self.module}: bad prefix {name!r}")
             self._next()
+        if self.kind != "iri":
+            raise TurtleError(f"{self.module}: expected an IRI in <>, found {self.text!r}")
+        if what == "prefix":
             self.prefixes[name[:-1]] = self._iri()
         else:
             self.base = self._iri()
 
     def _iri(self) -> str:
         if self.kind == "iri":
-            iri = _unescape(self.text[1:-1])
+            iri = resolved(self.base, unescape(self.text[1:-1]))
             self._next()
-            return iri if re.match(r"[A-Za-z][A-Za-z0-9+.\-]*:", iri) else urljoin(self.base, iri) if iri else self.base
+            return iri
         if self.kind == "name":
             prefix, _, local = self.text.partition(":")
             if prefix not in self.prefixes:
@@ -120,7 +135,7 @@ class Parser:
     def _bnode(self, label: str | None = None) -> tuple[str, str]:
         if label is None:
             self.made += 1
-            label = f"genid.{self.made}"
+            label = f"{self.own}{self.made}"
         return f"{self.module}#{label}", BNODE
 
     def _triples(self) -> None:
@@ -189,7 +204,7 @@ class Parser:
             return (*self._bnode(text[2:]), "", "")
         if kind in ("string", "long"):
             n = 3 if kind == "long" else 1
-            value = _unescape(text[n:-n])
+            value = unescape(text[n:-n])
             self._next()
             if self.kind == "at":
                 lang = self.text[1:].lower()
@@ -235,8 +250,8 @@ def _paths(spark: SparkSession, files: list[tuple[str, str]]) -> DataFrame:
 def read(spark: SparkSession, files: list[tuple[str, str]]) -> tuple[DataFrame, DataFrame]:
     """(triples, faults) of (path, module) files; a file with any fault gives no triples.
 
-    Files are read on executors: a Turtle file, which is sequential, by one task, N-Triples (suffix .nt)
-    line by line in as many as it has splits. Strictness covers lexical forms, ranges and the calendar.
+    Files are read on executors: N-Triples (suffix .nt) line by line in as many tasks as they have splits,
+    Turtle files above spark.sql.files.maxPartitionBytes likewise (turtle_splits.py), smaller ones whole. Strictness covers lexical forms, ranges and the calendar.
     faults: (module, fault), one row for each bad file.
     """
     lines = [(p, m) for p, m in files if p.lower().endswith(".nt")]
@@ -253,8 +268,19 @@ def read(spark: SparkSession, files: list[tuple[str, str]]) -> tuple[DataFrame,
 
 
 def _turtle(spark: SparkSession, files: list[tuple[str, str]]) -> DataFrame:
-    content = spark.read.format("binaryFile").load([p for p, _ in files]).select(F.regexp_replace("path", "^file:/+", "file:/").alias("path"), "content")
-    rows = content.join(_paths(spark, files), "path")
+    from graphwarden.sources.turtle_splits import read_splits
+
+    content = spark.read.format("binaryFile").load([p for p, _ in files])
+    size, unit = re.fullmatch(r"([0-9]+)([kmgt]?)b?", spark.conf.get("spark.sql.files.maxPartitionBytes").strip().lower()).groups()
+    most = int(size) << 10 * " kmgt".index(unit or " ")
+    large = [r.path for r in content.where(F.col("length") > most).select("path").collect()]  # of the files named, without their content
+    whole = _whole(content.where(~F.col("path").isin(large)), _paths(spark, files))
+    return whole.unionByName(read_splits(spark, large, _paths(spark, files).where(F.col("path").isin([re.sub("^file:/+", "file:/", p) for p in large])))) if large else whole
+
+
+def _whole(content: DataFrame, named: DataFrame) -> DataFrame:
+    """Rows of RAW of files that one task each reads."""
+    rows = content.select(F.regexp_replace("path", "^file:/+", "file:/").alias("path"), "content").join(named, "path")
 
     def run(batches):
         import pandas as pd
