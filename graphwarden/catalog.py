@@ -19,10 +19,11 @@ from graphwarden.operators import rules
 from graphwarden.operators.bnodes import colours
 from graphwarden.plans import algebra, rule_texts
 from graphwarden.plans.sparql import read_select, read_update
-from graphwarden.sinks import provenance_lines, report_lines, triple_lines, turtle_lines
+from graphwarden.sinks import RDFXML_FOOT, RDFXML_HEAD, provenance_lines, rdfxml_lines, report_lines, triple_lines, turtle_lines
 from graphwarden.sources import store, turtle
 from graphwarden.sources.lift import EX, blank, iri, table, triples
 from graphwarden.sources.tables import IS_CLASS, IS_PREDICATE, baseline_lines, manifest, read_baseline
+from graphwarden.sources.turtle_splits import read_splits
 
 KNOWN = ("click", "purchase", "view")
 RULE, COMPONENT = "<urn:graphwarden:rule:KnownVocabularyTerm>", "<http://www.w3.org/ns/shacl#SPARQLConstraintComponent>"
@@ -666,6 +667,29 @@ def ntriples_round_trip(spark, sf_dir):
     return turtle.statements(lines).where("fault IS NULL").select("s", "o", "o_lang").distinct()
 
 
+_NOTES = f"SELECT DISTINCT '{EX}doc/' || doc_id AS s, text AS o, lang AS o_lang FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL"
+
+
+@query(_NOTES)
+def turtle_splits_round_trip(spark, sf_dir):
+    """Texts as long strings of Turtle files, each statement behind a prefix of its own setting, read by splits."""
+    d, folder = table(spark, sf_dir, "documents").where("text IS NOT NULL AND lang IS NOT NULL"), paths.new_folder(spark)
+    text = F.replace(F.replace(F.replace("text", F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\r"), F.lit("\\r"))
+    d.select(F.concat(F.lit(f"PREFIX n: <{SKOS}>\n<{EX}doc/"), "doc_id", F.lit('> n:note """'), text, F.lit('"""@'), "lang", F.lit(" ."))).write.option("lineSep", "\n").text(folder)
+    named = spark.read.format("binaryFile").load(folder).select(F.regexp_replace("path", "^file:/+", "file:/").alias("path"), F.lit("m").alias("module"))
+    return read_splits(spark, [folder], named).where("fault IS NULL").select("s", "o", "o_lang").distinct()
+
+
+@query(_NOTES)
+def rdfxml_round_trip(spark, sf_dir):
+    """Texts written as elements of RDF/XML, each row a document, and read from them."""
+    d = table(spark, sf_dir, "documents")
+    t = triples(d, iri("doc", "doc_id"), SKOS + "note", F.col("text"), literal=True, datatype="", lang=F.col("lang")).where("o_lang IS NOT NULL")
+    lines = rdfxml_lines(t.withColumnRenamed("scope", "module"))
+    files = lines.select(F.lit("urn:d").alias("path"), F.encode(F.concat(F.lit(RDFXML_HEAD), "value", F.lit(RDFXML_FOOT)), "UTF-8").alias("content"), "module")
+    return turtle.whole_files(files, xml=True).where("fault IS NULL").select("s", "o", "o_lang").distinct()
+
+
 @query(
     """SELECT event_id, k, o, CASE k WHEN 0 THEN user_id > 127 WHEN 1 THEN true WHEN 2 THEN false WHEN 3 THEN event_id % 10 = 0 ELSE event_id % 10 = 4 END AS fault FROM (
 SELECT event_id, user_id, event_id % 5 AS k, CASE event_id % 5 WHEN 0 THEN CAST(user_id AS VARCHAR) WHEN 1 THEN '-' || (user_id + 1) WHEN 2 THEN strftime(ts, '%Y-%m') WHEN 3 THEN '000' || user_id ELSE CASE WHEN event_id % 10 = 4 THEN '--02-30' ELSE '--02-29' END END AS o FROM events)"""

@@ -16,9 +16,10 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphwarden.functions.terms import SH, TYPE, iri_nt, literal_nt, sha256
+from graphwarden.functions.terms import LITERAL, SH, TYPE, XSD, iri_nt, literal_nt, sha256
 from graphwarden.operators.closure import new_folder
 from graphwarden.operators.repair import CHANGE_FIELDS, Repair
+from graphwarden.sources.files import syntax
 from graphwarden.sources.tables import HEADER, baseline_lines
 
 REPORT = "<urn:graphwarden:validation-report>"
@@ -39,8 +40,8 @@ def write_atomically(path: str, lines) -> None:
             os.unlink(staged)
 
 
-def _joined(spark: SparkSession, folder: str, path: str, head: list[str]) -> None:
-    """The head's lines and the text files of a folder, by their names, as one file at path, if there are none only the head."""
+def _joined(spark: SparkSession, folder: str, path: str, head: list[str], foot: list[str] | tuple = ()) -> None:
+    """The head's lines, the text files of a folder by their names, if there are any, and the foot's lines, as one file at path."""
     jvm, target = spark._jvm, Path(path)
     at = jvm.org.apache.hadoop.fs.Path(folder)
     system = at.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -60,6 +61,8 @@ def _joined(spark: SparkSession, folder: str, path: str, head: list[str]) -> Non
                     read.close()
         finally:
             out.close()
+        with open(staged, "a", encoding="utf-8", newline="\n") as out:
+            out.writelines(line + "\n" for line in foot)
         os.replace(staged, target)
     finally:
         if os.path.exists(staged):
@@ -146,6 +149,33 @@ def turtle_lines(triples: DataFrame, prefixes: dict[str, str] | Column) -> DataF
     return own.select("module", F.concat(short(F.get("t", F.lit(0))), F.lit(" "), short(F.get("t", F.lit(1))), F.lit(" "), short(statement), F.lit(" .")).alias("value"))
 
 
+RDFXML_HEAD, RDFXML_FOOT = f'<rdf:RDF xmlns:rdf="{TYPE.removesuffix("type")}">', "</rdf:RDF>"
+
+
+def rdfxml_lines(triples: DataFrame) -> DataFrame:
+    """(module, value): elements of RDF/XML, a statement each and a line each. A predicate that does not end in a name, and characters that XML has not, are errors, as the syntax cannot say them."""
+
+    def escaped(c, *more: tuple[str, str]):
+        for char, said in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ("\r", "&#13;"), ("\n", "&#10;"), *more):
+            c = F.replace(c, F.lit(char), F.lit(said))
+        return c
+
+    def attribute(name: str, c):
+        return F.concat(F.lit(f' {name}="'), escaped(c, ('"', "&quot;"), ("\t", "&#9;")), F.lit('"'))
+
+    def node(name: str, c):
+        return F.when(F.col(c).startswith("_:"), attribute("rdf:nodeID", F.concat(F.lit("b"), F.substring(F.sha2(F.col(c), 256), 1, 24)))).otherwise(attribute(name, F.expr(f"substr({c}, 2, length({c}) - 2)")))
+
+    local = F.regexp_extract("p", r"([\p{L}_][\p{L}\p{N}_.\-]*)$", 1)
+    start = F.substr(F.col("p"), F.lit(1), F.length("p") - F.length(local))
+    tag = F.concat(F.lit("p:"), local)
+    said = F.when(F.col("o_lang") != "", attribute("xml:lang", F.col("o_lang"))).when(F.col("o_dt") != XSD + "string", attribute("rdf:datatype", F.col("o_dt"))).otherwise("")
+    value = F.when(F.col("o_kind") == LITERAL, F.concat(said, F.lit(">"), escaped(F.col("o")), F.lit("</"), tag, F.lit(">"))).otherwise(F.concat(node("rdf:resource", "o_nt"), F.lit("/>")))
+    line = F.concat(F.lit("<rdf:Description"), node("rdf:about", "s_nt"), F.lit("><"), tag, attribute("xmlns:p", start), value, F.lit("</rdf:Description>"))
+    odd = (local == "") | ((F.col("o_kind") == LITERAL) & F.col("o").rlike(r"[\x00-\x08\x0B\x0C\x0E-\x1F\uFFFE\uFFFF]"))
+    return triples.select("module", F.when(odd, F.raise_error(F.concat(F.lit("RDF/XML cannot say: "), "s_nt", F.lit(" "), "p"))).otherwise(line).alias("value"))
+
+
 def _prefixes(path: str) -> dict[str, str]:
     """The prefixes that a Turtle file binds, but those bound twice."""
     found: dict[str, set[str]] = {}
@@ -167,11 +197,14 @@ def publish_copies(before: DataFrame, after: DataFrame, files: dict[str, str], d
     target.parent.mkdir(parents=True, exist_ok=True)
     spark, folder = after.sparkSession, new_folder(after.sparkSession)
     numbered = sorted(changed)
-    own = [_prefixes(files[m]) if not files[m].lower().endswith(".nt") else {} for m in numbered]
+    kinds = [syntax(files[m]) for m in numbered]
+    own = [{} if kind in ("ntriples", "rdfxml") else _prefixes(files[m]) for m, kind in zip(numbered, kinds, strict=True)]
     # a row for each changed module
     rows = spark.createDataFrame([(m, n, sorted(p.items())) for n, (m, p) in enumerate(zip(numbered, own, strict=True))], f"module string, __n int, __own {PREFIXES}")
     if numbered:
-        lines = turtle_lines(after.join(F.broadcast(rows.drop("__n")), "module"), F.col("__own")).join(F.broadcast(rows.select("module", "__n")), "module")
+        xml = F.col("module").isin([m for m, kind in zip(numbered, kinds, strict=True) if kind == "rdfxml"])
+        lines = turtle_lines(after.where(~xml).join(F.broadcast(rows.drop("__n")), "module"), F.col("__own"))
+        lines = lines.unionByName(rdfxml_lines(after.where(xml))).join(F.broadcast(rows.select("module", "__n")), "module")
         lines.repartitionByRange("__n", "value").sortWithinPartitions("__n", "value").select("__n", "value").write.partitionBy("__n").option("lineSep", "\n").text(folder)
     staged = Path(tempfile.mkdtemp(dir=target.parent, prefix=f".{target.name}."))
     try:
@@ -183,7 +216,8 @@ def publish_copies(before: DataFrame, after: DataFrame, files: dict[str, str], d
             copy.parent.mkdir(parents=True, exist_ok=True)
             if module in changed:
                 at = numbered.index(module)
-                _joined(spark, f"{folder}/__n={at}", str(copy), [f"@prefix {n}: <{i}> ." for n, i in sorted(own[at].items())])
+                xml = kinds[at] == "rdfxml"
+                _joined(spark, f"{folder}/__n={at}", str(copy), [RDFXML_HEAD] if xml else [f"@prefix {n}: <{i}> ." for n, i in sorted(own[at].items())], [RDFXML_FOOT] if xml else [])
             else:
                 shutil.copyfile(path, copy)
         if target.exists():

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import os
 
-TRIPLE_SUFFIXES = {".ttl": "turtle", ".nt": "ntriples"}
+TRIPLE_SUFFIXES = {".ttl": "turtle", ".nt": "ntriples", ".rdf": "rdfxml", ".owl": "rdfxml", ".xml": "rdfxml"}
 #: Syntaxes of several named graphs; a module is one graph, so these are refused.
 DATASET_SUFFIXES = (".trig", ".nq")
 
 
 def syntax(path: str) -> str | None:
-    """turtle or ntriples, None if the suffix says nothing; named-graph syntaxes are an error."""
+    """turtle, ntriples or rdfxml, None if the suffix says nothing; named-graph syntaxes are an error."""
     suffix = os.path.splitext(path)[1].lower()
     if suffix in DATASET_SUFFIXES:
         raise ValueError(f"a file of named graphs cannot be a module: {path}")

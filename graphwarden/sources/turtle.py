@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from graphwarden.functions.terms import BNODE, IRI, LITERAL, RDF, TRIPLE_FIELDS, XSD, literal_nt, strict_fault
 from graphwarden.operators.closure import checkpointed
+from graphwarden.sources.files import syntax
 
 
 def _lexer(long: str) -> re.Pattern:
@@ -251,13 +252,12 @@ def read(spark: SparkSession, files: list[tuple[str, str]]) -> tuple[DataFrame,
     """(triples, faults) of (path, module) files; a file with any fault gives no triples.
 
     Files are read on executors: N-Triples (suffix .nt) line by line in as many tasks as they have splits,
-    Turtle files above spark.sql.files.maxPartitionBytes likewise (turtle_splits.py), smaller ones whole. Strictness covers lexical forms, ranges and the calendar.
+    Turtle files above spark.sql.files.maxPartitionBytes likewise (turtle_splits.py), smaller ones and RDF/XML whole. Strictness covers lexical forms, ranges and the calendar.
     faults: (module, fault), one row for each bad file.
     """
-    lines = [(p, m) for p, m in files if p.lower().endswith(".nt")]
-    others = [(p, m) for p, m in files if not p.lower().endswith(".nt")]
-    parts = [_turtle(spark, others)] if others else []
-    parts += [_ntriples(spark, lines)] if lines else []
+    readers = {"turtle": _turtle, "ntriples": _ntriples, "rdfxml": _rdfxml}
+    kinds = [(syntax(p) or "turtle", (p, m)) for p, m in files]
+    parts = [reader(spark, found) for kind, reader in readers.items() if (found := [f for k, f in kinds if k == kind])]
     parsed = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], RAW)
     bad = (F.col("o_kind") == LITERAL) & strict_fault(F.col("o_dt"), F.col("o"))
     # parsed and checked once: the table is read for faults and for triples
@@ -270,27 +270,36 @@ def read(spark: SparkSession, files: list[tuple[str, str]]) -> tuple[DataFrame,
 def _turtle(spark: SparkSession, files: list[tuple[str, str]]) -> DataFrame:
     from graphwarden.sources.turtle_splits import read_splits
 
-    content = spark.read.format("binaryFile").load([p for p, _ in files])
+    content, named = spark.read.format("binaryFile").load([p for p, _ in files]), _paths(spark, files)
     size, unit = re.fullmatch(r"([0-9]+)([kmgt]?)b?", spark.conf.get("spark.sql.files.maxPartitionBytes").strip().lower()).groups()
     most = int(size) << 10 * " kmgt".index(unit or " ")
     large = [r.path for r in content.where(F.col("length") > most).select("path").collect()]  # of the files named, without their content
-    whole = _whole(content.where(~F.col("path").isin(large)), _paths(spark, files))
-    return whole.unionByName(read_splits(spark, large, _paths(spark, files).where(F.col("path").isin([re.sub("^file:/+", "file:/", p) for p in large])))) if large else whole
+    whole = whole_files(_named(content.where(~F.col("path").isin(large)), named))
+    return whole.unionByName(read_splits(spark, large, named.where(F.col("path").isin([re.sub("^file:/+", "file:/", p) for p in large])))) if large else whole
 
 
-def _whole(content: DataFrame, named: DataFrame) -> DataFrame:
-    """Rows of RAW of files that one task each reads."""
-    rows = content.select(F.regexp_replace("path", "^file:/+", "file:/").alias("path"), "content").join(named, "path")
+def _named(content: DataFrame, named: DataFrame) -> DataFrame:
+    return content.select(F.regexp_replace("path", "^file:/+", "file:/").alias("path"), "content").join(named, "path")
+
+
+def _rdfxml(spark: SparkSession, files: list[tuple[str, str]]) -> DataFrame:
+    return whole_files(_named(spark.read.format("binaryFile").load([p for p, _ in files]), _paths(spark, files)), True)
+
+
+def whole_files(rows: DataFrame, xml: bool = False) -> DataFrame:
+    """Rows of RAW of files (path, content, module), each a task's."""
 
     def run(batches):
         import pandas as pd
 
+        from graphwarden.sources import rdfxml
+
         for pdf in batches:
             for path, content_, module in zip(pdf["path"], pdf["content"], pdf["module"], strict=True):
                 try:
-                    found = parse(bytes(content_).decode("utf-8-sig"), path, module)
-                    for i in range(0, len(found), ROWS):
-                        yield pd.DataFrame([(module, *t, None) for t in found[i : i + ROWS]], columns=RAW.names)
+                    for found in rdfxml.parse(bytes(content_), path, module) if xml else [parse(bytes(content_).decode("utf-8-sig"), path, module)]:
+                        for i in range(0, len(found), ROWS):
+                            yield pd.DataFrame([(module, *t, None) for t in found[i : i + ROWS]], columns=RAW.names)
                 except (TurtleError, UnicodeDecodeError) as e:
                     yield pd.DataFrame([(module, *[None] * 7, str(e))], columns=RAW.names)
 
