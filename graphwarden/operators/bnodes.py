@@ -1,26 +1,32 @@
 """Stable names of blank nodes, by refinement of colours.
 
-All blank nodes begin with one colour. In a round each gets a new one: the hash of its old colour and
-of what its statements say, in which a neighbour that is blank stands by its colour. A node's
-statements enter as two sums of their hashes, so a node with very many is aggregated in parts. After
-at most ROUNDS rounds, or when a round tells no more nodes apart, the colour is the name. Nodes that
-look the same as far as that share a name; findings about them are told apart by their occurrence
+All blank nodes begin with one colour. In a round each gets a new one: the hash of its old colour, of what its
+statements say, in which a neighbour that is blank stands by its colour, and of the colours of the nodes
+that lie ahead and behind. Ahead is where the one statement leads that names another blank node, if there is one
+alone, behind where the one comes from; these pointers double with each round, so that a chain or list is
+told apart from its ends in a logarithm of rounds. A node's statements enter as two sums of
+their hashes, so a node with very many is aggregated in parts.
+
+Each scope has as many rounds as it needs, whatever others hold: it is done when a round tells no more of its nodes
+apart, which then no further round would, as the round looked at all neighbours. There is no limit.
+Nodes that no such refinement tells apart share a name; findings about them are told apart by their occurrence
 number.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphwarden.functions.terms import BNODE
 from graphwarden.operators.closure import checkpointed
 
-ROUNDS = 12
 PREFIX = "_:c"
 
 
-def colours(statements: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def colours(statements: DataFrame) -> DataFrame:
     """(scope, node, colour) of the blank nodes in statements (scope, s, s_blank, p, o, o_blank)."""
     side = F.explode(
         F.array(
@@ -29,24 +35,40 @@ def colours(statements: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         )
     )
     ends = checkpointed(statements.select("scope", "p", side.alias("x")).where("x.blank").select("scope", "p", "x.node", "x.role", "x.other", "x.other_blank"))
-    now = checkpointed(ends.select("scope", "node").distinct().withColumn("colour", F.lit("")))
-    kinds = 0
-    for _ in range(rounds):
-        seen = now.select("scope", F.col("node").alias("other"), F.col("colour").alias("other_colour"))
-        told = ends.join(seen, ["scope", "other"], "left")
-        spoken = F.concat_ws("\x1f", "role", "p", F.when(F.col("other_blank"), F.concat(F.lit("_"), "other_colour")).otherwise(F.col("other")))
-
-        def total(seed: int, what=spoken):
-            return F.sum(F.xxhash64(F.lit(seed), what).cast("decimal(20,0)"))
-
-        sums = told.groupBy("scope", "node").agg(F.count("*").alias("n"), total(1).alias("a"), total(2).alias("b"))
-        nxt = now.join(sums, ["scope", "node"]).select("scope", "node", F.sha2(F.concat_ws("\x1f", "colour", *[F.col(c).cast("string") for c in ("n", "a", "b")]), 256).alias("colour"))
-        now = checkpointed(nxt)
-        found = now.select("scope", "colour").distinct().count()
-        if found == kinds:
-            break
-        kinds = found
-    return now
+
+    def alone(role: str):
+        mine = (F.col("role") == role) & F.col("other_blank")
+        return F.when(F.count_if(mine) == 1, F.min(F.when(mine, F.col("other"))))
+
+    now = checkpointed(ends.groupBy("scope", "node").agg(alone("of").alias("ahead"), alone("in").alias("behind")).withColumn("colour", F.lit("")))
+    before = checkpointed(now.select("scope").distinct().withColumn("kinds", F.lit(1).cast("long")))
+    done = []
+    while True:
+        nxt = checkpointed(_refined(now, ends.join(before, "scope", "left_semi")))
+        kinds = nxt.select("scope", "colour").distinct().groupBy("scope").agg(F.count("*").alias("kinds"))
+        more = checkpointed(kinds.join(before.withColumnRenamed("kinds", "had"), "scope").where("kinds > had").select("scope", "kinds"))
+        done.append(nxt.join(more, "scope", "left_anti").select("scope", "node", "colour"))
+        if more.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+        now, before = nxt.join(more, "scope", "left_semi"), more
+
+
+def _refined(now: DataFrame, ends: DataFrame) -> DataFrame:
+    """The next round: (scope, node, ahead, behind, colour)."""
+    seen = now.select("scope", F.col("node").alias("other"), F.col("colour").alias("other_colour"))
+    told = ends.join(seen, ["scope", "other"], "left")
+    spoken = F.concat_ws("\x1f", "role", "p", F.when(F.col("other_blank"), F.concat(F.lit("_"), "other_colour")).otherwise(F.col("other")))
+
+    def total(seed: int):
+        return F.sum(F.xxhash64(F.lit(seed), spoken).cast("decimal(20,0)"))
+
+    sums = told.groupBy("scope", "node").agg(F.count("*").alias("n"), total(1).alias("a"), total(2).alias("b"))
+    out = now.join(sums, ["scope", "node"])
+    for way in ("ahead", "behind"):
+        far = now.select("scope", F.col("node").alias(way), F.col(way).alias(f"next_{way}"), F.col("colour").alias(f"colour_{way}"))
+        out = out.join(far, ["scope", way], "left")
+    said = [F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in ("colour", "n", "a", "b", "colour_ahead", "colour_behind")]
+    return out.select("scope", "node", F.col("next_ahead").alias("ahead"), F.col("next_behind").alias("behind"), F.sha2(F.concat_ws("\x1f", *said), 256).alias("colour"))
 
 
 def stable(findings: DataFrame, t: DataFrame) -> DataFrame:
