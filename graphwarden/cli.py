@@ -16,7 +16,7 @@ from graphwarden.operators import repair as rp
 from graphwarden.operators.closure import checkpointed
 from graphwarden.plans.profiles import PROFILES, Context, broadest
 from graphwarden.plans.shapes import read_shapes
-from graphwarden.plans.validation import local_findings, validate
+from graphwarden.plans.validation import local_findings, new_violations, validate
 from graphwarden.sources import files, tables, turtle
 
 
@@ -141,7 +141,7 @@ def run_repair(spark: SparkSession, o) -> int:
     if not faults.isEmpty():
         raise ValueError(f"a module cannot be read: {faults.first().fault}")
     triples = triples.persist()
-    done = rp.apply(triples, repairs, lambda t: local_findings(t, context, profile), checkpointed)
+    done = rp.apply(triples, repairs, lambda t: local_findings(t, context, profile), checkpointed, lambda was, now: new_violations(was, now, context, profile))
     patch = sinks.patch_lines(done.applied)
     if o.apply:
         sinks.publish_copies(triples, done.triples, modules, o.output_dir)

@@ -173,11 +173,12 @@ class RepairResult:
     applied: list[Repair]
 
 
-def apply(t: DataFrame, repairs: list[Repair], validate: Callable[[DataFrame], DataFrame], cut: Callable[[DataFrame], DataFrame]) -> RepairResult:
+def apply(t: DataFrame, repairs: list[Repair], validate: Callable[[DataFrame], DataFrame], cut: Callable[[DataFrame], DataFrame], guard: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> RepairResult:
     """Apply the repairs one after another with all guards; RepairRejected if any fails, and then nothing holds.
 
     validate gives signed findings of triples; cut materialises a frame. Corresponding findings are
-    those before the first repair.
+    those before the first repair. guard gives the new violations of the triples after from those before; without one, all
+    is validated again.
     """
     start = cut(t.select(*TRIPLE_FIELDS).distinct())
     before = cut(validate(start))
@@ -200,7 +201,7 @@ def apply(t: DataFrame, repairs: list[Repair], validate: Callable[[DataFrame], D
         changes = cut(rows) if changes is None else cut(changes.unionByName(rows))
         now = after
         applied.append(repair)
-    if applied and not regressions(validate(now), before).isEmpty():
+    if applied and not (guard(start, now) if guard else regressions(validate(now), before)).isEmpty():
         raise RepairRejected("the repairs introduce a new violation")
     if changes is None:
         changes = start.sparkSession.createDataFrame([], ", ".join(f"{c} {'boolean' if c == 'replacement_added' else 'string'}" for c in CHANGE_FIELDS))

@@ -11,10 +11,11 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphwarden.functions.terms import TRIPLE_FIELDS
+from graphwarden.functions.terms import RDFS, SKOS, TRIPLE_FIELDS, TYPE
 from graphwarden.operators import findings as fd
 from graphwarden.operators.bnodes import stable
 from graphwarden.operators.closure import checkpointed
+from graphwarden.operators.repair import delta
 from graphwarden.operators.rules import UNION, subclasses
 from graphwarden.plans.profiles import Context, Rule, component, registry, rule_count
 from graphwarden.sources.store import write as write_store
@@ -105,6 +106,38 @@ def local_findings(triples: DataFrame, context: Context, profile: str, support:
     return fd.signed(findings(triples, context, registry(profile, False), support))
 
 
+def affected(before: DataFrame, after: DataFrame, profile: str) -> tuple[DataFrame, DataFrame]:
+    """What of two states of a graph a profile's violations must be looked for in again, from the statements that changed.
+
+    That is: statements of subjects with a change; the subclass links of their modules, and the instances of
+    classes that these links place elsewhere than before; the hierarchy of modules where it changed; and all of a module
+    where a blank node's statement changed, as names of blank nodes may change with it. Rules see the
+    same of what did not change in both states, so it adds no difference.
+    """
+    lost, won = delta(before, after)
+    changed = checkpointed(lost.unionByName(won))
+    blank, hierarchy, classes = F.col("s_nt").startswith("_:") | F.col("o_nt").startswith("_:"), F.col("p").isin(SKOS + "broader", SKOS + "related"), F.col("p") == RDFS + "subClassOf"
+    modules = checkpointed(changed.groupBy("module").agg(F.max(blank).alias("whole"), F.max(hierarchy).alias("linked"), F.max(classes).alias("classed")))
+    # only these modules are read any further
+    states = [t.select(*TRIPLE_FIELDS).join(modules, "module") for t in (before, after)]
+    subjects = changed.select("module", "s_nt")
+    if profile == "full" and not modules.where("classed").isEmpty():
+        below = [checkpointed(subclasses(t.where("classed").withColumnRenamed("module", "scope"))) for t in states]
+        moved = below[0].subtract(below[1]).unionByName(below[1].subtract(below[0])).select(F.col("scope").alias("module"), F.col("a").alias("o_nt"))
+        for t in states:
+            subjects = subjects.unionByName(t.where(F.col("p") == TYPE).join(moved, ["module", "o_nt"], "left_semi").select("module", "s_nt"))
+    subjects = checkpointed(subjects.distinct().withColumn("__hit", F.lit(True)))
+    wanted = F.col("whole") | F.col("__hit").isNotNull() | classes | (F.col("linked") & hierarchy)
+    return tuple(checkpointed(t.join(subjects, ["module", "s_nt"], "left").where(wanted).select(*TRIPLE_FIELDS)) for t in states)
+
+
+def new_violations(before: DataFrame, after: DataFrame, context: Context, profile: str) -> DataFrame:
+    """Violations in single modules that `after` has and `before` has not, found by what changed alone."""
+    checks = [r for r in registry(profile, False) if r.severity == fd.VIOLATION]
+    was, now = (fd.signed(findings(t, context, checks)) for t in affected(before, after, profile))
+    return fd.regressions(now, was)
+
+
 @dataclass
 class Run:
     findings: DataFrame
