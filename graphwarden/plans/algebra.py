@@ -299,6 +299,18 @@ class Graph:
             return Rel(found.select("scope").distinct())
         return self._ends(found, {v.name: c for v, c in ((s, "a"), (o, "b")) if isinstance(v, Var)})
 
+    def paths_between(self, union: Union, seed: Rel | None) -> list[Rel] | None:
+        """Branches that are each a path by one predicate between ends that the solutions so far have: all pairs are looked for at once. None for other unions."""
+        steps = [b.parts[0] if len(b.parts) == 1 and isinstance(b.parts[0], Triple) and b.parts[0].plus else None for b in union.branches]
+        if seed is None or None in steps or len({s.p for s in steps}) != 1:
+            return None
+        if any(not isinstance(s.s, Var) or not isinstance(s.o, Var) or s.s == s.o or not {s.s.name, s.o.name} <= seed.certain for s in steps):
+            return None
+        pairs = [seed.df.select("scope", F.col(name(s.s.name)).alias("a"), F.col(name(s.o.name)).alias("b")) for s in steps]
+        met = paths.reached_pairs(links(self.t, steps[0].p.text), reduce(DataFrame.unionByName, pairs))
+        # a pair of another branch is met by no solution, or rightly
+        return [self._ends(met, {s.s.name: "a", s.o.name: "b"}) for s in steps]
+
     def _ends(self, found: DataFrame, named: dict[str, str]) -> Rel:
         columns = [c.alias(name(v, p)) for v, column in named.items() for p, c in zip(PARTS, of_node(F.col(column)), strict=True)]
         return Rel(found.select("scope", *columns), frozenset(named), frozenset(named))
@@ -343,7 +355,7 @@ class Graph:
             case Select():
                 return self.select(part)
             case Union():
-                parts = [self.group(b, seed) for b in part.branches]
+                parts = self.paths_between(part, seed) or [self.group(b, seed) for b in part.branches]
                 bound = frozenset().union(*(r.bound for r in parts))
                 df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [r.df for r in parts])
                 return Rel(df, bound, frozenset.intersection(*(r.certain for r in parts)))

@@ -9,3 +9,13 @@ DATA = "/root/testdata/sf0.001"
 def test_labels_are_distinct_before_they_meet(spark):
     t = catalog.brand_labels(spark, DATA)
     assert t.count() == t.distinct().count()
+
+
+def test_paths_both_ways_are_looked_for_once(spark, monkeypatch):
+    from graphwarden.operators import closure
+
+    calls, plain = [], closure.reached_pairs
+    monkeypatch.setattr(closure, "reached_pairs", lambda *a: calls.append(1) or plain(*a))
+    got = sorted(map(tuple, catalog.queries()["text_broader_related"](spark, DATA).collect()))
+    assert len(calls) == 1
+    assert got == sorted(map(tuple, catalog.queries()["broader_related"](spark, DATA).collect()))
