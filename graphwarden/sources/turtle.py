@@ -238,8 +238,8 @@ def with_spelling(raw: DataFrame) -> DataFrame:
     return raw.withColumn("s_nt", s_nt).withColumn("o_nt", o_nt).select(*TRIPLE_FIELDS)
 
 
-#: Statements that one frame of a parsed file takes.
-ROWS = 50_000
+#: Statements after which a frame of parsed files is given on, and characters of their objects.
+ROWS, CHARS = 50_000, 1 << 22
 
 
 def _paths(spark: SparkSession, files: list[tuple[str, str]]) -> DataFrame:
@@ -287,21 +287,33 @@ def _rdfxml(spark: SparkSession, files: list[tuple[str, str]]) -> DataFrame:
 
 
 def whole_files(rows: DataFrame, xml: bool = False) -> DataFrame:
-    """Rows of RAW of files (path, content, module), each a task's."""
+    """Rows of RAW of files (path, content, module), each a task's. Statements of small files share a frame."""
 
     def run(batches):
         import pandas as pd
 
         from graphwarden.sources import rdfxml
 
-        for pdf in batches:
-            for path, content_, module in zip(pdf["path"], pdf["content"], pdf["module"], strict=True):
-                try:
-                    for found in rdfxml.parse(bytes(content_), path, module) if xml else [parse(bytes(content_).decode("utf-8-sig"), path, module)]:
-                        for i in range(0, len(found), ROWS):
-                            yield pd.DataFrame([(module, *t, None) for t in found[i : i + ROWS]], columns=RAW.names)
-                except (TurtleError, UnicodeDecodeError) as e:
-                    yield pd.DataFrame([(module, *[None] * 7, str(e))], columns=RAW.names)
+        def frames():
+            """Lists of rows, none of them long."""
+            for pdf in batches:
+                for path, content_, module in zip(pdf["path"], pdf["content"], pdf["module"], strict=True):
+                    try:
+                        for found in rdfxml.parse(bytes(content_), path, module) if xml else [parse(bytes(content_).decode("utf-8-sig"), path, module)]:
+                            for i in range(0, len(found), ROWS):
+                                yield [(module, *t, None) for t in found[i : i + ROWS]]
+                    except (TurtleError, UnicodeDecodeError) as e:
+                        yield [(module, *[None] * 7, str(e))]
+
+        kept, chars = [], 0
+        for some in frames():
+            kept += some
+            chars += sum(len(r[4] or "") for r in some)
+            if len(kept) >= ROWS or chars >= CHARS:
+                yield pd.DataFrame(kept, columns=RAW.names)
+                kept, chars = [], 0
+        if kept:
+            yield pd.DataFrame(kept, columns=RAW.names)
 
     return rows.select("path", "content", "module").mapInPandas(run, RAW)
 

@@ -19,3 +19,21 @@ def test_paths_both_ways_are_looked_for_once(spark, monkeypatch):
     got = sorted(map(tuple, catalog.queries()["text_broader_related"](spark, DATA).collect()))
     assert len(calls) == 1
     assert got == sorted(map(tuple, catalog.queries()["broader_related"](spark, DATA).collect()))
+
+
+def test_statements_of_small_files_share_a_frame():
+    import pandas as pd
+
+    from graphwarden.sources import turtle
+
+    class Rows:
+        def select(self, *_):
+            return self
+
+        def mapInPandas(self, run, _):
+            return run
+
+    one = "<urn:s> <urn:p> <urn:o> ."
+    files = pd.DataFrame([("p", (one if i % 10 else "no").encode(), f"m{i}") for i in range(100)], columns=["path", "content", "module"])
+    frames = list(turtle.whole_files(Rows())(iter([files])))
+    assert len(frames) == 1 and len(frames[0]) == 100 and frames[0]["fault"].notna().sum() == 10
