@@ -37,3 +37,12 @@ def test_statements_of_small_files_share_a_frame():
     files = pd.DataFrame([("p", (one if i % 10 else "no").encode(), f"m{i}") for i in range(100)], columns=["path", "content", "module"])
     frames = list(turtle.whole_files(Rows())(iter([files])))
     assert len(frames) == 1 and len(frames[0]) == 100 and frames[0]["fault"].notna().sum() == 10
+
+
+def test_references_are_dealt_before_they_are_distinct(spark):
+    from graphwarden.operators import rules
+
+    found = rules.dangling_reference(catalog.order_references(spark, DATA), [EX + "order/"])
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "HashAggregate" not in plan[plan.index("Join") :]
+    assert found.count() == found.distinct().count() > 0
