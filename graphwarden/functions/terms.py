@@ -125,6 +125,21 @@ def literal_nt(lexical: Column, datatype: Column, lang: Column) -> Column:
     return F.when(lang != "", F.concat(quoted, F.lit("@"), lang)).when(plain, quoted).otherwise(F.concat(quoted, F.lit("^^<"), datatype, F.lit(">")))
 
 
+def spelling(side: str) -> Column:
+    """N-Triples spelling of a statement's subject (s) or object (o)."""
+    text, kind = F.col(side), F.col(f"{side}_kind")
+    node = F.when(kind == BNODE, F.concat(F.lit("_:"), text))
+    if side == "s":
+        return node.otherwise(iri_nt(text))
+    return node.when(kind == IRI, iri_nt(text)).otherwise(literal_nt(text, F.col("o_dt"), F.col("o_lang")))
+
+
+def node_text(side: str) -> Column:
+    """The text of a subject or object that is no literal, from its spelling."""
+    nt = F.col(f"{side}_nt")
+    return F.when(F.col(f"{side}_kind") == BNODE, F.substr(nt, F.lit(3))).otherwise(F.substr(nt, F.lit(2), F.length(nt) - 2))
+
+
 def sha256(*parts: Column) -> Column:
     """Lowercase hex SHA-256 of the parts joined by U+001F; absent parts count as empty."""
     return F.sha2(F.concat_ws("\x1f", *[F.coalesce(p, F.lit("")) for p in parts]), 256)

@@ -1,9 +1,10 @@
 """A triple store of Parquet tables: a dictionary of terms, and triples in buckets of their subject.
 
 Terms are numbered by their order: one sort of the distinct spellings over all modules gives each a 64-bit id, the
-same wherever it stands. The triple table has ids beside the spellings and is bucketed by scope and
+same wherever it stands. The triple table has ids beside the texts and is bucketed by scope and
 subject id and sorted by predicate, so that a rule reads the row groups of its predicates and two ids for a
-statement, joins and groups on longs, and meets statements of one subject without a shuffle. The dictionary is
+statement, joins and groups on longs, and meets statements of one subject without a shuffle. Spellings follow from
+the texts, kinds, datatypes and languages, so they are neither shuffled with the triples nor kept. The dictionary is
 bucketed by id; findings, which are few beside the data, get their spellings from it at the end.
 """
 
@@ -15,6 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphwarden.functions.terms import LITERAL, node_text, spelling
 from graphwarden.operators.findings import ranked
 from graphwarden.operators.rules import MARK
 
@@ -24,15 +26,20 @@ class Store:
     spark: SparkSession
     tables: tuple[str, str]
 
+    @property
+    def triples(self) -> DataFrame:
+        """The triples with spellings and ids."""
+        return self.spark.table(self.tables[0]).withColumns({"s_nt": spelling("s"), "o_nt": spelling("o")})
+
     @property
     def plain(self) -> DataFrame:
         """The triples with spellings for keys."""
-        return self.spark.table(self.tables[0]).drop("s_id", "o_id")
+        return self.triples.drop("s_id", "o_id")
 
     @property
     def keyed(self) -> DataFrame:
         """The triples with ids in place of spellings: s_nt and o_nt are longs."""
-        return self.spark.table(self.tables[0]).drop("s_nt", "o_nt").withColumnsRenamed({"s_id": "s_nt", "o_id": "o_nt"})
+        return self.spark.table(self.tables[0]).withColumnsRenamed({"s_id": "s_nt", "o_id": "o_nt"})
 
     @property
     def terms(self) -> DataFrame:
@@ -55,17 +62,24 @@ class Store:
 
 
 def write(t: DataFrame, folder: str, buckets: int | None = None) -> Store:
-    """Triples (scope), distinct, as a store in a folder that has none."""
+    """Triples (scope) as a store in a folder that has none; of equal ones one is kept.
+
+    What is equal meets where the table is dealt by its subjects, so nothing is shuffled for being distinct before.
+    A subject's text, and an object's that is no literal, is shuffled as its spelling alone.
+    """
     spark = t.sparkSession
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"graphwarden_{uuid.uuid4().hex}"
     store = Store(spark, (f"{name}_triples", f"{name}_terms"))
+    columns = [c for c in t.columns if c not in ("s_nt", "o_nt")]
     nodes = t.select(F.explode(F.array("s_nt", "o_nt")).alias("nt")).distinct()
     numbered = ranked(nodes, "nt").withColumnRenamed("rank", "id")
     _table(numbered.repartition(buckets, "id"), folder + "/terms", store.tables[1], buckets, ["id"], ["id"])
     ids = store.terms
-    both = t.join(ids.select(F.col("id").alias("s_id"), F.col("nt").alias("s_nt")), "s_nt").join(ids.select(F.col("id").alias("o_id"), F.col("nt").alias("o_nt")), "o_nt")
-    _table(both.select(*t.columns, "s_id", "o_id").repartition(buckets, "scope", "s_id"), folder + "/triples", store.tables[0], buckets, ["scope", "s_id"], ["p", "s_id"])
+    own = t.drop("s").withColumn("o", F.when(F.col("o_kind") == LITERAL, F.col("o")))
+    subjects = own.join(ids.select(F.col("id").alias("s_id"), F.col("nt").alias("s_nt")), "s_nt").withColumn("s", node_text("s")).drop("s_nt")
+    both = subjects.join(ids.select(F.col("id").alias("o_id"), F.col("nt").alias("o_nt")), "o_nt").withColumn("o", F.coalesce("o", node_text("o")))
+    _table(both.select(*columns, "s_id", "o_id").repartition(buckets, "scope", "s_id").distinct(), folder + "/triples", store.tables[0], buckets, ["scope", "s_id"], ["p", "s_id"])
     return store
 
 

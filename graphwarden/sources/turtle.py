@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphwarden.functions.terms import BNODE, IRI, LITERAL, RDF, TRIPLE_FIELDS, XSD, literal_nt, strict_fault
+from graphwarden.functions.terms import BNODE, IRI, LITERAL, RDF, TRIPLE_FIELDS, XSD, spelling, strict_fault
 from graphwarden.operators.closure import checkpointed
 from graphwarden.sources.files import syntax
 
@@ -233,9 +233,7 @@ RAW = T.StructType([T.StructField(n, T.StringType()) for n in ("module", "s", "s
 
 def with_spelling(raw: DataFrame) -> DataFrame:
     """Triples with the N-Triples spelling of their terms."""
-    s_nt = F.when(F.col("s_kind") == BNODE, F.concat(F.lit("_:"), F.col("s"))).otherwise(F.concat(F.lit("<"), F.col("s"), F.lit(">")))
-    o_nt = F.when(F.col("o_kind") == BNODE, F.concat(F.lit("_:"), F.col("o"))).when(F.col("o_kind") == IRI, F.concat(F.lit("<"), F.col("o"), F.lit(">"))).otherwise(literal_nt(F.col("o"), F.col("o_dt"), F.col("o_lang")))
-    return raw.withColumn("s_nt", s_nt).withColumn("o_nt", o_nt).select(*TRIPLE_FIELDS)
+    return raw.withColumns({"s_nt": spelling("s"), "o_nt": spelling("o")}).select(*TRIPLE_FIELDS)
 
 
 #: Statements after which a frame of parsed files is given on, and characters of their objects.

@@ -46,3 +46,13 @@ def test_references_are_dealt_before_they_are_distinct(spark):
     plan = found._jdf.queryExecution().sparkPlan().toString()
     assert "REPARTITION_BY_NUM" in plan and "HashAggregate" not in plan[plan.index("Join") :]
     assert found.count() == found.distinct().count() > 0
+
+
+def test_store_keeps_no_spelling_twice(spark, tmp_path):
+    from graphwarden.sources import store
+
+    t = catalog.event_terms(spark, DATA).limit(50)
+    kept = store.write(t.unionByName(t), str(tmp_path / "s"))
+    assert not {"s_nt", "o_nt"} & set(spark.table(kept.tables[0]).columns)
+    assert sorted(map(tuple, kept.plain.select(*t.columns).collect())) == sorted(set(map(tuple, t.collect())))
+    kept.drop()
