@@ -1,11 +1,14 @@
 """Stable names of blank nodes, by refinement of colours.
 
-All blank nodes begin with one colour. In a round each gets a new one: the hash of its old colour, of what its
-statements say, in which a neighbour that is blank stands by its colour, and of the colours of the nodes
+A blank node's first colour is what its statements say, a neighbour that is blank standing there as one. In a
+round each gets a new one: the hash of its old colour, and of the colours of its neighbours and of the nodes
 that lie ahead and behind. Ahead is where the one statement leads that names another blank node, if there is one
 alone, behind where the one comes from; these pointers double with each round, so that a chain or list is
-told apart from its ends in a logarithm of rounds. A node's statements enter as two sums of
-their hashes, so a node with very many is aggregated in parts.
+told apart from its ends in a logarithm of rounds. What a node is told enters as two sums of
+hashes, so a node with very many statements is aggregated in parts.
+
+Colours are two longs, and a round deals them once: what is not blank is in the first colour and is not looked at again,
+and pointers are rows of their own, which only scopes have where some node lies between two others.
 
 Each scope has as many rounds as it needs, whatever others hold: it is done when a round tells no more of its nodes
 apart, which then no further round would, as the round looked at all neighbours. There is no limit.
@@ -17,7 +20,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphwarden.functions.terms import BNODE
@@ -35,40 +38,70 @@ def colours(statements: DataFrame) -> DataFrame:
         )
     )
     ends = checkpointed(statements.select("scope", "p", side.alias("x")).where("x.blank").select("scope", "p", "x.node", "x.role", "x.other", "x.other_blank"))
-
-    def alone(role: str):
-        mine = (F.col("role") == role) & F.col("other_blank")
-        return F.when(F.count_if(mine) == 1, F.min(F.when(mine, F.col("other"))))
-
-    now = checkpointed(ends.groupBy("scope", "node").agg(alone("of").alias("ahead"), alone("in").alias("behind")).withColumn("colour", F.lit("")))
-    before = checkpointed(now.select("scope").distinct().withColumn("kinds", F.lit(1).cast("long")))
-    done = []
-    while True:
-        nxt = checkpointed(_refined(now, ends.join(before, "scope", "left_semi")))
-        kinds = nxt.select("scope", "colour").distinct().groupBy("scope").agg(F.count("*").alias("kinds"))
-        more = checkpointed(kinds.join(before.withColumnRenamed("kinds", "had"), "scope").where("kinds > had").select("scope", "kinds"))
-        done.append(nxt.join(more, "scope", "left_anti").select("scope", "node", "colour"))
-        if more.isEmpty():
-            return reduce(DataFrame.unionByName, done)
-        now, before = nxt.join(more, "scope", "left_semi"), more
-
-
-def _refined(now: DataFrame, ends: DataFrame) -> DataFrame:
-    """The next round: (scope, node, ahead, behind, colour)."""
-    seen = now.select("scope", F.col("node").alias("other"), F.col("colour").alias("other_colour"))
-    told = ends.join(seen, ["scope", "other"], "left")
-    spoken = F.concat_ws("\x1f", "role", "p", F.when(F.col("other_blank"), F.concat(F.lit("_"), "other_colour")).otherwise(F.col("other")))
-
-    def total(seed: int):
-        return F.sum(F.xxhash64(F.lit(seed), spoken).cast("decimal(20,0)"))
-
-    sums = told.groupBy("scope", "node").agg(F.count("*").alias("n"), total(1).alias("a"), total(2).alias("b"))
-    out = now.join(sums, ["scope", "node"])
-    for way in ("ahead", "behind"):
-        far = now.select("scope", F.col("node").alias(way), F.col(way).alias(f"next_{way}"), F.col("colour").alias(f"colour_{way}"))
-        out = out.join(far, ["scope", way], "left")
-    said = [F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in ("colour", "n", "a", "b", "colour_ahead", "colour_behind")]
-    return out.select("scope", "node", F.col("next_ahead").alias("ahead"), F.col("next_behind").alias("behind"), F.sha2(F.concat_ws("\x1f", *said), 256).alias("colour"))
+    said = F.concat_ws("\x1f", "role", "p", F.when(F.col("other_blank"), "_").otherwise(F.col("other")))
+    first = ends.groupBy("scope", "node").agg(_total(1, said).alias("a"), _total(2, said).alias("b"), *[F.count_if(F.col("other_blank") & (F.col("role") == r)).alias(r) for r in ("of", "in")])
+    now = checkpointed(first.select("scope", "node", *_coloured("a", "b"), "of", "in"))
+    before = checkpointed(_kinds(now).where("kinds > 1"))
+    pointers = _pointers(ends, now)
+    looks = ends.where("other_blank").select("scope", F.col("node").alias("looking"), F.concat_ws("\x1f", "role", "p").alias("how"), F.col("other").alias("node"))
+    now = now.select("scope", "node", "c1", "c2")
+    done = [now.join(before, "scope", "left_anti")]
+    while not before.isEmpty():
+        now = now.join(before, "scope", "left_semi")
+        pointers = _doubled(pointers, before)
+        nxt = checkpointed(_refined(now, looks.join(before, "scope", "left_semi"), pointers))
+        more = checkpointed(_kinds(nxt).join(before.withColumnRenamed("kinds", "had"), "scope").where("kinds > had").select("scope", "kinds"))
+        done.append(nxt.join(more, "scope", "left_anti"))
+        now, before = nxt, more
+    spelled = F.concat(*[F.lpad(F.lower(F.hex(c)), 16, "0") for c in ("c1", "c2")])
+    return reduce(DataFrame.unionByName, done).select("scope", "node", spelled.alias("colour"))
+
+
+def _total(seed: int, said: Column) -> Column:
+    return F.sum(F.xxhash64(F.lit(seed), said).cast("decimal(20,0)"))
+
+
+def _coloured(*of: Column | str) -> list[Column]:
+    return [F.xxhash64(F.lit(seed), *of).alias(c) for seed, c in ((1, "c1"), (2, "c2"))]
+
+
+def _kinds(now: DataFrame) -> DataFrame:
+    """(scope, kinds): how many colours a scope has."""
+    return now.select("scope", "c1", "c2").distinct().groupBy("scope").agg(F.count("*").alias("kinds"))
+
+
+def _pointers(ends: DataFrame, now: DataFrame) -> DataFrame | None:
+    """(scope, way, node, far) of pointers to the next node, in scopes where one may lead on; None without such."""
+    between = now.where("of > 0 AND in > 0 AND (of = 1 OR in = 1)").select("scope").distinct()
+    if between.isEmpty():
+        return None
+    alone = now.join(between, "scope", "left_semi").select("scope", "node", F.explode(F.filter(F.array(*[F.when(F.col(r) == 1, r) for r in ("of", "in")]), lambda r: r.isNotNull())).alias("way"))
+    return checkpointed(ends.where("other_blank").select("scope", F.col("role").alias("way"), "node", F.col("other").alias("far")).join(alone, ["scope", "way", "node"]))
+
+
+def _doubled(pointers: DataFrame | None, scopes: DataFrame) -> DataFrame | None:
+    """Pointers to what lies as far again, in scopes; None where no pointer leads on."""
+    if pointers is None:
+        return None
+    pointers = pointers.join(scopes, "scope", "left_semi")
+    near = pointers.select("scope", "way", F.col("node").alias("start"), F.col("far").alias("node"))
+    out = checkpointed(near.join(pointers, ["scope", "way", "node"]).select("scope", "way", F.col("start").alias("node"), "far"))
+    return None if out.isEmpty() else out
+
+
+def _refined(now: DataFrame, looks: DataFrame, pointers: DataFrame | None) -> DataFrame:
+    """The next round: (scope, node, c1, c2). now is dealt by its nodes once, for both joins: its columns keep their names, and neither join adds a filter."""
+    now = now.where("scope IS NOT NULL AND node IS NOT NULL")
+    if pointers is not None:
+        looks = looks.unionByName(pointers.select("scope", F.col("node").alias("looking"), F.col("way").alias("how"), F.col("far").alias("node")))
+    told = looks.join(now, ["scope", "node"])
+
+    def total(seed: int) -> Column:
+        return F.sum(F.xxhash64(F.lit(seed), "how", "c1", "c2").cast("decimal(20,0)"))
+
+    sums = told.groupBy("scope", F.col("looking").alias("node")).agg(total(1).alias("a"), total(2).alias("b"))
+    # where a sum is null a node has no blank neighbour
+    return now.join(sums, ["scope", "node"], "left").select("scope", "node", *_coloured("c1", "c2", F.coalesce("a", F.lit(0)), F.coalesce("b", F.lit(0))))
 
 
 def stable(findings: DataFrame, t: DataFrame) -> DataFrame:

@@ -56,3 +56,32 @@ def test_store_keeps_no_spelling_twice(spark, tmp_path):
     assert not {"s_nt", "o_nt"} & set(spark.table(kept.tables[0]).columns)
     assert sorted(map(tuple, kept.plain.select(*t.columns).collect())) == sorted(set(map(tuple, t.collect())))
     kept.drop()
+
+
+def test_colours_of_a_round_are_dealt_once_and_short(spark):
+    from graphwarden.operators import bnodes
+
+    now = spark.createDataFrame([("m", f"_:{i}", i % 3, 0) for i in range(50)], "scope string, node string, c1 long, c2 long")
+    looks = spark.createDataFrame([("m", f"_:{i}", "of\x1fp", f"_:{i // 2}") for i in range(50)], "scope string, looking string, how string, node string")
+    kept = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in kept}
+    try:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+        found = bnodes._refined(now, looks, None)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ReusedExchange") == 1 and plan.count("- Exchange hashpartitioning") == 3
+        assert found.count() == 50
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_no_pointers_where_no_node_lies_between_two(spark, monkeypatch):
+    from graphwarden.operators import bnodes
+
+    monkeypatch.setattr(bnodes, "_doubled", lambda pointers, scopes: None if pointers is None else 1 / 0)
+    rows = [("m", f"_:{i}", True, "p", f"_:behind{i}", True) for i in range(4)] + [("m", f"_:{i}", True, "q", f"v{i % 2}", False) for i in range(4)]
+    found = {r.node: r.colour for r in bnodes.colours(spark.createDataFrame(rows, "scope string, s string, s_blank boolean, p string, o string, o_blank boolean")).collect()}
+    assert len(found) == 8 and len(set(found.values())) == 4 and all(len(c) == 32 for c in found.values())
+    assert found["_:behind0"] == found["_:behind2"] != found["_:behind1"]
