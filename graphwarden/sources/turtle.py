@@ -319,7 +319,10 @@ def whole_files(rows: DataFrame, xml: bool = False) -> DataFrame:
 # possessive, so that a long text costs no stack
 _IRI = r"<(?:[^\x00-\x20<>\"{}|^`\\]|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8})*+>"
 _BLANK = r"_:[\p{L}\p{N}_](?:[\p{L}\p{N}_.\-\u00b7]*[\p{L}\p{N}_\-\u00b7])?"
-_TEXT = r"\"(?:[^\"\\\n\r]|\\[tbnrf\"'\\]|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8})*+\""
+# runs of plain characters by one class, so that only an escape costs a group
+_TEXT = r"\"[^\"\\\n\r]*+(?:\\(?:[tbnrf\"'\\]|u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8})[^\"\\\n\r]*+)*+\""
+_SUBJECT = rf"^[ \t]*({_IRI}|{_BLANK})"
+_PREDICATE = rf"^[ \t]*(?:{_IRI}|{_BLANK})[ \t]*({_IRI})"
 _LINE = rf"^[ \t]*({_IRI}|{_BLANK})[ \t]*({_IRI})[ \t]*({_IRI}|{_BLANK}|{_TEXT}(?:@[A-Za-z]+(?:-[A-Za-z0-9]+)*|\^\^{_IRI})?)[ \t]*\.[ \t]*(?:#.*)?$"
 
 
@@ -348,13 +351,22 @@ def _ntriples(spark: SparkSession, files: list[tuple[str, str]]) -> DataFrame:
     return statements(read_.join(F.broadcast(_paths(spark, files)), "path"))  # a row for each file
 
 
+def _once(df: DataFrame, *columns: Column) -> DataFrame:
+    """df with columns that are made once a row: a filter over them is not pushed below, where it would make them again."""
+    return df.select("*", F.inline(F.array(F.struct(*columns))))
+
+
 def statements(text: DataFrame) -> DataFrame:
-    """Rows of RAW from N-Triples lines (module, value). A line that is no statement is a fault of its module."""
-    lines = text.where(~F.col("value").rlike(r"^[ \t]*(#.*)?$"))
-    parts = lines.select("module", "value", *[F.regexp_extract("value", _LINE, k).alias(n) for k, n in ((1, "s"), (2, "p"), (3, "o"))])
-    good, literal = F.col("s") != "", F.col("o").startswith('"')
-    suffix = rf"^{_TEXT}(?:@([A-Za-z0-9\-]+)|\^\^(<.*>))?$"
-    lang, dt = F.regexp_extract("o", suffix, 1), F.regexp_extract("o", suffix, 2)
+    """Rows of RAW from N-Triples lines (module, value). A line that is no statement is a fault of its module.
+
+    A line is matched once, as a whole; its ends are short and are read from there. The last quotation mark of an object ends its text, as what follows has none.
+    """
+    lines = _once(text.select("module", F.col("value").alias("line")), F.col("line").alias("value")).where(~F.col("value").rlike(r"^[ \t]*(#.*)?$"))
+    parts = _once(lines, F.regexp_extract("value", _LINE, 3).alias("o"))
+    good, literal = F.col("o") != "", F.col("o").startswith('"')
+    parts = _once(parts, *[F.when(good, F.regexp_extract("value", head, 1)).otherwise("").alias(n) for n, head in (("s", _SUBJECT), ("p", _PREDICATE))], F.when(literal, F.substring_index("o", '"', -1)).otherwise("").alias("tail"))
+    lang = F.when(F.col("tail").startswith("@"), F.substr("tail", F.lit(2))).otherwise("")
+    dt = F.when(F.col("tail").startswith("^"), F.substr("tail", F.lit(3))).otherwise("")
 
     def iri(c: Column) -> Column:
         return unescaped(F.substr(c, F.lit(2), F.length(c) - 2))
@@ -365,17 +377,16 @@ def statements(text: DataFrame) -> DataFrame:
     def kind(c: Column) -> Column:
         return F.when(c.startswith("_:"), BNODE).otherwise(IRI)
 
-    body = F.regexp_extract("o", rf"^({_TEXT})", 1)
     relative = F.array_contains(F.transform(F.array("s", "p", F.when(~literal, F.col("o")).otherwise(dt)), lambda x: x.startswith("<") & ~x.rlike(r"^<[A-Za-z][A-Za-z0-9+.\-]*:")), True)
     fault = F.when(~good, F.concat(F.lit("no statement: "), "value")).when(relative, F.concat(F.lit("relative IRI: "), "value"))
-    return parts.select(
-        "module",
+    told = (
         F.when(good, node(F.col("s"))).alias("s"),
         kind(F.col("s")).alias("s_kind"),
         F.when(good, iri(F.col("p"))).alias("p"),
-        F.when(literal, unescaped(F.substr(body, F.lit(2), F.length(body) - 2))).when(good, node(F.col("o"))).alias("o"),
+        F.when(literal, unescaped(F.substr(F.col("o"), F.lit(2), F.length("o") - F.length("tail") - 2))).when(good, node(F.col("o"))).alias("o"),
         F.when(literal, LITERAL).otherwise(kind(F.col("o"))).alias("o_kind"),
         F.when(~literal, "").when(lang != "", RDF + "langString").when(dt != "", iri(dt)).otherwise(XSD + "string").alias("o_dt"),
         F.when(literal, F.lower(lang)).otherwise("").alias("o_lang"),
         fault.alias("fault"),
     )
+    return parts.select("module", F.inline(F.array(F.struct(*told))))

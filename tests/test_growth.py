@@ -85,3 +85,25 @@ def test_no_pointers_where_no_node_lies_between_two(spark, monkeypatch):
     found = {r.node: r.colour for r in bnodes.colours(spark.createDataFrame(rows, "scope string, s string, s_blank boolean, p string, o string, o_blank boolean")).collect()}
     assert len(found) == 8 and len(set(found.values())) == 4 and all(len(c) == 32 for c in found.values())
     assert found["_:behind0"] == found["_:behind2"] != found["_:behind1"]
+
+
+def test_a_line_is_matched_once(spark):
+    from graphwarden.sources import turtle
+
+    said = [
+        '<urn:s> <urn:p> "a\\\\\\"b\\n\\u00e9" . # a "comment" .',
+        '_:x <urn:p> "" .',
+        '<urn:s> <urn:p> "x"@EN-gb.',
+        '<urn:s>\t<urn:p>"5"^^<urn:d#t> .',
+        "<urn:s> <urn:p> _:y .",
+        "<urn:s> <urn:p> <urn:o> .",
+        '<urn:s> <urn:p> "' + "long \\t text" * 9999 + '" .',
+    ]
+    bad = ['<urn:s> <urn:p> "a"b" .', '<urn:s> <urn:p> "a\\x" .', "<s> <urn:p> <urn:o> .", '<urn:s> <urn:p> "a"^^<d> .', '"a" <urn:p> <urn:o> .']
+    lines = spark.createDataFrame([("m", x) for x in [*said, *bad, "", " # note"]], "module string, value string")
+    found = turtle.statements(lines)
+    plan = found.where("fault IS NULL").select("s", "o", "o_lang")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract") == 3
+    got = [tuple(r)[1:8] for r in found.where("fault IS NULL").collect()]
+    assert sorted(got) == sorted(x for line in said for x in turtle.parse(line, "urn:b", "m"))
+    assert found.where("fault IS NOT NULL").count() == len(bad)
