@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -98,9 +98,10 @@ def _out_of_range(name: str, lexical: Column) -> Column:
 
 
 def strict_date(lexical: Column) -> Column:
-    """The date of an xsd:date or xsd:dateTime literal, null where it has none (by form or by calendar)."""
+    """The date of an xsd:date or xsd:dateTime literal, null where it has none (by form or by calendar). Most are spelled as a date is, and then no pattern is tried."""
+    plain = lexical.try_cast("date")
     day = F.when(lexical.rlike(rf"^(?:{LEXICAL['date']}|{LEXICAL['dateTime']})\z"), F.regexp_extract(lexical, r"^(-?[0-9]{4,}-[0-9]{2}-[0-9]{2})", 1))
-    return day.try_cast("date")
+    return F.when((plain.cast("string") == lexical) & ~lexical.startswith("+"), plain).otherwise(day.try_cast("date"))
 
 
 def strict_fault(datatype: Column, lexical: Column) -> Column:
@@ -140,6 +141,11 @@ def node_text(side: str) -> Column:
     return F.when(F.col(f"{side}_kind") == BNODE, F.substr(nt, F.lit(3))).otherwise(F.substr(nt, F.lit(2), F.length(nt) - 2))
 
 
+def once(df: DataFrame, *columns: Column) -> DataFrame:
+    """df with columns that are made once a row: a filter over them is not pushed below, where it would make them again."""
+    return df.select("*", F.inline(F.array(F.struct(*columns))))
+
+
 def sha256(*parts: Column) -> Column:
     """Lowercase hex SHA-256 of the parts joined by U+001F; absent parts count as empty."""
     return F.sha2(F.concat_ws("\x1f", *[F.coalesce(p, F.lit("")) for p in parts]), 256)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphwarden.functions.terms import BNODE, IRI, LITERAL, RDF, TRIPLE_FIELDS, XSD, spelling, strict_fault
+from graphwarden.functions.terms import BNODE, IRI, LITERAL, RDF, TRIPLE_FIELDS, XSD, once, spelling, strict_fault
 from graphwarden.operators.closure import checkpointed
 from graphwarden.sources.files import syntax
 
@@ -351,20 +351,15 @@ def _ntriples(spark: SparkSession, files: list[tuple[str, str]]) -> DataFrame:
     return statements(read_.join(F.broadcast(_paths(spark, files)), "path"))  # a row for each file
 
 
-def _once(df: DataFrame, *columns: Column) -> DataFrame:
-    """df with columns that are made once a row: a filter over them is not pushed below, where it would make them again."""
-    return df.select("*", F.inline(F.array(F.struct(*columns))))
-
-
 def statements(text: DataFrame) -> DataFrame:
     """Rows of RAW from N-Triples lines (module, value). A line that is no statement is a fault of its module.
 
     A line is matched once, as a whole; its ends are short and are read from there. The last quotation mark of an object ends its text, as what follows has none.
     """
-    lines = _once(text.select("module", F.col("value").alias("line")), F.col("line").alias("value")).where(~F.col("value").rlike(r"^[ \t]*(#.*)?$"))
-    parts = _once(lines, F.regexp_extract("value", _LINE, 3).alias("o"))
+    lines = once(text.select("module", F.col("value").alias("line")), F.col("line").alias("value")).where(~F.col("value").rlike(r"^[ \t]*(#.*)?$"))
+    parts = once(lines, F.regexp_extract("value", _LINE, 3).alias("o"))
     good, literal = F.col("o") != "", F.col("o").startswith('"')
-    parts = _once(parts, *[F.when(good, F.regexp_extract("value", head, 1)).otherwise("").alias(n) for n, head in (("s", _SUBJECT), ("p", _PREDICATE))], F.when(literal, F.substring_index("o", '"', -1)).otherwise("").alias("tail"))
+    parts = once(parts, *[F.when(good, F.regexp_extract("value", head, 1)).otherwise("").alias(n) for n, head in (("s", _SUBJECT), ("p", _PREDICATE))], F.when(literal, F.substring_index("o", '"', -1)).otherwise("").alias("tail"))
     lang = F.when(F.col("tail").startswith("@"), F.substr("tail", F.lit(2))).otherwise("")
     dt = F.when(F.col("tail").startswith("^"), F.substr("tail", F.lit(3))).otherwise("")
 

@@ -107,3 +107,51 @@ def test_a_line_is_matched_once(spark):
     got = [tuple(r)[1:8] for r in found.where("fault IS NULL").collect()]
     assert sorted(got) == sorted(x for line in said for x in turtle.parse(line, "urn:b", "m"))
     assert found.where("fault IS NOT NULL").count() == len(bad)
+
+
+def test_spellings_meet_by_numbers(spark):
+    from graphwarden.operators import rules
+
+    a = spark.createDataFrame([("m", "x", 1), ("m", "xy", 2), ("n", "x", 3), ("m", "y", 7)], "scope string, e string, i int")
+    b = spark.createDataFrame([("m", "x", 4), ("m", "xyz", 5), ("m", "", 6), ("m", "x", 8), ("m", "y", 9)], "scope string, e string, j int")
+    found = rules.met(a, ["scope", "e"], b, having=b.where("e <> 'y'"))
+    assert sorted(map(tuple, found.collect())) == [("m", "x", 1, 4), ("m", "x", 1, 8)] and found.columns == ["scope", "e", "i", "j"]
+    kept = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in kept}
+    try:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+        plan = rules.met(a, ["scope", "e"], b, having=b)._jdf.queryExecution().executedPlan().toString()
+        # each side is dealt once, the left one for both joins
+        assert plan.count("- Exchange hashpartitioning(__key") == 3 and plan.count("- Exchange") == 3
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_most_dates_are_read_without_a_pattern(spark):
+    from pyspark.sql import functions as F
+
+    from graphwarden.functions.terms import strict_date
+
+    texts = ["2024-02-29", "2023-02-29", "2024-2-9", "2024-02-09Z", "2024-02-09T10:00:00", "2024-02-09 x", "+2024-02-09", "02024-02-09", "12024-02-09", "-0044-03-15", "2024-02-09\\n", "2024", " 2024-02-09", ""]
+    d = spark.createDataFrame([(x,) for x in texts], "o string").select("o", strict_date(F.col("o")).cast("string").alias("d"))
+    got = {r.o: r.d for r in d.collect()}
+    want = {"2024-02-29": "2024-02-29", "2024-02-09Z": "2024-02-09", "2024-02-09T10:00:00": "2024-02-09", "02024-02-09": "2024-02-09"}
+    assert {k: v for k, v in got.items() if k in want} == want
+    assert all(got[x] is None for x in ("2023-02-29", "2024-2-9", "2024-02-09 x", "+2024-02-09", "2024-02-09\\n", "2024", " 2024-02-09", ""))
+
+
+def test_days_of_a_person_with_other_spellings(spark):
+    from graphwarden.functions.terms import CRM, TYPE, XSD
+    from graphwarden.operators import rules
+
+    def one(s, p, o, dt=""):
+        return ("m", s, "iri", p, o, "literal" if dt else "iri", dt, "", f"<{s}>", f'"{o}"' if dt else f"<{o}>")
+
+    rows = []
+    for kind, at, days in (("B", "end", ["2001-01-01", "2001-01-02T00:00:00", "2001-01-02", "2001-01-02Z"]), ("D", "begin", ["2000-05-05Z", "2000-05-05", "2000-06-01"])):
+        rows += [one("e" + kind, TYPE, kind), one("e" + kind, "who" + kind, "p"), one("e" + kind, CRM + "P4_has_time-span", "t" + kind)] + [one("t" + kind, at, d, XSD + "date") for d in days]
+    t = spark.createDataFrame(rows, "scope string, s string, s_kind string, p string, o string, o_kind string, o_dt string, o_lang string, s_nt string, o_nt string")
+    got = [r.message for r in rules.chronology(t, ("B", "whoB", "end"), ("D", "whoD", "begin")).collect()]
+    assert got == ["Person p has birth end 2001-01-02Z after death begin 2000-05-05"]
