@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from graphwarden.functions.terms import BNODE, IRI, LITERAL, RDF, XSD, literal_nt, strict_date
 from graphwarden.operators import closure as paths
-from graphwarden.operators.rules import links
+from graphwarden.operators.rules import KEY, links, met
 from graphwarden.plans.sparql import AGGREGATES, Bind, Call, Exists, Filter, Group, Operation, Select, SparqlError, Term, Triple, Union, Values, Var, variables
 
 #: Columns of a variable: N-Triples spelling, kind, IRI or lexical form, datatype, language.
@@ -328,7 +328,7 @@ class Graph:
         extra = [c for v in b.bound - shared for c in (name(v, p) for p in PARTS)]
         on = ["scope", *(name(v) for v in sorted(shared))]
         right = b.df.select(*on, *extra)
-        return Rel(a.df.join(right, on), a.bound | b.bound, a.certain | b.certain)
+        return Rel(met(a.df, on, right, keep=True), a.bound | b.bound, a.certain | b.certain)
 
     def inline(self, rel: Rel, table: Values) -> Rel:
         """Solutions with an inline table: a filter where it has one bound variable, else its rows beside each solution, and no shuffle."""
@@ -381,7 +381,7 @@ class Graph:
         for part in group.parts:
             if isinstance(part, Filter):
                 rel = self.filter(rel, part.test)
-        return rel
+        return replace(rel, df=rel.df.drop(*[c for c in rel.df.columns if c.startswith(KEY)]))
 
     def met(self, rel: Rel | None, waiting: list, seed: Rel | None) -> Rel:
         tables = [p for p in waiting if isinstance(p, Values)]

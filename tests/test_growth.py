@@ -155,3 +155,24 @@ def test_days_of_a_person_with_other_spellings(spark):
     t = spark.createDataFrame(rows, "scope string, s string, s_kind string, p string, o string, o_kind string, o_dt string, o_lang string, s_nt string, o_nt string")
     got = [r.message for r in rules.chronology(t, ("B", "whoB", "end"), ("D", "whoD", "begin")).collect()]
     assert got == ["Person p has birth end 2001-01-02Z after death begin 2000-05-05"]
+
+
+def test_patterns_of_one_subject_are_dealt_once(spark):
+    from graphwarden.plans import algebra
+    from graphwarden.plans.sparql import read_select
+
+    text = "SELECT $this ?b ?c { $this <urn:a> ?a ; <urn:b> ?b ; <urn:c> ?c }"
+    t = catalog.event_terms(spark, DATA)
+    kept = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false", "spark.sql.optimizer.excludedRules": "org.apache.spark.sql.catalyst.optimizer.PropagateEmptyRelation"}
+    t = spark.createDataFrame(t.limit(5).collect(), t.schema)
+    old = {k: spark.conf.get(k, None) for k in kept}
+    try:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+        found = algebra.rule_rows(t, read_select(text))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("- Exchange hashpartitioning(__key") == plan.count("- Exchange hashpartitioning") == 3
+        assert not [c for c in found.columns if c.startswith("__")]
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
