@@ -19,6 +19,11 @@ def iri(kind: str, key: Column | str) -> Column:
     return F.concat(F.lit(f"{EX}{kind}/"), (F.col(key) if isinstance(key, str) else key).cast("string"))
 
 
+def iri_of(kind: Column, key: Column) -> Column:
+    """iri() of a kind that rows tell."""
+    return F.concat(F.lit(EX), kind, F.lit("/"), key.cast("string"))
+
+
 def triples(df: DataFrame, s: Column, p: Column | str, o: Column, *, literal: bool = False, datatype: Column | str = XSD + "string", lang: Column | str = "", scope: Column | str = "m") -> DataFrame:
     """One statement for each row of df, in the form that rules take (column scope). Rows whose subject or object is null have none."""
 

@@ -58,6 +58,46 @@ def test_store_keeps_no_spelling_twice(spark, tmp_path):
     kept.drop()
 
 
+def test_what_a_store_keeps_is_dealt_before_it_is_lifted(spark, tmp_path):
+    from graphwarden.functions.terms import iri_nt
+    from graphwarden.sources import store
+
+    t = catalog.life_events(spark, DATA)
+    dealt = catalog.life_events_dealt(spark, DATA)(4, store.term_id)
+    plan = dealt._jdf.queryExecution().executedPlan().toString()
+    moved = [x for x in plan.splitlines() if "Exchange" in x]
+    assert len(moved) == 1 and plan.index("Exchange") > plan.index("Generate inline(CASE")
+    columns = [c for c in t.columns if not c.endswith("_nt")]
+    want = t.select(*columns, store.term_id(iri_nt(t["s"])).alias("s_id")).distinct()
+    assert dealt.select(*want.columns).exceptAll(want).isEmpty() and dealt.count() == want.count()
+    kept = store.write(t, str(tmp_path / "s"), 4, catalog.life_events_dealt(spark, DATA), catalog.life_objects(spark, DATA))
+    nodes = {r[0] for r in kept.others.union(kept.subjects).select("nt").collect()}
+    assert nodes == {x for r in t.select("s_nt", "o_nt").collect() for x in r}
+    # a span is a subject, and its spelling is kept as that alone
+    assert kept.others.where("nt LIKE '%-span/%'").isEmpty() and kept.others.where("nt LIKE '%order/%'").count() > 0
+    assert len(spark.table(kept.tables[0]).inputFiles()) <= 4
+    kept.drop()
+
+
+def test_a_store_whose_ids_clash_is_written_anew(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from graphwarden.sources import store
+
+    plain = store.term_id
+    t = catalog.event_terms(spark, DATA).limit(60).persist()
+    few = [lambda nt: F.xxhash64(nt) % 20, lambda nt: F.when(nt.startswith("<urn:t:user"), plain(nt)).otherwise(F.xxhash64(nt) % 20), lambda nt: F.coalesce(F.regexp_extract(nt, "([0-9]+)>", 1).cast("bigint") % 40, F.lit(0))]
+    for n, bad in enumerate(few):
+        monkeypatch.setattr(store, "term_id", lambda nt, seed=0, bad=bad: bad(nt) if seed == 0 else plain(nt, seed))
+        kept = store.write(t, str(tmp_path / f"s{n}"))
+        assert kept.seed == 1
+        assert sorted(map(tuple, kept.plain.select(*t.columns).collect())) == sorted(set(map(tuple, t.collect())))
+        said = kept.keyed.select("scope", F.concat(F.lit("#"), "s_nt").alias("focus"), F.concat(F.lit("#"), "o_nt").alias("value"))
+        assert sorted(map(tuple, kept.spelled(said).collect())) == sorted({(r.scope, r.s_nt, r.o_nt) for r in t.collect()})
+        kept.drop()
+    t.unpersist()
+
+
 def test_colours_of_a_round_are_dealt_once_and_short(spark):
     from graphwarden.operators import bnodes
 
