@@ -22,8 +22,8 @@ from graphwarden.functions.terms import spelling
 from graphwarden.operators.findings import ranked
 from graphwarden.operators.rules import MARK
 
-#: Triples of one bucket that a task sorts in memory, some 300 bytes each.
-BUCKET_ROWS = 1_500_000
+#: Triples of one bucket that a task sorts in memory, some 500 bytes each.
+BUCKET_ROWS = 1_000_000
 
 
 def term_id(nt: Column, seed: int = 0) -> Column:
